@@ -17,3 +17,18 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(y
        sha256(coalesce(y.kept, '')) as kept_sha256
 from d left join y on y.doc_id = d.doc_id
 """
+
+SQL["op10_ngram_jaccard_join"] = f"""
+with recursive d as (select doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 2)) as i from d where len(w) >= 4)
+  union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 3),
+z as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as n from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select x, y from c join z p on p.doc_id = x join z q on q.doc_id = y where 100 * c.n >= 85 * (p.n + q.n - c.n)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as node, doc_id as seen from z union select r.node, e.y from r join e on e.x = r.seen),
+m as (select node, min(seen) as least from r group by node)
+select d.doc_id, cast(coalesce(z.n, 0) as bigint) as n_shingles, coalesce(m.least, d.doc_id) as component_id
+from d left join z on z.doc_id = d.doc_id left join m on m.node = d.doc_id
+"""
