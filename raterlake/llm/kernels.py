@@ -28,7 +28,7 @@ def _power(base: U, n: int) -> np.ndarray:
         have = np.full(max(n, 1), base, dtype=U)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 1 << 24:
+        if n <= 1 << 21:
             _powers[str(base)] = have
     return have[:n]
 
@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of at most `max_bytes` of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -102,15 +102,17 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_hashes(w: Words) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    n = len(w.data)
-    if not len(w.start):
-        return np.zeros(0, dtype=U)
-    sums = np.zeros(n + 1, dtype=U)
-    np.cumsum((w.data.astype(U) + U(1)) * _power(_BASE, n), out=sums[1:])
-    h = (sums[w.end] - sums[w.start]) * _power(_INVERSE, n)[w.start]
-    return mix(h ^ ((w.end - w.start).astype(U) << U(56)))
+def word_hashes(w: Words, block: int = 1 << 17) -> np.ndarray:
+    """64-bit hash of each word's bytes, worked off in blocks of words to bound memory."""
+    out = np.zeros(len(w.start), dtype=U)
+    for i in range(0, len(out), block):
+        start, end = w.start[i : i + block], w.end[i : i + block]
+        lo, hi = int(start[0]), int(end[-1])
+        sums = np.zeros(hi - lo + 1, dtype=U)
+        np.cumsum((w.data[lo:hi].astype(U) + U(1)) * _power(_BASE, hi - lo), out=sums[1:])
+        h = (sums[end - lo] - sums[start - lo]) * _power(_INVERSE, hi - lo)[start - lo]
+        out[i : i + block] = mix(h ^ ((end - start).astype(U) << U(56)))
+    return out
 
 
 def run_hashes(h: np.ndarray, k: int, places: range | list[int] | None = None) -> np.ndarray:

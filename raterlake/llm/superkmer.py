@@ -33,13 +33,28 @@ from . import common, kernels
 from .kernels import U
 
 K = 13
-M = 3
+M = 2
 BUCKETS_PER_PARTITION = 4
 #: One row in so many is read to find minimisers shared by too many contexts.
 ROUTING_SAMPLE = 32
 MAX_HOT = 4096
 
 _HEAD = np.dtype([("doc", np.int64), ("key", np.int64), ("at", np.int32), ("n", np.int32)])
+
+
+def _head_bytes(head: np.ndarray) -> bytes:
+    """Column by column, which compresses better than row by row."""
+    return b"".join(head[c].tobytes() for c in _HEAD.names)
+
+
+def _head_from(raw: memoryview, n: int) -> np.ndarray:
+    head, at = np.zeros(n, dtype=_HEAD), 0
+    for c in _HEAD.names:
+        head[c] = np.frombuffer(raw, dtype=_HEAD[c], count=n, offset=at)
+        at += n * _HEAD[c].itemsize
+    return head
+
+
 _RANGES = "doc_id long, row_key long, lo int, hi int"
 _SENT = "bucket int, kind int, n int, size int, payload binary"
 
@@ -109,7 +124,7 @@ def _send(k: int, m: int, n_buckets: int, hot: np.ndarray):
                 found = np.zeros(len(at), dtype=_HEAD)
                 found["doc"], found["key"] = docs[row[at]], keys[row[at]]
                 found["at"], found["n"] = place[first[at]], place[last[at]] + k
-                raw = found.tobytes()
+                raw = _head_bytes(found)
                 out.append((int(bucket[at[0]]), 1, len(at), len(raw), kernels.pack(raw)))
             sent = np.flatnonzero(~local)
             sent = sent[np.argsort(bucket[sent], kind="stable")]
@@ -120,7 +135,7 @@ def _send(k: int, m: int, n_buckets: int, hot: np.ndarray):
                 head = np.zeros(len(at), dtype=_HEAD)
                 head["doc"], head["key"], head["at"] = docs[row[at]], keys[row[at]], place[first[at]]
                 head["n"] = [len(parts[j]) for j in at.tolist()]
-                raw = head.tobytes() + b"".join([parts[j] for j in at.tolist()])
+                raw = _head_bytes(head) + b"".join([parts[j] for j in at.tolist()])
                 out.append((int(b[x]), 0, len(at), len(raw), kernels.pack(raw)))
             for i in range(0, len(out), 64):
                 cols = list(zip(*out[i : i + 64]))
@@ -137,7 +152,7 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n_a: np.ndarray
     lens = n_a[order]
     for n in np.unique(lens).tolist():
         at = order[np.searchsorted(lens, n) : np.searchsorted(lens, n, side="right")]
-        step = max(1, (4 << 20) // max(n, 1))
+        step = max(1, (1 << 20) // max(n, 1))
         for i in range(0, len(at), step):
             x, span = at[i : i + step], np.arange(n)
             same[x] = (data[a[x][:, None] + span] == data[b[x][:, None] + span]).all(axis=1)
@@ -182,7 +197,7 @@ def _settle(k: int):
         out, heads, texts = [], [], []
         for kind, n, size, payload in zip(*(table.column(c).to_pylist() for c in ("kind", "n", "size", "payload"))):
             raw = kernels.unpack(payload, size)
-            head = np.frombuffer(raw, dtype=_HEAD, count=n)
+            head = _head_from(raw, n)
             if kind == 1:
                 out.append(head)
             else:
@@ -232,12 +247,18 @@ def _hot_minimisers(rows: DataFrame, k: int, m: int, n_buckets: int) -> np.ndarr
     return np.sort(np.array(hot, dtype=np.int64).view(U))
 
 
+def _row_key(docs: DataFrame):
+    """Tells apart rows that share a doc_id; a constant, which costs no room, where none do."""
+    shared = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    return F.lit(0).cast("long") if shared.isEmpty() else common.row_key()
+
+
 def repeated_ranges(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """(doc_id, row_key, lo, hi): word ranges, end exclusive, covered by windows that also
     start in a document with a smaller doc_id. Ranges may overlap."""
     spark = docs.sparkSession
     n_buckets = BUCKETS_PER_PARTITION * common.shuffle_partitions(spark)
-    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", common.row_key().alias("row_key"), "text")
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", _row_key(docs).alias("row_key"), "text")
     hot = _hot_minimisers(rows, k, m, n_buckets)
     sent = rows.mapInArrow(_send(k, m, n_buckets, hot), _SENT)
     return sent.groupBy("bucket").applyInArrow(_settle(k), _RANGES)
@@ -263,6 +284,6 @@ def _cut(batches):
 def remove_repeated_windows(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """One row per document: doc_id, kept_text (kept words joined by a blank), n_words, n_removed."""
     ranges = repeated_ranges(docs, k, m).groupBy(F.col("doc_id").alias("r_doc"), F.col("row_key").alias("r_key")).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    rows = docs.select("doc_id", "text", common.row_key().alias("row_key"))
+    rows = docs.select("doc_id", "text", _row_key(docs).alias("row_key"))
     joined = rows.join(ranges, (F.col("doc_id") == F.col("r_doc")) & (F.col("row_key") == F.col("r_key")), "left")
     return joined.select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, kept_text string, n_words long, n_removed long")
