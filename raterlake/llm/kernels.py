@@ -141,7 +141,7 @@ def running_min(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def pack(raw: bytes) -> bytes:
-    return pa.compress(raw, codec="zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def unpack(raw: bytes, size: int) -> memoryview:

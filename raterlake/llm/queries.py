@@ -1,4 +1,7 @@
-"""The registered queries of this subpackage, and the SQL that DuckDB can run for them."""
+"""The registered queries of this subpackage, and the SQL that DuckDB can run for them.
+
+Each query applies one operator, with production parameters, to its whole table.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, nbsvm, superkmer, tjoin
-from .common import held_out
-from .common import table
+from . import decontam, langid, line_dedup, nbsvm, pfair, pii, quality_rules, superkmer, tjoin, url_reputation
+from .common import held_out, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,31 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("whole.doc_id", (F.col("n_overlaps") > 0).alias("contaminated"), "item_ids")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.detect(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return url_reputation.judge(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.marked(table(spark, sf_dir, "documents"))
+    return out.select("whole.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = nbsvm.score(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels")))
@@ -29,15 +56,26 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pfair.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "mix_slot", "mix_place", "mix_block", "mix_horizon")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tjoin.jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality_rules, op4_pii, op5_url_filter, op6_line_dedup, op7_quality_classifier, op8_substring_dedup, op9_source_mixing, op10_ngram_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import oracles
+    from .oracles import SQL
 
-    return oracles.SQL
+    return SQL

@@ -43,8 +43,8 @@ _HEAD = np.dtype([("doc", np.int64), ("key", np.int64), ("at", np.int32), ("n",
 
 
 def _head_bytes(head: np.ndarray) -> bytes:
-    """Column by column, which compresses better than row by row."""
-    return b"".join(head[c].tobytes() for c in _HEAD.names)
+    """Column by column, doc_id (sorted) as differences: this compresses well."""
+    return b"".join((np.diff(head[c], prepend=0) if c == "doc" else head[c]).tobytes() for c in _HEAD.names)
 
 
 def _head_from(raw: memoryview, n: int) -> np.ndarray:
@@ -52,6 +52,7 @@ def _head_from(raw: memoryview, n: int) -> np.ndarray:
     for c in _HEAD.names:
         head[c] = np.frombuffer(raw, dtype=_HEAD[c], count=n, offset=at)
         at += n * _HEAD[c].itemsize
+    head["doc"] = np.cumsum(head["doc"])
     return head
 
 
