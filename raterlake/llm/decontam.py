@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, kernels
 from .kernels import U
@@ -151,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return rows.select("whole", F.lit(0).cast("long").alias("n_overlaps"), F.array().cast("array<bigint>").alias("item_ids"))
     out = rows.withColumn("n_overlaps", F.lit(0).cast("long")).withColumn("item_ids", F.array().cast("array<bigint>"))
     for index in blocks:
-        kind = out.schema.add("rl_overlaps", "long").add("rl_items", "array<bigint>")
+        kind = T.StructType([*out.schema.fields, T.StructField("rl_overlaps", T.LongType()), T.StructField("rl_items", T.ArrayType(T.LongType()))])
         out = out.mapInArrow(_search(index), kind)
         out = out.select("text", "whole", (F.col("n_overlaps") + F.col("rl_overlaps")).alias("n_overlaps"), F.array_sort(F.array_union("item_ids", "rl_items")).alias("item_ids"))
     return out.drop("text")
