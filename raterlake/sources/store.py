@@ -1,0 +1,83 @@
+"""Study tables as versioned Parquet folders.
+
+A table is a folder of numbered versions; readers use the newest complete one, writers add
+one more, so a read never sees half a write and nothing is changed in place. Folders are
+listed and renamed through the file system Spark uses, wherever they are."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..errors import EngineError
+from ..schema import KEYS, TABLES
+
+
+class StudyStore:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _folder(self, table: str) -> str:
+        if table not in TABLES:
+            raise EngineError("unknown_table", table)
+        return f"{self.root}/{table}"
+
+    def versions(self, table: str) -> list[int]:
+        folder = self._path(self._folder(table))
+        if not self._fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """A table at its newest version (or a given one); empty if it was never written."""
+        found = self.versions(table)
+        if not found:
+            return self.spark.createDataFrame([], TABLES[table])
+        version = found[-1] if version is None else version
+        if version not in found:
+            raise EngineError("unknown_version", f"{table} v{version}")
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self._folder(table)}/v{version}")
+
+    def snapshot(self, tables: list[str]) -> dict[str, DataFrame]:
+        """Several tables, each resolved to one version once."""
+        return {t: self.read(t) for t in tables}
+
+    def replace(self, table: str, df: DataFrame) -> int:
+        """The rows as the next version. Refused if keys repeat."""
+        rows = _conform(df, table)
+        key = KEYS.get(table)
+        if key:
+            twice = rows.groupBy(*key).count().filter("count > 1").limit(1).collect()
+            if twice:
+                raise EngineError("duplicate_key", f"{table}: {twice[0].asDict()}")
+        aside = f"{self._folder(table)}/.{uuid.uuid4().hex}"
+        rows.write.parquet(aside)
+        version = (self.versions(table) or [0])[-1] + 1
+        if not self._fs.rename(self._path(aside), self._path(f"{self._folder(table)}/v{version}")):
+            self._fs.delete(self._path(aside), True)
+            raise EngineError("store_busy", f"{table} v{version} was written meanwhile")
+        return version
+
+    def append(self, table: str, df: DataFrame) -> int:
+        """A new version with the rows added; refused if a key is there already."""
+        rows, old = _conform(df, table), self.read(table)
+        key = KEYS.get(table)
+        if key and not rows.join(old.select(*key), key, "left_semi").isEmpty():
+            raise EngineError("duplicate_key", table)
+        return self.replace(table, old.unionByName(rows))
+
+    def exists(self, table: str, predicate: str = "true") -> bool:
+        return not self.read(table).filter(predicate).limit(1).isEmpty()
+
+
+def _conform(df: DataFrame, table: str) -> DataFrame:
+    """The columns of the table in order and type; missing ones are null."""
+    cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].fields]
+    return df.select(*cols)
