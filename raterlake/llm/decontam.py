@@ -3,8 +3,8 @@
 A mask names the token positions of a span that count; the others may differ. Every span
 of a benchmark item and of a document is hashed under each mask, equal hashes are hits,
 and the two texts are compared token by token along a hit's diagonal: a document is
-contaminated where `WINDOW` aligned tokens (or a whole shorter item) agree but for
-`MAX_CHANGED`. Tokens are runs of letters and digits, lower-cased.
+contaminated where `WINDOW` aligned tokens agree but for `MAX_CHANGED`, or a whole shorter
+item agrees but for as many as the masks are sure to leave room for. Tokens are runs of letters and digits, lower-cased.
 
 The test hashes are joined inside the scan: they are handed to the tasks as a table. It
 is bounded by `BLOCK_TOKENS`; a larger benchmark is worked off in so many blocks of items,
@@ -18,6 +18,8 @@ all clean; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +48,17 @@ def _tokens(texts: pa.Array) -> kernels.Words:
     return kernels.find_words(data, off, _OTHER)
 
 
+@functools.cache
+def tolerance(span: int) -> int:
+    """Tokens that may differ in an aligned window: up to MAX_CHANGED, as long as a mask is
+    left to fit between the changes wherever they are."""
+    fits = lambda changed: any(not any(c == "1" and at + i in changed for i, c in enumerate(m)) for m in MASKS for at in range(span - len(m) + 1))
+    n = 0
+    while n < min(MAX_CHANGED, span) and all(fits(set(c)) for c in itertools.combinations(range(span), n + 1)):
+        n += 1
+    return n
+
+
 def _places(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
@@ -111,7 +124,7 @@ def verify(h: np.ndarray, first: np.ndarray, row: np.ndarray, diagonal: np.ndarr
             same = (h[np.clip(here, 0, len(h) - 1)] == index.token[there]) & inside
             span = min(WINDOW, n)
             sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
-            out[g] = (sums[:, span:] - sums[:, : n - span + 1]).max(axis=1) - (span - min(MAX_CHANGED, span // 4))
+            out[g] = (sums[:, span:] - sums[:, : n - span + 1]).max(axis=1) - (span - tolerance(span))
     return out
 
 
