@@ -56,11 +56,12 @@ _SPELLED = re.compile(rf"\b{_DIGIT}(?:(?:[\x20-]|\x20?-\x20?){_DIGIT})+\b", re.I
 _ONE_DIGIT = re.compile(rf"\b{_DIGIT}\b", re.IGNORECASE)
 _PLUS = re.compile(r"\bplus\x20(?=\+?[0-9])", re.IGNORECASE)
 _DOTTED = re.compile(rf"\b(?:{_DIGIT}|[0-9]+)(?:\x20?(?:\.|\bdot\b|\bpoint\b)\x20?(?:{_DIGIT}|[0-9]+)(?:\x20{_DIGIT})*)+\b", re.IGNORECASE)
+_DOT_WORD = re.compile(r"\x20?\b(?:dot|point)\b\x20?", re.IGNORECASE)
 _BRACKETED = re.compile(r"\x20?[\[({<]\x20?(at|dot|@|\.)\x20?[\])}>]\x20?", re.IGNORECASE)
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(\x20at\x20|\x20?@\x20?){_LABEL}((?:(?:\x20dot\x20|\.|\x20\.\x20){_LABEL})+)", re.IGNORECASE)
 _PLAIN_DOT = re.compile(r"\x20dot\x20|\x20\.\x20", re.IGNORECASE)
-_SIGN = re.compile(rf"[^\x00-ɏ‐-⁄₠-₿]|[ ­·‐-–․]|\x20dot\x20|\x20@|@\x20|[\[({{<]\x20?(?:at|dot|@|\.)\x20?[\])}}>]|\b{_DIGIT}[\x20-]{{1,3}}{_DIGIT}\b|\bplus\x20", re.IGNORECASE)
+_SIGN = re.compile(rf"[^\x00-ɏ‐-⁄₠-₿]|[ ­·‐-–․]|\x20(?:dot|point)\x20|\x20@|@\x20|[\[({{<]\x20?(?:at|dot|@|\.)\x20?[\])}}>]|\b{_DIGIT}[\x20-]{{1,3}}{_DIGIT}\b|\bplus\x20", re.IGNORECASE)
 
 
 def _luhn(digits: str) -> bool:
@@ -154,7 +155,7 @@ def spelled_digits(t: Traced) -> Traced:
     """Digit words to digits, the blanks between them left out; in dotted numbers, single words too."""
     spans = [m.span() for m in _SPELLED.finditer(t.text)]
     for m in _DOTTED.finditer(t.text):
-        if any(_ONE_DIGIT.finditer(m[0])):
+        if _ONE_DIGIT.search(m[0]) or _DOT_WORD.search(m[0]):
             spans.append(m.span())
     spans.sort()
     edits: list[tuple[int, int, str]] = []
@@ -165,8 +166,7 @@ def spelled_digits(t: Traced) -> Traced:
             if i and not t.text[words[i - 1].end() : m.start()].strip(" -"):
                 edits.append((words[i - 1].end(), m.start(), ""))
             edits.append((m.start(), m.end(), DIGITS[m[0].lower()]))
-        for m in re.finditer(r"\x20?\b(?:dot|point)\b\x20?", t.text[lo:hi], re.IGNORECASE):
-            edits.append((lo + m.start(), lo + m.end(), "."))
+        edits += [(m.start(), m.end(), ".") for m in _DOT_WORD.finditer(t.text, lo, hi)]
     edits.sort()
     apart = []
     for e in edits:
