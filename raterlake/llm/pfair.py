@@ -19,7 +19,8 @@ No row is dropped: when a source is used up its slots stay empty, and slots belo
 Defined results: null sources form one source of their own; repeated rows get places of
 their own; sources without a given weight share what the named ones leave in proportion
 to the square root of their blocks; an empty table gives an empty table; all columns of
-the input are kept, and those added are named by the caller's prefix.
+the input are kept but for those that bear the name of an added one; the caller sets the
+prefix of these names.
 """
 
 from __future__ import annotations
@@ -106,4 +107,5 @@ def mix(docs: DataFrame, shares: dict[str, float] | None = None, block: int = BL
     rows = rows.withColumn("weight", weight)
     slot = F.floor(F.col("block") / F.col("weight")) * length + F.get(found, (F.col("block") % F.col("weight")).cast("int"))
     added = [slot.cast("long").alias(f"{prefix}slot"), F.col("place").alias(f"{prefix}place"), F.col("block").alias(f"{prefix}block"), F.lit(min(ends, default=0)).cast("long").alias(f"{prefix}horizon")]
-    return rows.select("whole.*", *added)
+    names = {f"{prefix}{c}" for c in ("slot", "place", "block", "horizon")}
+    return rows.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns if c not in names], *added)
