@@ -32,3 +32,77 @@ m as (select node, min(seen) as least from r group by node)
 select d.doc_id, cast(coalesce(z.n, 0) as bigint) as n_shingles, coalesce(m.least, d.doc_id) as component_id
 from d left join z on z.doc_id = d.doc_id left join m on m.node = d.doc_id
 """
+
+SQL["op6_line_dedup"] = f"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents where text is not null),
+w as (select *, row_number() over (partition by doc_id order by line_no) as pos, len({WORDS.replace("coalesce(text, '')", "line")}) as n from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+b as (select *, lead(line) over (partition by doc_id order by pos) as follows from w),
+f as (select *, row_number() over (partition by line, follows order by doc_id, pos) as pair_no, row_number() over (partition by line order by doc_id, pos) as one_no from b),
+g as (select doc_id, pos from f where follows is not null and pair_no > 1 union select doc_id, pos + 1 from f where follows is not null and pair_no > 1 union select doc_id, pos from f where one_no > 1 and n >= 50),
+c as (select w.doc_id, count(*) as n_lines, count(g.pos) as n_removed from w left join g using (doc_id, pos) group by w.doc_id),
+k as (select l.doc_id, string_agg(l.line, chr(10) order by l.line_no) as kept from l left join w using (doc_id, line_no) left join g on g.doc_id = w.doc_id and g.pos = w.pos where g.pos is null group by l.doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join c using (doc_id) left join k using (doc_id)
+"""
+
+
+def _level(name: str, rows: str) -> str:
+    """CTEs that shrink the rates of a level (key, good, n, m) to a and b."""
+    return f"""{name}_s as (select case when coalesce(room, 0) = 0 or room <= noise or excess <= noise then 200.0 else least(200.0, greatest(2.0, (room - noise) / (excess - noise) - 1)) end as s
+  from (select sum(n * m * (1 - m)) as room, sum(m * (1 - m)) as noise, sum(n * pow(good / n - m, 2)) as excess from ({rows}))),
+{name}_p as (select r.*, good + s * m as a, n - good + s * (1 - m) as b from ({rows}) r, {name}_s)"""
+
+
+SQL["op5_url_filter"] = f"""
+with u as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+y as (select doc_id as page_id, max(quality) as good from labels where quality in (0, 1) and doc_id is not null group by 1),
+h0 as (select host, cast(count(*) as double) as n, cast(sum(good) as double) as good from u join y using (page_id) group by host),
+h1 as (select *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') as parts from h0),
+h2 as (select *, case when len(parts) >= 3 and length(parts[-1]) = 2 and parts[-2] in ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') then 2 else 1 end as tail from h1),
+hosts as (select host, n, good, array_to_string(parts[greatest(len(parts) - tail, 1):], '.') as domain, array_to_string(parts[greatest(len(parts) - tail + 1, 1):], '.') as suffix from h2),
+domains as (select domain, suffix, sum(n) as n, sum(good) as good from hosts group by all),
+suffixes as (select suffix, sum(n) as n, sum(good) as good from domains group by suffix),
+{_level("suffix", "select *, (select sum(good) / sum(n) from hosts) as m from suffixes")},
+{_level("domain", "select d.*, p.a / (p.a + p.b) as m from domains d join suffix_p p using (suffix)")},
+{_level("host", "select h.*, p.a / (p.a + p.b) as m from hosts h join domain_p p using (domain)")},
+r as (select * from (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) v(verdict, host, path)),
+z as (select u.page_id, u.host, u.path, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as said from u left join r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path) group by u.page_id, u.host, u.path)
+select z.page_id, z.host, z.path, z.rule, coalesce(z.said, case when a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < 0.6 then 'block' else 'allow' end) as verdict
+from z left join host_p p on p.host = z.host
+"""
+
+_PEELED = [r"[\x20\x09-\x0D]+", "[a-z]+", "[A-Z]+", r"[\p{L}\p{M}]+", "[0-9]+", "[.,]+", "[#*$%&|<>]+"]
+
+
+def _peeled() -> str:
+    """Lengths left after each class of characters is taken out."""
+    out, text = ["length(t)"], "t"
+    for p in _PEELED:
+        text = f"regexp_replace({text}, '{p}', '', 'g')"
+        out.append(f"length({text})")
+    return ", ".join(f"{x} as c{i}" for i, x in enumerate(out))
+
+
+_SHARES = ", ".join(f"(c{i} - c{i + 1}) / c0" for i in range(7)) + ", c7 / c0"
+
+SQL["op3_quality_rules"] = f"""
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as t, {WORDS} as w from documents),
+x as (select doc_id, lang, w, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\\x20\\x09-\\x0D]')) as lines, {_peeled()} from d),
+p as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d)),
+q as (select doc_id, i from (select *, count(*) over (partition by doc_id, s) as n from p) where n > 1),
+e as (select doc_id, cast(sum(least(8, coalesce(gap, 8))) as bigint) as n from (select doc_id, lead(i) over (partition by doc_id order by i) - i as gap from q) group by doc_id),
+f as (select x.*, len(w) as n_words, c1 as word_chars, c6 - c7 as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(e.n, 0) as n_repeat_words from x left join e using (doc_id)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f),
+cw as (select lang, word from (select lang, word, count(*) as n from (select distinct doc_id, lang, lower(word) as word from (select doc_id, lang, unnest(w) as word from d) where length(word) <= 4) group by all) qualify row_number() over (partition by lang order by n desc, word) <= 32),
+hits as (select doc_id, lang, lower(word) as word, count(*) as n from (select doc_id, lang, unnest(w) as word from d) where length(word) <= 4 group by all),
+long as (select b.doc_id, b.lang, b.n_words, cw.word, coalesce(h.n, 0) as n from b join cw using (lang) left join hits h on h.doc_id = b.doc_id and h.word = cw.word),
+wide as (select doc_id, lang, word, n / n_words as share from long where n_words >= 50 union all select doc_id, lang, null, (any_value(n_words) - sum(n)) / any_value(n_words) from long where n_words >= 50 group by doc_id, lang),
+refw as (select v.lang, word, avg(share) as m from wide v join b on b.doc_id = v.doc_id where not b.base_failed group by v.lang, word),
+jsw as (select v.doc_id, sqrt(greatest(sum(case when share > 0 then share * log2(2 * share / (share + m)) else 0 end + case when m > 0 then m * log2(2 * m / (share + m)) else 0 end) / 2, 0)) as far from wide v join refw r on r.lang = v.lang and r.word is not distinct from v.word group by v.doc_id),
+cl as (select doc_id, lang, base_failed, unnest([{_SHARES}]) as share, unnest(range(0, 8)) as k from b where c0 >= 200),
+refc as (select lang, k, avg(share) as m from cl where not base_failed group by lang, k),
+jsc as (select c.doc_id, sqrt(greatest(sum(case when share > 0 then share * log2(2 * share / (share + m)) else 0 end + case when m > 0 then m * log2(2 * m / (share + m)) else 0 end) / 2, 0)) as far from cl c join refc r on r.lang = c.lang and r.k = c.k group by c.doc_id)
+select b.doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(jsw.far, 0) <= 0.62 and coalesce(jsc.far, 0) <= 0.22 as kept
+from b left join jsw using (doc_id) left join jsc using (doc_id)
+"""
