@@ -51,13 +51,47 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back (columnar and compressed,
-    unlike a checkpoint, so it suits wide intermediate results)."""
+def _filesystem(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _written(df: DataFrame) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, hadoop = _filesystem(spark, path)
+    fs.deleteOnExit(hadoop)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back (columnar and compressed,
+    unlike a checkpoint, so it suits wide intermediate results). It stays until the
+    session ends."""
+    return _written(df)[1]
+
+
+class Scratch:
+    """Tables that an operator writes to the shared folder on its way to its result. Each
+    goes as soon as it is used up, so that disk holds what is needed and no more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._held: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path, out = _written(df)
+        self._held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes these tables, or all."""
+        gone = [(t, p) for t, p in self._held if not tables or any(t is x for x in tables)]
+        self._held = [(t, p) for t, p in self._held if not any(t is x for x, _ in gone)]
+        for _, path in gone:
+            fs, hadoop = _filesystem(self.spark, path)
+            fs.delete(hadoop, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,8 +20,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pre-aggregated before each shuffle and the rounds grow with the logarithm of the
     longest path, so a long chain or a hub of millions needs no single task. Nulls and
     loops are ignored; no edges give no rows."""
+    scratch = Scratch(edges.sparkSession)
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a is not null and b is not null and a <> b").distinct()
-    e = checkpoint(e)
+    e = scratch.table(e)
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,8 +31,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        e = checkpoint(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
-        was, state = state, _state(e)
+        new = scratch.table(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
+        scratch.drop(e)
+        e, was, state = new, state, _state(new)
         if state == was:
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()

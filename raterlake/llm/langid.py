@@ -189,7 +189,8 @@ def fit(docs: DataFrame) -> Model:
     sample = rows.filter(lot < share[F.col("lang")]).mapInArrow(_featurise(langs, idf), "doc_id long, y int, cells binary, x binary")
     sample = sample.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(SHARDS)).cast("int"))
     sample = sample.withColumn("test", F.pmod(F.xxhash64(F.lit("heat"), "doc_id"), F.lit(CALIBRATION)) == 0)
-    sample = common.materialise(sample.repartition(SHARDS, "shard").sortWithinPartitions("doc_id"))
+    scratch = common.Scratch(docs.sparkSession)
+    sample = scratch.table(sample.repartition(SHARDS, "shard").sortWithinPartitions("doc_id"))
 
     shape = (len(langs), CELLS)
     z, n = np.zeros(shape), np.zeros(shape)
@@ -207,6 +208,7 @@ def fit(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.list_(pa.float64())), pa.array([y for _, y in got], pa.int32())], names=["s", "y"])
 
     test = sample.filter("test").mapInArrow(logits, "s array<double>, y int").collect()
+    scratch.drop()
     return Model(langs, idf, weights.astype(np.float32), _temperature(np.array([r.s for r in test]).reshape(-1, len(langs)), np.array([r.y for r in test], dtype=int)))
 
 

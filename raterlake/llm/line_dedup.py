@@ -48,15 +48,14 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select(*_PLACE, F.xxhash64("line").alias("id1"), F.xxhash64(F.lit("id2"), "line").alias("id2"), F.size(common.words("line")).alias("n_words"))
 
 
-def _ranked(classes: DataFrame, keys: list[str]) -> DataFrame:
+def _ranked(classes: DataFrame, keys: list[str], scratch: common.Scratch) -> DataFrame:
     """Adds rank, the place of each (distinct) key in the order of all."""
-    cut = common.materialise(classes.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
-    sizes = sorted(cut.groupBy("part").count().collect(), key=lambda r: r.part)
-    starts, total = {}, 0
-    for r in sizes:
-        starts[r.part], total = total, total + r["count"]
-    base = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("part")].cast("long") if starts else F.lit(0).cast("long")
-    return cut.withColumn("rank", base + F.row_number().over(Window.partitionBy("part").orderBy(*keys))).drop("part")
+    cut = scratch.table(classes.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    sizes = cut.groupBy("part").count()
+    # one row for each partition of the shuffle
+    base = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    cut = cut.join(F.broadcast(base), "part")
+    return cut.withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy(*keys))).drop("part", "base")
 
 
 def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,39 +65,44 @@ def _classes(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(first.alias("first"), last.alias("last")).filter("first <> last").drop("last")
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame | None:
+def later_copies(docs: DataFrame, min_lines: int, min_words: int, scratch: common.Scratch) -> DataFrame | None:
     """doc, row_key, pos, n: n lines from pos on also start earlier in the corpus. None if
     no line repeats."""
     rows = lines(docs)
-    ranked = _ranked(_classes(rows, ["id1", "id2"]), ["id1", "id2"])
+    ranked = _ranked(_classes(rows, ["id1", "id2"]), ["id1", "id2"], scratch)
     joined = rows.join(ranked, ["id1", "id2"]).select(*_PLACE, "rank", "n_words", (F.struct(*_PLACE) != F.col("first")).alias("later"))
-    now = common.materialise(joined.dropDuplicates(_PLACE))
+    now = scratch.table(joined.dropDuplicates(_PLACE))
     found, n = [], 1
     while not now.isEmpty():
-        keep = F.col("later") if n >= min_lines else F.col("later") & (F.col("n_words") >= min_words)
-        found.append(now.filter(keep).select(*_PLACE, F.lit(n).alias("n")))
+        keep = F.col("later") if n >= min_lines else F.col("later") & (F.col("n_words") >= min_words) & F.lit(n == 1)
+        found.append(scratch.table(now.filter(keep).select(*_PLACE, F.lit(n).alias("n"))))
         step = min(n, min_lines - n) if n < min_lines else n
         right = now.select("doc", "row_key", (F.col("pos") - step).alias("pos"), F.col("rank").alias("then"))
         pairs = now.select(*_PLACE, "rank").join(right, _PLACE).select(*_PLACE, "rank", "then")
         classes = _classes(pairs, ["rank", "then"]).select(F.col("rank").alias("one"), F.col("then").alias("two"), "first")
-        ranked = _ranked(classes, ["one", "two"])
+        ranked = _ranked(classes, ["one", "two"], scratch)
         joined = pairs.withColumnsRenamed({"rank": "one", "then": "two"}).join(ranked, ["one", "two"])
-        now = common.materialise(joined.select(*_PLACE, "rank", F.lit(min_words).alias("n_words"), (F.struct(*_PLACE) != F.col("first")).alias("later")))
-        n += step
+        after = scratch.table(joined.select(*_PLACE, "rank", F.lit(min_words).alias("n_words"), (F.struct(*_PLACE) != F.col("first")).alias("later")))
+        scratch.drop(now)
+        now, n = after, n + step
     return reduce(DataFrame.union, found) if found else None
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame | None:
     """doc, row_key, lo, hi: the maximal runs of lines (end exclusive) that are later copies."""
-    copies = later_copies(docs, min_lines, min_words)
+    scratch = common.Scratch(docs.sparkSession)
+    copies = later_copies(docs, min_lines, min_words, scratch)
     if copies is None:
+        scratch.drop()
         return None
     longest = copies.groupBy(*_PLACE).agg((F.col("pos") + F.max("n")).alias("hi"))
     by_doc = Window.partitionBy("doc", "row_key").orderBy("pos")
     reach = F.max("hi").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = longest.withColumn("opens", F.when(F.coalesce(reach, F.lit(-1)) < F.col("pos"), 1).otherwise(0))
     runs = runs.withColumn("run", F.sum("opens").over(by_doc))
-    return runs.groupBy("doc", "row_key", "run").agg(F.min("pos").alias("lo"), F.max("hi").alias("hi")).drop("run")
+    out = common.materialise(runs.groupBy("doc", "row_key", "run").agg(F.min("pos").alias("lo"), F.max("hi").alias("hi")).drop("run"))
+    scratch.drop()
+    return out
 
 
 def marked(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
