@@ -14,12 +14,17 @@ Steps
 2. Each node posts the first s - ceil(percent * s / 100) + 1 shingles of that order; two
    nodes that link share one of them. Postings travel packed by bucket; lists with one
    node are dropped there. Long lists skip the bucket, so no task gathers one.
-3. Star round: each list names its smallest and its largest node as queries for all the
-   others. Verified links merge a group of near copies in one linear round.
-4. Rest round: nodes of one list that are still in different components, are of fitting
-   sizes and can still reach T from the shared posting on, are searched too, so that no
-   link between different components is missed. A link inside a component cannot change
-   it and is not looked for.
+3. Sketches: each node has counts of its shingles by hash class, a sixteenth of the set's
+   size. The sum of the smaller counts bounds the overlap of a pair from above; pairs
+   that can't reach T are dropped before any set travels. No link is lost by that.
+4. Star round: each list names its smallest and its largest node as queries for all the
+   others, linear in the postings. Verified links merge groups of near copies. Best round:
+   in lists that still hold several components, each node is paired with those few whose
+   sketches leave most room; this merges what the star has missed.
+5. Rest round: nodes of one list that are still in different components, are of fitting
+   sizes and can still reach T from the shared posting on and by their sketches, are
+   searched too, so that no link between different components is missed. A link inside a
+   component cannot change it and is not looked for.
 
 Queries with many candidates are dealt out in blocks of bounded size. Sets are compared
 as sets of 64-bit shingle hashes; a node is the 64-bit fingerprint of such a set.
@@ -45,8 +50,14 @@ MAX_LONG = 100_000
 LONG_IN_CHUNK = 6
 BUCKETS_PER_PARTITION = 4
 #: Shingles of candidates that one block of a search holds (8 bytes each).
-BLOCK = 2_000_000
-FILTER_BITS = 1 << 24
+BLOCK = 500_000
+FILTER_BITS = 1 << 23
+#: Nodes of a list that are searched in one task, and with how many of them each is paired
+#: in the best round.
+PART = 4096
+NEIGHBOURS = 3
+#: In a sketch this count stands for itself and all above it.
+MANY = 15
 _POST = np.dtype([("token", U), ("node", np.int64), ("size", np.int32), ("at", np.int32)])
 _POSTING = "token long, node long, size int, at int"
 
@@ -85,6 +96,16 @@ class Sets:
         sums = np.append(U(0), np.cumsum(kernels.mix(self.token ^ U(0xA0761D6478BD642F))))
         self.node = kernels.mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.size.astype(U)).view(np.int64)
 
+    def sketches(self) -> pa.Array:
+        """Each row's counts of shingles by the low bits of the hash, two to a byte. A set has
+        a power of two of classes, between a half of its size and its size."""
+        classes = 1 << np.floor(np.log2(np.maximum(self.size, 8))).astype(np.int64)
+        base = np.append(0, np.cumsum(classes))
+        at = base[self.row] + (self.token & (classes[self.row] - 1).astype(U)).astype(np.int64)
+        counts = np.minimum(np.bincount(at, minlength=int(base[-1])), MANY).astype(np.uint8)
+        packed = counts[0::2] | (counts[1::2] << np.uint8(4))
+        return pa.Array.from_buffers(pa.binary(), len(self.size), [None, pa.py_buffer((base // 2).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+
     def distinct(self) -> np.ndarray:
         """The first row of each node of the chunk, empty sets left out."""
         rows = np.unique(self.node, return_index=True)[1]
@@ -95,12 +116,12 @@ def _fingerprints(k: int):
     def run(batches):
         for chunk in kernels.chunks(batches):
             s = Sets(chunk.column("text"), k)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(s.node), pa.array(s.size.astype(np.int64)), pa.array(np.zeros(len(s.size), dtype=np.int64))], names=["doc_id", "node", "n", "token"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(s.node), pa.array(s.size.astype(np.int64)), pa.array(np.zeros(len(s.size), dtype=np.int64)), s.sketches()], names=["doc_id", "node", "n", "token", "sketch"])
             token, n = np.unique(s.token, return_counts=True)
             often = n >= LONG_IN_CHUNK
             token, n = token[often].view(np.int64), n[often]
             nulls = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([nulls, nulls, pa.array(n.astype(np.int64)), pa.array(token)], names=["doc_id", "node", "n", "token"])
+            yield pa.RecordBatch.from_arrays([nulls, nulls, pa.array(n.astype(np.int64)), pa.array(token), pa.nulls(len(n), pa.binary())], names=["doc_id", "node", "n", "token", "sketch"])
 
     return run
 
@@ -162,6 +183,129 @@ def _shared_lists(table: pa.Table) -> pa.Table:
     return pa.table({"token": p["token"].view(np.int64), "node": p["node"].copy(), "size": p["size"].copy(), "at": p["at"].copy()})
 
 
+def _counts(sketch: bytes) -> np.ndarray:
+    z = np.frombuffer(sketch, dtype=np.uint8)
+    x = np.stack([z & 15, z >> 4], axis=1).ravel().astype(np.int64)
+    x[x == MANY] = 1 << 40
+    return x
+
+
+def _folded(counts: np.ndarray, n: int) -> np.ndarray:
+    """Counts by n classes, of as many or more."""
+    return counts.reshape(-1, n).sum(axis=0)
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """An upper bound of the overlap of the sets behind two sketches."""
+    x, y = _counts(a), _counts(b)
+    n = min(len(x), len(y))
+    return int(np.minimum(_folded(x, n), _folded(y, n)).sum())
+
+
+def near_pairs(size: np.ndarray, at: np.ndarray, label: np.ndarray, half: np.ndarray, sketches: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one list that differ in label and are left in reach of T by sizes,
+    places and sketches, and by how much their sketches exceed T. Where half holds both
+    values, only pairs across it are asked for."""
+    counts = [_counts(z) for z in sketches]
+    width = np.array([len(c) for c in counts])
+    rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    table = {w: np.stack([counts[i] for i in found.tolist()]) for w, found in rows.items()}
+    across = half.min() != half.max()
+    none = np.zeros(0, dtype=np.int64)
+    left, right, spare = [none], [none], [none]
+    for i in range(len(size)):
+        for w, found in rows.items():
+            if w > width[i]:
+                continue
+            t = required(size[found].astype(np.int64), int(size[i]), percent)
+            fits = (label[found] != label[i]) & (np.minimum(size[found] - at[found], size[i] - at[i]) >= t) & (np.minimum(size[found], size[i]) >= t)
+            if w == width[i]:
+                fits &= found > i
+            if across:
+                fits &= half[found] != half[i]
+            at_ = np.flatnonzero(fits)
+            if len(at_):
+                most = np.minimum(table[w][at_], _folded(counts[i], w)).sum(axis=1)
+                near = at_[most >= t[at_]]
+                left.append(np.full(len(near), i))
+                right.append(found[near])
+                spare.append((most - t[at_])[most >= t[at_]])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(spare)
+
+
+def best_of_each(left: np.ndarray, right: np.ndarray, spare: np.ndarray, best: int) -> np.ndarray:
+    """Which pairs are among the `best` of one of their rows."""
+    row, pair = np.concatenate([left, right]), np.tile(np.arange(len(left)), 2)
+    order = np.lexsort((-spare[pair], row))
+    row, pair = row[order], pair[order]
+    first = np.searchsorted(row, row)
+    return np.unique(pair[np.arange(len(row)) - first < best])
+
+
+def _search_lists(percent: int, best: int | None):
+    """Rows sorted by list and part; gives the pairs of each, the smaller node as query."""
+
+    def solve(rows):
+        if len(rows) < 2:
+            return []
+        node, size, at, label, half = (np.array([r[i] for r in rows]) for i in range(5))
+        a, b, spare = near_pairs(size, at, label, half, [r[5] for r in rows], percent)
+        if best is not None:
+            keep = best_of_each(a, b, spare, best)
+            a, b = a[keep], b[keep]
+        return [(int(node[i]), int(node[j]), int(size[j])) if node[i] < node[j] else (int(node[j]), int(node[i]), int(size[i])) for i, j in zip(a.tolist(), b.tolist())]
+
+    def batch(found):
+        found = sorted(set(found))
+        cols = list(zip(*found)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["q", "node", "size"])
+
+    def run(batches):
+        key, rows = None, []
+        for b in batches:
+            found = []
+            cols = [b.column(c).to_pylist() for c in ("token", "i", "j", "node", "size", "at", "label", "half", "sketch")]
+            for t, i, j, *row in zip(*cols):
+                if (t, i, j) != key:
+                    found += solve(rows)
+                    key, rows = (t, i, j), []
+                rows.append(row)
+            yield batch(found)
+        yield batch(solve(rows))
+
+    return run
+
+
+def _in_reach(percent: int):
+    def run(batches):
+        for batch in batches:
+            size, q_size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "q_size"))
+            t = required(size.astype(np.int64), q_size.astype(np.int64), percent)
+            most = [most_shared(a, b) for a, b in zip(batch.column("sketch").to_pylist(), batch.column("q_sketch").to_pylist())]
+            yield batch.select(["q", "node", "size"]).filter(pa.array(np.array(most, dtype=np.int64) >= t))
+
+    return run
+
+
+def _reachable(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (q, node, q_size, size) that their sketches leave in reach of T."""
+    both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("q"), F.col("sketch").alias("q_sketch")), "q")
+    return both.select("q", "node", "size", "q_size", "sketch", "q_sketch").mapInArrow(_in_reach(percent), "q long, node long, size int")
+
+
+def _bitmap(pairs: DataFrame) -> np.ndarray:
+    """A bit for each node of the pairs, by the node's remainder: of fixed size, and it may
+    only let too many sets through."""
+    nodes = pairs.select(F.explode(F.array("q", "node")).alias("node"))
+    some = nodes.select(F.pmod("node", F.lit(FILTER_BITS)).alias("s")).groupBy(F.shiftright("s", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(s % 8 as int))")).alias("b"))
+    blocks = some.groupBy(F.shiftright("byte", 10)).agg(F.collect_list(F.col("byte") * 256 + F.col("b")).alias("bytes")).select("bytes").collect()
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in blocks:
+        found = np.array(r.bytes, dtype=np.int64)
+        bits[found >> 8] = found & 255
+    return bits
+
+
 def _emit_sets(k: int, bits: np.ndarray):
     def run(batches):
         for chunk in kernels.chunks(batches):
@@ -234,14 +378,18 @@ def _search(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (q, node, size) whose sets link."""
+def _searched(rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: the pairs (q, node, size) whose sets link. Only sets of the pairs leave the scan."""
     spark = pairs.sparkSession
+    sets = rows.filter("doc_id is not null").mapInArrow(_emit_sets(k, _bitmap(pairs)), "node long, size int, tokens binary").select("node", "tokens")
+    # copies in different chunks give a set more than once: keep one
+    sets = sets.groupBy("node").agg(F.max("tokens").alias("tokens"))
     blocks = pairs.groupBy("q").agg((F.ceil(F.sum("size") / BLOCK)).cast("int").alias("n_salts"))
     dealt = pairs.join(blocks, "q").select("q", F.pmod(F.xxhash64("node"), "n_salts").cast("int").alias("salt"), "node")
-    members = dealt.join(sets, "node").select("q", "salt", F.lit(True).alias("member"), "node", "tokens")
-    heads = dealt.select("q", "salt").distinct().join(sets.withColumnRenamed("node", "q"), "q").select("q", "salt", F.lit(False).alias("member"), F.col("q").alias("node"), "tokens")
-    both = members.union(heads).repartition(common.shuffle_partitions(spark), "q", "salt").sortWithinPartitions("q", "salt", "member", "node")
+    members = dealt.select("q", "salt", F.lit(True).alias("member"), "node")
+    heads = dealt.select("q", "salt").distinct().select("q", "salt", F.lit(False).alias("member"), F.col("q").alias("node"))
+    both = members.union(heads).join(sets, "node").select("q", "salt", "member", "node", "tokens")
+    both = both.repartition(common.shuffle_partitions(spark), "q", "salt").sortWithinPartitions("q", "salt", "member", "node")
     return both.mapInArrow(_search(percent), "a long, b long")
 
 
@@ -251,49 +399,73 @@ def _fitting(s: str, r: str, i: str, j: str, percent: int):
     return (F.least(F.col(s) - F.col(i), F.col(r) - F.col(j)) >= t) & (F.least(s, r) >= t)
 
 
+def _mixed(lists: DataFrame, labels: DataFrame, ends: bool) -> DataFrame:
+    """The lists whose nodes are still in different components, with label and n, their length.
+    Without `ends`, the smallest and largest node are left out: the star has judged all
+    their pairs."""
+    named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    both = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("x <> y")
+    if ends:
+        return named.join(both.select("token", "n"), "token")
+    inner = both.filter("n > 3").select("token", (F.col("n") - 2).alias("n"), "lo", "hi")
+    return named.join(inner, "token").filter("node <> lo and node <> hi").drop("lo", "hi")
+
+
+def _within_lists(apart: DataFrame, percent: int, best: int | None = None) -> DataFrame:
+    """q, node, size: the pairs of different components that meet in a list and are left in
+    reach of T. A list is searched inside a task and only such pairs leave it; one longer
+    than PART is cut into parts, and each two of them meet in a task of their own. With
+    `best`, a node is paired with so many of its part only, a search linear in the lists."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    rows = apart.withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("parts") - 1) if best is None else F.array("p")
+    rows = rows.select("token", "node", "size", "at", "label", "sketch", "p", F.explode(others).alias("o"))
+    rows = rows.select("token", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "node", "size", "at", "label", (F.col("p") > F.col("o")).cast("int").alias("half"), "sketch")
+    dealt = rows.repartition(common.shuffle_partitions(apart.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(_search_lists(percent, best), "q long, node long, size int").dropDuplicates(["q", "node"])
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, the smallest doc_id that
     links reach, and n_links, those verified for its text (at least one if any exists)."""
     spark = docs.sparkSession
+    scratch = common.Scratch(spark)
     n_buckets = BUCKETS_PER_PARTITION * common.shuffle_partitions(spark)
     rows = docs.select("doc_id", "text")
-    facts = common.materialise(rows.mapInArrow(_fingerprints(k), "doc_id long, node long, n long, token long"))
+    facts = scratch.table(rows.mapInArrow(_fingerprints(k), "doc_id long, node long, n long, token long, sketch binary"))
     top = facts.filter("node is null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_LONG).toPandas().sort_values("n", kind="stable")
     long_token = top["token"].to_numpy(dtype=np.int64).view(U)
     by = np.argsort(long_token)
     members = facts.filter("node is not null").select("doc_id", "node", F.col("n").alias("n_shingles"))
+    sketches = facts.filter("node is not null and n > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
 
     posted = rows.filter("doc_id is not null").mapInArrow(_post(k, percent, n_buckets, long_token[by], (by + 1).astype(np.int64)), "bucket int, kind int, n int, nodes int, size int, payload binary")
-    lists = common.materialise(posted.groupBy("bucket").applyInArrow(_shared_lists, _POSTING))
+    lists = scratch.table(posted.groupBy("bucket").applyInArrow(_shared_lists, _POSTING))
 
     ends = lists.groupBy("token").agg(F.min(F.struct("node", "size", "at")).alias("lo"), F.max(F.struct("node", "size", "at")).alias("hi")).filter("lo.node <> hi.node")
     ends = ends.select("token", F.explode(F.array("lo", "hi")).alias("q")).select("token", F.col("q.node").alias("q"), F.col("q.size").alias("q_size"), F.col("q.at").alias("q_at"))
     star = lists.join(ends, "token").filter("node <> q").filter(_fitting("size", "q_size", "at", "q_at", percent))
     # a pair that meets with both as queries is searched once
-    star = star.select(F.col("q"), "node", "size", "q_size").dropDuplicates(["q", "node"])
-    pairs = common.materialise(star.select("q", "node", "size"))
-
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    slot = F.pmod(F.col("node"), F.lit(FILTER_BITS))  # equals the unsigned remainder, FILTER_BITS being a power of two
-    found = lists.select(slot.alias("s")).groupBy(F.shiftright("s", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(s % 8 as int))")).alias("b")).toPandas()
-    bits[found["byte"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.uint8)
-    sets = common.materialise(rows.filter("doc_id is not null").mapInArrow(_emit_sets(k, bits), "node long, size int, tokens binary").select("node", "tokens"))
-    # copies in different chunks give a set more than once: keep one
-    sets = sets.groupBy("node").agg(F.max("tokens").alias("tokens"))
-
-    links = common.materialise(_verified(pairs, sets, percent))
-    labels = common.checkpoint(components(links))
-    named = lists.join(labels, "node", "left").select("token", "node", "size", "at", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    named = common.checkpoint(named.join(mixed, "token"))
-    other = named.select("token", F.col("node").alias("q"), F.col("size").alias("q_size"), F.col("at").alias("q_at"), F.col("label").alias("q_label"))
-    rest = named.join(other, "token").filter("q < node and q_label <> label").filter(_fitting("size", "q_size", "at", "q_at", percent))
-    rest = rest.select("q", "node", "size").distinct()
-    rest = rest.join(pairs.select("q", "node"), ["q", "node"], "left_anti").join(pairs.select(F.col("node").alias("q"), F.col("q").alias("node")), ["q", "node"], "left_anti")
-    rest = common.checkpoint(rest)
+    star = star.select("q", "node", "size", "q_size").dropDuplicates(["q", "node"])
+    pairs = scratch.table(_reachable(star, sketches, percent))
+    links = scratch.table(_searched(rows, pairs, k, percent))
+    labels = scratch.table(components(links))
+
+    apart = scratch.table(_mixed(lists, labels, ends=False).join(sketches, "node"))
+    scratch.drop(lists)
+    ring = scratch.table(_within_lists(apart, percent, NEIGHBOURS))
+    if not ring.isEmpty():
+        links = scratch.table(links.union(_searched(rows, ring, k, percent)))
+        labels = scratch.table(components(links))
+        was, apart = apart, scratch.table(_mixed(apart.drop("label", "n"), labels, ends=True))
+        scratch.drop(was)
+    pairs = pairs.union(ring).select("q", "node")
+    rest = _within_lists(apart, percent)
+    rest = rest.join(pairs, ["q", "node"], "left_anti").join(pairs.select(F.col("node").alias("q"), F.col("q").alias("node")), ["q", "node"], "left_anti")
+    rest = scratch.table(rest)
     if not rest.isEmpty():
-        links = links.union(common.materialise(_verified(rest, sets, percent)))
-        labels = common.checkpoint(components(links))
+        links = scratch.table(links.union(_searched(rows, rest, k, percent)))
+        labels = scratch.table(components(links))
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node"), F.when(F.col("a") < F.col("b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("pair")).distinct().groupBy("node").agg(F.count("*").alias("n_links"))
     classes = members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
@@ -302,7 +474,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     named = classes.join(least, "label").select("node", "component_id", "n_links")
     full = members.withColumn("key", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
     out = full.join(named.withColumnRenamed("node", "key"), "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = common.materialise(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    scratch.drop()
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
