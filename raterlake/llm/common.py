@@ -83,6 +83,9 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         path, out = _written(df)
         self._held.append((out, path))
+        # the shuffles behind the table are used up; Spark removes their files once the
+        # driver has collected the plan that held them
+        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
