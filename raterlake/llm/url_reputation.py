@@ -11,9 +11,12 @@ before they are shuffled. The suffix is the last label, or the last two where th
 has two letters and the one before is a common second level.
 
 Defined results: a null url, or one without `://`, has an empty host and path and is
-judged by the corpus prior alone, as are hosts nobody labelled; pages without a label
-count nowhere; null labels are ignored; without any label everything is allowed; repeated
-rows are judged alike; an empty table gives an empty table; other columns are not read.
+judged as one host of its own; a host nobody labelled has the prior that its registered
+domain gives, which is that of the suffix where the domain has no label either, and the
+corpus rate where the suffix has none; strengths are estimated from labelled rows alone;
+pages without a label count nowhere; null labels are ignored; without any label everything
+is allowed; repeated rows are judged alike; an empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -96,19 +99,22 @@ def strength(level: DataFrame) -> float:
     """The prior strength that the spread of good/n around m speaks for."""
     v = F.col("m") * (1 - F.col("m"))
     excess = F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("m"), 2))
-    got = level.agg(excess.alias("excess"), F.sum(v).alias("noise"), F.sum(F.col("n") * v).alias("room")).first()
+    got = level.filter("n > 0").agg(excess.alias("excess"), F.sum(v).alias("noise"), F.sum(F.col("n") * v).alias("room")).first()
     if not got.room or got.room <= got.noise or got.excess <= got.noise:
         return STRENGTH[1]
     return min(STRENGTH[1], max(STRENGTH[0], (got.room - got.noise) / (got.excess - got.noise) - 1))
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host, n, good, and a and b of its posterior. outcomes: page_id, good (0 or 1)."""
+    """host, n, good, and a and b of its posterior, for every host of pages (n is 0 where
+    nobody labelled it). outcomes: page_id, good (0 or 1)."""
     judged = outcomes.filter("good in (0, 1) and page_id is not null").groupBy("page_id").agg(F.max("good").alias("good"))
-    hosts = pages.select("page_id", host(F.col("url")).alias("host")).join(judged, "page_id").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("good"))
+    named = pages.select("page_id", host(F.col("url")).alias("host"))
+    counts = named.join(judged, "page_id").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("good"))
+    hosts = named.select("host").distinct().join(counts, "host", "left").fillna(0.0, ["n", "good"])
     domain, suffix = levels(F.col("host"))
     hosts = common.checkpoint(hosts.withColumn("domain", domain).withColumn("suffix", suffix))
-    rate = hosts.agg(F.sum("good") / F.sum("n")).first()[0]
+    rate = hosts.filter("n > 0").agg(F.sum("good") / F.sum("n")).first()[0]
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     mean = F.col("a") / (F.col("a") + F.col("b"))
@@ -124,8 +130,7 @@ def upper_bound(a: Column, b: Column) -> Column:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and the bound of each page's host (null where
-    nobody labelled it)."""
+    """page_id, host, path, rule, verdict and the bound of each page's host."""
     named = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     named = named.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
     known = reputation(pages, outcomes).select("host", upper_bound(F.col("a"), F.col("b")).alias("bound"))

@@ -69,6 +69,24 @@ def test_shrinkage(spark):
     assert ("h3.bad.biz", "block") in verdicts and ("h3.good3.io", "allow") in verdicts
 
 
+def test_unlabelled_hosts_have_the_prior_of_their_domain(spark):
+    plan = {f"h{i}.spam.biz": (20, 0.05) for i in range(30)} | {f"h{i}.fine{i % 7}.io": (20, 0.95) for i in range(30)}
+    pages, labels = corpus(spark, plan)
+    urls = {-1: "http://new.spam.biz/p", -2: "http://new.other.biz/p", -3: "http://new.fine3.io/p", -4: "http://a.b.org/p", -5: None}
+    pages = pages.union(spark.createDataFrame([(k, u, "x") for k, u in urls.items()], pages.schema))
+    got = {r.page_id: r for r in url_reputation.judge(pages, labels).collect()}
+    assert [got[k].verdict for k in (-1, -2, -3)] == ["block", "block", "allow"]
+    rows = {r.host: r for r in url_reputation.reputation(pages, labels).collect()}
+    mean = {h: r.a / (r.a + r.b) for h, r in rows.items()}
+    known = [r for r in rows.values() if r.n]
+    rate = sum(r.good for r in known) / sum(r.n for r in known)
+    assert len(known) == 60 and rows["new.spam.biz"].n == 0 and mean["new.spam.biz"] < mean["new.other.biz"] < rate < mean["new.fine3.io"]
+    assert abs(mean["a.b.org"] - rate) < 1e-9 and abs(mean[""] - rate) < 1e-9
+    # labelled hosts are judged as if the others weren't there
+    alone = {r.host: r for r in url_reputation.reputation(pages.filter("page_id >= 0"), labels).collect()}
+    assert set(alone) == {r.host for r in known} and all(abs(rows[h].a - r.a) < 1e-9 and abs(rows[h].b - r.b) < 1e-9 for h, r in alone.items())
+
+
 def test_posterior_equals_plain_arithmetic(spark):
     pages, labels = corpus(spark, {"a.x.com": (30, 0.2), "b.x.com": (10, 0.8), "c.y.com": (40, 0.5), "d.z.net": (5, 1.0)})
     rows = {r.host: r for r in url_reputation.reputation(pages, labels).collect()}
