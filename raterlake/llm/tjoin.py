@@ -116,12 +116,12 @@ def _fingerprints(k: int):
     def run(batches):
         for chunk in kernels.chunks(batches):
             s = Sets(chunk.column("text"), k)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(s.node), pa.array(s.size.astype(np.int64)), pa.array(np.zeros(len(s.size), dtype=np.int64)), s.sketches()], names=["doc_id", "node", "n", "token", "sketch"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("row_key"), pa.array(s.node), pa.array(s.size.astype(np.int64)), pa.array(np.zeros(len(s.size), dtype=np.int64)), s.sketches()], names=["doc_id", "row_key", "node", "n", "token", "sketch"])
             token, n = np.unique(s.token, return_counts=True)
             often = n >= LONG_IN_CHUNK
             token, n = token[often].view(np.int64), n[often]
             nulls = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([nulls, nulls, pa.array(n.astype(np.int64)), pa.array(token), pa.nulls(len(n), pa.binary())], names=["doc_id", "node", "n", "token", "sketch"])
+            yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, pa.array(n.astype(np.int64)), pa.array(token), pa.nulls(len(n), pa.binary())], names=["doc_id", "row_key", "node", "n", "token", "sketch"])
 
     return run
 
@@ -426,17 +426,19 @@ def _within_lists(apart: DataFrame, percent: int, best: int | None = None) -> Da
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, the smallest doc_id that
-    links reach, and n_links, those verified for its text (at least one if any exists)."""
+    """One row per input row: doc_id, row_key, n_shingles, component_id, the smallest doc_id
+    that links reach, n_links, those verified for its text (at least one if any exists), and
+    keeps: whether it has the text that stays of its component (the smallest row_key of the
+    smallest doc_id), or takes no part."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark)
     n_buckets = BUCKETS_PER_PARTITION * common.shuffle_partitions(spark)
     rows = docs.select("doc_id", "text")
-    facts = scratch.table(rows.mapInArrow(_fingerprints(k), "doc_id long, node long, n long, token long, sketch binary"))
+    facts = scratch.table(rows.withColumn("row_key", common.row_key()).mapInArrow(_fingerprints(k), "doc_id long, row_key long, node long, n long, token long, sketch binary"))
     top = facts.filter("node is null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_LONG).toPandas().sort_values("n", kind="stable")
     long_token = top["token"].to_numpy(dtype=np.int64).view(U)
     by = np.argsort(long_token)
-    members = facts.filter("node is not null").select("doc_id", "node", F.col("n").alias("n_shingles"))
+    members = facts.filter("node is not null").select("doc_id", "row_key", "node", F.col("n").alias("n_shingles"))
     sketches = facts.filter("node is not null and n > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
 
     posted = rows.filter("doc_id is not null").mapInArrow(_post(k, percent, n_buckets, long_token[by], (by + 1).astype(np.int64)), "bucket int, kind int, n int, nodes int, size int, payload binary")
@@ -468,20 +470,30 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         labels = scratch.table(components(links))
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node"), F.when(F.col("a") < F.col("b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("pair")).distinct().groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    classes = members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("rep"))
     classes = classes.join(labels, "node", "left").join(degree, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = classes.join(least, "label").select("node", "component_id", "n_links")
+    least = classes.groupBy("label").agg(F.min("rep").alias("least"))
+    named = classes.join(least, "label").select("node", "least", "n_links")
     full = members.withColumn("key", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
     out = full.join(named.withColumnRenamed("node", "key"), "key", "left")
-    out = common.materialise(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    keeps = F.coalesce((F.col("doc_id") == F.col("least.doc_id")) & (F.col("row_key") == F.col("least.row_key")), F.lit(True))
+    out = common.materialise(out.select("doc_id", "row_key", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), keeps.alias("keeps")))
     scratch.drop()
     return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose doc_id is the smallest of its group; all columns are kept.
-    Rows with a null doc_id, and those with an empty set, stay."""
-    gone = jaccard_groups(docs, k, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    """One row of each group, of those with the smallest doc_id; all columns are kept. Rows
+    that share a doc_id are judged each by its own text. Rows with a null doc_id, and those
+    with an empty set, stay."""
+    key = ["doc_id", "row_key"]
+    groups = jaccard_groups(docs, k, percent)
     whole = docs.select(F.struct("*").alias("whole"))
-    return whole.join(gone, F.col("whole.doc_id") == F.col("gone"), "left_anti").select("whole.*")
+    whole = whole.select(F.col("whole.doc_id").alias("doc_id"), common.row_key(text="whole.text").alias("row_key"), "whole")
+    kept = whole.join(groups.filter("not keeps").select(*key).distinct(), key, "left_anti")
+    # ids are unique as a rule, so the documents are read once
+    again = groups.filter("keeps and n_shingles > 0 and doc_id is not null").groupBy(*key).count().filter("count > 1").select(*key)
+    if not again.isEmpty():
+        one = kept.join(again, key, "left_semi").groupBy(*key).agg(F.min_by("whole", F.to_json("whole")).alias("whole"))
+        kept = kept.join(again, key, "left_anti").unionByName(one)
+    return kept.select("whole.*")

@@ -123,6 +123,19 @@ def test_defined_results(spark):
     assert 8 not in ids and {1, 2, 3, 4, 5, 6, 7, None} == set(ids)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows that share a doc_id go or stay by their own text; of equal rows one stays."""
+    rng = random.Random(6)
+    a, b, c, d, e = (data.sentence(rng, 40) for _ in range(5))
+    near = lambda text: text + " end"
+    texts = [(1, a), (2, near(a)), (2, b), (3, c), (3, c), (3, c), (4, d), (4, near(d)), (5, e), (6, near(e)), (6, near(c)), (7, None), (7, None), (8, ""), (None, a), (None, a)]
+    rows = [(doc, text, "en", "a", 1) for doc, text in texts] + [(3, c, None, "b", 2)]
+    kept = sorted((str(r.doc_id), r.text) for r in tjoin.keep_one(data.frame(spark, rows, clash=True), 2, 80).collect() if r.text)
+    ours = next(t for i, t in kept if i == "4")
+    assert ours in (d, near(d)) and kept == sorted([("1", a), ("2", b), ("3", c), ("4", ours), ("5", e), ("None", a), ("None", a)])
+    assert tjoin.keep_one(data.frame(spark, rows), 2, 80).filter("coalesce(text, '') = ''").count() == 3
+
+
 def test_query_equals_sql(spark, duck):
     from raterlake.llm import queries
 
