@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +35,14 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; one of our own only where none is set."""
+    """The shared folder the session names. Without one there is none that all executors
+    are sure to see, except where the driver is the only executor."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="raterlake-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/raterlake-{sc.applicationId}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
@@ -83,9 +86,6 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         path, out = _written(df)
         self._held.append((out, path))
-        # the shuffles behind the table are used up; Spark removes their files once the
-        # driver has collected the plan that held them
-        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:

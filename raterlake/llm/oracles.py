@@ -36,9 +36,10 @@ from d left join z on z.doc_id = d.doc_id left join m on m.node = d.doc_id
 SQL["op6_line_dedup"] = f"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents where text is not null),
 w as (select *, row_number() over (partition by doc_id order by line_no) as pos, len({WORDS.replace("coalesce(text, '')", "line")}) as n from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-b as (select *, lead(line) over (partition by doc_id order by pos) as follows from w),
-f as (select *, row_number() over (partition by line, follows order by doc_id, pos) as pair_no, row_number() over (partition by line order by doc_id, pos) as one_no from b),
-g as (select doc_id, pos from f where follows is not null and pair_no > 1 union select doc_id, pos + 1 from f where follows is not null and pair_no > 1 union select doc_id, pos from f where one_no > 1 and n >= 50),
+p as (select a.doc_id, a.pos, a.n, b.doc_id as other, a.pos - b.pos as shift from w a join w b on a.line = b.line and (b.doc_id < a.doc_id or b.doc_id = a.doc_id and b.pos < a.pos)),
+i as (select *, pos - row_number() over (partition by doc_id, other, shift order by pos) as island from p),
+r as (select doc_id, other, shift, island, min(pos) as lo, max(pos) as hi from i group by all having sum(n) >= 5),
+g as (select distinct doc_id, pos from i join r using (doc_id, other, shift, island)),
 c as (select w.doc_id, count(*) as n_lines, count(g.pos) as n_removed from w left join g using (doc_id, pos) group by w.doc_id),
 k as (select l.doc_id, string_agg(l.line, chr(10) order by l.line_no) as kept from l left join w using (doc_id, line_no) left join g on g.doc_id = w.doc_id and g.pos = w.pos where g.pos is null group by l.doc_id)
 select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
