@@ -3,7 +3,7 @@
 Two documents link when percent * |union| <= 100 * |intersection| of their sets of word
 shingles. Such a pair shares at least T = ceil(percent * (s + r) / (100 + percent))
 shingles, so each search asks which sets occur at least T times in the inverted lists of
-a query set: the short lists are merged by counting, the long ones are only probed by
+a query set: a heap merges the short lists and counts, the long ones are only probed by
 binary search for the sets that the short ones left in reach of T (DivideSkip).
 
 Steps
@@ -11,23 +11,29 @@ Steps
    compared. It also counts the shingles that repeat inside a chunk: the most frequent of
    them are the long lists and stand last in the global order of shingles (any order is
    right; a bounded list keeps it cheap).
-2. Each node posts the first s - ceil(percent * s / 100) + 1 shingles of that order; two
-   nodes that link share one of them. Postings travel packed by bucket; lists with one
-   node are dropped there. Long lists skip the bucket, so no task gathers one.
-3. Sketches: each node has counts of its shingles by hash class, a sixteenth of the set's
+2. Each node posts the first s - ceil(percent * s / 100) + c shingles of that order, with
+   c = s // SPARE + 1; two nodes that link share the smaller of their c at least. Postings
+   travel packed by bucket, with as many buckets as their counted bytes ask for; lists with
+   one node are dropped there. Long lists skip the bucket, so no task gathers one.
+3. A node with fewer postings in lists of two nodes or more than any partner of its would
+   share with it is left out: it has no link. (This is the T-occurrence count of the posted
+   part alone, and ends the search for documents that have but a passage in common.)
+4. Sketches: each node has counts of its shingles by hash class, a sixteenth of the set's
    size. The sum of the smaller counts bounds the overlap of a pair from above; pairs
    that can't reach T are dropped before any set travels. No link is lost by that.
-4. Star round: each list names its smallest and its largest node as queries for all the
+5. Star round: each list names its smallest and its largest node as queries for all the
    others, linear in the postings. Verified links merge groups of near copies. Best round:
    in lists that still hold several components, each node is paired with those few whose
    sketches leave most room; this merges what the star has missed.
-5. Rest round: nodes of one list that are still in different components, are of fitting
+6. Rest round: nodes of one list that are still in different components, are of fitting
    sizes and can still reach T from the shared posting on and by their sketches, are
    searched too, so that no link between different components is missed. A link inside a
    component cannot change it and is not looked for.
 
-Queries with many candidates are dealt out in blocks of bounded size. Sets are compared
-as sets of 64-bit shingle hashes; a node is the 64-bit fingerprint of such a set.
+Queries with many candidates are dealt out in blocks of bounded size; each block has the
+inverted lists of its candidates. Tables that grow with the data are joined by sort and
+merge at every size. Sets are compared as sets of 64-bit shingle hashes; a node is the
+64-bit fingerprint of such a set.
 
 Defined results: null or blank texts have an empty set and stand alone, each in its own
 component; fewer words than a shingle make one short shingle; a row with a null doc_id
@@ -37,6 +43,9 @@ other columns are not read.
 
 from __future__ import annotations
 
+import heapq
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,9 +58,16 @@ from .kernels import U
 MAX_LONG = 100_000
 LONG_IN_CHUNK = 6
 BUCKETS_PER_PARTITION = 4
+#: Bytes of postings that a bucket holds at most, by the count before they are sent.
+BUCKET_BYTES = 64 << 20
+#: A node posts one more shingle for each so many it has.
+SPARE = 16
 #: Shingles of candidates that one block of a search holds (8 bytes each).
 BLOCK = 500_000
-FILTER_BITS = 1 << 23
+#: Bits of the filter of sets to send: so many for each node that is searched, within limits.
+#: A filter at its upper limit lets more sets through than needed, at most all.
+BITS_PER_NODE = 8
+FILTER_BITS = (1 << 16, 1 << 26)
 #: Nodes of a list that are searched in one task, and with how many of them each is paired
 #: in the best round.
 PART = 4096
@@ -72,6 +88,17 @@ def required(s, r, percent: int):
     return -((-percent * (s + r)) // (100 + percent))
 
 
+def posted(size, percent: int):
+    """Shingles that a set of this size posts, if it has as many."""
+    return size - least_overlap(size, percent) + size // SPARE + 1
+
+
+def least_shared(size, percent: int):
+    """Posted shingles that a set of this size shares with any set it links to, whose size
+    is at least least_overlap."""
+    return least_overlap(size, percent) // SPARE + 1
+
+
 class Sets:
     """The distinct shingles of each row of a chunk, sorted by row, then hash."""
 
@@ -139,7 +166,7 @@ def _post(k: int, percent: int, n_buckets: int, long_token: np.ndarray, long_ran
             size = s.size[s.row]
             use = np.zeros(len(s.size), dtype=bool)
             use[s.distinct()] = True
-            use = use[s.row] & (place < size - least_overlap(size, percent) + 1)
+            use = use[s.row] & (place < posted(size, percent))
             order, place, row = order[use], place[use], s.row[use]
             found = np.zeros(len(order), dtype=_POST)
             found["token"], found["node"], found["size"], found["at"] = s.token[order], s.node[row], s.size[row], place
@@ -289,17 +316,19 @@ def _in_reach(percent: int):
 
 def _reachable(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (q, node, q_size, size) that their sketches leave in reach of T."""
-    both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("q"), F.col("sketch").alias("q_sketch")), "q")
+    both = pairs.join(sketches.hint("merge"), "node").join(sketches.select(F.col("node").alias("q"), F.col("sketch").alias("q_sketch")).hint("merge"), "q")
     return both.select("q", "node", "size", "q_size", "sketch", "q_sketch").mapInArrow(_in_reach(percent), "q long, node long, size int")
 
 
 def _bitmap(pairs: DataFrame) -> np.ndarray:
-    """A bit for each node of the pairs, by the node's remainder: of fixed size, and it may
-    only let too many sets through."""
+    """A bit for each node of the pairs, by the node's remainder: of bounded size, and it
+    may only let too many sets through."""
+    want = min(max(FILTER_BITS[0], pairs.count() * BITS_PER_NODE), FILTER_BITS[1])
+    n_bits = 1 << (want - 1).bit_length()
     nodes = pairs.select(F.explode(F.array("q", "node")).alias("node"))
-    some = nodes.select(F.pmod("node", F.lit(FILTER_BITS)).alias("s")).groupBy(F.shiftright("s", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(s % 8 as int))")).alias("b"))
+    some = nodes.select(F.pmod("node", F.lit(n_bits)).alias("s")).groupBy(F.shiftright("s", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(s % 8 as int))")).alias("b"))
     blocks = some.groupBy(F.shiftright("byte", 10)).agg(F.collect_list(F.col("byte") * 256 + F.col("b")).alias("bytes")).select("bytes").collect()
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    bits = np.zeros(n_bits // 8, dtype=np.uint8)
     for r in blocks:
         found = np.array(r.bytes, dtype=np.int64)
         bits[found >> 8] = found & 255
@@ -311,7 +340,7 @@ def _emit_sets(k: int, bits: np.ndarray):
         for chunk in kernels.chunks(batches):
             s = Sets(chunk.column("text"), k)
             rows = s.distinct()
-            bit = (s.node[rows].view(U) % U(FILTER_BITS)).astype(np.int64)
+            bit = (s.node[rows].view(U) % U(len(bits) * 8)).astype(np.int64)
             rows = rows[(bits[bit >> 3] >> (bit & 7)) & 1 > 0]
             for i in range(0, len(rows), 512):
                 part = rows[i : i + 512].tolist()
@@ -333,9 +362,10 @@ def divide_skip(query: np.ndarray, token: np.ndarray, owner: np.ndarray, sizes:
     n_long = min(least - 1, int(least / (0.0085 * np.log2(max(2, length.max())) + 1)))
     order = np.argsort(length, kind="stable")
     short, long = order[: len(order) - n_long], order[len(order) - n_long :]
-    spans = length[short]
-    take = np.repeat(lo[short] - np.append(0, np.cumsum(spans)[:-1]), spans) + np.arange(int(spans.sum()))
-    count = np.bincount(owner[take], minlength=n)
+    count = np.zeros(n, dtype=np.int64)
+    heap = heapq.merge(*(owner[a:b].tolist() for a, b in zip(lo[short].tolist(), hi[short].tolist()) if b > a))
+    for o, run in itertools.groupby(heap):
+        count[o] = sum(1 for _ in run)
     left = np.flatnonzero(fits & (count >= t - n_long) & (count > 0))
     if len(left) and n_long:
         key = np.repeat(np.arange(n_long) * n, length[long]) + owner[np.concatenate([np.arange(a, b) for a, b in zip(lo[long].tolist(), hi[long].tolist())])]
@@ -385,10 +415,10 @@ def _searched(rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     # copies in different chunks give a set more than once: keep one
     sets = sets.groupBy("node").agg(F.max("tokens").alias("tokens"))
     blocks = pairs.groupBy("q").agg((F.ceil(F.sum("size") / BLOCK)).cast("int").alias("n_salts"))
-    dealt = pairs.join(blocks, "q").select("q", F.pmod(F.xxhash64("node"), "n_salts").cast("int").alias("salt"), "node")
+    dealt = pairs.join(blocks.hint("merge"), "q").select("q", F.pmod(F.xxhash64("node"), "n_salts").cast("int").alias("salt"), "node")
     members = dealt.select("q", "salt", F.lit(True).alias("member"), "node")
     heads = dealt.select("q", "salt").distinct().select("q", "salt", F.lit(False).alias("member"), F.col("q").alias("node"))
-    both = members.union(heads).join(sets, "node").select("q", "salt", "member", "node", "tokens")
+    both = members.union(heads).join(sets.hint("merge"), "node").select("q", "salt", "member", "node", "tokens")
     both = both.repartition(common.shuffle_partitions(spark), "q", "salt").sortWithinPartitions("q", "salt", "member", "node")
     return both.mapInArrow(_search(percent), "a long, b long")
 
@@ -399,27 +429,30 @@ def _fitting(s: str, r: str, i: str, j: str, percent: int):
     return (F.least(F.col(s) - F.col(i), F.col(r) - F.col(j)) >= t) & (F.least(s, r) >= t)
 
 
-def _mixed(lists: DataFrame, labels: DataFrame, ends: bool) -> DataFrame:
-    """The lists whose nodes are still in different components, with label and n, their length.
-    Without `ends`, the smallest and largest node are left out: the star has judged all
-    their pairs."""
-    named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    both = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("x <> y")
-    if ends:
-        return named.join(both.select("token", "n"), "token")
-    inner = both.filter("n > 3").select("token", (F.col("n") - 2).alias("n"), "lo", "hi")
-    return named.join(inner, "token").filter("node <> lo and node <> hi").drop("lo", "hi")
+def _able(lists: DataFrame, percent: int) -> DataFrame:
+    """The postings of nodes that have as many of them as a partner shares at least."""
+    least = F.floor(F.ceil(F.col("size") * percent / 100) / SPARE) + 1
+    able = lists.groupBy("node", "size").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("node")
+    return lists.join(able.hint("merge"), "node", "left_semi")
+
+
+def _mixed(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The postings of lists whose nodes are still in different components, with label; of
+    nodes that have enough of them."""
+    named = lists.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    both = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
+    return _able(named.join(both.hint("merge"), "token", "left_semi"), percent)
 
 
-def _within_lists(apart: DataFrame, percent: int, best: int | None = None) -> DataFrame:
+def _within_lists(apart: DataFrame, sketches: DataFrame, percent: int, best: int | None = None) -> DataFrame:
     """q, node, size: the pairs of different components that meet in a list and are left in
     reach of T. A list is searched inside a task and only such pairs leave it; one longer
     than PART is cut into parts, and each two of them meet in a task of their own. With
     `best`, a node is paired with so many of its part only, a search linear in the lists."""
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    rows = apart.withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+    lengths = apart.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = apart.join(lengths.hint("merge"), "token").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).withColumn("p", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1) if best is None else F.array("p")
-    rows = rows.select("token", "node", "size", "at", "label", "sketch", "p", F.explode(others).alias("o"))
+    rows = rows.join(sketches.hint("merge"), "node").select("token", "node", "size", "at", "label", "sketch", "p", F.explode(others).alias("o"))
     rows = rows.select("token", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "node", "size", "at", "label", (F.col("p") > F.col("o")).cast("int").alias("half"), "sketch")
     dealt = rows.repartition(common.shuffle_partitions(apart.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
     return dealt.mapInArrow(_search_lists(percent, best), "q long, node long, size int").dropDuplicates(["q", "node"])
@@ -432,7 +465,6 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     smallest doc_id), or takes no part."""
     spark = docs.sparkSession
     scratch = common.Scratch(spark)
-    n_buckets = BUCKETS_PER_PARTITION * common.shuffle_partitions(spark)
     rows = docs.select("doc_id", "text")
     facts = scratch.table(rows.withColumn("row_key", common.row_key()).mapInArrow(_fingerprints(k), "doc_id long, row_key long, node long, n long, token long, sketch binary"))
     top = facts.filter("node is null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_LONG).toPandas().sort_values("n", kind="stable")
@@ -441,29 +473,33 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = facts.filter("node is not null").select("doc_id", "row_key", "node", F.col("n").alias("n_shingles"))
     sketches = facts.filter("node is not null and n > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
 
-    posted = rows.filter("doc_id is not null").mapInArrow(_post(k, percent, n_buckets, long_token[by], (by + 1).astype(np.int64)), "bucket int, kind int, n int, nodes int, size int, payload binary")
-    lists = scratch.table(posted.groupBy("bucket").applyInArrow(_shared_lists, _POSTING))
+    n_posted = members.agg(F.sum(F.least("n_shingles", F.col("n_shingles") * (100 - percent) / 100 + F.col("n_shingles") / SPARE + 2))).first()[0] or 0
+    n_buckets = max(BUCKETS_PER_PARTITION * common.shuffle_partitions(spark), int(n_posted * _POST.itemsize) // BUCKET_BYTES)
+    sent = rows.filter("doc_id is not null").mapInArrow(_post(k, percent, n_buckets, long_token[by], (by + 1).astype(np.int64)), "bucket int, kind int, n int, nodes int, size int, payload binary")
+    shared = scratch.table(sent.groupBy("bucket").applyInArrow(_shared_lists, _POSTING))
+    lists = scratch.table(_able(shared, percent))
+    scratch.drop(shared)
 
     ends = lists.groupBy("token").agg(F.min(F.struct("node", "size", "at")).alias("lo"), F.max(F.struct("node", "size", "at")).alias("hi")).filter("lo.node <> hi.node")
     ends = ends.select("token", F.explode(F.array("lo", "hi")).alias("q")).select("token", F.col("q.node").alias("q"), F.col("q.size").alias("q_size"), F.col("q.at").alias("q_at"))
-    star = lists.join(ends, "token").filter("node <> q").filter(_fitting("size", "q_size", "at", "q_at", percent))
+    star = lists.join(ends.hint("merge"), "token").filter("node <> q").filter(_fitting("size", "q_size", "at", "q_at", percent))
     # a pair that meets with both as queries is searched once
     star = star.select("q", "node", "size", "q_size").dropDuplicates(["q", "node"])
     pairs = scratch.table(_reachable(star, sketches, percent))
     links = scratch.table(_searched(rows, pairs, k, percent))
     labels = scratch.table(components(links))
 
-    apart = scratch.table(_mixed(lists, labels, ends=False).join(sketches, "node"))
+    apart = scratch.table(_mixed(lists, labels, percent))
     scratch.drop(lists)
-    ring = scratch.table(_within_lists(apart, percent, NEIGHBOURS))
+    ring = scratch.table(_within_lists(apart, sketches, percent, NEIGHBOURS))
     if not ring.isEmpty():
         links = scratch.table(links.union(_searched(rows, ring, k, percent)))
         labels = scratch.table(components(links))
-        was, apart = apart, scratch.table(_mixed(apart.drop("label", "n"), labels, ends=True))
+        was, apart = apart, scratch.table(_mixed(apart.drop("label"), labels, percent))
         scratch.drop(was)
     pairs = pairs.union(ring).select("q", "node")
-    rest = _within_lists(apart, percent)
-    rest = rest.join(pairs, ["q", "node"], "left_anti").join(pairs.select(F.col("node").alias("q"), F.col("q").alias("node")), ["q", "node"], "left_anti")
+    rest = _within_lists(apart, sketches, percent)
+    rest = rest.join(pairs.hint("merge"), ["q", "node"], "left_anti").join(pairs.select(F.col("node").alias("q"), F.col("q").alias("node")).hint("merge"), ["q", "node"], "left_anti")
     rest = scratch.table(rest)
     if not rest.isEmpty():
         links = scratch.table(links.union(_searched(rows, rest, k, percent)))
@@ -471,11 +507,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node"), F.when(F.col("a") < F.col("b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("pair")).distinct().groupBy("node").agg(F.count("*").alias("n_links"))
     classes = members.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("rep"))
-    classes = classes.join(labels, "node", "left").join(degree, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = classes.join(labels.hint("merge"), "node", "left").join(degree.hint("merge"), "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = classes.groupBy("label").agg(F.min("rep").alias("least"))
-    named = classes.join(least, "label").select("node", "least", "n_links")
+    named = classes.join(least.hint("merge"), "label").select("node", "least", "n_links")
     full = members.withColumn("key", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
-    out = full.join(named.withColumnRenamed("node", "key"), "key", "left")
+    out = full.join(named.withColumnRenamed("node", "key").hint("merge"), "key", "left")
     keeps = F.coalesce((F.col("doc_id") == F.col("least.doc_id")) & (F.col("row_key") == F.col("least.row_key")), F.lit(True))
     out = common.materialise(out.select("doc_id", "row_key", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), keeps.alias("keeps")))
     scratch.drop()
@@ -490,7 +526,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     groups = jaccard_groups(docs, k, percent)
     whole = docs.select(F.struct("*").alias("whole"))
     whole = whole.select(F.col("whole.doc_id").alias("doc_id"), common.row_key(text="whole.text").alias("row_key"), "whole")
-    kept = whole.join(groups.filter("not keeps").select(*key).distinct(), key, "left_anti")
+    kept = whole.join(groups.filter("not keeps").select(*key).distinct().hint("merge"), key, "left_anti")
     # ids are unique as a rule, so the documents are read once
     again = groups.filter("keeps and n_shingles > 0 and doc_id is not null").groupBy(*key).count().filter("count > 1").select(*key)
     if not again.isEmpty():
