@@ -15,9 +15,9 @@ Steps
    c = s // SPARE + 1; two nodes that link share the smaller of their c at least. Postings
    travel packed by bucket, with as many buckets as their counted bytes ask for; lists with
    one node are dropped there. Long lists skip the bucket, so no task gathers one.
-3. A node with fewer postings in lists of two nodes or more than any partner of its would
-   share with it is left out: it has no link. (This is the T-occurrence count of the posted
-   part alone, and ends the search for documents that have but a passage in common.)
+3. Lists of the very same nodes, as the shingles of a shared passage have them, become one
+   list with their number as its weight. A node whose lists weigh less than what it would
+   share with any partner is left out: it has no link.
 4. Sketches: each node has counts of its shingles by hash class, a sixteenth of the set's
    size. The sum of the smaller counts bounds the overlap of a pair from above; pairs
    that can't reach T are dropped before any set travels. No link is lost by that.
@@ -61,7 +61,7 @@ BUCKETS_PER_PARTITION = 4
 #: Bytes of postings that a bucket holds at most, by the count before they are sent.
 BUCKET_BYTES = 64 << 20
 #: A node posts one more shingle for each so many it has.
-SPARE = 16
+SPARE = 64
 #: Shingles of candidates that one block of a search holds (8 bytes each).
 BLOCK = 500_000
 #: Bits of the filter of sets to send: so many for each node that is searched, within limits.
@@ -189,9 +189,15 @@ def _post(k: int, percent: int, n_buckets: int, long_token: np.ndarray, long_ran
     return run
 
 
+def _distinct(p: np.ndarray) -> np.ndarray:
+    """Each posting once, by token, then node."""
+    p = p[np.lexsort((p["node"], p["token"]))]
+    return p[np.append(True, (p["token"][1:] != p["token"][:-1]) | (p["node"][1:] != p["node"][:-1]))[: len(p)]]
+
+
 def _shared_lists(table: pa.Table) -> pa.Table:
     """The postings of lists that hold two nodes at least; long lists pass."""
-    passed, judged = [], []
+    found = {0: [np.zeros(0, dtype=_POST)], 1: [np.zeros(0, dtype=_POST)]}
     for kind, n, n_nodes, size, payload in zip(*(table.column(c).to_pylist() for c in ("kind", "n", "nodes", "size", "payload"))):
         raw = kernels.unpack(payload, size)
         part = np.zeros(n, dtype=_POST)
@@ -199,14 +205,10 @@ def _shared_lists(table: pa.Table) -> pa.Table:
         nodes = np.frombuffer(raw, dtype=np.int64, count=n_nodes, offset=8 * n)
         rest = np.frombuffer(raw, dtype=np.int32, count=3 * n, offset=8 * (n + n_nodes)).reshape(3, n)
         part["node"], part["size"], part["at"] = nodes[rest[0]], rest[1], rest[2]
-        (passed if kind else judged).append(part)
-    if judged:
-        p = np.concatenate(judged)
-        p = p[np.lexsort((p["node"], p["token"]))]
-        p = p[np.append(True, (p["token"][1:] != p["token"][:-1]) | (p["node"][1:] != p["node"][:-1]))]
-        alike = np.append(False, p["token"][1:] == p["token"][:-1])
-        passed.append(p[alike | np.append(alike[1:], False)])
-    p = np.concatenate(passed)
+        found[kind].append(part)
+    short, long = (_distinct(np.concatenate(found[kind])) for kind in (0, 1))
+    alike = np.append(False, short["token"][1:] == short["token"][:-1])[: len(short)]
+    p = np.concatenate((short[alike | np.append(alike[1:], False)[: len(short)]], long))
     return pa.table({"token": p["token"].view(np.int64), "node": p["node"].copy(), "size": p["size"].copy(), "at": p["at"].copy()})
 
 
@@ -320,13 +322,12 @@ def _reachable(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return both.select("q", "node", "size", "q_size", "sketch", "q_sketch").mapInArrow(_in_reach(percent), "q long, node long, size int")
 
 
-def _bitmap(pairs: DataFrame) -> np.ndarray:
-    """A bit for each node of the pairs, by the node's remainder: of bounded size, and it
-    may only let too many sets through."""
-    want = min(max(FILTER_BITS[0], pairs.count() * BITS_PER_NODE), FILTER_BITS[1])
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit for each key, by its remainder: of bounded size, and it may only let too many
+    rows through."""
+    want = min(max(FILTER_BITS[0], keys.count() * BITS_PER_NODE), FILTER_BITS[1])
     n_bits = 1 << (want - 1).bit_length()
-    nodes = pairs.select(F.explode(F.array("q", "node")).alias("node"))
-    some = nodes.select(F.pmod("node", F.lit(n_bits)).alias("s")).groupBy(F.shiftright("s", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(s % 8 as int))")).alias("b"))
+    some = keys.select(F.pmod("key", F.lit(n_bits)).alias("s")).groupBy(F.shiftright("s", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(s % 8 as int))")).alias("b"))
     blocks = some.groupBy(F.shiftright("byte", 10)).agg(F.collect_list(F.col("byte") * 256 + F.col("b")).alias("bytes")).select("bytes").collect()
     bits = np.zeros(n_bits // 8, dtype=np.uint8)
     for r in blocks:
@@ -337,14 +338,15 @@ def _bitmap(pairs: DataFrame) -> np.ndarray:
 
 def _emit_sets(k: int, bits: np.ndarray):
     def run(batches):
-        for chunk in kernels.chunks(batches):
-            s = Sets(chunk.column("text"), k)
-            rows = s.distinct()
-            bit = (s.node[rows].view(U) % U(len(bits) * 8)).astype(np.int64)
-            rows = rows[(bits[bit >> 3] >> (bit & 7)) & 1 > 0]
-            for i in range(0, len(rows), 512):
-                part = rows[i : i + 512].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(s.node[part]), pa.array(s.size[part].astype(np.int32)), pa.array([s.token[s.first[r] : s.first[r + 1]].tobytes() for r in part], pa.binary())], names=["node", "size", "tokens"])
+        for batch in batches:
+            bit = (batch.column("key").to_numpy().view(U) % U(len(bits) * 8)).astype(np.int64)
+            batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7)) & 1 > 0))
+            for chunk in kernels.chunks([batch]):
+                s = Sets(chunk.column("text"), k)
+                rows = s.distinct()
+                for i in range(0, len(rows), 512):
+                    part = rows[i : i + 512].tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(s.node[part]), pa.array([s.token[s.first[r] : s.first[r + 1]].tobytes() for r in part], pa.binary())], names=["node", "tokens"])
 
     return run
 
@@ -408,11 +410,16 @@ def _search(percent: int):
     return run
 
 
-def _searched(rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: the pairs (q, node, size) whose sets link. Only sets of the pairs leave the scan."""
+def _searched(rows: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: the pairs (q, node, size) whose sets link. Of each node of the pairs one row is
+    read again; only its set leaves the scan."""
     spark = pairs.sparkSession
-    sets = rows.filter("doc_id is not null").mapInArrow(_emit_sets(k, _bitmap(pairs)), "node long, size int, tokens binary").select("node", "tokens")
-    # copies in different chunks give a set more than once: keep one
+    nodes = pairs.select(F.explode(F.array("q", "node")).alias("node")).distinct()
+    chosen = members.groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("row")).join(nodes.hint("merge"), "node", "left_semi")
+    bits = _bitmap(chosen.select(F.xxhash64("row.doc_id", "row.row_key").alias("key")))
+    keyed = rows.select(F.xxhash64("doc_id", common.row_key()).alias("key"), "text")
+    sets = keyed.mapInArrow(_emit_sets(k, bits), "node long, tokens binary")
+    # copies that the filter lets through give a set more than once: keep one
     sets = sets.groupBy("node").agg(F.max("tokens").alias("tokens"))
     blocks = pairs.groupBy("q").agg((F.ceil(F.sum("size") / BLOCK)).cast("int").alias("n_salts"))
     dealt = pairs.join(blocks.hint("merge"), "q").select("q", F.pmod(F.xxhash64("node"), "n_salts").cast("int").alias("salt"), "node")
@@ -429,10 +436,19 @@ def _fitting(s: str, r: str, i: str, j: str, percent: int):
     return (F.least(F.col(s) - F.col(i), F.col(r) - F.col(j)) >= t) & (F.least(s, r) >= t)
 
 
+def _merged(lists: DataFrame) -> DataFrame:
+    """One list, the first in the order of shingles, for all lists of the same nodes, with
+    their number as weight. Lists are told apart by two 64-bit sums over their nodes."""
+    print_of = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"sum{i}") for i in range(2)]
+    by_token = lists.groupBy("token").agg(*print_of, F.count("*").alias("n"), F.min(F.struct("node", "at")).alias("first"))
+    one = by_token.groupBy("sum0", "sum1", "n").agg(F.min(F.struct("first.at", "token")).alias("least"), F.count("*").alias("weight")).filter("n > 1")
+    return lists.join(one.select(F.col("least.token").alias("token"), "weight").hint("merge"), "token")
+
+
 def _able(lists: DataFrame, percent: int) -> DataFrame:
-    """The postings of nodes that have as many of them as a partner shares at least."""
+    """The postings of nodes whose lists weigh as much as what a partner shares at least."""
     least = F.floor(F.ceil(F.col("size") * percent / 100) / SPARE) + 1
-    able = lists.groupBy("node", "size").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("node")
+    able = lists.groupBy("node", "size").agg(F.sum("weight").alias("n")).filter(F.col("n") >= least).select("node")
     return lists.join(able.hint("merge"), "node", "left_semi")
 
 
@@ -471,14 +487,17 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     long_token = top["token"].to_numpy(dtype=np.int64).view(U)
     by = np.argsort(long_token)
     members = facts.filter("node is not null").select("doc_id", "row_key", "node", F.col("n").alias("n_shingles"))
+    named_members = members.filter("doc_id is not null")
     sketches = facts.filter("node is not null and n > 0").groupBy("node").agg(F.first("sketch").alias("sketch"))
 
     n_posted = members.agg(F.sum(F.least("n_shingles", F.col("n_shingles") * (100 - percent) / 100 + F.col("n_shingles") / SPARE + 2))).first()[0] or 0
     n_buckets = max(BUCKETS_PER_PARTITION * common.shuffle_partitions(spark), int(n_posted * _POST.itemsize) // BUCKET_BYTES)
     sent = rows.filter("doc_id is not null").mapInArrow(_post(k, percent, n_buckets, long_token[by], (by + 1).astype(np.int64)), "bucket int, kind int, n int, nodes int, size int, payload binary")
     shared = scratch.table(sent.groupBy("bucket").applyInArrow(_shared_lists, _POSTING))
-    lists = scratch.table(_able(shared, percent))
+    merged = scratch.table(_merged(shared))
     scratch.drop(shared)
+    lists = scratch.table(_able(merged, percent))
+    scratch.drop(merged)
 
     ends = lists.groupBy("token").agg(F.min(F.struct("node", "size", "at")).alias("lo"), F.max(F.struct("node", "size", "at")).alias("hi")).filter("lo.node <> hi.node")
     ends = ends.select("token", F.explode(F.array("lo", "hi")).alias("q")).select("token", F.col("q.node").alias("q"), F.col("q.size").alias("q_size"), F.col("q.at").alias("q_at"))
@@ -486,14 +505,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # a pair that meets with both as queries is searched once
     star = star.select("q", "node", "size", "q_size").dropDuplicates(["q", "node"])
     pairs = scratch.table(_reachable(star, sketches, percent))
-    links = scratch.table(_searched(rows, pairs, k, percent))
+    links = scratch.table(_searched(rows, named_members, pairs, k, percent))
     labels = scratch.table(components(links))
 
     apart = scratch.table(_mixed(lists, labels, percent))
     scratch.drop(lists)
     ring = scratch.table(_within_lists(apart, sketches, percent, NEIGHBOURS))
     if not ring.isEmpty():
-        links = scratch.table(links.union(_searched(rows, ring, k, percent)))
+        links = scratch.table(links.union(_searched(rows, named_members, ring, k, percent)))
         labels = scratch.table(components(links))
         was, apart = apart, scratch.table(_mixed(apart.drop("label"), labels, percent))
         scratch.drop(was)
@@ -502,7 +521,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rest = rest.join(pairs.hint("merge"), ["q", "node"], "left_anti").join(pairs.select(F.col("node").alias("q"), F.col("q").alias("node")).hint("merge"), ["q", "node"], "left_anti")
     rest = scratch.table(rest)
     if not rest.isEmpty():
-        links = scratch.table(links.union(_searched(rows, rest, k, percent)))
+        links = scratch.table(links.union(_searched(rows, named_members, rest, k, percent)))
         labels = scratch.table(components(links))
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node"), F.when(F.col("a") < F.col("b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).alias("pair")).distinct().groupBy("node").agg(F.count("*").alias("n_links"))
