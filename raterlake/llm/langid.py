@@ -9,7 +9,9 @@ counted over all training rows. The weights are fitted on at most `PER_LANG` row
 each language (chosen by a hash of doc_id, shared out by the counted sizes), by FTRL
 passes that run inside the executors: each of `SHARDS` tasks continues from the mean
 state of the last pass. A part of that sample is kept from fitting and sets the
-temperature. The model has a fixed size, whatever the input.
+temperature, with short cuts of its texts beside the whole ones, so that the score of a
+few words is not that of a page. The model has a fixed size, whatever the input: of more
+than `MAX_LANGS` labels, those with most rows are learned.
 
 Defined results: null texts and texts without a letter get `und` with score 0; with no
 labelled training row at all every text gets `und`; training skips rows with a null
@@ -34,8 +36,13 @@ PER_LANG = 1500
 SHARDS = 6
 PASSES = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-5
-#: One row in so many of the sample sets the temperature.
+#: One row in so many of the sample sets the temperature, whole and in cuts of so many characters.
 CALIBRATION = 5
+CUTS = (12, 40, 160)
+MAX_LANGS = 256
+#: Strength of the prior that log T is 0, in rows, and the grid of powers of two searched.
+PRIOR = 1.0
+GRID = tuple(2.0 ** (i / 8) for i in range(-64, 65))
 _PIECE = 1 << 20
 
 
@@ -155,18 +162,24 @@ def _pass(z: np.ndarray, n: np.ndarray, seed: int):
     return one
 
 
+def _cuts(text: str) -> list[str]:
+    """A piece of each length from the middle of the text, where it is longer."""
+    return [text[(len(text) - n) // 2 :][:n] for n in CUTS if n < len(text)]
+
+
 def _featurise(langs: list[str], idf: np.ndarray):
     index = {x: i for i, x in enumerate(langs)}
 
     def run(batches):
         for chunk in kernels.chunks(batches, max_bytes=2 << 20):
             out = []
-            for doc, text, lang in zip(*(chunk.column(c).to_pylist() for c in ("doc_id", "text", "lang"))):
-                if found := counts(text):
-                    cells, x = _vector(found, idf)
-                    out.append((doc, index[lang], cells.astype(np.int32).tobytes(), x.astype(np.float32).tobytes()))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["doc_id", "y", "cells", "x"])
+            for doc, text, lang, test in zip(*(chunk.column(c).to_pylist() for c in ("doc_id", "text", "lang", "test"))):
+                for piece in (text, *_cuts(text)) if test else (text,):
+                    if found := counts(piece):
+                        cells, x = _vector(found, idf)
+                        out.append((doc, index[lang], test, cells.astype(np.int32).tobytes(), x.astype(np.float32).tobytes()))
+            cols = list(zip(*out)) or [(), (), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["doc_id", "y", "test", "cells", "x"])
 
     return run
 
@@ -178,7 +191,8 @@ def _unpacked(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, int]]
 def fit(docs: DataFrame) -> Model:
     """Learn from text and lang of the rows whose held_out is false."""
     rows = docs.filter("text is not null and lang is not null and doc_id is not null").filter(~common.held_out()).select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    sizes = {r.lang: r.n for r in most}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.ones(CELLS), np.zeros((0, CELLS)), 1.0)
@@ -186,9 +200,9 @@ def fit(docs: DataFrame) -> Model:
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, PER_LANG / sizes[lang])))])
     lot = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
-    sample = rows.filter(lot < share[F.col("lang")]).mapInArrow(_featurise(langs, idf), "doc_id long, y int, cells binary, x binary")
+    sample = rows.filter(lot < share[F.col("lang")]).withColumn("test", F.pmod(F.xxhash64(F.lit("heat"), "doc_id"), F.lit(CALIBRATION)) == 0)
+    sample = sample.mapInArrow(_featurise(langs, idf), "doc_id long, y int, test boolean, cells binary, x binary")
     sample = sample.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(SHARDS)).cast("int"))
-    sample = sample.withColumn("test", F.pmod(F.xxhash64(F.lit("heat"), "doc_id"), F.lit(CALIBRATION)) == 0)
     scratch = common.Scratch(docs.sparkSession)
     sample = scratch.table(sample.repartition(SHARDS, "shard").sortWithinPartitions("doc_id"))
 
@@ -213,16 +227,24 @@ def fit(docs: DataFrame) -> Model:
 
 
 def _temperature(s: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least log loss on a grid of powers."""
+    """The temperature of least log loss on the grid, with a prior at 1. Targets are
+    smoothed by the size of the class, so that classes which part without error don't ask
+    for certainty; where the loss falls up to an end of the grid, T stays at 1."""
     if not len(s):
         return 1.0
+    rows, n = np.bincount(y, minlength=s.shape[1]), s.shape[1]
+    sure = (rows[y] + 1) / (rows[y] + 2)
+    target = np.repeat(((1 - sure) / max(n - 1, 1))[:, None], n, axis=1)
+    target[np.arange(len(y)), y] = sure
 
     def loss(t: float) -> float:
         z = s / t
         z = z - z.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]))
+        z = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return float(-(target * z).sum() + PRIOR * np.log(t) ** 2)
 
-    return min((2.0 ** (i / 8) for i in range(-48, 25)), key=loss)
+    best = min(GRID, key=loss)
+    return 1.0 if best in (GRID[0], GRID[-1]) else best
 
 
 def predict(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
@@ -236,7 +258,7 @@ def predict(docs: DataFrame, model: Model, extra: list[str] | None = None) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model | None = None, min_score: float = 0.35) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None = None, min_score: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose language is identified: not `und`, and with
     a calibrated score of `min_score` at least. The text decides alone."""
     model = model or fit(docs)

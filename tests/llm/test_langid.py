@@ -76,3 +76,70 @@ def test_ftrl_finds_a_sparse_solution():
     w = langid._weights(z, n)
     assert w[0, 0] > 0.5 and w[1, 1] > 0.5 and w[0, 1] < -0.5
     assert np.mean(w[:, 300:] != 0) == 0 and np.abs(w[:, 2:202]).max() < np.abs(w[:, :2]).max()
+
+
+def test_temperature_is_no_end_of_the_grid():
+    """Classes that part without error don't make every score certain, and the score of
+    logits that are right as often as they say is left alone."""
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 3, 300)
+    apart = np.eye(3)[y] * 5
+    t = langid._temperature(apart, y)
+    assert langid.GRID[0] < t < langid.GRID[-1]
+    p = np.exp(5 / t) / (np.exp(5 / t) + 2)
+    assert 0.9 < p < 0.9999
+    s = rng.normal(size=(4000, 3)) * 2
+    p = np.exp(s) / np.exp(s).sum(axis=1, keepdims=True)
+    y = np.array([rng.choice(3, p=q) for q in p])
+    assert 0.8 < langid._temperature(s, y) < 1.25
+
+
+def reference_counts(text):
+    """Character 1- to 3-grams by plain loops, as codes of their characters."""
+    chars = [c if c.isalpha() else " " for c in text.lower()]
+    line = [c for i, c in enumerate(chars) if c != " " or not i or chars[i - 1] != " "]
+    codes = [0] + [0 if c == " " else ord(c) for c in line] + [0]
+    out = {}
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            gram = codes[i : i + n]
+            if n == 1 and not gram[0]:
+                continue
+            x = 0
+            for c in gram:
+                x = (x * 0x9E3779B1 + c) % (1 << 64)
+            cell = (((x + n) * 0x9E3779B97F4A7C15) % (1 << 64)) >> 49
+            out[cell] = out.get(cell, 0) + 1
+    return out
+
+
+def test_features_and_ftrl_equal_plain_loops():
+    import math
+
+    rng = np.random.default_rng(5)
+    texts = ["Ein Haus, ein Hund!", "the house and the dog", "una casa y un perro 12", "çà et là"]
+    for t in texts:
+        cells, n = langid.counts(t)
+        assert dict(zip(cells.tolist(), n.tolist())) == reference_counts(t)
+    idf = rng.random(langid.CELLS) + 1
+    rows = [(*langid._vector(langid.counts(t), idf), i % 2) for i, t in enumerate(texts * 3)]
+    z, n = np.zeros((2, langid.CELLS)), np.zeros((2, langid.CELLS))
+    langid.ftrl(rows, z, n)
+    zs, ns = [{}, {}], [{}, {}]
+
+    def weight(k, c):
+        if abs(zs[k].get(c, 0.0)) <= langid.L1:
+            return 0.0
+        return -(zs[k][c] - math.copysign(langid.L1, zs[k][c])) / ((langid.BETA + math.sqrt(ns[k].get(c, 0.0))) / langid.ALPHA + langid.L2)
+
+    for cells, x, y in rows:
+        w = [{c: weight(k, c) for c in cells.tolist()} for k in (0, 1)]
+        score = [sum(w[k][c] * v for c, v in zip(cells.tolist(), x.tolist())) for k in (0, 1)]
+        e = [math.exp(s - max(score)) for s in score]
+        for k in (0, 1):
+            for c, v in zip(cells.tolist(), x.tolist()):
+                g, was = (e[k] / sum(e) - (k == y)) * v, ns[k].get(c, 0.0)
+                zs[k][c] = zs[k].get(c, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / langid.ALPHA * w[k][c]
+                ns[k][c] = was + g * g
+    for k in (0, 1):
+        assert all(abs(z[k, c] - v) < 1e-9 for c, v in zs[k].items()) and all(abs(n[k, c] - v) < 1e-9 for c, v in ns[k].items())
