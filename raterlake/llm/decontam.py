@@ -6,12 +6,17 @@ and the two texts are compared token by token along a hit's diagonal: a document
 contaminated where `WINDOW` aligned tokens agree but for `MAX_CHANGED`, or a whole shorter
 item agrees but for as many as the masks are sure to leave room for. Tokens are runs of letters and digits, lower-cased.
 
-The test hashes are joined inside the scan: they are handed to the tasks as a table. It
-is bounded by `BLOCK_TOKENS`; a larger benchmark is worked off in so many blocks of items,
-each against all documents. Documents are never shuffled.
+The test hashes are joined inside the scan: they are handed to the tasks as a table whose
+size is counted first and bounded by `BLOCK_TOKENS`. A larger benchmark is worked off in
+blocks of items, one after the other: the driver and the tasks hold one block at a time,
+what it finds is written, and the documents are joined with that at the end. In a task,
+the pairs of document span and item span that a hash brings together are taken in slices
+of `SLICE`, verified and forgotten, so a phrase that thousands of items share costs time
+in proportion to its pairs but no memory.
 
 Defined results: null or empty texts are clean; items with fewer tokens than the
-shortest mask spans can't be found, nor can null items; rows with a null doc_id are
+shortest mask spans can't be found, nor can items without a text; an item without an id
+contaminates what holds it but has no place in item_ids; rows with a null doc_id are
 judged like others; repeated rows and items are judged alike; an empty benchmark leaves
 all clean; an empty table gives an empty table.
 """
@@ -38,6 +43,7 @@ MASKS = ["111011", "1101011", "110101", "11011"]
 WINDOW = 13
 MAX_CHANGED = 3
 BLOCK_TOKENS = 2_000_000
+SLICE = 1 << 17
 _BITS = 20
 _OTHER = np.ones(256, dtype=bool)
 _OTHER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
@@ -67,7 +73,7 @@ def _places(mask: str) -> list[int]:
 class Index:
     """Hashes of the items' spans under each mask, sorted, and the token each starts at."""
 
-    ids: np.ndarray
+    ids: list
     token: np.ndarray  # hashes of all tokens of all items
     row: np.ndarray
     first: np.ndarray
@@ -84,29 +90,28 @@ class Index:
             seen = np.zeros(1 << _BITS, dtype=bool)
             seen[(x >> U(64 - _BITS)).astype(np.int64)] = True
             spans.append((x[order], at[order], seen))
-        return cls(np.array(ids), h, w.row, w.first, spans)
+        return cls(ids, h, w.row, w.first, spans)
 
 
-def hits(h: np.ndarray, row: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document row, diagonal, item): token i of the row meets token i - diagonal
-    of the items' token list."""
-    found = []
+def hits(h: np.ndarray, row: np.ndarray, index: Index):
+    """Slices of (document row, diagonal, item), distinct in a slice: token i of the row
+    meets token i - diagonal of the items' token list."""
     for mask, (hashes, start, seen) in zip(MASKS, index.spans):
         if not len(hashes) or len(h) < len(mask):
             continue
         x = kernels.run_hashes(h, len(mask), _places(mask))
         at = np.flatnonzero(seen[(x >> U(64 - _BITS)).astype(np.int64)] & kernels.same_row(row, len(mask)))
         lo, hi = np.searchsorted(hashes, x[at], side="left"), np.searchsorted(hashes, x[at], side="right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        if len(at):
-            take = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
-            met = np.repeat(at, n)
-            found.append(np.stack([row[met], met - start[take], index.row[start[take]]], axis=1))
-    if not found:
-        return (np.zeros(0, dtype=np.int64),) * 3
-    got = np.unique(np.concatenate(found), axis=0)
-    return got[:, 0], got[:, 1], got[:, 2]
+        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        ends = np.cumsum(n)
+        for a in range(0, int(ends[-1]) if len(ends) else 0, SLICE):
+            pair = np.arange(a, min(a + SLICE, int(ends[-1])))
+            k = np.searchsorted(ends, pair, side="right")
+            met, own = at[k], start[lo[k] + pair - (ends[k] - n[k])]
+            span = len(h) + len(index.token) + 1
+            key = np.unique(((met - own) + len(index.token)) + span * (row[met] * len(index.ids) + index.row[own]))
+            who = key // span
+            yield who // len(index.ids), key % span - len(index.token), who % len(index.ids)
 
 
 def verify(h: np.ndarray, first: np.ndarray, row: np.ndarray, diagonal: np.ndarray, item: np.ndarray, index: Index) -> np.ndarray:
@@ -128,47 +133,59 @@ def verify(h: np.ndarray, first: np.ndarray, row: np.ndarray, diagonal: np.ndarr
     return out
 
 
-def _search(index: Index):
+def _found(texts: pa.Array, index: Index) -> list[set[int]]:
+    """The items (by their place in the index) that each text holds."""
+    w = _tokens(texts)
+    h = kernels.word_hashes(w)
+    out: list[set[int]] = [set() for _ in range(len(texts))]
+    for row, diagonal, item in hits(h, w.row, index):
+        good = verify(h, w.first, row, diagonal, item, index) >= 0
+        for r, i in set(zip(row[good].tolist(), item[good].tolist())):
+            out[r].add(i)
+    return out
+
+
+def _search(index: Index, all_rows: bool):
+    """Adds the number of items found and their ids to all rows, or to those with any."""
+
     def run(batches):
         for chunk in kernels.chunks(batches):
-            w = _tokens(chunk.column("text"))
-            h = kernels.word_hashes(w)
-            row, diagonal, item = hits(h, w.row, index)
-            good = verify(h, w.first, row, diagonal, item, index) >= 0
-            n = np.bincount(row[good], minlength=chunk.num_rows)
-            pairs = np.unique(np.stack([row[good], item[good]], axis=1), axis=0) if good.any() else np.zeros((0, 2), dtype=np.int64)
-            items = [[] for _ in range(chunk.num_rows)]
-            for r, i in pairs.tolist():
-                items[r].append(int(index.ids[i]))
-            yield pa.RecordBatch.from_arrays([chunk.column(c) for c in chunk.schema.names] + [pa.array(n.astype(np.int64)), pa.array([sorted(set(x)) for x in items], pa.list_(pa.int64()))], names=[*chunk.schema.names, "rl_overlaps", "rl_items"])
+            found = _found(chunk.column("text"), index)
+            ids = [sorted({int(index.ids[i]) for i in x if index.ids[i] is not None}) for x in found]
+            keep = [c for c in chunk.schema.names if all_rows or c != "text"]
+            out = pa.RecordBatch.from_arrays([chunk.column(c) for c in keep] + [pa.array([len(x) for x in found], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=[*keep, "n_overlaps", "item_ids"])
+            yield out if all_rows else out.filter(pa.array([bool(x) for x in found], pa.bool_()))
 
     return run
 
 
-def _blocks(benchmark: DataFrame) -> list[Index]:
-    items = benchmark.filter("text is not null and item_id is not null").select("item_id", "text")
-    total = items.agg(F.sum(F.size(common.words("text")))).first()[0] or 0
+def _blocks(benchmark: DataFrame):
+    """The indexes of the items' blocks, one at a time."""
+    items = benchmark.filter("text is not null").select("item_id", "text").distinct()
+    n_tokens = F.regexp_count(F.lower("text"), F.lit(r"[a-z0-9\x{80}-\x{10FFFF}]+"))
+    total = items.agg(F.sum(n_tokens)).first()[0] or 0
     n = -(-total // BLOCK_TOKENS)
-    out = []
     for k in range(n):
         got = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         if got:
-            out.append(Index.of([r.item_id for r in got], [r.text for r in got]))
-    return out
+            yield n, Index.of([r.item_id for r in got], [r.text for r in got])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All rows: whole (the input row), n_overlaps and the item_ids found in it."""
+    """All rows: whole (the input row), n_overlaps (items found in it) and item_ids."""
     rows = docs.select("text", F.struct("*").alias("whole"))
-    blocks = _blocks(benchmark)
-    if not blocks:
-        return rows.select("whole", F.lit(0).cast("long").alias("n_overlaps"), F.array().cast("array<bigint>").alias("item_ids"))
-    out = rows.withColumn("n_overlaps", F.lit(0).cast("long")).withColumn("item_ids", F.array().cast("array<bigint>"))
-    for index in blocks:
-        kind = T.StructType([*out.schema.fields, T.StructField("rl_overlaps", T.LongType()), T.StructField("rl_items", T.ArrayType(T.LongType()))])
-        out = out.mapInArrow(_search(index), kind)
-        out = out.select("text", "whole", (F.col("n_overlaps") + F.col("rl_overlaps")).alias("n_overlaps"), F.array_sort(F.array_union("item_ids", "rl_items")).alias("item_ids"))
-    return out.drop("text")
+    added = [T.StructField("n_overlaps", T.LongType()), T.StructField("item_ids", T.ArrayType(T.LongType()))]
+    keyed, parts = docs.select(common.row_key().alias("row_key"), "text"), []
+    for n, index in _blocks(benchmark):
+        if n == 1:
+            return rows.mapInArrow(_search(index, True), T.StructType([*rows.schema.fields, *added])).drop("text")
+        parts.append(common.materialise(keyed.mapInArrow(_search(index, False), T.StructType([keyed.schema.fields[0], *added])).dropDuplicates(["row_key"])))
+    none = F.array().cast("array<bigint>")
+    if not parts:
+        return rows.select("whole", F.lit(0).cast("long").alias("n_overlaps"), none.alias("item_ids"))
+    found = functools.reduce(DataFrame.union, parts).groupBy("row_key").agg(F.sum("n_overlaps").alias("n_overlaps"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    out = rows.withColumn("row_key", common.row_key()).join(found.hint("merge"), "row_key", "left")
+    return out.select("whole", F.coalesce("n_overlaps", F.lit(0)).cast("long").alias("n_overlaps"), F.coalesce("item_ids", none).alias("item_ids"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -80,3 +80,32 @@ def test_defined_results(spark):
     assert kept.columns == df.columns and kept.count() == df.count() - 1
     assert decontam.remove_contaminated(df, bench.limit(0)).count() == df.count()
     assert decontam.remove_contaminated(df.limit(0), bench).count() == 0
+
+
+def test_a_phrase_that_thousands_of_items_share():
+    """Its hits are verified in slices; what is found is the same as item by item."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    phrase = data.sentence(rng, 12)
+    items = [f"{data.sentence(rng, 8)} {phrase} {data.sentence(rng, 8)}" for _ in range(2000)]
+    text = " ".join(f"{phrase} {data.sentence(rng, 3)}" for _ in range(80)) + " " + items[77]
+    index = decontam.Index.of(list(range(2000)), items)
+    sizes = [len(r) for r, _, _ in decontam.hits(*_hashed(text), index)]
+    assert max(sizes) <= decontam.SLICE and sum(sizes) > 100_000
+    some = rng.sample(range(2000), 40) + [77]
+    found = decontam._found(pa.array([text, "clean words"]), index)
+    assert [i in found[0] for i in some] == [bool(brute(text, [(i, items[i])])) for i in some] and not found[1]
+
+
+def _hashed(text):
+    import pyarrow as pa
+
+    w = decontam._tokens(pa.array([text]))
+    return decontam.kernels.word_hashes(w), w.row
+
+
+def test_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "these nine words stand in no other text here")], "item_id long, text string")
+    docs = data.frame(spark, [(1, "so: these nine words stand in no other text here!", "en", "a", 1), (2, "clean", "en", "a", 1)])
+    assert sorted((r.whole.doc_id, r.n_overlaps, r.item_ids) for r in decontam.contamination(docs, bench).collect()) == [(1, 1, []), (2, 0, [])]
