@@ -50,14 +50,14 @@ from documents d left join c using (doc_id) left join k using (doc_id)
 def _level(name: str, rows: str) -> str:
     """CTEs that shrink the rates of a level (key, good, n, m) to a and b."""
     return f"""{name}_s as (select case when coalesce(room, 0) = 0 or room <= noise or excess <= noise then 200.0 else least(200.0, greatest(2.0, (room - noise) / (excess - noise) - 1)) end as s
-  from (select sum(n * m * (1 - m)) as room, sum(m * (1 - m)) as noise, sum(n * pow(good / n - m, 2)) as excess from ({rows}))),
+  from (select sum(n * m * (1 - m)) as room, sum(m * (1 - m)) as noise, sum(n * pow(good / n - m, 2)) as excess from ({rows}) where n > 0)),
 {name}_p as (select r.*, good + s * m as a, n - good + s * (1 - m) as b from ({rows}) r, {name}_s)"""
 
 
 SQL["op5_url_filter"] = f"""
 with u as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
 y as (select doc_id as page_id, max(quality) as good from labels where quality in (0, 1) and doc_id is not null group by 1),
-h0 as (select host, cast(count(*) as double) as n, cast(sum(good) as double) as good from u join y using (page_id) group by host),
+h0 as (select host, cast(count(good) as double) as n, cast(coalesce(sum(good), 0) as double) as good from u left join y using (page_id) group by host),
 h1 as (select *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') as parts from h0),
 h2 as (select *, case when len(parts) >= 3 and length(parts[-1]) = 2 and parts[-2] in ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') then 2 else 1 end as tail from h1),
 hosts as (select host, n, good, array_to_string(parts[greatest(len(parts) - tail, 1):], '.') as domain, array_to_string(parts[greatest(len(parts) - tail + 1, 1):], '.') as suffix from h2),
@@ -68,7 +68,7 @@ suffixes as (select suffix, sum(n) as n, sum(good) as good from domains group by
 {_level("host", "select h.*, p.a / (p.a + p.b) as m from hosts h join domain_p p using (domain)")},
 r as (select * from (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) v(verdict, host, path)),
 z as (select u.page_id, u.host, u.path, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as said from u left join r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path) group by u.page_id, u.host, u.path)
-select z.page_id, z.host, z.path, z.rule, coalesce(z.said, case when a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < 0.6 then 'block' else 'allow' end) as verdict
+select z.page_id, z.host, z.path, z.rule, coalesce(z.said, case when a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < (select sum(good) / sum(n) from hosts) - 0.05 then 'block' else 'allow' end) as verdict
 from z left join host_p p on p.host = z.host
 """
 

@@ -4,7 +4,11 @@ Outcomes of labelled pages (1 good, 0 bad) are shrunk through beta-binomial prio
 corpus rate is the prior of every suffix, the suffix posterior that of its registered
 domains, the domain posterior that of its hosts. The strength of each level's prior is
 estimated by moments from the spread of that level's own rates. A page is blocked where
-even the upper bound of its host's posterior is below `MIN_GOOD`, unless a rule speaks.
+even the upper bound of its host's posterior is more than `MARGIN` below the share of good
+pages in the corpus, unless a rule speaks.
+
+The caller says which page has which outcome. The registered query takes a label to speak
+for the page whose page_id is its doc_id, as the tables have no other key in common.
 
 Only counts per host are joined to pages, on the host; outcomes are summed per task
 before they are shuffled. The suffix is the last label, or the last two where the last
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Upper bound of the posterior share of good pages below which a host is blocked.
-MIN_GOOD = 0.6
+#: How far below the share of good pages in the corpus the upper bound of a blocked host is.
+MARGIN = 0.05
 #: Standard deviations between the posterior mean and its bound.
 WIDTH = 1.645
 #: Limits of a prior's strength, in pages.
@@ -106,8 +110,8 @@ def strength(level: DataFrame) -> float:
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host, n, good, and a and b of its posterior, for every host of pages (n is 0 where
-    nobody labelled it). outcomes: page_id, good (0 or 1)."""
+    """host, n, good, a and b of its posterior and the corpus rate, for every host of pages
+    (n is 0 where nobody labelled it). outcomes: page_id, good (0 or 1)."""
     judged = outcomes.filter("good in (0, 1) and page_id is not null").groupBy("page_id").agg(F.max("good").alias("good"))
     named = pages.select("page_id", host(F.col("url")).alias("host"))
     counts = named.join(judged, "page_id").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("good"))
@@ -121,7 +125,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     suffixes = _shrunk(suffixes.withColumn("m", F.lit(1.0 if rate is None else rate)))
     domains = _shrunk(domains.join(suffixes.select("suffix", mean.alias("m")), "suffix"))
     hosts = _shrunk(hosts.join(domains.select("domain", mean.alias("m")), "domain"))
-    return hosts.select("host", "n", "good", "a", "b")
+    return hosts.select("host", "n", "good", "a", "b", F.lit(rate).cast("double").alias("rate"))
 
 
 def upper_bound(a: Column, b: Column) -> Column:
@@ -133,7 +137,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule] = RULES) -> D
     """page_id, host, path, rule, verdict and the bound of each page's host."""
     named = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     named = named.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    known = reputation(pages, outcomes).select("host", upper_bound(F.col("a"), F.col("b")).alias("bound"))
+    known = reputation(pages, outcomes).select("host", upper_bound(F.col("a"), F.col("b")).alias("bound"), "rate")
     out = named.join(known, "host", "left")
-    own = F.when(F.col("bound") < MIN_GOOD, "block").otherwise("allow")
+    own = F.when(F.col("bound") < F.col("rate") - MARGIN, "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), "bound")

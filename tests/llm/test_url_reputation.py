@@ -135,3 +135,11 @@ def test_awkward_rows(spark):
     got = url_reputation.judge(pages, labels)
     assert got.count() == 5 and {r.verdict for r in got.collect()} <= {"allow", "block"}
     assert url_reputation.judge(pages.limit(0), labels).count() == 0
+
+
+def test_the_method_blocks_hosts_like_those_of_pages(spark):
+    """A few bad hosts among many, with the base rate of good pages that real tables have."""
+    plan = {f"www{i}.site{i % 11}.example.com": (25, 0.9) for i in range(50)} | {f"m{i}.bad.org": (25, 0.35) for i in range(6)}
+    pages, labels = corpus(spark, plan)
+    got = {(r.host, r.rule, r.verdict) for r in url_reputation.judge(pages, labels).collect()}
+    assert {h for h, rule, v in got if v == "block" and rule is None} == {f"m{i}.bad.org" for i in range(6)}
