@@ -14,7 +14,9 @@ Scale and skew
 * A minimiser that very many different contexts share would still fill one bucket. A
   sampled count names such minimisers; their windows travel alone, spread by the hash of
   the whole window. The list steers routing only: any list gives the same result.
-* Buckets are sized by `spark.sql.shuffle.partitions`.
+* There are `BUCKETS_PER_PARTITION` buckets for each of `spark.sql.shuffle.partitions`, and
+  more where the counted bytes of all texts, each sent some three times, would put more than
+  `BUCKET_BYTES` in one of them.
 
 Defined results: a null or blank text has no words; a row with a null doc_id is never
 smaller than another and loses nothing; rows that share a doc_id are not smaller than
@@ -35,6 +37,7 @@ from .kernels import U
 K = 13
 M = 2
 BUCKETS_PER_PARTITION = 4
+BUCKET_BYTES = 64 << 20
 #: One row in so many is read to find minimisers shared by too many contexts.
 ROUTING_SAMPLE = 32
 MAX_HOT = 4096
@@ -258,8 +261,9 @@ def repeated_ranges(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """(doc_id, row_key, lo, hi): word ranges, end exclusive, covered by windows that also
     start in a document with a smaller doc_id. Ranges may overlap."""
     spark = docs.sparkSession
-    n_buckets = BUCKETS_PER_PARTITION * common.shuffle_partitions(spark)
     rows = docs.filter("doc_id is not null and text is not null").select("doc_id", _row_key(docs).alias("row_key"), "text")
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(BUCKETS_PER_PARTITION * common.shuffle_partitions(spark), 3 * n_bytes // BUCKET_BYTES)
     hot = _hot_minimisers(rows, k, m, n_buckets)
     sent = rows.mapInArrow(_send(k, m, n_buckets, hot), _SENT)
     return sent.groupBy("bucket").applyInArrow(_settle(k), _RANGES)
