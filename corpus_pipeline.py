@@ -3,7 +3,12 @@ near-duplicate removal, benchmark decontamination and mixing to target weights.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept;
 all but the last return the columns of `documents`. Between stages the rows are written
-to the shared folder and read again, so a lost executor costs at most one stage.
+to the shared folder and read again, so a lost executor costs at most one stage; what a
+stage has read is removed once its own rows are written.
+
+All stages: rows with a null text leave at language identification; rows with a null doc_id
+and repeated rows take part as their operators state; an empty table gives an empty table;
+extra columns of `documents` are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    scratch = common.Scratch(spark)
+    docs = before = common.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = common.materialise(docs)
+            docs = scratch.table(docs)
+            if i:
+                scratch.drop(before)
+            before = docs
     return docs
