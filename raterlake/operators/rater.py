@@ -16,6 +16,8 @@ from ..functions.seeds import derive
 FREE_TEXT = "fake answer"
 NOT_JSON = "I think it is about a 4."
 KINDS = ("fatal", "refused", "transient")
+#: No option of a pairwise item; the second where the first is one.
+NO_OPTION = ("C", "Z")
 
 
 def category(seed: int, rates: dict[str, float]) -> str:
@@ -54,7 +56,8 @@ def invalid_answer(seed: int, attempt: int, items: list[dict]) -> str:
     elif first["type"] == "likert":
         found[first["item_id"]] = _points(first) + 1
     else:
-        found[first["item_id"]] = "C" if first["type"] == "pairwise" else ""
+        options = list(first["options"]) if first["options"] is not None else ["A", "B"]
+        found[first["item_id"]] = next(x for x in NO_OPTION if x not in options) if first["type"] == "pairwise" else ""
     return canonical(found)
 
 

@@ -44,15 +44,17 @@ def pair_check_counts(checks: DataFrame) -> DataFrame:
     return checks.groupBy("instrument").agg(F.count_if(is_pair_check(checks)).alias("n_pair_checks"), F.min("pos").alias("first"))
 
 
-def perception_units(trials: DataFrame, checks: DataFrame) -> DataFrame:
+def perception_units(trials: DataFrame, checks: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """One row per model, repeat, check and unit, with ok.
 
     trials: model_id, repeat, instrument, clip_ids, item_id, answer, kind (`int` or
     `string`), state; the answer of a pairwise trial is the chosen clip. checks: pos,
     instrument, item_id, pairwise, clips, expected. A pairwise check asks both orders of its
     clips; one with two clips asks that the expected clip is rated strictly higher; one
-    with a single clip asks for the expected answer. A missing or invalid trial fails."""
-    runs = trials.select("model_id", "repeat").distinct()
+    with a single clip asks for the expected answer. A missing or invalid trial fails, and
+    so does every unit of a model of `models` (model_id, repeat) without any trial."""
+    runs = trials.select("model_id", "repeat")
+    runs = (runs if models is None else runs.union(models.select("model_id", "repeat"))).distinct()
     lo, hi = F.array_min("clips"), F.array_max("clips")
     expected_first = F.when(F.get("clips", F.lit(0)) == F.col("expected"), F.col("clips")).otherwise(F.reverse("clips"))
     plain = F.when(F.size("clips") == 2, F.transform(expected_first, lambda c: F.array(c))).otherwise(F.array(F.array(F.get("clips", F.lit(0)))))
@@ -67,10 +69,10 @@ def perception_units(trials: DataFrame, checks: DataFrame) -> DataFrame:
     return pairs.unionByName(rest).withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
-def perception_scores(trials: DataFrame, checks: DataFrame, threshold: float = 0.75) -> DataFrame:
+def perception_scores(trials: DataFrame, checks: DataFrame, threshold: float = 0.75, models: DataFrame | None = None) -> DataFrame:
     """One row per model and instrument with a check: passed, units, ratio, outcome. Without
     a unit a model fails."""
-    units = perception_units(trials, checks).groupBy("model_id", "instrument").agg(F.count_if("ok").alias("passed"), F.count("*").alias("units"))
+    units = perception_units(trials, checks, models).groupBy("model_id", "instrument").agg(F.count_if("ok").alias("passed"), F.count("*").alias("units"))
     ratio = pass_ratio(F.col("passed"), F.col("units"))
     return units.withColumn("ratio", ratio).withColumn("outcome", F.when((F.col("units") > 0) & (ratio >= threshold), "pass").otherwise("fail"))
 

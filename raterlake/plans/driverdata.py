@@ -194,8 +194,8 @@ def fidelity_poles(spark: SparkSession) -> DataFrame:
     return spark.range(50).select("id", F.posexplode(named).alias("bit", "construct")).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("agent_id"), "construct", F.when(F.expr("(id >> bit) & 1") == 1, "high").otherwise("low").alias("pole"))
 
 
-def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers as they come: valid ones, all kinds of broken ones, and plain prose."""
+def event_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each event: valid ones and all kinds of broken ones."""
     e = _read(spark, sf_dir, "events")
     kind, p = F.col("event_id") % 13, F.col("props")
     raw = (
@@ -203,8 +203,14 @@ def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 5, F.lit("{}")).when(kind == 6, F.lit('{"k": "1"}')).when(kind == 7, F.lit('{"k": 4.0}')).when(kind == 8, F.lit('{"k": true}')).when(kind == 9, F.lit('{"k": NaN}'))
         .when(kind == 10, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(kind == 11, F.lit('{"k": 0}')).otherwise(p)
     )
+    return e.select("event_id", raw.alias("raw"))
+
+
+def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as they come: those of the events, and plain prose."""
+    e = event_answers(spark, sf_dir)
     prose = _read(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), F.lit("scale").alias("instrument"), F.col("text").alias("raw"))
-    return e.select(F.concat(F.lit("e"), "event_id").alias("id"), F.lit("scale").alias("instrument"), raw.alias("raw")).union(prose)
+    return e.select(F.concat(F.lit("e"), "event_id").alias("id"), F.lit("scale").alias("instrument"), "raw").union(prose)
 
 
 def scale(spark: SparkSession) -> DataFrame:

@@ -127,7 +127,7 @@ BODIES: dict[str, str] = {
     "resume_classes": "select o.test, case when settles_to is not null then 'settle' when o.state = 'sent' and l.handle is not null and l.valid is null and l.category is null then 'collect' else 'new_attempt' end as class, count(*) as n from open_trials o left join latest l using (trial_id) group by all",
     "attempt_seeds": "select trial_id, attempt, ('0x' || substr(sha256(concat('7:model:', trial_id, '#', attempt)), 1, 8))::bigint & 2147483647 as seed from attempts",
     "attempt_outcomes": "select category, case when category = 'refused' then 'refused' when category = 'transient' then 'retry' when valid = 1 then 'valid' else 'retry' end as outcome, count(*) as n from attempts group by all",
-    "missing_attempts": "select trial_id, attempt from trials t where attempt > 0 and not exists (select 1 from attempts a where a.trial_id = t.trial_id and a.attempt = t.attempt and a.seed % 10 <> 0)",
+    "missing_attempts": "select trial_id, attempt from trials t where attempt > 0 and not exists (select 1 from attempts a where a.trial_id = t.trial_id and a.attempt = t.attempt and a.category = 'ok')",
     "next_run_number": "select cast(7 as bigint) as next_run",
     "attrition_by_persona": f"select test, persona_id, {_SUMS} from counters group by all",
     "status_by_attribute": " union all ".join(f"select test, '{a}' as attribute, {a} as value, {_SUMS}, min(number) as first from counters join personas on id = persona_id group by test, {a}" for a in d.ATTRIBUTES),
@@ -141,7 +141,7 @@ BODIES: dict[str, str] = {
     "current_results": "select run_id, run_no, model_id, agent_id, instrument, outcome, pos from complete qualify row_number() over (partition by screening_test, instrument, model_id, agent_id order by run_no desc, pos) = 1",
     "supersession": """select r.run_id, coalesce(every, false) as superseded, case when every then concat('s', last_later) end as superseded_by from runs r left join (
     select run_no, bool_and(later is not null) as every, max(later) as last_later from (
-      select a.run_no, a.instrument, a.model_id, a.agent_id, (select min(b.run_no) from complete b where (b.pos < 400 or b.run_no not in (5, 6)) and b.kind = a.kind and b.run_no > a.run_no and b.instrument = a.instrument and b.model_id = a.model_id and b.agent_id is not distinct from a.agent_id) as later from complete a where a.pos < 400 or a.run_no not in (5, 6)
+      select a.run_no, a.instrument, a.model_id, a.agent_id, (select min(b.run_no) from complete b where b.kind = a.kind and b.run_no > a.run_no and b.instrument = a.instrument and b.model_id = a.model_id and b.agent_id is not distinct from a.agent_id) as later from complete a
     ) group by run_no) k on k.run_no = r.run_no where r.status = 'complete'""",
     "latest_counting_rows": "select * from judged",
     "coverage_gaps": "select n.instrument, case when count(c.pos) = 0 then 'missing' else 'stale' end as reason from (values ('view'), ('purchase'), ('error'), ('poll')) n(instrument) left join counted c on c.instrument = n.instrument and c.agent_id is null and c.pair_checks > 0 group by n.instrument having not coalesce(bool_or(c.fresh), false)",
@@ -166,7 +166,7 @@ BODIES: dict[str, str] = {
     "validate_reasons": f"select id, {_REASON} as problem, case when ({_REASON}) is null then cast(n as varchar) end as answer from raws union all select concat('c', conv_id, '-', turn), 'not_json', null from conversations",
     "invalid_reason_counts": f"select problem, count(*) as n from (select coalesce({_REASON}, 'valid') as problem from raws union all select 'not_json' from conversations) group by problem",
     "answer_key_set_check": "select instrument, count(*) as fits, count(*) as answers from answered join (select trial_id, instrument from trials) using (trial_id) where valid = 1 group by instrument",
-    "reissue_mismatches": "select trial_id, attempt, case when seed % 20 = 1 then 'sent_without_request' when seed % 20 = 6 then 'request_without_attempt' when seed % 20 = 5 then 'requests_differ' when seed % 20 = 2 then 'hash_differs' when seed % 20 = 3 then 'seed_differs' else 'model_differs' end as reason from attempts where seed % 20 in (1, 2, 3, 4, 5, 6)",
+    "reissue_mismatches": "select trial_id, attempt, case when category = 'transient' then 'request_without_attempt' when seed % 20 = 1 then 'sent_without_request' when seed % 20 = 5 then 'requests_differ' when seed % 20 = 2 then 'hash_differs' when seed % 20 = 3 then 'seed_differs' else 'model_differs' end as reason from attempts where category = 'transient' and seed % 20 <> 1 or category <> 'transient' and seed % 20 in (1, 2, 3, 4, 5)",
     "archive_last_line_wins": """select concat('o', event_id % 700) as trial_id, cast(event_id % 2 as int) as attempt, event_id as line_no, case k when 1 then props || ' extra' when 2 then '[' || props || ']' when 3 then '{"k": 1, "k": 2}' when 4 then '{"k": 1, "z": 2}' when 5 then '{}' when 6 then '{"k": "1"}' when 7 then '{"k": 4.0}' when 8 then '{"k": true}' when 9 then '{"k": NaN}' when 10 then '```json' || chr(10) || props || chr(10) || '```' when 11 then '{"k": 0}' else props end as raw from raws qualify row_number() over (partition by event_id % 700, event_id % 2 order by event_id desc) = 1""",
     "cost_estimate": "select test, cast(sum(micro) / 1000000 as decimal(28,9)) as expected, cast(sum(micro) * 6 / 1000000 as decimal(28,9)) as worst_case, count(*) as trials, string_agg(distinct provider, ',' order by provider) as providers from estimates group by test",
     "actual_cost": "select model_id, category, cast(sum((800 + seed) * cast(pin as decimal(18,6)) + 100 * cast(pout as decimal(18,6))) filter (where category = 'ok') / 1000000 as decimal(28,9)) as cost_usd, count(*) filter (where category = 'ok') as known, count(*) as attempts from attempts join (select trial_id, model_id from trials) using (trial_id) join prices using (model_id) group by all",

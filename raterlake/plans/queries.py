@@ -11,6 +11,7 @@ from ..functions import ids, numbers, seeds
 from ..operators import export, leak, ledger, panel, planning, rater, references, scoring, screening, status
 from ..operators import trials as trial_ops
 from ..schema import ATTRITION_COUNTS, TRAITS, TRIAL_STATES
+from ..sources import files
 from . import driverdata as d
 
 STUDY_SEED = 7
@@ -140,7 +141,8 @@ def attempt_outcomes(spark, sf):
 
 @query
 def missing_attempts(spark, sf):
-    return trial_ops.orphans(d.trials(spark, sf), d.attempts(spark, sf).filter("seed % 10 <> 0"))
+    """Trials that name an attempt which was never answered."""
+    return trial_ops.orphans(d.trials(spark, sf), d.attempts(spark, sf).filter("category = 'ok'"))
 
 
 @query
@@ -213,7 +215,7 @@ def current_results(spark, sf):
 
 @query
 def supersession(spark, sf):
-    return screening.supersession(d.results(spark, sf).filter("pos < 400 or run_id not in ('s5', 's6')"), d.runs(spark))
+    return screening.supersession(d.results(spark, sf), d.runs(spark))
 
 
 @query
@@ -376,14 +378,14 @@ def answer_key_set_check(spark, sf):
 @query
 def reissue_mismatches(spark, sf):
     a = d.attempts(spark, sf).join(d.trials(spark, sf).select("trial_id", "model_id"), "trial_id")
-    return references.reissue_mismatches(d.archive(spark, sf), a.filter("seed % 20 <> 6").withColumn("sent", F.lit(True)))
+    return references.reissue_mismatches(d.archive(spark, sf), a.filter("category <> 'transient'").withColumn("sent", F.lit(True)))
 
 
 @query
 def archive_last_line_wins(spark, sf):
-    lines = d.raw_answers(spark, sf).filter("id like 'e%'").select((F.substring("id", 2, 20).cast("bigint")).alias("line_no"), "raw")
+    lines = d.event_answers(spark, sf).select(F.col("event_id").alias("line_no"), "raw", F.lit("record").alias("kind"))
     keyed = lines.withColumn("trial_id", F.concat(F.lit("o"), (F.col("line_no") % 700).cast("string"))).withColumn("attempt", (F.col("line_no") % 2).cast("int"))
-    return keyed.groupBy("trial_id", "attempt").agg(F.max("line_no").alias("line_no"), F.max_by("raw", "line_no").alias("raw"))
+    return files.last_lines(keyed).select("trial_id", "attempt", "line_no", "raw")
 
 
 def _asked(spark, sf):

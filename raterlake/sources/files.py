@@ -15,12 +15,14 @@ ARCHIVE = "trial_id string, attempt int, seed bigint, model_id string, request_s
 
 
 def archive_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, line, complete of every line of an append-only archive. Lines are numbered in
-    file order; an unterminated last line is not complete: its writer was cut off.
+    """path, line_no, line, complete of every line of an append-only archive, a file or a
+    folder of `append_archive`. Lines are numbered within their file; files come in order of
+    path, which for appended ones is the order of the appends. An unterminated last line is
+    not complete: its writer was cut off.
 
     One file is one row of the source, so archives are to be rotated by size; many files
     are read in parallel."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.decode("content", "UTF-8").alias("text"))
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), F.size(F.split("text", "\n")).alias("n"))
     return lines.filter("line_no < n - 1 or line <> ''").select("path", "line_no", "line", (F.col("line_no") < F.col("n") - 1).alias("complete"))
 
@@ -37,8 +39,9 @@ def classified(lines: DataFrame) -> DataFrame:
     return rows.withColumn("trial_id", F.when(record, tid)).withColumn("attempt", F.when(record, attempt))
 
 
-def last_lines(rows: DataFrame, order: str = "line_no") -> DataFrame:
-    """The last record of each key."""
+def last_lines(rows: DataFrame) -> DataFrame:
+    """The last record of each key, by path (where there is one), then line_no."""
+    order = F.struct(*[c for c in ("path", "line_no") if c in rows.columns])
     records = rows.filter("kind = 'record'")
     keep = [c for c in records.columns if c not in ("trial_id", "attempt")]
     return records.groupBy("trial_id", "attempt").agg(F.max_by(F.struct(*keep), order).alias("r")).select("trial_id", "attempt", "r.*")
@@ -53,7 +56,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def blinding_key(spark: SparkSession, path: str) -> DataFrame:
-    """clip_id, factor, level of a long CSV, one row per clip and factor: the last line wins."""
+    """clip_id, factor, level of one long CSV file, one row per clip and factor: the last
+    line wins."""
     rows = spark.read.schema("clip_id string, factor string, level string").option("header", True).csv(path)
     placed = rows.withColumn("pos", F.monotonically_increasing_id())
     return placed.groupBy("clip_id", "factor").agg(F.max_by("level", "pos").alias("level"), F.max("pos").alias("pos"))
@@ -108,9 +112,18 @@ def instruments(spark: SparkSession, documents: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "instrument string, item_id string, type string, points int, options array<string>, pos int, construct string, reversed boolean, subscale string")
 
 
-def append_archive(df: DataFrame, path: str) -> None:
-    """Rows as JSON lines, added to an archive folder; nulls are written."""
-    df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
+def append_archive(df: DataFrame, path: str) -> int:
+    """Rows as JSON lines, added to an archive folder; nulls are written. Each append is a
+    numbered folder of its own, so later ones sort after earlier ones; the number is given
+    back. One writer appends at a time: the folder of another's number is refused."""
+    spark = df.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    number = max([int(n[7:]) for n in names if n.startswith("append-") and n[7:].isdigit()], default=0) + 1
+    lines = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    lines.write.mode("errorifexists").text(f"{path.rstrip('/')}/append-{number:012d}")
+    return number
 
 
 def load_json(text: str) -> object:

@@ -1,8 +1,10 @@
 """Study tables as versioned Parquet folders.
 
 A table is a folder of numbered versions; readers use the newest complete one, writers add
-one more, so a read never sees half a write and nothing is changed in place. Folders are
-listed and renamed through the file system Spark uses, wherever they are."""
+one more, so a read never sees half a write and nothing is changed in place. A writer first
+claims the number of its version with a file that only one can create, then writes, then
+renames; a second writer that saw the same versions is refused, so no update is lost.
+Folders are listed and renamed through the file system Spark uses, wherever they are."""
 
 from __future__ import annotations
 
@@ -49,29 +51,47 @@ class StudyStore:
         """Several tables, each resolved to one version once."""
         return {t: self.read(t) for t in tables}
 
-    def replace(self, table: str, df: DataFrame) -> int:
-        """The rows as the next version. Refused if keys repeat."""
-        rows = _conform(df, table)
+    def _claim(self, table: str, version: int):
+        """A file that marks the version as being written, made by one writer only."""
+        claim = self._path(f"{self._folder(table)}/.claims/v{version}")
+        try:
+            self._fs.create(claim, False).close()
+        except Exception as err:
+            if self._fs.exists(claim):
+                raise EngineError("store_busy", f"{table} v{version} is written by another") from err
+            raise
+        return claim
+
+    def replace(self, table: str, df: DataFrame, after: int | None = None) -> int:
+        """The rows as the next version, which is the one after `after` if given: refused if
+        another writer has that one, or if keys repeat."""
+        rows, found = _conform(df, table), self.versions(table)
+        version = (found or [0])[-1] + 1 if after is None else after + 1
         key = KEYS.get(table)
         if key:
             twice = rows.groupBy(*key).count().filter("count > 1").limit(1).collect()
             if twice:
                 raise EngineError("duplicate_key", f"{table}: {twice[0].asDict()}")
         aside = f"{self._folder(table)}/.{uuid.uuid4().hex}"
-        rows.write.parquet(aside)
-        version = (self.versions(table) or [0])[-1] + 1
-        if not self._fs.rename(self._path(aside), self._path(f"{self._folder(table)}/v{version}")):
+        claim = self._claim(table, version)
+        try:
+            rows.write.parquet(aside)
+            if not self._fs.rename(self._path(aside), self._path(f"{self._folder(table)}/v{version}")):
+                raise EngineError("store_busy", f"{table} v{version} could not be put in place")
+        except BaseException:
             self._fs.delete(self._path(aside), True)
-            raise EngineError("store_busy", f"{table} v{version} was written meanwhile")
+            self._fs.delete(claim, False)
+            raise
         return version
 
     def append(self, table: str, df: DataFrame) -> int:
         """A new version with the rows added; refused if a key is there already."""
-        rows, old = _conform(df, table), self.read(table)
+        rows, seen = _conform(df, table), (self.versions(table) or [0])[-1]
+        old = self.read(table, seen or None)
         key = KEYS.get(table)
         if key and not rows.join(old.select(*key), key, "left_semi").isEmpty():
             raise EngineError("duplicate_key", table)
-        return self.replace(table, old.unionByName(rows))
+        return self.replace(table, old.unionByName(rows), after=seen)
 
     def exists(self, table: str, predicate: str = "true") -> bool:
         return not self.read(table).filter(predicate).limit(1).isEmpty()

@@ -63,7 +63,27 @@ def test_texts_and_appends(spark, tmp_path):
     df = spark.createDataFrame([("x", None)], "b string, a string")
     for _ in range(2):
         files.append_archive(df, str(tmp_path / "arch"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "arch")).collect()] == ['{"a":null,"b":"x"}'] * 2
+    assert [r.value for r in spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "arch")).collect()] == ['{"a":null,"b":"x"}'] * 2
+
+
+def test_later_appends_win(spark, tmp_path):
+    for i, raw in enumerate(("old", "middle", "new")):
+        df = spark.createDataFrame([("t1", 1, raw), (f"t{i + 2}", 1, "own")], "trial_id string, attempt int, raw string")
+        assert files.append_archive(df, str(tmp_path / "arch")) == i + 1
+    got = {r.trial_id: r.raw for r in files.read_archive(spark, str(tmp_path / "arch")).collect()}
+    assert got == {"t1": "new", "t2": "own", "t3": "own", "t4": "own"}
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    """Of two writers that read the same version, the later one is refused and loses nothing."""
+    row = lambda c: spark.createDataFrame([(c, 1.0)], "clip_id string, duration_s double")
+    one, two = StudyStore(spark, str(tmp_path / "s")), StudyStore(spark, str(tmp_path / "s"))
+    assert one.append("clips", row("c1")) == 1
+    two.versions = lambda table: [1]  # what the second has seen before the first went on
+    assert one.append("clips", row("c2")) == 2
+    with pytest.raises(EngineError, match="store_busy"):
+        two.append("clips", row("c3"))
+    assert {r.clip_id for r in one.read("clips").collect()} == {"c1", "c2"} and one.versions("clips") == [1, 2]
 
 
 def test_store_versions(spark, tmp_path):
