@@ -125,17 +125,25 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 
 def write_together(spark, frames: dict[str, DataFrame], folder: str, single_file: bool = False) -> None:
-    """All outputs or none: written aside, then renamed in the file system of `folder`."""
+    """All outputs or none: written to a folder beside, which then takes the place of `folder`
+    with one rename. A folder that was there before goes, or comes back if that fails; no
+    reader sees outputs of two exports together."""
     conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    aside = f"{folder.rstrip('/')}/.{uuid.uuid4().hex}"
-    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
+    folder, mark = folder.rstrip("/"), uuid.uuid4().hex
     path = jvm.org.apache.hadoop.fs.Path
+    final, new, old = path(folder), path(f"{folder}.{mark}"), path(f"{folder}.{mark}-was")
+    fs = final.getFileSystem(conf)
     try:
         for name, df in frames.items():
-            write_csv(df, os.path.join(aside, name), single_file)
-        for name in frames:
-            fs.delete(path(os.path.join(folder, name)), True)
-            if not fs.rename(path(os.path.join(aside, name)), path(os.path.join(folder, name))):
-                raise EngineError("export_failed", name)
+            write_csv(df, os.path.join(new.toString(), name), single_file)
+        there = fs.exists(final)
+        if there and not fs.rename(final, old):
+            raise EngineError("export_failed", folder)
+        if not fs.rename(new, final):
+            if there:
+                fs.rename(old, final)
+            raise EngineError("export_failed", folder)
     finally:
-        fs.delete(path(aside), True)
+        fs.delete(new, True)
+        if fs.exists(final):
+            fs.delete(old, True)

@@ -5,7 +5,7 @@ views it starts from are those of driverdata.py."""
 
 from __future__ import annotations
 
-from ..schema import TRAITS
+from ..schema import TRAITS, TRIAL_STATES
 from . import driverdata as d
 
 VIEWS: dict[str, str] = {
@@ -116,6 +116,10 @@ BODIES: dict[str, str] = {
     "running_trials": "select test, count(*) as running from trials where state in ('planned', 'sent') group by test",
     "committed_spend": "select cast(sum(coalesce(actual_usd, reserved_usd)) as decimal(28,4)) as committed_usd from attempts",
     "cost_by_group": "select test, model_id, instrument, cast(sum(coalesce(actual_usd, reserved_usd)) as decimal(28,4)) as cost_usd from attempts join (select trial_id, test, model_id, instrument from trials) using (trial_id) group by all",
+    "cost_footer": "select committed_usd, cast(ceiling_usd as decimal(28,4)) as ceiling_usd, cast(ceiling_usd - committed_usd as decimal(28,4)) as left_usd from (select cast(sum(coalesce(actual_usd, reserved_usd)) as decimal(28,4)) as committed_usd from attempts), (select ceiling_usd from changes order by seq desc limit 1)",
+    "status_document": "select test, model, agent, concat('{', "
+    + ", ".join(f"""'{"," if i else ""}"{c}":', {c}""" for i, c in enumerate((*TRIAL_STATES, "trials", "retried")))
+    + f", '}}') as document from (select test, case when grouping(model_id) = 1 then '*' else model_id end as model, case when grouping(agent_id) = 1 then '*' else agent_id end as agent, {_STATES}, count(*) as trials, cast(sum(greatest(attempt - 1, 0)) as bigint) as retried from {_COSTED} group by grouping sets ((test, model_id, agent_id), (test, model_id), (test)))",
     "current_ceiling": "select ceiling_usd from changes order by seq desc limit 1",
     "ceiling_history": "select seq, ceiling_usd, lag(ceiling_usd) over (order by seq) as previous_usd from changes",
     "running_committed": "select seq, step, delta, committed from replay",

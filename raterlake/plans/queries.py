@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, numbers, seeds
-from ..operators import export, leak, ledger, panel, planning, rater, references, scoring, screening, status
+from ..operators import export, leak, ledger, panel, planning, rater, references, scoring, screening, status, study
 from ..operators import trials as trial_ops
 from ..schema import ATTRITION_COUNTS, TRAITS, TRIAL_STATES
 from ..sources import files
@@ -84,6 +84,17 @@ def current_ceiling(spark, sf):
     return ledger.current_ceiling(d.ceiling_changes(spark, sf))
 
 
+@query
+def cost_footer(spark, sf):
+    out = study.cost_footer(d.attempts(spark, sf), d.ceiling_changes(spark, sf))
+    return out.select(_cost("committed_usd"), _cost("ceiling_usd"), _cost("left_usd"))
+
+
+@query
+def status_document(spark, sf):
+    return study.status_document(status.status_rollup(d.trials(spark, sf), d.attempts(spark, sf)))
+
+
 @query
 def ceiling_history(spark, sf):
     return ledger.ceiling_history(d.ceiling_changes(spark, sf))
