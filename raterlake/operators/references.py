@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from . import ledger
 
 
 def unknown_references(used: DataFrame, known: DataFrame, column: str) -> DataFrame:
@@ -30,10 +31,10 @@ def kind_overlap(test_clips: DataFrame, tests: DataFrame, kinds: tuple[str, ...]
 
 
 def natural_ranks(rows: DataFrame, column: str) -> DataFrame:
-    """Distinct values with their rank in natural order. Meant for names (agents, sessions of
-    one report), which one task sorts; use natural_key in orderBy for more."""
-    names = rows.select(column).distinct()
-    return names.withColumn("rank", F.row_number().over(Window.orderBy(ids.natural_key(column))))
+    """Distinct values with their rank in natural order, numbered range by range."""
+    names = rows.select(column).distinct().withColumn("_key", ids.natural_key(column)).withColumn("_one", F.lit(1))
+    ranked = ledger.running_sums(names, ["_key", column], "_one", "rank")
+    return ranked.select(column, F.col("rank").cast("int").alias("rank"))
 
 
 def reissue_mismatches(archive: DataFrame, attempts: DataFrame) -> DataFrame:

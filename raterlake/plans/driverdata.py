@@ -4,6 +4,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,14 @@ PRICES = [("m1", "alpha", "1.25", "5", "263", "4", 100), ("m2", "beta", "0.075",
 #: model, place, most seconds, most bytes, base64
 LIMITS = [("m1", 0, 95.0, 120000, True), ("m2", 1, 60.0, 400000, False), ("m3", 2, 200.0, 99000, True)]
 CEILING = "40000000"
+INSTRUCTIONS = 'Look closely. "Quote" nothing; é stays.'
+#: instrument, place, clips, intended answer
+EXAMPLES = [
+    ("1-URGENT", 0, ["c1", "c102"], '{"better": "A"}'), ("3-MEDIUM", 0, ["c1"], '{"trust": 6, "like": 2}'),
+    ("3-MEDIUM", 1, ["c3"], '{"like": 4, "trust": 1}'), ("3-MEDIUM", 2, ["c4"], '{"like": 5, "trust": 5}'),
+]
+#: name, kind
+TESTS = [("t1", "main"), ("t2", "pilot"), ("t3", "screening"), ("t4", "main"), ("t5", "pilot")]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -239,3 +249,79 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = a.filter("k <> 1").select("trial_id", "attempt", F.when(F.col("k") == 2, F.lit("?")).otherwise(sha).alias("request_sha256"), F.when(F.col("k") == 3, F.col("seed") + 1).otherwise(F.col("seed")).alias("seed"), F.when(F.col("k") == 4, F.lit("m0")).otherwise(F.col("model_id")).alias("model_id"), sha.alias("body_sha256"))
     twice = a.filter("k = 5").select("trial_id", "attempt", sha.alias("request_sha256"), "seed", "model_id", F.concat(sha, F.lit("x")).alias("body_sha256"))
     return kept.union(twice)
+
+
+def request_items(instrument: str) -> list[dict]:
+    """The items of an instrument as a request lists them."""
+    anchors = lambda kind: {"high": "very", "low": "not at all"} if kind == "likert" else None
+    return [{"anchors": anchors(kind), "id": item, "options": options, "points": points, "text": f"How {item}?", "type": kind} for name, item, kind, points, options, _ in ITEMS if name == instrument]
+
+
+def answer_schema(instrument: str) -> dict:
+    kinds = {i["id"]: {"type": "integer" if i["type"] == "likert" else "string"} for i in request_items(instrument)}
+    return {"type": "object", "properties": kinds, "required": list(kinds)}
+
+
+def instruments(spark: SparkSession) -> DataFrame:
+    names = list(dict.fromkeys(i[0] for i in ITEMS))
+    rows = [(n, INSTRUCTIONS, request_items(n), json.dumps(answer_schema(n)), {"default": f"Answer {n}."}) for n in names]
+    item = "struct<anchors:struct<high:string,low:string>,id:string,options:array<string>,points:int,text:string,type:string>"
+    return spark.createDataFrame(rows, f"instrument string, instructions string, items array<{item}>, schema string, variants map<string,string>")
+
+
+def examples(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(EXAMPLES, "instrument string, pos int, clips array<string>, answer string")
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personas(spark, sf_dir).select(F.col("id").alias("persona_id"), F.concat(F.lit("You live in "), "nation", F.lit(".\nYou buy "), "segment", F.lit(".")).alias("card"))
+
+
+def clip_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clips(spark, sf_dir).select("clip_id", F.sha2("clip_id", 256).alias("sha256"))
+
+
+def _events(rows: DataFrame, events: list[tuple[int, dict]], columns: dict[str, str]) -> DataFrame:
+    """For each attempt, its events: their place in the attempt and the columns they set."""
+    one = lambda at, given: F.struct((F.col("attempt") * 10 + at).alias("seq"), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+    return rows.select("trial_id", "attempt", F.explode(F.array(*[one(at, given) for at, given in events])).alias("e")).select("trial_id", "attempt", "e.*")
+
+
+def attempt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attempt is sent, given a handle, and answered."""
+    set_by = [(0, {"sent_at": F.col("sent_at")}), (1, {"handle": F.col("handle")}), (2, {"category": F.col("category"), "valid": F.col("valid")})]
+    rows = attempts(spark, sf_dir)
+    return _events(rows, set_by, {"sent_at": rows.schema["sent_at"].dataType, "handle": "string", "category": "string", "valid": "boolean"})
+
+
+def state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.when(F.col("valid"), "valid").when(~F.col("valid"), "invalid").when(F.col("category") == "refused", "refused").otherwise("sent")
+    return _events(attempts(spark, sf_dir), [(0, {"state": F.lit("sent")}), (2, {"state": end})], {"state": "string"})
+
+
+def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reservation, the actual cost, and nothing to pay for what was refused."""
+    free = F.when(F.col("category") == "refused", 0)
+    set_by = [(0, {"reserved_usd": F.col("reserved_usd")}), (1, {"actual_usd": F.col("actual_usd")}), (2, {"actual_usd": free})]
+    return _events(attempts(spark, sf_dir), set_by, {"reserved_usd": "decimal(18,2)", "actual_usd": "decimal(18,4)"})
+
+
+def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = trials(spark, sf_dir).groupBy(F.col("test").alias("name")).agg(F.collect_set("instrument").alias("instruments"))
+    return spark.createDataFrame(TESTS, "name string, kind string").join(used, "name", "left")
+
+
+def test_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trials(spark, sf_dir)
+    target = t.select("test", F.explode("clip_ids").alias("clip_id"), F.lit("target").alias("role"))
+    return target.union(t.select("test", F.lit("c1").alias("clip_id"), F.lit("practice").alias("role"))).distinct()
+
+
+def usage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per attempt, the usage that two kinds of provider report; none for transient ones."""
+    n = F.col("seed")
+    detail = lambda kind, count: F.struct(F.lit(kind).alias("modality"), count.alias("token_count"))
+    a = F.struct((n + 100).alias("prompt_token_count"), F.lit(3).alias("tool_use_prompt_token_count"), n.alias("candidates_token_count"), F.when(F.col("valid"), n % 7).alias("thoughts_token_count"), F.array(detail("text", n), detail("VIDEO", n * 2), detail("Video", F.lit(1).cast("long"))).alias("prompt_tokens_details"))
+    b = F.struct((n + 50).alias("prompt_tokens"), n.alias("completion_tokens"), F.struct(F.lit(5).alias("text_tokens"), F.when(F.col("valid"), n).alias("video_tokens")).alias("prompt_tokens_details"))
+    answered = F.col("category") != "transient"
+    return attempts(spark, sf_dir).select("trial_id", "attempt", F.when(answered, F.to_json(a)).alias("by_modality"), F.when(answered, F.to_json(b)).alias("by_details"))

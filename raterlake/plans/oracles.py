@@ -5,6 +5,9 @@ views it starts from are those of driverdata.py."""
 
 from __future__ import annotations
 
+import json
+
+from ..functions.jsons import canonical
 from ..schema import TRAITS, TRIAL_STATES
 from . import driverdata as d
 
@@ -189,6 +192,61 @@ BODIES: dict[str, str] = {
 }
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _request_views() -> None:
+    """The constant parts of requests, put together by a plain loop per instrument."""
+    import hashlib
+
+    ref = lambda c: {"clip_id": c, "sha256": hashlib.sha256(c.encode()).hexdigest()}
+    media = lambda c, role: f"media|{c}|{ref(c)['sha256']}|{role}"
+    rows = []
+    for name in dict.fromkeys(i[0] for i in d.ITEMS):
+        before, used, shown = [], [], []
+        for _, pos, clips, answer in [e for e in d.EXAMPLES if e[0] == name][:2]:
+            labels = ["text|Video A:", "text|Video B:"] if len(clips) == 2 else [None]
+            before.append(f"text|Practice example {pos + 1}:")
+            for label, clip in zip(labels, clips):
+                before += [label] if label else []
+                before.append(media(clip, "practice"))
+            before.append("text|Intended answer: " + canonical(json.loads(answer)))
+            used.append({"answer": json.loads(answer), "clips": [ref(c) for c in clips]})
+            shown += [c for c in clips if c not in shown]
+        items, schema = canonical(d.request_items(name)), canonical(d.answer_schema(name))
+        cells = [name, "".join("\n" + x for x in before), items, canonical(used), schema, f"\ntext|Items: {items}\ntext|Response schema: {schema}", "|".join(shown)]
+        rows.append("(" + ", ".join([*map(_quoted, cells), str(len(before))]) + ")")
+    VIEWS["forms"] = "select * from (values " + ", ".join(rows) + ") v(instrument, before, items, used, schema, after, shown, n_before)"
+    VIEWS["asked"] = """select t.*, f.*, concat('You live in ', p.nation, '.', chr(10), 'You buy ', p.segment, '.') as card, case when x.clip_id is null or (t.pairwise and y.clip_id is null) then 'unknown_clip' end as problem
+  from trials t join forms f using (instrument) join personas p on p.id = t.persona_id left join clips x on x.clip_id = clip_a left join clips y on y.clip_id = clip_b"""
+
+
+_request_views()
+_REF = """concat('{{"clip_id":"', {0}, '","sha256":"', sha256({0}), '"}}')"""
+_TEXT = _quoted(canonical(d.INSTRUCTIONS))
+BODIES |= {
+    "rendered_requests": f"""select trial_id, problem, case when problem is null then sha256(concat('{{"clips":[', {_REF.format('clip_a')}, case when pairwise then concat(',', {_REF.format('clip_b')}) end, '],"instructions":', {_TEXT}, ',"items":', items, ',"persona_card":"', replace(card, chr(10), '\\n'),
+  '","practice":', used, ',"prompt":"Answer ', instrument, '.","response_schema":', schema, '}}')) end as request_sha256,
+  case when problem is null then array_to_string(list_concat(case when shown = '' then [] else string_split(shown, '|') end, list_filter(case when pairwise then [clip_a, clip_b] else [clip_a] end, lambda x: not list_contains(string_split(shown, '|'), x))), '|') end as clips from asked""",
+    "prompt_parts": f"""select trial_id, case when problem is null then cast(2 + n_before + case when pairwise then 4 else 2 end + 3 as int) end as n_parts, case when problem is null then sha256(concat('text|', card, chr(10), 'text|', {_quoted(d.INSTRUCTIONS)}, before,
+  case when pairwise then concat(chr(10), 'text|Video A:', chr(10), 'media|', clip_a, '|', sha256(clip_a), '|target', chr(10), 'text|Video B:', chr(10), 'media|', clip_b, '|', sha256(clip_b), '|target')
+  else concat(chr(10), 'text|Video to rate:', chr(10), 'media|', clip_a, '|', sha256(clip_a), '|target') end, chr(10), 'text|Answer ', instrument, '.', after)) end as prompt_sha256 from asked""",
+    "practice_chosen": "select instrument, cast(pos + 1 as int) as n, clips from (values " + ", ".join(f"('{i}', {p}, '{'|'.join(c)}')" for i, p, c, _ in d.EXAMPLES) + ") v(instrument, pos, clips) where pos < 2",
+    "usage_totals": """select sum(seed + 103)::bigint as a_input_tokens, sum(seed + case when valid = 1 then seed % 7 else 0 end)::bigint as a_output_tokens, sum(seed)::bigint as a_text_tokens, sum(2 * seed + 1)::bigint as a_video_tokens, sum(0)::bigint as a_audio_tokens, sum(case when valid = 1 then seed % 7 else 0 end)::bigint as a_thoughts_tokens,
+  sum(seed + 50)::bigint as b_input_tokens, sum(seed)::bigint as b_output_tokens, sum(5)::bigint as b_text_tokens, sum(case when valid = 1 then seed end)::bigint as b_video_tokens, cast(null as bigint) as b_audio_tokens, cast(null as bigint) as b_reasoning_tokens, count(*) as reports from attempts where category <> 'transient'""",
+    "error_codes": "select concat('ratelimit', category) as code, count(*) as n from attempts group by all",
+    "attempts_from_events": "select trial_id, attempt, sent_at, handle, category, valid = 1 as valid from attempts",
+    "states_from_events": "select trial_id, coalesce(min_by(case when valid = 1 then 'valid' when valid = 0 then 'invalid' else 'refused' end, attempt) filter (where category <> 'transient'), 'sent') as state from attempts group by trial_id",
+    "ledger_from_events": "select trial_id, attempt, cast(reserved_usd as decimal(28,4)) as reserved_usd, cast(case when category = 'refused' then 0 else actual_usd end as decimal(28,4)) as actual_usd from attempts",
+    "tests_with_clips": """select name, kind, coalesce(string_agg(concat(role, ':', clip_id), '|' order by role desc, clip_id) filter (where clip_id is not null), '') as clips from (values """ + ", ".join(map(str, d.TESTS)) + """) v(name, kind)
+  left join (select distinct * from (select test, 'target' as role, clip_a as clip_id from trials union all select test, 'target', clip_b from trials where pairwise union all select test, 'practice', 'c1' from trials)) on test = name group by all""",
+    "gate_decisions": """select coalesce(s.test, x.test) as test, coalesce(stamped, 0) as stamped, coalesce(excluded, 0) as excluded, coalesce(unstamped, 0) as unstamped from (select test, count(distinct (model_id, instrument)) as stamped from trials where state = 'valid' group by test) s
+  full join (select test, count(*) as excluded, count(*) filter (where not exists (select 1 from trials v where v.state = 'valid' and v.test = l.test and v.model_id = l.model_id and v.instrument = l.instrument)) as unstamped from (select distinct test, agent_id, model_id, instrument from trials where state = 'failed') l group by test) x on x.test = s.test""",
+    "needed_instruments": "select instrument, string_agg(distinct test, '|' order by test) as tests from trials where test in ('t1', 't2', 't4') and instrument not in ('5-LOW', '3-MEDIUM') group by instrument",
+}
+
+
 def _needed(body: str) -> list[str]:
     """The views that a statement uses, directly or through others, in order of definition."""
     import re

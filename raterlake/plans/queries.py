@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, numbers, seeds
-from ..operators import export, leak, ledger, panel, planning, rater, references, scoring, screening, status, study
+from ..operators import events, export, leak, ledger, panel, planning, rater, references, registry, requests, scoring, screening, status, study
 from ..operators import trials as trial_ops
 from ..schema import ATTRITION_COUNTS, TRAITS, TRIAL_STATES
 from ..sources import files
@@ -501,5 +501,72 @@ def offline_answers(spark, sf):
     return rater.rated(a, d.items(spark), {"transient": 0.05, "refused": 0.03, "fatal": 0.01}, 0.1)
 
 
+def _rendered(spark, sf):
+    return requests.rendered(d.trials(spark, sf), d.cards(spark, sf), d.instruments(spark), d.examples(spark), d.clip_hashes(spark, sf), 2)
+
+
+@query
+def rendered_requests(spark, sf):
+    return _rendered(spark, sf).select("trial_id", "problem", F.sha2("request", 256).alias("request_sha256"), F.array_join("clip_ids", "|").alias("clips"))
+
+
+@query
+def prompt_parts(spark, sf):
+    line = lambda p: F.concat_ws("|", p["kind"], p["text"], p["clip_id"], p["sha256"], p["role"])
+    return _rendered(spark, sf).select("trial_id", F.size("parts").alias("n_parts"), F.sha2(F.array_join(F.transform("parts", line), "\n"), 256).alias("prompt_sha256"))
+
+
+@query
+def practice_chosen(spark, sf):
+    return requests.practice(d.examples(spark), 2).select("instrument", "n", F.array_join("clips", "|").alias("clips"))
+
+
+@query
+def usage_totals(spark, sf):
+    u = d.usage_reports(spark, sf).select(requests.usage_by_modality(F.col("by_modality")).alias("a"), requests.usage_by_details(F.col("by_details")).alias("b"))
+    fields = {"a": ["input_tokens", "output_tokens", "text_tokens", "video_tokens", "audio_tokens", "thoughts_tokens"], "b": ["input_tokens", "output_tokens", "text_tokens", "video_tokens", "audio_tokens", "reasoning_tokens"]}
+    return u.agg(*[F.sum(f"{k}.{c}").alias(f"{k}_{c}") for k, names in fields.items() for c in names], F.count("a").alias("reports"))
+
+
+@query
+def error_codes(spark, sf):
+    return d.attempts(spark, sf).groupBy(requests.error_code(F.concat(F.lit("Rate_Limit."), "category")).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query
+def attempts_from_events(spark, sf):
+    return events.attempts_now(d.attempt_events(spark, sf), ["sent_at", "handle", "category", "valid"])
+
+
+@query
+def states_from_events(spark, sf):
+    return events.states_now(d.state_events(spark, sf))
+
+
+@query
+def ledger_from_events(spark, sf):
+    return events.ledger_now(d.ledger_events(spark, sf)).select("trial_id", "attempt", _cost("reserved_usd"), _cost("actual_usd"))
+
+
+@query
+def tests_with_clips(spark, sf):
+    out = registry.tests_with_clips(d.tests(spark, sf), d.test_clips(spark, sf))
+    return out.select("name", "kind", F.array_join(F.transform("clips", lambda c: F.concat_ws(":", c["role"], c["clip_id"])), "|").alias("clips"))
+
+
+@query
+def gate_decisions(spark, sf):
+    t = d.trials(spark, sf)
+    lost = t.filter("state = 'failed'").select("test", "agent_id", "model_id", "instrument").distinct()
+    return registry.gate_decisions(t.filter("state = 'valid'"), lost)
+
+
+@query
+def needed_instruments(spark, sf):
+    given = spark.createDataFrame([("5-LOW", "self"), ("3-MEDIUM", "covered")], "instrument string, why string")
+    out = registry.needed_instruments(d.tests(spark, sf), given.filter("why = 'self'"), given.filter("why = 'covered'"))
+    return out.select("instrument", F.array_join("tests", "|").alias("tests"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
