@@ -8,7 +8,12 @@ for every character it writes the span of source characters it stands for:
    scripts and dots of other scripts become ASCII, invisible characters vanish;
 2. spelled digits: runs of at least two digit words become digits, and `plus` before a
    digit becomes `+`;
-3. disguised `at` and `dot`, bracketed, or as plain words where both stand in one address.
+3. disguised `at` and `dot`, bracketed, or as plain words where both stand in one address;
+   names of @ that mean nothing else (`arroba`) need no disguised dot.
+
+Words are those of English, German, Spanish and French, apart by four blanks at most of any
+kind. Not seen: words of other languages, digits in words above nine, and `at` before an
+ordinary dot (`look at example.com` is prose).
 
 The same patterns are matched on the result, and each span is mapped back to the source.
 Base spans always stay; a mapped span is added unless it overlaps a span of its own kind.
@@ -48,20 +53,61 @@ HOMOGLYPHS = {
 }
 #: Characters that are not seen.
 INVISIBLE = "­​‌‍⁠﻿"
-#: English digit words.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-
-_DIGIT = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_SPELLED = re.compile(rf"\b{_DIGIT}(?:(?:[\x20-]|\x20?-\x20?){_DIGIT})+\b", re.IGNORECASE)
+#: Digit words in English, German, Spanish and French.
+DIGITS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+}
+#: Names of @ that mean nothing else between two words, and names of the dot.
+#: `at` is a word of prose, and so is `point` after it.
+AT_NAMES = "arroba|arobase|arobas|klammeraffe|ät"
+DOT_NAMES = "dot|punkt|punto"
+
+_B = r"[\x20\x09-\x0D]"
+_GAP = _B + "{1,4}"
+_NO_GAP = _B + "{0,4}"
+_DIGIT = f"(?:{'|'.join(DIGITS)})"
+_SPELLED = re.compile(rf"\b{_DIGIT}(?:(?:{_GAP}|{_B}?-{_B}?){_DIGIT})+\b", re.IGNORECASE)
 _ONE_DIGIT = re.compile(rf"\b{_DIGIT}\b", re.IGNORECASE)
-_PLUS = re.compile(r"\bplus\x20(?=\+?[0-9])", re.IGNORECASE)
-_DOTTED = re.compile(rf"\b(?:{_DIGIT}|[0-9]+)(?:\x20?(?:\.|\bdot\b|\bpoint\b)\x20?(?:{_DIGIT}|[0-9]+)(?:\x20{_DIGIT})*)+\b", re.IGNORECASE)
-_DOT_WORD = re.compile(r"\x20?\b(?:dot|point)\b\x20?", re.IGNORECASE)
-_BRACKETED = re.compile(r"\x20?[\[({<]\x20?(at|dot|@|\.)\x20?[\])}>]\x20?", re.IGNORECASE)
+_PLUS = re.compile(rf"\b(?:plus|más|mas){_GAP}(?=\+?[0-9])", re.IGNORECASE)
+_DOTTED = re.compile(rf"\b(?:{_DIGIT}|[0-9]+)(?:(?:\x20?\.\x20?|{_NO_GAP}\b(?:{DOT_NAMES}|point)\b{_NO_GAP})(?:{_DIGIT}|[0-9]+)(?:{_GAP}{_DIGIT})*)+\b", re.IGNORECASE)
+_DOT_WORD = re.compile(rf"{_NO_GAP}\b(?:{DOT_NAMES}|point)\b{_NO_GAP}", re.IGNORECASE)
+_BRACKETED = re.compile(rf"{_NO_GAP}[\[({{<]{_B}?(?:(at|@|{AT_NAMES})|{DOT_NAMES}|point|\.){_B}?[\])}}>]{_NO_GAP}", re.IGNORECASE)
 _LABEL = r"[A-Za-z0-9-]{1,63}"
-_PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(\x20at\x20|\x20?@\x20?){_LABEL}((?:(?:\x20dot\x20|\.|\x20\.\x20){_LABEL})+)", re.IGNORECASE)
-_PLAIN_DOT = re.compile(r"\x20dot\x20|\x20\.\x20", re.IGNORECASE)
-_SIGN = re.compile(rf"[^\x00-ɏ‐-⁄₠-₿]|[ ­·‐-–․]|\x20(?:dot|point)\x20|\x20@|@\x20|[\[({{<]\x20?(?:at|dot|@|\.)\x20?[\])}}>]|\b{_DIGIT}[\x20-]{{1,3}}{_DIGIT}\b|\bplus\x20", re.IGNORECASE)
+_LOCAL_PART = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}"
+_PLAIN = re.compile(rf"{_LOCAL_PART}({_GAP}at{_GAP}|{_NO_GAP}@{_NO_GAP}){_LABEL}((?:(?:{_GAP}(?:{DOT_NAMES}){_GAP}|\.|\x20\.\x20){_LABEL})+)", re.IGNORECASE)
+_NAMED = re.compile(rf"{_LOCAL_PART}({_GAP}(?:{AT_NAMES}){_GAP}){_LABEL}((?:(?:{_GAP}(?:{DOT_NAMES}|point){_GAP}|\.|\x20\.\x20){_LABEL})+)", re.IGNORECASE)
+_PLAIN_DOT = re.compile(rf"{_GAP}(?:{DOT_NAMES}|point){_GAP}|\x20\.\x20", re.IGNORECASE)
+#: Signs of disguise, each with what a text must hold, in small letters, to be searched for it.
+_ODD = re.compile(r"[^\x00-ɏ‐-⁄₠-₿]|[\xa0\xad·‐-–․]")
+_SIGNS = [
+    ([*DOT_NAMES.split("|"), "point", *AT_NAMES.split("|")], re.compile(rf"{_B}(?:{DOT_NAMES}|point|{AT_NAMES}){_B}")),
+    (["@"], re.compile(rf"{_B}@|@{_B}")),
+    (["[", "(", "{", "<"], re.compile(rf"[\[({{<]{_B}?(?:at|@|{AT_NAMES}|{DOT_NAMES}|point|\.){_B}?[\])}}>]")),
+    (["plus", "más", "mas"], re.compile(rf"\b(?:plus|más|mas){_GAP}(?:\+?[0-9]|{_DIGIT})")),
+]
+
+
+def _digit_run() -> re.Pattern[str]:
+    """Two digit words side by side, as branches by first letter, which fail sooner."""
+    rests: dict[str, list[str]] = {}
+    for word in DIGITS:
+        rests.setdefault(word[0], []).append(word[1:])
+    word = "(?:" + "|".join(f"{c}(?:{'|'.join(r)})" for c, r in rests.items()) + ")"
+    return re.compile(rf"\b{word}(?:{_GAP}|{_B}?-{_B}?){word}\b")
+
+
+_DIGIT_RUN = _digit_run()
+
+
+def disguised(text: str) -> bool:
+    """Whether the transducers could change anything; cheap, since few texts have a sign."""
+    if not text.isascii() and _ODD.search(text):
+        return True
+    low = text.lower()
+    return any(any(x in low for x in needs) and sign.search(low) for needs, sign in _SIGNS) or _DIGIT_RUN.search(low) is not None
 
 
 def _luhn(digits: str) -> bool:
@@ -163,7 +209,7 @@ def spelled_digits(t: Traced) -> Traced:
         last = edits[-1][1] if edits else 0
         words = [m for m in _ONE_DIGIT.finditer(t.text, lo, hi) if m.start() >= last]
         for i, m in enumerate(words):
-            if i and not t.text[words[i - 1].end() : m.start()].strip(" -"):
+            if i and not t.text[words[i - 1].end() : m.start()].strip(" -\t\n\x0b\x0c\r"):
                 edits.append((words[i - 1].end(), m.start(), ""))
             edits.append((m.start(), m.end(), DIGITS[m[0].lower()]))
         edits += [(m.start(), m.end(), ".") for m in _DOT_WORD.finditer(t.text, lo, hi)]
@@ -177,15 +223,17 @@ def spelled_digits(t: Traced) -> Traced:
 
 
 def at_and_dot(t: Traced) -> Traced:
-    t = t.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(t.text)])
-    edits = []
-    for m in _PLAIN.finditer(t.text):
-        dots = list(_PLAIN_DOT.finditer(t.text, m.start(2), m.end(2)))
-        if m[1] == "@" and not dots or m[1].lower() == " at " and not dots:
-            continue
-        edits.append((m.start(1), m.end(1), "@"))
-        edits += [(d.start(), d.end(), ".") for d in dots]
-    return t.rewrite(edits)
+    t = t.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(t.text)])
+    for pattern in (_NAMED, _PLAIN):
+        edits = []
+        for m in pattern.finditer(t.text):
+            dots = list(_PLAIN_DOT.finditer(t.text, m.start(2), m.end(2)))
+            if not dots and (m[1] == "@" or m[1].strip().lower() == "at"):
+                continue
+            edits.append((m.start(1), m.end(1), "@"))
+            edits += [(d.start(), d.end(), ".") for d in dots]
+        t = t.rewrite(edits)
+    return t
 
 
 def deobfuscate(text: str) -> Traced:
@@ -195,7 +243,7 @@ def deobfuscate(text: str) -> Traced:
 def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """Base spans and all spans of each kind, in code points of the source."""
     base = find(text)
-    if not _SIGN.search(text):
+    if not disguised(text):
         return base, base
     traced = deobfuscate(text)
     if traced.text == text:

@@ -64,6 +64,9 @@ def test_base_of_the_driver_table(spark):
         ("email", "write to ", "jane.doe (at) mail (dot) com", " soon"), ("email", "write to ", "jane [at] mail [dot] co [dot] uk", ", ok"), ("email", "to ", "jane at mail dot com", " now"), ("email", "to ", "jаne@mаil.com", "."),
         ("email", "é 你 ", "jane＠mail．com", " x"), ("phone", "call ", "+four nine three zero one two three four five six", " today"), ("phone", "call ", "plus 49 30 1234567", "!"), ("ip", "host ", "192 dot 168 dot 1 dot 1", " up"),
         ("ip", "host ", "192.168.​1.1", " up"), ("card", "pay ", "four one one one one one one one one one one one one one one one", " ok"), ("card", "pay ", "４１１１１１１１１１１１１１１１", " ok"),
+        ("email", "an ", "jane ät mail punkt de", " bitte"), ("email", "a ", "jane arroba mail punto es", " hoy"), ("email", "à ", "jane arobase mail point fr", " demain"), ("email", "a ", "jane arroba mail.es", ", hoy"),
+        ("email", "to ", "jane\tat  mail\ndot com", " now"), ("email", "an ", "jane (ät) mail (punkt) de", "!"), ("email", "to ", "jane @ mail . com", " now"), ("phone", "ruf ", "+vier neun drei null eins zwei drei vier fünf sechs", " an"),
+        ("phone", "tel ", "más tres cuatro nueve uno dos tres cuatro cinco seis", ","), ("phone", "tel ", "plus trois trois un deux  trois\tquatre\ncinq six sept", ","), ("ip", "host ", "10 punkt 0 punto 0 point 1", " up"),
     ],
 )
 def test_disguises_map_back_to_the_source(kind, before, hidden, after):
@@ -71,11 +74,20 @@ def test_disguises_map_back_to_the_source(kind, before, hidden, after):
     assert full[kind] == [(len(before), len(before) + len(hidden))], pii.deobfuscate(before + hidden + after).text
 
 
-@pytest.mark.parametrize("text", ["we met at noon and dot the i", "one two buckle my shoe", "look at example and so on", "he is at the shop. Then home.", "plus 5 points", "version 1.2.3", "three of them at ten"])
+@pytest.mark.parametrize("text", ["we met at noon and dot the i", "one two buckle my shoe", "look at example and so on", "he is at the shop. Then home.", "plus 5 points", "version 1.2.3", "three of them at ten", "we looked at that point in time", "look at example.com", "una arroba de arroz", "un deux trois quatre", "der Punkt ist drei vier", "más 5 puntos", "sept. ou huit"])
 def test_plain_prose_has_none(text):
     assert not any(pii.spans(text)[1].values())
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["jane", "at", "ät", "arroba", "dot", "punkt", "mail", "de", "@", ".", "(", ")", "[at]", "one", "deux", "plus", "4", "+4", " ", " ", "\n", "-", "é"]), max_size=12).map("".join))
+def test_no_sign_no_change(text):
+    if not pii.disguised(text):
+        base = pii.find(text)
+        found = {k: sorted(pii.deobfuscate(text).source(*s) for s in v) for k, v in pii.find(pii.deobfuscate(text).text).items()}
+        assert found == base
+
+
 def test_traced_rewrites_compose():
     t = pii.Traced("abcdef").rewrite([(1, 3, "X")]).rewrite([(1, 2, "YZ"), (3, 4, "")])
     assert t.text == "aYZdf" and t.source(1, 3) == (1, 3) and t.source(3, 4) == (3, 4) and t.source(4, 5) == (5, 6)
@@ -90,5 +102,5 @@ def test_defined_results(spark):
 
 
 def test_long_runs_stay_linear():
-    for text in ("1" * 200_000, "+1 " * 50_000, "a@" * 50_000, "one " * 50_000, "a.b" * 50_000 + "@", "x at " * 40_000, "1.1." * 50_000, "[at]" * 50_000, "dot " * 50_000):
+    for text in ("1" * 200_000, "+1 " * 50_000, "a@" * 50_000, "one " * 50_000, "a.b" * 50_000 + "@", "x at " * 40_000, "1.1." * 50_000, "[at]" * 50_000, "dot " * 50_000, "a arroba b" * 20_000, "x ät " * 40_000, "un\n" * 50_000, " " * 200_000, "1 punto " * 40_000):
         pii.spans(text)
