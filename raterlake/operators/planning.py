@@ -49,6 +49,11 @@ def sessions(test: str, personas: DataFrame, models: DataFrame, repeats: int, st
     return s.withColumn("order_seed", seeds.derived(study_seed, "order", "session_id"))
 
 
+def kept_agents(sessions: DataFrame, agents: DataFrame) -> DataFrame:
+    """The sessions of the listed agents, their ids and seeds as in the whole plan."""
+    return sessions.join(agents.select("agent_id"), "agent_id", "left_semi")
+
+
 def plan_trials(planned: DataFrame, shapes: DataFrame, variants: DataFrame, shuffle: bool = True) -> DataFrame:
     """Every trial of the sessions. variants: instrument, variants (names in order); a repeat
     uses the next one. The permutation of a session follows from its seed alone, so plans

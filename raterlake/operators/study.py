@@ -36,9 +36,9 @@ def status_report(store: StudyStore) -> dict[str, DataFrame]:
 
 
 def flat_personas(personas: DataFrame) -> DataFrame:
-    """id and one column per trait, band and demographic attribute."""
-    traits = [F.try_element_at("big_five", F.lit(t)).alias(t) for t in TRAITS]
-    return personas.select("id", *traits, *[a for a in ATTRIBUTES if a not in TRAITS])
+    """id and one column per trait, band and demographic attribute; a null one is empty."""
+    cell = lambda a: F.try_element_at("big_five", F.lit(a)) if a in TRAITS else F.col(a)
+    return personas.select("id", *[F.coalesce(cell(a), F.lit("")).alias(a) for a in ATTRIBUTES])
 
 
 def check_dimensions(trials: DataFrame, personas: DataFrame, items: DataFrame) -> None:
@@ -64,3 +64,26 @@ def export_study(store: StudyStore, test: str, items: DataFrame, folder: str, si
     sidecar = exports.attrition_sidecar(trials.join(last, "trial_id", "left"), personas, t["blinding_key"], list(ATTRIBUTES))
     frames = {"tidy": exports.as_text(exports.in_export_order(tidy)), "attrition": exports.as_text(sidecar.orderBy("dimension", "attribute", "first").drop("first"))}
     exports.write_together(store.spark, frames, folder, single_file)
+
+
+def abandon_run(store: StudyStore, kind: str, test: str | None = None) -> str:
+    """Marks the running screening of a kind (and test) as abandoned and returns its id. Its
+    trials stay; it gives no results, so a fresh run may start."""
+    seen = (store.versions("screening_runs") or [0])[-1]
+    runs = store.read("screening_runs", seen or None)
+    mine = (F.col("status") == "running") & (F.col("kind") == kind) & F.col("screening_test").eqNullSafe(F.lit(test).cast("string"))
+    run_id = runs.filter(mine).agg(F.max("run_id")).first()[0]
+    if run_id is None:
+        raise EngineError("screening_not_open", f"no {kind} screening is open")
+    status_now = F.when(F.col("run_id") == run_id, "abandoned").otherwise(F.col("status"))
+    store.replace("screening_runs", runs.withColumn("status", status_now), after=seen)
+    return run_id
+
+
+def check_panel_free(store: StudyStore, neutral: str = "p0") -> None:
+    """Refused while trials of the panel's personas or fidelity results are stored: another
+    panel would give them other labels. The neutral persona and perception don't count."""
+    t = store.snapshot(["screening_results", "screening_runs"])
+    fidelity = t["screening_results"].join(t["screening_runs"].filter("kind = 'fidelity'"), "run_id", "left_semi")
+    if not store.read("trials").filter(F.col("persona_id") != neutral).isEmpty() or not fidelity.isEmpty():
+        raise EngineError("panel_in_use", "trials or screening results refer to this panel")

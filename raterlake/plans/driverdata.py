@@ -325,3 +325,62 @@ def usage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.struct((n + 50).alias("prompt_tokens"), n.alias("completion_tokens"), F.struct(F.lit(5).alias("text_tokens"), F.when(F.col("valid"), n).alias("video_tokens")).alias("prompt_tokens_details"))
     answered = F.col("category") != "transient"
     return attempts(spark, sf_dir).select("trial_id", "attempt", F.when(answered, F.to_json(a)).alias("by_modality"), F.when(answered, F.to_json(b)).alias("by_details"))
+
+
+def customer_plans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A test plan per customer: the priorities of its pending orders are the instruments it
+    lists, its finished orders name the targets, its open ones the practice examples."""
+    o = _read(spark, sf_dir, "orders").select(F.concat(F.lit("u"), "o_custkey").alias("test"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("instrument"), "o_orderstatus")
+    clip = lambda first, n: F.concat(F.lit("c"), (first + F.col("k") % n).cast("string"))
+    pair = F.col("instrument").isin(*PAIRWISE)
+    examples = o.filter("o_orderstatus = 'O'").withColumn("pos", (F.row_number().over(Window.partitionBy("test").orderBy("k")) - 1).cast("bigint"))
+    return {
+        "tests": _read(spark, sf_dir, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("test")),
+        "listed": o.filter("o_orderstatus = 'P'").select("test", "instrument", F.substring("instrument", 1, 1).cast("int").alias("pos")).distinct(),
+        "targets": o.filter("o_orderstatus = 'F'").select("test", clip(0, 30).alias("clip_id")).distinct(),
+        "practice": examples.select("test", "pos", "instrument", F.when(pair, F.array(clip(25, 7), clip(27, 4))).otherwise(F.array(clip(25, 7))).alias("clips")),
+    }
+
+
+#: Instruments that customers' plans may list, and whether they show pairs.
+KNOWN = [("1-URGENT", True), ("2-HIGH", True), ("3-MEDIUM", False), ("5-LOW", False)]
+#: instrument, item, type, points, options, place
+CHECK_ITEMS = [("view", "v", "likert", 5, None, 0), ("click", "v", "pairwise", None, ["A", "B"], 0), ("signup", "v", "likert", 2, None, 0), ("signup", "t", "pairwise", None, ["A", "B"], 1), ("purchase", "v", "free_text", None, None, 0)]
+
+
+def known_instruments(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(KNOWN, "instrument string, pairwise boolean")
+
+
+def check_items(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CHECK_ITEMS, "instrument string, item_id string, type string, points int, options array<string>, pos int")
+
+
+def user_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A check per event, in a test per user: good ones and all kinds of bad ones."""
+    k, two = F.col("event_id"), F.col("value") >= 40
+    a, b = F.concat(F.lit("c"), (1 + k % 4).cast("string")), F.concat(F.lit("c"), (1 + (k + 1) % 5).cast("string"))
+    return _read(spark, sf_dir, "events").select(
+        F.concat(F.lit("k"), "user_id").alias("test"), k.alias("pos"), F.col("event_type").alias("instrument"), F.when(k % 9 == 0, "t").otherwise("v").alias("item_id"),
+        F.when(two, F.array(a, b)).otherwise(F.array(a)).alias("clips"), F.when(two, F.when(k % 5 == 0, "c9").otherwise(a)).otherwise((1 + k % 6).cast("string")).alias("expected"), F.when(two | (k % 7 == 0), "string").otherwise("int").alias("kind"),
+    )
+
+
+def user_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = _read(spark, sf_dir, "events").select(F.concat(F.lit("k"), "user_id").alias("test")).distinct()
+    return users.select("test", F.explode(F.array(*[F.lit(f"c{i}") for i in range(1, 5)])).alias("clip_id"))
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that may stand on a card, and some that may not."""
+    size = F.col("p_size")
+    word = F.when(size > 40, "HIGH").when(size > 20, "low-lying").when(size > 10, "Agreeable").when(size > 5, "slow").otherwise("")
+    made = _read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.when(size == 1, "").otherwise(F.concat(word, F.lit(" "), "p_name")).alias("text"))
+    return made.union(_read(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn"), "text"))
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A persona per customer; those of one region have no band."""
+    bits = F.create_map(*[x for i, t in enumerate(CONSTRUCTS) for x in (F.lit(t), F.when(F.expr(f"(number >> {i}) & 1") == 1, "high").otherwise("low"))])
+    rows = personas(spark, sf_dir).withColumn("number", ids.persona_number("id"))
+    return rows.select("id", bits.alias("big_five"), F.when(F.col("region") != "ASIA", "low").alias("nars"), F.col("nation").alias("age_band"), F.col("segment").alias("gender"), F.col("region").alias("cultural_region"), F.lit("some").alias("robot_experience"))

@@ -247,6 +247,58 @@ BODIES |= {
 }
 
 
+def _answer_schema(instrument: str) -> str:
+    form = {"likert": lambda i: {"type": "integer", "minimum": 1, "maximum": i[3]}, "pairwise": lambda i: {"type": "string", "enum": i[4]}, "free_text": lambda i: {"type": "string", "minLength": 1}}
+    of = [i for i in d.ITEMS if i[0] == instrument]
+    return canonical({"type": "object", "properties": {i[1]: form[i[2]](i) for i in of}, "required": [i[1] for i in of], "additionalProperties": False})
+
+
+VIEWS |= {
+    "listed": "select distinct concat('u', o_custkey) as test, o_orderpriority as instrument, cast(substr(o_orderpriority, 1, 1) as int) as pos from orders where o_orderstatus = 'P'",
+    "targets": "select distinct concat('u', o_custkey) as test, concat('c', o_orderkey % 30) as clip_id from orders where o_orderstatus = 'F'",
+    "practice": """select concat('u', o_custkey) as test, row_number() over (partition by o_custkey order by o_orderkey) - 1 as pos, o_orderpriority as instrument, concat('c', 25 + o_orderkey % 7) as one,
+  case when o_orderpriority in ('1-URGENT', '2-HIGH') then concat('c', 27 + o_orderkey % 4) end as two from orders where o_orderstatus = 'O'""",
+    "pictured": """select concat('k', user_id) as test, event_id as pos, event_type as instrument, case when event_id % 9 = 0 then 't' else 'v' end as item, concat('c', 1 + event_id % 4) as a, case when value >= 40 then concat('c', 1 + (event_id + 1) % 5) end as b,
+  case when value < 40 then cast(1 + event_id % 6 as varchar) when event_id % 5 = 0 then 'c9' else concat('c', 1 + event_id % 4) end as expected, value < 40 and event_id % 7 <> 0 as number from events""",
+    "settled": """select *, case when instrument not in ('view', 'click', 'signup', 'purchase') then 'unknown_instrument' when item = 't' and instrument <> 'signup' then 'unknown_item' when b = 'c5' then 'unknown_clip'
+  when instrument = 'click' and b is null then 'needs_two_clips' when b is not null and expected = 'c9' then 'expected_not_shown' when b is not null and instrument = 'click' then null
+  when b is not null and (instrument = 'purchase' or item = 't') then 'needs_likert' when b is not null and instrument = 'signup' then 'too_few_points' when b is not null then null
+  when instrument = 'purchase' then 'free_text' when item = 't' or not number or cast(expected as int) > case instrument when 'view' then 5 else 2 end then 'bad_expected' end as own,
+  concat(case when b is null or a < b then a else b end, '|', case when b is null or a = b then '' when a < b then b else a end) as shown from pictured""",
+    "worded": "select concat('p', p_partkey) as id, case when p_size = 1 then '' else concat(case when p_size > 40 then 'HIGH' when p_size > 20 then 'low-lying' when p_size > 10 then 'Agreeable' when p_size > 5 then 'slow' else '' end, ' ', p_name) end as text from part union all select concat('c', conv_id, '-', turn), text from conversations",
+}
+_LABEL = r"(?i)\b(openness|conscientiousness|extraversion|agreeableness|neuroticism|agreeab\w*|conscientious\w*|neurotic\w*|extr[ao]ver\w*|introver\w*|open-minded\w*|high|low|nars)\b"
+_PLAIN = "coalesce(regexp_replace(cast(cast(round({0}, 4) as decimal(38,4)) as varchar), '(\\.[0-9]+?)0+$', '\\1'), '')"
+BODIES |= {
+    "plan_problems": """select concat('u', c_custkey) as test, p.code, p.detail from customer left join (
+    select test, arg_min(code, (rule, pos)) as code, arg_min(detail, (rule, pos)) as detail from (
+      select test, 0 as rule, pos, 'unknown_instrument' as code, instrument as detail from listed where instrument = '4-NOT SPECIFIED'
+      union all select concat('u', c_custkey), 1, 0, 'bad_pairing', 'no target clip' from customer where concat('u', c_custkey) not in (select test from targets)
+      union all select test, 2, pos, 'bad_pairing', concat(instrument, ' needs two target clips') from listed l where instrument in ('1-URGENT', '2-HIGH') and (select count(*) from targets t where t.test = l.test) < 2
+      union all select test, 3, 2 * pos, 'bad_practice', concat('practice[', pos, '] lists a clip twice') from practice where one = two
+      union all select test, 3, 2 * pos + 1, 'bad_practice', concat('practice[', pos, '] has the target ', case when (test, one) in (select (test, clip_id) from targets) then one else two end) from practice where (test, one) in (select (test, clip_id) from targets) or (test, two) in (select (test, clip_id) from targets)
+      union all select test, 4, pos, 'bad_practice', concat(instrument, ' has 0 of 1 examples') from listed l where instrument <> '4-NOT SPECIFIED' and not exists (select 1 from practice p where p.test = l.test and p.instrument = l.instrument)
+    ) group by test) p on p.test = concat('u', c_custkey)""",
+    "check_problems": """select s.test, s.pos, coalesce(s.own, case when f.pos < s.pos then case when f.expected = s.expected and f.number = s.number then 'duplicates' else 'contradicts' end end) as problem, case when s.own is null and f.pos < s.pos then f.pos end as first
+  from settled s join (select * from settled qualify row_number() over (partition by test, instrument, item, shown order by pos) = 1) f on f.test = s.test and f.instrument = s.instrument and f.item = s.item and f.shown = s.shown""",
+    "answer_schemas": "select * from (values " + ", ".join(f"({_quoted(i)}, {_quoted(_answer_schema(i))})" for i in dict.fromkeys(i[0] for i in d.ITEMS)) + ") v(instrument, schema)",
+    "stale_summary": " union all ".join(f"select '{what}' as what, {name} as name, count(*) as n, min(concat_ws('|', model_id, instrument, agent_id)) as first from judged where outcome = 'stale' and {what}_changed group by {name}".replace("model_changed", "settings_changed") for what, name in (("model", "model_id"), ("instrument", "instrument"))),
+    "shared_items": "select 'v' as item_id",
+    "kept_agents": "select session_id, agent_id, order_seed from seeded where agent_id in (select agent_id from results where outcome = 'pass')",
+    "flat_personas": "select id, " + ", ".join(f"case when (number >> {i}) & 1 = 1 then 'high' else 'low' end as {c}" for i, c in enumerate(d.CONSTRUCTS)) + ", case when region = 'ASIA' then '' else 'low' end as nars, nation as age_band, segment as gender, region as cultural_region, 'some' as robot_experience from (select *, cast(substr(id, 2) as bigint) as \"number\" from (select id, segment, nation, region from personas))",
+    "sentence_problems": f"select id, case when text = '' then 'empty' when regexp_matches(text, '^\\s|\\s$|[\\n\\r]') then 'not_one_line' when regexp_matches(text, '{_LABEL}') then concat('label:', lower(regexp_extract(text, '{_LABEL}', 1))) end as problem from worded",
+    "leak_texts": f"select factor, metric, level, {_PLAIN.format('mean')} as mean, {_PLAIN.format('max_diff')} as max_diff from leaks",
+    "utc_texts": "select event_id, strftime(make_timestamp(event_id * 99991 * 1000000), '%Y-%m-%dT%H:%M:%SZ') as at from events",
+    "screen_summary": "select model_id, count(*) filter (where outcome = 'pass') as passed, count(*) filter (where outcome = 'fail') as failed, count(*) filter (where pair_checks = 0) as insufficient from results group by model_id",
+    "canonical_stamps": """select event_id, sha256(concat('{"k":', n, '}')) as sha256 from raws""",
+    "name_problems": """select distinct name, case when length(name) > 64 then 'too_long' when not regexp_full_match(name, '[a-z0-9][a-z0-9_-]*') then 'bad_characters' when regexp_full_match(name, 's[1-9][0-9]*') then 'reserved_run_id' when name like '%-attrition' then 'reserved_suffix' end as problem
+  from (select p_brand as name from part union select p_name from part union select replace(p_name, ' ', '-') from part union select concat('s', p_size) from part union select concat('t', p_size, '-attrition') from part)""",
+    "condition_pairs": "select p_partkey, case when p_size > 3 then 'brand' || case when p_size >= 45 then ' :' || p_brand else '' end end as factor, case when p_size <= 3 then null when p_size < 45 then concat(p_brand, '= x') else 'x' end as level from part",
+    "retry_delays": "select trial_id, attempt, round(least(30.0::double, 2.0::double * power(2, attempt - 1)) * (0.5 + (seed % 8) / 8.0::double / 2), 6) as wait_s from attempts",
+    "frame_rates": "select p_partkey, case when p_size <= 40 then round(p_size * 1000 / 1001.0::double, 6) end as fps from part",
+}
+
+
 def _needed(body: str) -> list[str]:
     """The views that a statement uses, directly or through others, in order of definition."""
     import re

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, numbers, seeds
-from ..operators import events, export, leak, ledger, panel, planning, rater, references, registry, requests, scoring, screening, status, study
+from ..functions import ids, jsons, numbers, seeds, texts
+from ..operators import checks, events, export, leak, ledger, panel, planning, rater, references, registry, requests, scoring, screening, status, study
 from ..operators import trials as trial_ops
 from ..schema import ATTRITION_COUNTS, TRAITS, TRIAL_STATES
 from ..sources import files
@@ -568,5 +568,98 @@ def needed_instruments(spark, sf):
     return out.select("instrument", F.array_join("tests", "|").alias("tests"))
 
 
+@query
+def plan_problems(spark, sf):
+    p = d.customer_plans(spark, sf)
+    return checks.plan_problems(p["tests"], p["listed"], d.known_instruments(spark), p["targets"], p["practice"], 1)
+
+
+@query
+def check_problems(spark, sf):
+    return checks.check_problems(d.user_checks(spark, sf), d.check_items(spark), d.user_targets(spark, sf))
+
+
+@query
+def answer_schemas(spark, sf):
+    return checks.answer_schemas(d.items(spark))
+
+
+@query
+def stale_summary(spark, sf):
+    stale = screening.latest_counting(d.results(spark, sf), d.runs(spark), d.settings(spark), d.stamps(spark)).filter("outcome = 'stale'")
+    return checks.stale_summary(stale, F.concat_ws("|", "model_id", "instrument", "agent_id"))
+
+
+@query
+def shared_items(spark, sf):
+    return registry.shared_items(d.check_items(spark), d.checks(spark))
+
+
+@query
+def kept_agents(spark, sf):
+    """Sessions of the agents that passed a fidelity screening."""
+    passed = d.results(spark, sf).filter("agent_id is not null and outcome = 'pass'")
+    return planning.kept_agents(_sessions(spark, sf), passed).select("session_id", "agent_id", "order_seed")
+
+
+@query
+def flat_personas(spark, sf):
+    return study.flat_personas(d.panel(spark, sf))
+
+
+@query
+def sentence_problems(spark, sf):
+    return d.sentences(spark, sf).select("id", texts.sentence_problem("text").alias("problem"))
+
+
+@query
+def leak_texts(spark, sf):
+    out = leak.leak_report(d.blinding_key(spark, sf), d.clips(spark, sf), TOLERANCE)
+    return out.select("factor", "metric", "level", texts.four_decimals("mean").alias("mean"), texts.four_decimals("max_diff").alias("max_diff"))
+
+
+@query
+def utc_texts(spark, sf):
+    return d._read(spark, sf, "events").select("event_id", texts.utc_seconds(F.timestamp_seconds(F.col("event_id") * 99991)).alias("at"))
+
+
+@query
+def screen_summary(spark, sf):
+    detail = F.concat(F.lit('{"insufficient_data":'), F.when(F.col("pair_checks") == 0, "true").otherwise("false"), F.lit("}"))
+    return screening.screen_summary(d.results(spark, sf).withColumn("detail", detail))
+
+
+@query
+def canonical_stamps(spark, sf):
+    return d._read(spark, sf, "events").select("event_id", jsons.stamp(F.col("props")).alias("sha256"))
+
+
+@query
+def name_problems(spark, sf):
+    """Which order priorities, brands, part names and run names could be names of tests."""
+    part = d._read(spark, sf, "part")
+    names = part.select("p_brand").union(part.select("p_name")).union(part.select(F.regexp_replace("p_name", " ", "-"))).union(part.select(F.concat(F.lit("s"), "p_size"))).union(part.select(F.concat(F.lit("t"), "p_size", F.lit("-attrition"))))
+    return names.toDF("name").distinct().select("name", ids.test_name_problem("name").alias("problem"))
+
+
+@query
+def condition_pairs(spark, sf):
+    text = F.concat(F.when(F.col("p_size") > 3, " brand "), F.when(F.col("p_size") < 45, F.lit("=")).otherwise(F.lit(":")), "p_brand", F.lit("= x "))
+    out = d._read(spark, sf, "part").select("p_partkey", ids.condition_parts(text).alias("c"))
+    return out.select("p_partkey", "c.factor", "c.level")
+
+
+@query
+def retry_delays(spark, sf):
+    jitter = F.pmod(F.col("seed"), F.lit(8)) / 8.0
+    return d.attempts(spark, sf).select("trial_id", "attempt", F.round(numbers.backoff(F.col("attempt"), 2.0, 30.0, jitter), 6).alias("wait_s"))
+
+
+@query
+def frame_rates(spark, sf):
+    rate = F.concat(F.col("p_size") * 1000, F.lit("/"), F.when(F.col("p_size") > 40, F.lit("0")).otherwise(F.lit("1001")))
+    return d._read(spark, sf, "part").select("p_partkey", F.round(numbers.frame_rate(rate), 6).alias("fps"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
