@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
+from ..functions import ids
 from ..schema import TRAITS, TRIAL_STATES
 from ..sources.store import StudyStore
 from . import export as exports
 from . import ledger as spend
-from . import references, status
+from . import references, screening, status
 
 ATTRIBUTES = (*TRAITS, "nars", "age_band", "gender", "cultural_region", "robot_experience")
 
@@ -67,11 +68,11 @@ def export_study(store: StudyStore, test: str, items: DataFrame, folder: str, si
 
 
 def abandon_run(store: StudyStore, kind: str, test: str | None = None) -> str:
-    """Marks the running screening of a kind (and test) as abandoned and returns its id. Its
+    """Marks the open screening of a kind (and test) as abandoned and returns its id. Its
     trials stay; it gives no results, so a fresh run may start."""
     seen = (store.versions("screening_runs") or [0])[-1]
     runs = store.read("screening_runs", seen or None)
-    mine = (F.col("status") == "running") & (F.col("kind") == kind) & F.col("screening_test").eqNullSafe(F.lit(test).cast("string"))
+    mine = (F.col("status") == "open") & (F.col("kind") == kind) & F.col("screening_test").eqNullSafe(F.lit(test).cast("string"))
     run_id = runs.filter(mine).agg(F.max("run_id")).first()[0]
     if run_id is None:
         raise EngineError("screening_not_open", f"no {kind} screening is open")
@@ -87,3 +88,86 @@ def check_panel_free(store: StudyStore, neutral: str = "p0") -> None:
     fidelity = t["screening_results"].join(t["screening_runs"].filter("kind = 'fidelity'"), "run_id", "left_semi")
     if not store.read("trials").filter(F.col("persona_id") != neutral).isEmpty() or not fidelity.isEmpty():
         raise EngineError("panel_in_use", "trials or screening results refer to this panel")
+
+
+def _put_together(store: StudyStore, frames: dict[str, DataFrame]) -> None:
+    """Rows added to several tables; if one is refused, those before it are put back."""
+    was = {name: store.read(name) for name in frames}
+    done: dict[str, int] = {}
+    try:
+        for name, df in frames.items():
+            done[name] = store.append(name, df)
+    except BaseException:
+        for name, version in done.items():
+            store.replace(name, was[name], after=version)
+        raise
+
+
+def complete_run(store: StudyStore, run_id: str, results: DataFrame) -> list[str]:
+    """Stores the results of an open screening, marks it complete, and gives the ids of the
+    runs that it supersedes with that."""
+    seen = (store.versions("screening_runs") or [0])[-1]
+    runs = store.read("screening_runs", seen or None)
+    mine = F.col("run_id") == run_id
+    if runs.filter(mine & (F.col("status") == "open")).isEmpty():
+        raise EngineError("screening_not_open", run_id)
+    store.append("screening_results", results.withColumn("run_id", F.lit(run_id)))
+    done = runs.withColumn("status", F.when(mine, "complete").otherwise(F.col("status")))
+    found = screening.supersession(store.read("screening_results"), done).filter("superseded").select("run_id", F.col("superseded_by").alias("_by"))
+    after = done.join(found, "run_id", "left").withColumn("_new", F.col("superseded_by").isNull() & F.col("_by").isNotNull())
+    fresh = sorted((r.run_id for r in after.filter("_new").select("run_id").collect()), key=lambda r: int(r[1:]))
+    store.replace("screening_runs", after.withColumn("superseded_by", F.coalesce("superseded_by", "_by")), after=seen)
+    return fresh
+
+
+def push_clips(store: StudyStore, clips: DataFrame, conditions: DataFrame) -> None:
+    """Stores clips with their hidden conditions (clip_id, text as `factor=level`), both or
+    none. Conditions of clips that aren't among these are refused, and so is other text."""
+    rows = conditions.select("clip_id", "text", ids.condition_parts("text").alias("c"))
+    bad = rows.filter("c is null").select("text").first()
+    if bad is not None:
+        raise EngineError("bad_condition", str(bad.text))
+    lost = references.unknown_references(rows, clips, "clip_id").first()
+    if lost is not None:
+        raise EngineError("unknown_clip", str(lost.clip_id))
+    last = store.read("blinding_key").agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0]
+    key = rows.select("clip_id", "c.factor", "c.level").distinct()
+    twice = references.duplicates(key, ["clip_id", "factor"]).first()
+    if twice is not None:
+        raise EngineError("repeated_condition", f"{twice.clip_id} {twice.factor}")
+    _put_together(store, {"clips": clips, "blinding_key": key.withColumn("pos", F.lit(last + 1))})
+
+
+def register_test(store: StudyStore, name: str, kind: str, clips: DataFrame) -> None:
+    """Stores a test with its clips (clip_id, role), both or none. Refused: a name that can't
+    be one or is taken, clips that aren't stored, and targets that tests of another kind use."""
+    spark, t = store.spark, store.snapshot(["tests", "clips", "test_clips"])
+    test = spark.createDataFrame([(name, kind)], "name string, kind string")
+    problem = test.select(ids.test_name_problem("name")).first()[0]
+    if problem:
+        raise EngineError("bad_test_name", f"{name}: {problem}")
+    used = clips.select(F.lit(name).alias("test"), "clip_id", "role")
+    lost = references.unknown_references(used, t["clips"], "clip_id").first()
+    if lost is not None:
+        raise EngineError("unknown_clip", str(lost.clip_id))
+    shared = references.kind_overlap(t["test_clips"].select("test", "clip_id", "role").union(used), t["tests"].select("name", "kind").union(test))
+    mine = shared.join(used.filter("role = 'target'").select("clip_id"), "clip_id", "left_semi").first()
+    if mine is not None:
+        raise EngineError("clip_kind_overlap", f"{mine.clip_id} in {mine.tests}")
+    _put_together(store, {"tests": test, "test_clips": used})
+
+
+def copy_panel(source: StudyStore, target: StudyStore, name: str) -> None:
+    """The personas of a study and its current screening results, their runs numbered anew, as
+    those of a study that has neither; all or nothing. `name` is kept as the results' source."""
+    have = target.snapshot(["trials", "screening_results", "personas"])
+    if not have["trials"].isEmpty() or not have["screening_results"].isEmpty():
+        raise EngineError("panel_in_use", name)
+    if not have["personas"].isEmpty():
+        raise EngineError("panel_exists", name)
+    t = source.snapshot(["personas", "screening_runs", "screening_results"])
+    rows = screening.renumbered(t["screening_results"], t["screening_runs"])
+    numbers = rows.select("run_id", "new_run_id").distinct()
+    runs = t["screening_runs"].join(numbers, "run_id").withColumn("run_id", F.col("new_run_id")).withColumn("superseded_by", F.lit(None))
+    results = rows.withColumn("run_id", F.col("new_run_id")).withColumn("source_study", F.lit(name))
+    _put_together(target, {"screening_runs": runs, "screening_results": results, "personas": t["personas"]})

@@ -295,6 +295,7 @@ BODIES |= {
   from (select p_brand as name from part union select p_name from part union select replace(p_name, ' ', '-') from part union select concat('s', p_size) from part union select concat('t', p_size, '-attrition') from part)""",
     "condition_pairs": "select p_partkey, case when p_size > 3 then 'brand' || case when p_size >= 45 then ' :' || p_brand else '' end end as factor, case when p_size <= 3 then null when p_size < 45 then concat(p_brand, '= x') else 'x' end as level from part",
     "retry_delays": "select trial_id, attempt, round(least(30.0::double, 2.0::double * power(2, attempt - 1)) * (0.5 + (seed % 8) / 8.0::double / 2), 6) as wait_s from attempts",
+    "price_texts": "select p_partkey, true as plain, regexp_replace(cast(p_retailprice as varchar), '\\.0$', '') as usd from part",
     "frame_rates": "select p_partkey, case when p_size <= 40 then round(p_size * 1000 / 1001.0::double, 6) end as fps from part",
 }
 

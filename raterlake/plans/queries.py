@@ -661,5 +661,11 @@ def frame_rates(spark, sf):
     return d._read(spark, sf, "part").select("p_partkey", F.round(numbers.frame_rate(rate), 6).alias("fps"))
 
 
+@query
+def price_texts(spark, sf):
+    text = F.col("p_retailprice").cast("string")
+    return d._read(spark, sf, "part").select("p_partkey", numbers.is_price(text).alias("plain"), numbers.usd(numbers.money(text)).alias("usd"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

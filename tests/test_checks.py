@@ -110,7 +110,7 @@ def test_abandoned_runs_and_panels_in_use(spark, tmp_path):
     study.check_panel_free(store)
     with pytest.raises(EngineError, match="screening_not_open"):
         study.abandon_run(store, "fidelity")
-    rows = [("s1", "fidelity", None, "complete"), ("s2", "fidelity", None, "running"), ("s3", "perception", "t", "running")]
+    rows = [("s1", "fidelity", None, "complete"), ("s2", "fidelity", None, "open"), ("s3", "perception", "t", "open")]
     store.append("screening_runs", spark.createDataFrame(rows, "run_id string, kind string, screening_test string, status string"))
     assert study.abandon_run(store, "fidelity") == "s2" and study.abandon_run(store, "perception", "t") == "s3"
     assert {r.run_id: r.status for r in store.read("screening_runs").collect()} == {"s1": "complete", "s2": "abandoned", "s3": "abandoned"}
@@ -123,3 +123,62 @@ def test_abandoned_runs_and_panels_in_use(spark, tmp_path):
     store.append("screening_results", result("s1"))
     with pytest.raises(EngineError, match="panel_in_use"):
         study.check_panel_free(store)
+
+
+RUN = "run_id string, kind string, screening_test string, status string"
+RESULT = "pos long, instrument string, model_id string, agent_id string, outcome string"
+
+
+def _store(spark, path):
+    return StudyStore(spark, str(path))
+
+
+def test_completed_runs_supersede(spark, tmp_path):
+    store = _store(spark, tmp_path / "s")
+    store.append("screening_runs", spark.createDataFrame([(f"s{i}", "fidelity", None, "open") for i in (1, 2, 3)], RUN))
+    rows = lambda *agents: spark.createDataFrame([(n, "fidelity", "m1", a, "pass") for n, a in enumerate(agents)], RESULT)
+    assert study.complete_run(store, "s1", rows("p1-m1", "p2-m1")) == []
+    assert study.complete_run(store, "s2", rows("p1-m1")) == []
+    assert study.complete_run(store, "s3", rows("p2-m1")) == ["s1"]
+    assert {r.run_id: (r.status, r.superseded_by) for r in store.read("screening_runs").collect()} == {"s1": ("complete", "s3"), "s2": ("complete", None), "s3": ("complete", None)}
+    with pytest.raises(EngineError, match="screening_not_open"):
+        study.complete_run(store, "s3", rows("p2-m1"))
+
+
+def test_pushed_clips_and_registered_tests(spark, tmp_path):
+    store = _store(spark, tmp_path / "s")
+    clips = lambda *names: spark.createDataFrame([(n, 1.0) for n in names], "clip_id string, duration_s double")
+    texts_of = lambda *rows: spark.createDataFrame(list(rows), "clip_id string, text string")
+    study.push_clips(store, clips("c1", "c2"), texts_of(("c1", "speed = fast"), ("c2", "speed=slow")))
+    study.push_clips(store, clips("c3"), texts_of(("c3", "speed=slow")))
+    assert sorted(map(tuple, store.read("blinding_key").collect())) == [("c1", "speed", "fast", 1), ("c2", "speed", "slow", 1), ("c3", "speed", "slow", 2)]
+    for code, names, rows in [("bad_condition", ["c4"], [("c4", "speed")]), ("unknown_clip", ["c4"], [("c9", "a=b")]), ("repeated_condition", ["c4"], [("c4", "a=b"), ("c4", "a=c")]), ("duplicate_key", ["c1"], [("c1", "a=b")])]:
+        with pytest.raises(EngineError, match=code):
+            study.push_clips(store, clips(*names), texts_of(*rows))
+    assert store.read("clips").count() == store.read("blinding_key").count() == 3
+
+    use = lambda *rows: spark.createDataFrame(list(rows), "clip_id string, role string")
+    study.register_test(store, "one", "main", use(("c1", "target"), ("c3", "practice")))
+    for code, name, kind, rows in [
+        ("bad_test_name", "s1", "main", [("c2", "target")]), ("unknown_clip", "two", "main", [("c8", "target")]), ("clip_kind_overlap", "two", "pilot", [("c1", "target")]), ("duplicate_key", "one", "main", [("c2", "target")]),
+    ]:
+        with pytest.raises(EngineError, match=code):
+            study.register_test(store, name, kind, use(*rows))
+    study.register_test(store, "two", "pilot", use(("c3", "target"), ("c1", "practice")))
+    assert store.read("tests").count() == 2 and store.read("test_clips").count() == 4
+    with pytest.raises(EngineError, match="duplicate_key"):  # the second table refuses, the first is put back
+        study.register_test(store, "three", "main", use(("c2", "target"), ("c2", "practice")))
+    assert store.read("tests").count() == 2 and store.read("test_clips").count() == 4
+
+
+def test_copied_panels(spark, tmp_path):
+    source, target = _store(spark, tmp_path / "a"), _store(spark, tmp_path / "b")
+    source.append("personas", spark.createDataFrame([("p1",), ("p2",)], "id string"))
+    source.append("screening_runs", spark.createDataFrame([(f"s{i}", "fidelity", None, "complete" if i > 1 else "abandoned") for i in (1, 2, 3)], RUN))
+    rows = [(0, "s1", "fidelity", "m1", "p1-m1", "pass"), (0, "s2", "fidelity", "m1", "p1-m1", "fail"), (0, "s3", "fidelity", "m1", "p2-m1", "pass")]
+    source.append("screening_results", spark.createDataFrame(rows, "pos long, run_id string, instrument string, model_id string, agent_id string, outcome string"))
+    study.copy_panel(source, target, "../a")
+    assert {(r.run_id, r.agent_id, r.outcome, r.source_study) for r in target.read("screening_results").collect()} == {("s1", "p1-m1", "fail", "../a"), ("s2", "p2-m1", "pass", "../a")}
+    assert target.read("personas").count() == 2 and {r.run_id for r in target.read("screening_runs").collect()} == {"s1", "s2"}
+    with pytest.raises(EngineError, match="panel_in_use"):
+        study.copy_panel(source, target, "../a")
