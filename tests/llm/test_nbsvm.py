@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +81,58 @@ def test_held_out_labels_are_not_read(spark):
     other = labels.withColumn("quality", F.when(common.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = nbsvm.fit(df, labels), nbsvm.fit(df, other)
     assert np.array_equal(a.weights, b.weights) and (a.bias, a.slope, a.offset) == (b.bias, b.slope, b.offset)
+
+
+def plain_ngrams(text):
+    """Words, pairs of words and triples of shapes as plain tuples, by a loop over words."""
+    words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())
+    lower = [w.lower() for w in words]
+    shapes = []
+    for i, w in enumerate(words):
+        letters, capitals = len(re.findall(rb"[A-Za-z]", w)), len(re.findall(rb"[A-Z]", w))
+        symbols = len(re.findall(rb"[!#$%&*+/<=>@\[\\\]^_`{|}~]", w))
+        shapes.append((capitals > 1 and capitals == letters, symbols > 0, symbols == len(w), bool(re.search(rb"[0-9]", w)), i > 0 and lower[i] == lower[i - 1]))
+    return {(w,) for w in lower} | set(zip(lower, lower[1:])) | {("shape", *s) for s in zip(shapes, shapes[1:], shapes[2:])}
+
+
+def plain_model(rows):
+    """rows: (n-grams, label, sets the curve), in order of doc_id. Ratios, weights and margins
+    in dictionaries, without cells."""
+    counts = {y: Counter(g for grams, label, _ in rows if label == y for g in grams) for y in (0, 1)}
+    size = {y: nbsvm.CELLS + sum(counts[y].values()) for y in (0, 1)}
+    ratio = {g: math.log((1 + counts[1][g]) / size[1]) - math.log((1 + counts[0][g]) / size[0]) for g in counts[0] | counts[1]}
+    vector = lambda grams: {g: ratio[g] / math.sqrt(len(grams)) for g in grams}
+    train = [(vector(grams), 2 * y - 1) for grams, y, curve in rows if not curve]
+    weight, bias, alpha, rng = Counter(), 0.0, [0.0] * len(train), np.random.default_rng(0)
+    for _ in range(nbsvm.PASSES):
+        worst = 0.0
+        for i in rng.permutation(len(train)):
+            x, y = train[i]
+            wrong = 1 - y * (sum(weight[g] * v for g, v in x.items()) + bias)
+            new = min(nbsvm.COST, max(0.0, alpha[i] + wrong / (sum(v * v for v in x.values()) + 1)))
+            for g, v in x.items():
+                weight[g] += y * (new - alpha[i]) * v
+            bias += y * (new - alpha[i])
+            worst, alpha[i] = max(worst, abs(new - alpha[i])), new
+        if worst < 1e-3:
+            break
+    margin = lambda grams: sum(weight[g] * ratio.get(g, 0) for g in grams) / math.sqrt(max(len(grams), 1)) + bias
+    held = [(margin(grams), 2 * y - 1) for grams, y, curve in rows if curve]
+    slope, offset = nbsvm.logistic(np.array([m for m, _ in held]), np.array([y for _, y in held]))
+    return lambda grams: 1 / (1 + math.exp(-(slope * margin(grams) + offset)))
+
+
+def test_scores_equal_plain_loops(spark):
+    rng = random.Random(11)
+    good, bad = "the cat sat on a mat 12 times é".split(), "BUY now $$$ *** FREE free 99% <a> cat the".split()
+    text = lambda y: " ".join(rng.choice(good if rng.random() < (0.75 if y else 0.3) else bad) for _ in range(rng.randrange(1, 14)))
+    rows = [(i, text(i % 2), i % 2) for i in range(90)] + [(90, None, 1), (91, "", 0), (92, " \t ", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    curve = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(5)) == 0
+    split = {r.doc_id: (r.out, r.curve) for r in docs.select("doc_id", common.held_out().alias("out"), curve.alias("curve")).collect()}
+    assert sum(o for o, _ in split.values()) > 5 and sum(c and not o for o, c in split.values()) > 5
+    plain = plain_model([(plain_ngrams(t), y, split[i][1]) for i, t, y in rows if y is not None and not split[i][0]])
+    got = {r.doc_id: r.score for r in nbsvm.score(docs, nbsvm.fit(docs, labels)).collect()}
+    assert len(got) == len(rows) and all(abs(got[i] - plain(plain_ngrams(t))) < 1e-4 for i, t, _ in rows)
+    assert max(got.values()) - min(got.values()) > 0.3
