@@ -41,7 +41,18 @@ def four_decimals(x: Column | str) -> Column:
     return F.coalesce(F.regexp_replace(text, r"(\.[0-9]+?)0+$", "$1"), F.lit(""))
 
 
+def _utc(at: Column) -> Column:
+    """To the second, by arithmetic on the instant, so that no session's zone comes in."""
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(at).cast("decimal(18,6)"))
+    return F.replace((F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + since).cast("string"), F.lit(" "), F.lit("T"))
+
+
 def utc_seconds(at: Column | str) -> Column:
     """A time as UTC text to the second, whatever the session's zone; null stays null."""
-    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(_c(at)).cast("decimal(18,6)"))
-    return F.concat(F.replace((F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + since).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+    return F.concat(_utc(_c(at)), F.lit("Z"))
+
+
+def utc_millis(at: Column | str) -> Column:
+    """The same to the millisecond."""
+    at = _c(at)
+    return F.concat(_utc(at), F.lit("."), F.lpad(F.pmod(F.unix_millis(at), F.lit(1000)).cast("string"), 3, "0"), F.lit("Z"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from ..functions import ids
+from ..functions import ids, texts
 from ..schema import ATTRITION_COUNTS
 from . import status, trials as trial_ops
 
@@ -81,11 +81,11 @@ def in_export_order(rows: DataFrame) -> DataFrame:
 
 
 def as_text(rows: DataFrame) -> DataFrame:
-    """Every cell as text; null and empty are both empty, booleans lower-case."""
+    """Every cell as text; null and empty are both empty, booleans lower-case, times UTC."""
     out = []
     for name, kind in rows.dtypes:
         c = F.col(f"`{name}`")
-        text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if kind.startswith("timestamp") else c.cast("string")
+        text = texts.utc_millis(c) if kind.startswith("timestamp") else c.cast("string")
         out.append(F.coalesce(text, F.lit("")).alias(name))
     return rows.select(*out)
 

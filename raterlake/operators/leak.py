@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import texts
+
 #: Metrics compared value by value, with the difference they allow.
 EXACT = {"width": 0.0, "height": 0.0, "fps": 0.01}
 
@@ -36,3 +38,8 @@ def leak_report(key: DataFrame, clips: DataFrame, tolerance: dict[str, float]) -
     allowed = F.create_map(*[x for m, t in tolerances.items() for x in (F.lit(m), F.lit(float(t)))])[F.col("metric")]
     full = full.withColumn("max_diff", diff).withColumn("tolerance", allowed)
     return full.select("factor", "metric", "level", "n", "mean", "max_diff", "tolerance", F.coalesce(F.col("max_diff") > F.col("tolerance"), F.lit(False)).alias("flagged"))
+
+
+def report_texts(report: DataFrame) -> DataFrame:
+    """The report as it is written: numbers to four decimals, empty where there is none."""
+    return report.select("factor", "metric", "level", *[texts.four_decimals(c).alias(c) for c in ("mean", "max_diff")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
@@ -11,7 +11,8 @@ from ..schema import TRAITS, TRIAL_STATES
 from ..sources.store import StudyStore
 from . import export as exports
 from . import ledger as spend
-from . import references, screening, status
+from . import planning, references, scoring, screening, status
+from . import trials as trial_ops
 
 ATTRIBUTES = (*TRAITS, "nars", "age_band", "gender", "cultural_region", "robot_experience")
 
@@ -171,3 +172,52 @@ def copy_panel(source: StudyStore, target: StudyStore, name: str) -> None:
     runs = t["screening_runs"].join(numbers, "run_id").withColumn("run_id", F.col("new_run_id")).withColumn("superseded_by", F.lit(None))
     results = rows.withColumn("run_id", F.col("new_run_id")).withColumn("source_study", F.lit(name))
     _put_together(target, {"screening_runs": runs, "screening_results": results, "personas": t["personas"]})
+
+
+def open_test(store: StudyStore, test: str, models: DataFrame, shapes: DataFrame, variants: DataFrame, repeats: int, study_seed: int, agents: DataFrame | None = None) -> DataFrame:
+    """Plans a registered test over the stored panel, for the listed agents only if given
+    (those that the gate lets pass), stores the trials and gives the plan's summary. A test
+    is planned once. models: model_id, pos; shapes and variants as plan_trials takes them."""
+    t = store.snapshot(["tests", "trials", "personas"])
+    if t["tests"].filter(F.col("name") == test).isEmpty():
+        raise EngineError("unknown_test", test)
+    if not t["trials"].filter(F.col("test") == test).isEmpty():
+        raise EngineError("already_planned", test)
+    planned = planning.sessions(test, t["personas"], models, repeats, study_seed)
+    if agents is not None:
+        planned = planning.kept_agents(planned, agents)
+    trials = planning.plan_trials(planned, shapes, variants).withColumns({"state": F.lit("planned"), "attempt": F.lit(0)})
+    if trials.isEmpty():
+        raise EngineError("nothing_to_plan", test)
+    store.append("trials", trials)
+    return status.plan_summary(store.read("trials").filter(F.col("test") == test))
+
+
+def resume_test(store: StudyStore, test: str, archive: DataFrame) -> DataFrame:
+    """What is to be done with the trials of a test that haven't ended, by class. Before that,
+    the archived requests must prove the attempts; the first that doesn't is named."""
+    t = store.snapshot(["trials", "attempts"])
+    trials = t["trials"].filter(F.col("test") == test)
+    mine = t["attempts"].join(trials.select("trial_id", "model_id"), "trial_id").withColumn("sent", F.col("sent_at").isNotNull())
+    wrong = references.reissue_mismatches(archive.join(trials.select("trial_id"), "trial_id", "left_semi"), mine).orderBy("trial_id", "attempt").first()
+    if wrong is not None:
+        raise EngineError("reissue_mismatch", f"{wrong.trial_id} attempt {wrong.attempt}: {wrong.reason}")
+    return trial_ops.resume_classes(trials, mine.drop("model_id", "sent"))
+
+
+def score_perception_run(store: StudyStore, run_id: str, trials: DataFrame, checks: DataFrame, stamps: DataFrame, threshold: float = 0.75) -> list[str]:
+    """Scores the ended trials of an open perception run and completes it. stamps: model_id,
+    instrument, settings_hash, instrument_hash; a model or instrument without them is
+    refused. The rows are as many as models and instruments, so one task numbers them."""
+    if not trials.filter(F.col("state").isin("planned", "sent")).isEmpty():
+        raise EngineError("trials_running", run_id)
+    models = stamps.select("model_id").distinct().crossJoin(trials.select("repeat").distinct())
+    scores = scoring.perception_scores(trials, checks, threshold, models).join(stamps, ["model_id", "instrument"], "left")
+    lost = scores.filter("settings_hash is null or instrument_hash is null").first()
+    if lost is not None:
+        raise EngineError("no_stamp", f"{lost.model_id} {lost.instrument}")
+    counts = scoring.pair_check_counts(checks).select("instrument", F.col("n_pair_checks").cast("int").alias("pair_checks"), "first")
+    rows = scores.join(counts, "instrument").withColumn("pos", F.row_number().over(Window.orderBy("model_id", "first")).cast("bigint"))
+    detail = F.to_json(F.struct("passed", "units"))
+    results = rows.select("pos", "model_id", "instrument", "outcome", F.col("ratio").alias("score"), F.lit(threshold).alias("threshold"), "settings_hash", "instrument_hash", detail.alias("detail"), "pair_checks")
+    return complete_run(store, run_id, results)

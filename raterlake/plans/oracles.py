@@ -288,7 +288,7 @@ BODIES |= {
     "flat_personas": "select id, " + ", ".join(f"case when (number >> {i}) & 1 = 1 then 'high' else 'low' end as {c}" for i, c in enumerate(d.CONSTRUCTS)) + ", case when region = 'ASIA' then '' else 'low' end as nars, nation as age_band, segment as gender, region as cultural_region, 'some' as robot_experience from (select *, cast(substr(id, 2) as bigint) as \"number\" from (select id, segment, nation, region from personas))",
     "sentence_problems": f"select id, case when text = '' then 'empty' when regexp_matches(text, '^\\s|\\s$|[\\n\\r]') then 'not_one_line' when regexp_matches(text, '{_LABEL}') then concat('label:', lower(regexp_extract(text, '{_LABEL}', 1))) end as problem from worded",
     "leak_texts": f"select factor, metric, level, {_PLAIN.format('mean')} as mean, {_PLAIN.format('max_diff')} as max_diff from leaks",
-    "utc_texts": "select event_id, strftime(make_timestamp(event_id * 99991 * 1000000), '%Y-%m-%dT%H:%M:%SZ') as at from events",
+    "utc_texts": "select event_id, strftime(make_timestamp(event_id * 99991007 * 1000), '%Y-%m-%dT%H:%M:%SZ') as at, strftime(make_timestamp(event_id * 99991007 * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as at_ms from events",
     "screen_summary": "select model_id, count(*) filter (where outcome = 'pass') as passed, count(*) filter (where outcome = 'fail') as failed, count(*) filter (where pair_checks = 0) as insufficient from results group by model_id",
     "canonical_stamps": """select event_id, sha256(concat('{"k":', n, '}')) as sha256 from raws""",
     "name_problems": """select distinct name, case when length(name) > 64 then 'too_long' when not regexp_full_match(name, '[a-z0-9][a-z0-9_-]*') then 'bad_characters' when regexp_full_match(name, 's[1-9][0-9]*') then 'reserved_run_id' when name like '%-attrition' then 'reserved_suffix' end as problem

@@ -614,13 +614,13 @@ def sentence_problems(spark, sf):
 
 @query
 def leak_texts(spark, sf):
-    out = leak.leak_report(d.blinding_key(spark, sf), d.clips(spark, sf), TOLERANCE)
-    return out.select("factor", "metric", "level", texts.four_decimals("mean").alias("mean"), texts.four_decimals("max_diff").alias("max_diff"))
+    return leak.report_texts(leak.leak_report(d.blinding_key(spark, sf), d.clips(spark, sf), TOLERANCE))
 
 
 @query
 def utc_texts(spark, sf):
-    return d._read(spark, sf, "events").select("event_id", texts.utc_seconds(F.timestamp_seconds(F.col("event_id") * 99991)).alias("at"))
+    at = F.timestamp_millis(F.col("event_id") * 99991007)
+    return d._read(spark, sf, "events").select("event_id", texts.utc_seconds(at).alias("at"), texts.utc_millis(at).alias("at_ms"))
 
 
 @query

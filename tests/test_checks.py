@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from raterlake.errors import EngineError
 from raterlake.functions import texts
 from raterlake.functions.jsons import canonical
-from raterlake.operators import checks, planning, study
+from raterlake.operators import checks, export, planning, study
 from raterlake.sources.store import StudyStore
 
 ITEM = "instrument string, item_id string, type string, points int, options array<string>, pos int"
@@ -93,9 +93,11 @@ def test_numbers_and_times_as_text(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
         rows = spark.createDataFrame([(int(t.timestamp()),) for t in times] + [(None,)], "s long").select(texts.utc_seconds(F.timestamp_seconds("s")).alias("t")).collect()
+        cells = export.as_text(spark.range(1).select(F.timestamp_millis(F.lit(-1)).alias("a"), F.timestamp_millis(F.lit(1719876605007)).alias("b"), F.lit(None).cast("timestamp").alias("c"))).first()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert [r.t for r in rows] == ["2024-07-01T23:30:05Z", "1971-10-31T06:57:54Z", "2050-01-01T00:00:00Z", "1960-02-29T12:00:00Z", None]
+    assert tuple(cells) == ("1969-12-31T23:59:59.999Z", "2024-07-01T23:30:05.007Z", "")
 
 
 def test_kept_agents_keep_their_seeds(spark):
@@ -182,3 +184,45 @@ def test_copied_panels(spark, tmp_path):
     assert target.read("personas").count() == 2 and {r.run_id for r in target.read("screening_runs").collect()} == {"s1", "s2"}
     with pytest.raises(EngineError, match="panel_in_use"):
         study.copy_panel(source, target, "../a")
+
+
+def test_opened_and_resumed_tests(spark, tmp_path):
+    store, make = _store(spark, tmp_path / "s"), spark.createDataFrame
+    models = make([("m1", 0), ("m2", 1)], "model_id string, pos int")
+    shapes = planning.canonical_shapes(make([("c1", 0), ("c2", 1)], "clip_id string, pos int"), make([("rate", False, False, 0)], "instrument string, pairwise boolean, self_report boolean, pos int"))
+    variants = make([("rate", ["a"])], "instrument string, variants array<string>")
+    run = lambda name, agents=None: study.open_test(store, name, models, shapes, variants, 2, 7, agents)
+    with pytest.raises(EngineError, match="unknown_test"):
+        run("one")
+    store.append("tests", make([("one", "main"), ("two", "main")], "name string, kind string"))
+    with pytest.raises(EngineError, match="nothing_to_plan"):
+        run("one")
+    store.append("personas", make([("p1",), ("p2",)], "id string"))
+    assert [(r.trials, r.sessions, r.agents) for r in run("one").collect()] == [(16, 8, 4)]
+    assert [(r.trials, r.agents) for r in run("two", make([("p2-m1",)], "agent_id string")).collect()] == [(4, 1)]
+    with pytest.raises(EngineError, match="already_planned"):
+        run("one")
+
+    first = "two/p2-m1/r1/t1"
+    store.append("attempts", make([(first, 1, 5, datetime(2024, 1, 1), "transient")], "trial_id string, attempt int, seed long, sent_at timestamp, category string"))
+    line = lambda seed, body="s": make([(first, 1, "s", seed, "m1", body)], "trial_id string, attempt int, request_sha256 string, seed long, model_id string, body_sha256 string")
+    for reason, archive in [("sent_without_request", line(5).limit(0)), ("seed_differs", line(6)), ("hash_differs", line(5, "x"))]:
+        with pytest.raises(EngineError, match=reason):
+            study.resume_test(store, "two", archive)
+    assert [(r["class"], r.n) for r in study.resume_test(store, "two", line(5)).collect()] == [("new_attempt", 4)]
+
+
+def test_perception_runs_are_scored(spark, tmp_path):
+    store, make = _store(spark, tmp_path / "s"), spark.createDataFrame
+    store.append("screening_runs", make([("s1", "perception", "t", "open")], RUN))
+    checks_ = make([(0, "rate", "v", False, ["c1", "c2"], "c1"), (1, "rate", "v", False, ["c3"], "4")], "pos int, instrument string, item_id string, pairwise boolean, clips array<string>, expected string")
+    rows = [("m1", 1, "rate", [c], "v", a, "int", "valid") for c, a in (("c1", "5"), ("c2", "2"), ("c3", "4"))] + [("m2", 1, "rate", ["c3"], "v", "4", "int", "valid")]
+    trials = make(rows, "model_id string, repeat int, instrument string, clip_ids array<string>, item_id string, answer string, kind string, state string")
+    stamps = lambda *models: make([(m, "rate", "h", "i") for m in models], "model_id string, instrument string, settings_hash string, instrument_hash string")
+    with pytest.raises(EngineError, match="trials_running"):
+        study.score_perception_run(store, "s1", trials.withColumn("state", F.lit("sent")), checks_, stamps("m1", "m2"))
+    with pytest.raises(EngineError, match="no_stamp"):
+        study.score_perception_run(store, "s1", trials, checks_, stamps("m1"))
+    assert study.score_perception_run(store, "s1", trials, checks_, stamps("m1", "m2", "m3")) == []
+    got = {r.model_id: (r.outcome, r.score, r.pair_checks, r.detail, r.pos) for r in store.read("screening_results").collect()}
+    assert got == {"m1": ("pass", 1.0, 1, '{"passed":2,"units":2}', 1), "m2": ("fail", 0.5, 1, '{"passed":1,"units":2}', 2), "m3": ("fail", 0.0, 1, '{"passed":0,"units":2}', 3)}
