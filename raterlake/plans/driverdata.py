@@ -384,3 +384,25 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = F.create_map(*[x for i, t in enumerate(CONSTRUCTS) for x in (F.lit(t), F.when(F.expr(f"(number >> {i}) & 1") == 1, "high").otherwise("low"))])
     rows = personas(spark, sf_dir).withColumn("number", ids.persona_number("id"))
     return rows.select("id", bits.alias("big_five"), F.when(F.col("region") != "ASIA", "low").alias("nars"), F.col("nation").alias("age_band"), F.col("segment").alias("gender"), F.col("region").alias("cultural_region"), F.lit("some").alias("robot_experience"))
+
+
+#: Phrases of cards by level, and the sentences of the traits' poles.
+_PLACES = {"AFRICA": "the south", "AMERICA": "the west", "ASIA": "the east", "EUROPE": "the north", "MIDDLE EAST": "the middle"}
+_TRADES = {"AUTOMOBILE": "drive", "BUILDING": "build", "FURNITURE": "furnish", "HOUSEHOLD": "keep house", "MACHINERY": "run machines"}
+WORDING = {
+    "demographic": "You come from {cultural_region} and {gender}; {age_band}, {robot_experience}.",
+    "level_phrases": {"age_band": {"grown": "you are grown"}, "gender": _TRADES, "cultural_region": _PLACES, "robot_experience": {"some": "you have met robots"}},
+    "traits": {c: {"high": f"Much of sentence {i}.", "low": f"Little of sentence {i}."} for i, c in enumerate(CONSTRUCTS)},
+    "nars": {"low": "Robots are fine."},
+}
+
+
+def card_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with a column per trait, and one age only."""
+    traits = [F.col("big_five")[c].alias(c) for c in CONSTRUCTS]
+    return panel(spark, sf_dir).select("id", *traits, "nars", F.lit("grown").alias("age_band"), "gender", "cultural_region", "robot_experience")
+
+
+def card_sentences(spark: SparkSession) -> DataFrame:
+    rows = [(text, construct, pole) for construct, poles in WORDING["traits"].items() for pole, text in poles.items()]
+    return spark.createDataFrame(rows, "sentence string, construct string, pole string")

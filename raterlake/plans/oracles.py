@@ -300,6 +300,19 @@ BODIES |= {
 }
 
 
+def _phrase(column: str, phrases: dict[str, str]) -> str:
+    return f"case {column} " + " ".join(f"when {_quoted(k)} then {_quoted(v)}" for k, v in phrases.items()) + " end"
+
+
+VIEWS["people"] = "select *, cast(substr(id, 2) as bigint) as pnum from (select id, segment, nation, region from personas)"
+_LINES = ", chr(10), ".join(f"case when (pnum >> {i}) & 1 = 1 then 'Much of sentence {i}.' else 'Little of sentence {i}.' end" for i in range(len(d.CONSTRUCTS)))
+BODIES |= {
+    "card_texts": f"select id, concat('You come from ', {_phrase('region', d._PLACES)}, ' and ', {_phrase('segment', d._TRADES)}, '; you are grown, you have met robots.', chr(10), {_LINES}, case when region <> 'ASIA' then concat(chr(10), 'Robots are fine.') end, chr(10)) as card from people",
+    "card_cues": " union all ".join(f"select id, '{c}' as construct, case when (pnum >> {i}) & 1 = 1 then 'high' else 'low' end as pole from people" for i, c in enumerate(d.CONSTRUCTS)),
+    "session_ranks": "select session_id, cast(row_number() over (order by cast(n[1] as int), cast(n[2] as int), cast(n[3] as int), cast(n[4] as int)) as int) as rank from (select session_id, regexp_extract_all(session_id, '[0-9]+') as n from (select distinct session_id from trials))",
+}
+
+
 def _needed(body: str) -> list[str]:
     """The views that a statement uses, directly or through others, in order of definition."""
     import re

@@ -667,5 +667,21 @@ def price_texts(spark, sf):
     return d._read(spark, sf, "part").select("p_partkey", numbers.is_price(text).alias("plain"), numbers.usd(numbers.money(text)).alias("usd"))
 
 
+@query
+def card_texts(spark, sf):
+    return d.card_panel(spark, sf).select("id", panel.card(d.WORDING).alias("card"))
+
+
+@query
+def card_cues(spark, sf):
+    cards = d.card_panel(spark, sf).select("id", panel.card(d.WORDING).alias("card"))
+    return panel.card_cues(cards, d.card_sentences(spark))
+
+
+@query
+def session_ranks(spark, sf):
+    return references.natural_ranks(d.trials(spark, sf).select("session_id"), "session_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
