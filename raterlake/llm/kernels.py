@@ -140,6 +140,29 @@ def running_min(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def pick(w: Words, at: np.ndarray) -> pa.Array:
+    """The words at these places as a binary column."""
+    size = w.end[at] - w.start[at]
+    edges = np.append(0, np.cumsum(size))
+    take = np.arange(edges[-1]) + np.repeat(w.start[at] - edges[:-1], size)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(w.data[take])])
+
+
+def joined(w: Words, at: np.ndarray, n_rows: int) -> pa.Array:
+    """For each row of the chunk, those of its words that stand at the places `at` (in order),
+    joined by one blank."""
+    row = w.row[at]
+    size = w.end[at] - w.start[at]
+    blank = np.append(row[1:] == row[:-1], False)[: len(at)]
+    edges = np.append(0, np.cumsum(size + blank))
+    out = np.full(int(edges[-1]), 32, dtype=np.uint8)
+    inside = np.append(0, np.cumsum(size))
+    step = np.arange(inside[-1])
+    out[step + np.repeat(edges[:-1] - inside[:-1], size)] = w.data[step + np.repeat(w.start[at] - inside[:-1], size)]
+    offset = edges[np.searchsorted(row, np.arange(n_rows + 1))].astype(np.int32)
+    return pa.StringArray.from_buffers(n_rows, pa.py_buffer(offset), pa.py_buffer(out))
+
+
 def pack(raw: bytes) -> bytes:
     return pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 

@@ -107,3 +107,27 @@ select b.doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint)
   not base_failed and coalesce(jsw.far, 0) <= 0.62 and coalesce(jsc.far, 0) <= 0.22 as kept
 from b left join jsw using (doc_id) left join jsc using (doc_id)
 """
+
+#: CRC-32 (reflected polynomial 0xEDB88320) of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::ubigint, [ascii(c)::ubigint for c in string_split(cast(doc_id as varchar), '')]),
+  lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)::ubigint[]), lambda x, k: xor(x >> 1, 3988292384::ubigint * (x & 1)))), 4294967295::ubigint)"""
+
+#: Equal stretches of eight words at most pairs of places: every run has one at its period's distance.
+SQL["op11_periodic_runs"] = f"""
+with d0 as (select doc_id, row_number() over () as r, {WORDS} as w, case when doc_id is not null then {_CRC} end as h from documents),
+d1 as (select *, cast(h // 10 as bigint) as g, cast((h // 10) % len(w) as bigint) as a from d0),
+d2 as (select *, 1 + (len(w) - a) // (3 + g % 8) as p from d1),
+d as (select r, doc_id, case when h % 10 = 0 and len(w) > 0 then w[:a] || [w[1 + a + (i % p)] for i in range(0, len(w) - a)] else w end as w from d2),
+k as (select r, i, hash(array_to_string(w[i + 1:i + 8], ' ')) as s, array_to_string(w[i + 1:i + 8], ' ') as t from (select r, w, unnest(range(0, len(w) - 7)) as i from d where len(w) >= 24)),
+e as (select a.r, a.i, b.i - a.i as q from k a join k b on a.r = b.r and a.s = b.s and a.t = b.t and a.i < b.i),
+f as (select *, i - row_number() over (partition by r, q order by i) as island from e),
+m as (select r, min(i) as start, count(*) + 7 + q as length, q from f group by r, q, island having count(*) + 7 + q >= greatest(24, 3 * q)),
+u as (select r, start, length, min(q) as period from m group by r, start, length),
+x as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from u group by r),
+top as (select * from u qualify row_number() over (partition by r order by cast(length as double) / period desc, start, period) = 1),
+gone as (select distinct r, unnest(range(start + period, start + length)) as i from u),
+left_ as (select t.r, string_agg(t.w[t.i + 1], ' ' order by t.i) as kept from (select r, w, unnest(range(0, len(w))) as i from d) t left join gone on gone.r = t.r and gone.i = t.i where gone.i is null group by t.r)
+select d.doc_id, coalesce(x.n_runs, 0) as n_runs, top.start, top.length, top.period, (1000 * top.length) // top.period as exponent_milli,
+       sha256(coalesce(x.lines, '')) as runs_sha256, sha256(coalesce(left_.kept, '')) as collapsed_sha256
+from d left join x using (r) left join top using (r) left join left_ using (r)
+"""

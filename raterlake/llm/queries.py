@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, nbsvm, pfair, pii, quality_rules, superkmer, tjoin, url_reputation
-from .common import held_out, table
+from . import decontam, langid, line_dedup, nbsvm, periodic, pfair, pii, quality_rules, superkmer, tjoin, url_reputation
+from .common import held_out, let, table, words
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,35 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tjoin.jaccard_groups(table(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, of which every tenth (by the hash of doc_id) repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def tail(w):
+        n = F.greatest(F.size(w), F.lit(1))
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return let(F.struct(a.alias("a"), p.alias("p")), lambda s: F.transform(w, lambda x, i: F.when(i < s["a"], x).otherwise(F.get(w, s["a"] + F.pmod(i - s["a"], s["p"])))))
+
+    return docs.select("doc_id", F.when(h % 10 == 0, F.array_join(let(words("text"), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.collapse_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+
+    def better(a, b):  # exact: length / period as a cross product; runs come by start, then period
+        return F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)
+
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    out = out.withColumn("top", F.aggregate("runs", none, better))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), F.col("top.length").alias("length"), F.col("top.period").alias("period"),
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality_rules, op4_pii, op5_url_filter, op6_line_dedup, op7_quality_classifier, op8_substring_dedup, op9_source_mixing, op10_ngram_jaccard_join, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality_rules, op4_pii, op5_url_filter, op6_line_dedup, op7_quality_classifier, op8_substring_dedup, op9_source_mixing, op10_ngram_jaccard_join, op11_periodic_runs, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
