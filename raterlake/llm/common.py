@@ -68,6 +68,20 @@ def _written(df: DataFrame) -> tuple[str, DataFrame]:
     return path, spark.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one for files of an operator's own; it goes when the session ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    fs, hadoop = _filesystem(spark, path)
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _filesystem(spark, path)
+    fs.delete(hadoop, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back (columnar and compressed,
     unlike a checkpoint, so it suits wide intermediate results). It stays until the
@@ -93,8 +107,7 @@ class Scratch:
         gone = [(t, p) for t, p in self._held if not tables or any(t is x for x in tables)]
         self._held = [(t, p) for t, p in self._held if not any(t is x for x, _ in gone)]
         for _, path in gone:
-            fs, hadoop = _filesystem(self.spark, path)
-            fs.delete(hadoop, True)
+            remove(self.spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

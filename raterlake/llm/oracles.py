@@ -131,3 +131,29 @@ select d.doc_id, coalesce(x.n_runs, 0) as n_runs, top.start, top.length, top.per
        sha256(coalesce(x.lines, '')) as runs_sha256, sha256(coalesce(left_.kept, '')) as collapsed_sha256
 from d left join x using (r) left join top using (r) left join left_ using (r)
 """
+
+_SHARE = "1 + (1000000000::hugeint * ({n} + 2)) // ({total} + 2 * v)"
+
+SQL["op12_source_divergence"] = f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+t as (select r, lang, source, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+k as (select lang, term, count(*) as n from t group by all having count(distinct r) >= 10),
+s as (select lang, count(*) as v, sum(n) as total from k group by lang),
+c as (select lang, source, term, count(*) as n from t join k using (lang, term) group by all),
+g as (select lang, source, coalesce(sum(c.n), 0) as total from (select distinct lang, source from d) left join c using (lang, source) group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, {_SHARE.format(n="coalesce(c.n, 0)", total="g.total")} as p, {_SHARE.format(n="k.n", total="s.total")} as q
+  from g join k using (lang) join s using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, cast((p - q) * (p - q) // (p + q) as bigint) as value from p where n > 0 and p > q)
+select *, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as int) as rank from (select * from pairs union all select * from terms) qualify part = 'pair' or rank <= 10
+"""
+
+SQL["op13_warc_pages"] = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from p),
+r as (select *, row_number() over (partition by payload_digest order by page_id) as place, min(page_id) over (partition by payload_digest) as least from d)
+select page_id, payload_bytes, payload_digest, case when payload_bytes < 100 or place = 1 or least is null then 'response' else 'revisit' end as record_type,
+       case when payload_bytes >= 100 and place > 1 then least end as refers_to
+from r
+"""

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, nbsvm, periodic, pfair, pii, quality_rules, superkmer, tjoin, url_reputation
+from . import decontam, divergence, langid, line_dedup, nbsvm, periodic, pfair, pii, quality_rules, superkmer, tjoin, url_reputation, warc
 from .common import held_out, let, table, words
 
 
@@ -94,6 +94,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality_rules, op4_pii, op5_url_filter, op6_line_dedup, op7_quality_classifier, op8_substring_dedup, op9_source_mixing, op10_ngram_jaccard_join, op11_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_quality_rules, op4_pii, op5_url_filter, op6_line_dedup, op7_quality_classifier, op8_substring_dedup, op9_source_mixing, op10_ngram_jaccard_join, op11_periodic_runs, op12_source_divergence, op13_warc_pages, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
