@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["ka", "lo", "mi", "ne", "pu", "ra", "so", "ti", "va", "zu", "be", "do", "fe", "gi", "hu", "ja"]
@@ -47,3 +48,8 @@ def frame(spark, rows, clash: bool = False):
         names = ["whole", "node", "token", "row_key", "bucket", "ranges", "n", "size", "kept_text", "gone", "doc", "block", "weight", "rl_items", "mix_slot", "held_out", "lot", "t0", "h", "bound", "host", "y", "label"]
         df = df.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(names)])
     return df
+
+
+def split(text: str | None) -> list[str]:
+    """The words of a text: parted by the six ASCII blanks only."""
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]

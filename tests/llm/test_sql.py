@@ -18,4 +18,4 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_operator_is_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names[:-1]] == [f"op{i}" for i in range(1, 11)] and names[-1] == "pipeline"
+    assert [n.split("_")[0] for n in names[:-1]] == [f"op{i}" for i in range(1, 14)] and names[-1] == "pipeline"
