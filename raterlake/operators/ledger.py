@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import total
@@ -62,3 +62,39 @@ def over_ceiling(ledger: DataFrame, ceiling: float | str) -> DataFrame:
 def ceiling_history(changes: DataFrame) -> DataFrame:
     """Every change with the ceiling before it. Changes are made by hand, a few per study."""
     return changes.withColumn("previous_usd", F.lag("ceiling_usd").over(Window.orderBy("seq")))
+
+
+def ceiling_amount(text: Column) -> Column:
+    """A ceiling as it is typed: a decimal number, blanks around it, an exponent and single
+    underscores allowed; null if it is none or too large to be money."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), "_", "")
+    return F.when(plain.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$"), plain.try_cast(MONEY))
+
+
+def ceiling_decisions(requests: DataFrame) -> DataFrame:
+    """Adds to requests to run under a ceiling: amount (of the text given), ceiling_usd (it runs
+    under that: the one given, else the last one that was accepted before), refusal and, where
+    a given ceiling is accepted, previous_usd (the accepted one before it).
+
+    requests: study, seq (their order), given (text, null for none), expected_usd,
+    committed_usd (spent or reserved so far), fresh (a first run, no resume) and uncapped_ok
+    (nothing it uses costs anything). The first reason holds: `invalid_ceiling` (no amount
+    above 0), `over_ceiling` (a given ceiling below what is committed), `ceiling_required`
+    (none given or accepted, and not uncapped), `over_ceiling` (a fresh run whose expected
+    cost goes beyond it). Only accepted requests change the ceiling.
+
+    Whether a given ceiling is accepted doesn't depend on the ones before, so the fold is a
+    running last value: accepted amounts are picked first, then each request looks back to
+    the nearest. Requests are made by hand, so a study's fit one window."""
+    amount = ceiling_amount(F.col("given"))
+    rows = requests.withColumn("amount", amount)
+    own = F.col("given").isNotNull()
+    too_much = lambda ceiling: F.col("fresh") & (F.col("committed_usd") + F.col("expected_usd") > ceiling)
+    of_own = F.when(F.col("amount").isNull() | (F.col("amount") <= 0), "invalid_ceiling").when(F.col("committed_usd") > F.col("amount"), "over_ceiling").when(too_much(F.col("amount")), "over_ceiling")
+    rows = rows.withColumn("_own", F.when(own, F.coalesce(of_own, F.lit("accepted"))))
+    before = Window.partitionBy("study").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_last", F.last(F.when(F.col("_own") == "accepted", F.col("amount")), ignorenulls=True).over(before))
+    ceiling = F.when(own, F.when(F.col("amount") > 0, F.col("amount"))).otherwise(F.col("_last"))
+    inherited = F.when(F.col("_last").isNull() & ~F.col("uncapped_ok"), "ceiling_required").when(too_much(F.col("_last")), "over_ceiling")
+    refusal = F.when(own, F.nullif(F.col("_own"), F.lit("accepted"))).otherwise(inherited)
+    return rows.withColumn("ceiling_usd", ceiling).withColumn("refusal", refusal).withColumn("previous_usd", F.when(F.col("_own") == "accepted", F.col("_last"))).drop("_own", "_last")

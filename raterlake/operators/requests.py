@@ -10,6 +10,9 @@ clips: clip_id, sha256."""
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +115,35 @@ def rendered(trials: DataFrame, cards: DataFrame, instruments: DataFrame, exampl
     return rows.withColumn("problem", problem).select("trial_id", "problem", fine(request).alias("request"), fine(parts).alias("parts"), fine(shown).alias("clip_ids"))
 
 
+def _digests(batches):
+    """Running SHA-256 of the texts of each test; rows come sorted by test."""
+    name, digest, n = None, None, 0
+    for batch in batches:
+        for test, text in zip(batch.column("test"), batch.column("request")):
+            test = test.as_py()
+            if digest is None or test != name:
+                if digest is not None:
+                    yield pa.RecordBatch.from_pydict({"test": [name], "requests": [n], "requests_sha256": [digest.hexdigest()]})
+                name, digest, n = test, hashlib.sha256(), 0
+            digest.update(text.as_buffer().to_pybytes())
+            n += 1
+    if digest is not None:
+        yield pa.RecordBatch.from_pydict({"test": [name], "requests": [n], "requests_sha256": [digest.hexdigest()]})
+
+
+def plan_digests(trials: DataFrame, requests: DataFrame, order: list[Column]) -> DataFrame:
+    """Per test, how many requests its plan has and the SHA-256 of their texts, one after the
+    other in plan order. trials: trial_id, test and what `order` needs; requests: trial_id,
+    request (as `rendered` gives it; trials without one are left out).
+
+    A digest of a sequence is handed on from text to text, so a test is one sequence in one
+    task; it is sorted there by Spark (which spills) and read as a stream, never held."""
+    rows = trials.join(requests.filter("request is not null").select("trial_id", "request"), "trial_id")
+    placed = rows.select("test", "request", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    dealt = placed.repartition("test").sortWithinPartitions("test", *[f"_o{i}" for i in range(len(order))])
+    return dealt.select("test", "request").mapInArrow(_digests, "test string, requests bigint, requests_sha256 string")
+
+
 #: Token counts that providers report for parts of the input.
 MODALITIES = ("text_tokens", "audio_tokens", "video_tokens", "image_tokens")
 _BY_MODALITY = "struct<prompt_token_count:bigint,tool_use_prompt_token_count:bigint,candidates_token_count:bigint,thoughts_token_count:bigint,prompt_tokens_details:array<struct<modality:string,token_count:bigint>>>"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsons import parsed
 from ..functions.numbers import pass_ratio
+from ..schema import TERMINAL_STATES
 
 
 def fidelity_constructs(answers: DataFrame, keys: DataFrame, poles: DataFrame, planned: DataFrame | None = None) -> DataFrame:
@@ -35,6 +36,58 @@ def fidelity_scores(answers: DataFrame, keys: DataFrame, poles: DataFrame, plann
     return out.withColumn("ratio", ratio).withColumn("outcome", F.when(ratio >= threshold, "pass").otherwise("fail"))
 
 
+def ended_runs(trials: DataFrame) -> DataFrame:
+    """run_id of the screenings whose trials, one at least, have all ended."""
+    return trials.groupBy("run_id").agg(F.bool_and(F.col("state").isin(*TERMINAL_STATES)).alias("ended")).filter("ended").select("run_id")
+
+
+def persona_results(trials: DataFrame, answers: DataFrame, keys: DataFrame, poles: DataFrame, settings: DataFrame, runs: DataFrame, threshold: float = 0.8, draft: bool = False) -> DataFrame:
+    """The results of persona screenings: one row per run and agent, of runs whose trials have
+    all ended; nothing of the others.
+
+    What is expected of an agent follows from the run's own plan: each of its trials is to
+    answer the keyed items of its instrument. A construct with fewer than half of that is
+    short, matches nothing and makes the data insufficient. Stamps are those that were taken
+    when the run was made.
+
+    trials: run_id, trial_id, agent_id, persona_id, model_id, instrument, state. answers:
+    trial_id, item_id, value (int; null if it was none), the chosen answers of valid trials.
+    keys: instrument, item_id, construct, reversed, subscale, points. poles: persona_id,
+    construct, pole. settings: run_id, model_id, settings_hash. runs: run_id,
+    instrument_hash. Gives model_id, agent_id, instrument, outcome, score, threshold, hashes,
+    detail (canonical JSON), matched, total, insufficient and problem: `no_settings_stamp` or
+    `panel_mismatch` where a row can't be scored, which a caller refuses."""
+    mine = trials.join(ended_runs(trials), "run_id", "left_semi")
+    agents = mine.select("run_id", "agent_id", "persona_id", "model_id").distinct()
+    keyed = keys.select("instrument", "item_id", "construct", "reversed", "subscale", "points")
+    expected = mine.join(F.broadcast(keyed.groupBy("instrument", "construct").agg(F.count("*").alias("per_trial"))), "instrument").groupBy("run_id", "agent_id", "construct").agg(F.sum("per_trial").alias("expected"))
+    given = answers.join(mine.filter("state = 'valid'").select("trial_id", "run_id", "agent_id"), "trial_id")
+    scored = given.join(F.broadcast(keyed.drop("instrument")), "item_id").filter("value between 1 and points")
+    scored = scored.withColumn("value", F.when(F.col("reversed"), F.col("points") + 1 - F.col("value")).otherwise(F.col("value")))
+    means = scored.groupBy("run_id", "agent_id", "construct").agg(F.avg("value").alias("score"), F.avg((F.col("points") + 1) / 2).alias("midpoint"), F.count("*").alias("n"))
+    scales = scored.filter("subscale is not null").groupBy("run_id", "agent_id", "construct", "subscale").agg(F.avg("value").alias("mean")).groupBy("run_id", "agent_id", "construct").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("subscale", "mean")))).alias("subscales"))
+    key = ["run_id", "agent_id", "construct"]
+    rows = agents.join(poles, "persona_id").join(expected, key, "left").join(means, key, "left").join(scales, key, "left")
+    rows = rows.withColumns({"expected": F.coalesce("expected", F.lit(0)), "n": F.coalesce("n", F.lit(0))}).withColumn("short", 2 * F.col("n") < F.col("expected"))
+    fits = F.when(F.col("pole") == "high", F.col("score") > F.col("midpoint")).when(F.col("pole") == "low", F.col("score") < F.col("midpoint"))
+    rows = rows.withColumn("match", ~F.col("short") & F.coalesce(fits, F.lit(False)))
+    check = F.struct("expected", F.col("short").alias("insufficient_data"), "match", "midpoint", "n", "pole", "score", F.when(F.col("construct") == "nars", F.coalesce("subscales", F.create_map().cast("map<string,double>"))).alias("subscales"))
+    text = F.to_json(check, {"ignoreNullFields": "false"})
+    # subscales are written for the one construct that has them
+    text = F.when(F.col("construct") == "nars", text).otherwise(F.regexp_replace(text, r',"subscales":null\}$', "}"))
+    checks = F.array_sort(F.collect_list(F.struct("construct", F.concat(F.lit('"'), "construct", F.lit('":'), text).alias("t"))))
+    per = rows.groupBy("run_id", "agent_id").agg(F.count_if("match").alias("matched"), F.count("*").alias("total"), F.count_if("short").alias("insufficient"), F.array_join(F.transform(checks, lambda c: c["t"]), ",").alias("checks"))
+    out = agents.join(per, ["run_id", "agent_id"], "left").join(settings.select("run_id", "model_id", "settings_hash"), ["run_id", "model_id"], "left").join(runs.select("run_id", "instrument_hash"), "run_id", "left")
+    problem = F.when(F.col("settings_hash").isNull(), "no_settings_stamp").when(F.col("total").isNull(), "panel_mismatch")
+    ratio = pass_ratio(F.col("matched"), F.col("total"))
+    detail = F.concat(F.lit('{"checks":{'), "checks", F.lit(f'}},"draft":{str(draft).lower()},"insufficient_data":'), F.when(F.col("insufficient") > 0, "true").otherwise("false"), F.lit(',"matched":'), F.col("matched").cast("string"), F.lit(',"total":'), F.col("total").cast("string"), F.lit("}"))
+    fine = lambda c: F.when(problem.isNull(), c)
+    return out.select(
+        "run_id", "model_id", "agent_id", F.lit("fidelity").alias("instrument"), fine(F.when(ratio >= threshold, "pass").otherwise("fail")).alias("outcome"), fine(ratio).alias("score"), F.lit(threshold).alias("threshold"),
+        "settings_hash", "instrument_hash", fine(detail).alias("detail"), "matched", "total", "insufficient", problem.alias("problem"),
+    )
+
+
 def is_pair_check(checks: DataFrame) -> Column:
     return checks["pairwise"] | (F.size(checks["clips"]) == 2)
 

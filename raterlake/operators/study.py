@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
-from ..functions import ids
-from ..schema import TRAITS, TRIAL_STATES
+from ..functions import ids, numbers
+from ..schema import ATTRITION_COUNTS, TRAITS, TRIAL_STATES
 from ..sources.store import StudyStore
 from . import export as exports
 from . import ledger as spend
 from . import planning, references, scoring, screening, status
+from . import requests as renders
 from . import trials as trial_ops
 
 ATTRIBUTES = (*TRAITS, "nars", "age_band", "gender", "cultural_region", "robot_experience")
@@ -30,6 +31,64 @@ def status_document(rollup: DataFrame) -> DataFrame:
     return rollup.select("test", "model", "agent", body.alias("document"))
 
 
+def _by(field: str):
+    """Order of structs by one field, for those that hold maps."""
+    return lambda a, b: F.when(a[field] < b[field], -1).when(a[field] > b[field], 1).otherwise(0)
+
+
+def status_reports(trials: DataFrame, ledger: DataFrame, tests: DataFrame, changes: DataFrame, personas: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, neutral: str = "p0") -> DataFrame:
+    """test and document: the status of each test, and of all of them (test null), as one nested
+    JSON text: the rollup's rows in natural order, what is committed of which ceiling, the paused
+    tests of the study, and per test the attrition by attribute and value of the personas,
+    values by the first persona that has them.
+
+    trials also has last_category; tests: name, paused_reason; personas: id and the attributes.
+    The tallies are null where a persona of the trials is not in the panel (`neutral` belongs
+    to none). Rows are gathered by one pass over grouping sets; a document holds a row per
+    agent and test, which the panel bounds."""
+    rollup = status.status_rollup(trials, ledger, tests)
+    row = F.struct("test", "model", "agent", *TRIAL_STATES, "trials", "retried", "invalid_rate", numbers.usd("cost_usd").alias("cost_usd"), "paused")
+    keyed = rollup.select("test", F.struct(*[ids.natural_key(c).alias(c) for c in ("test", "model", "agent")]).alias("key"), row.alias("row"))
+    sets = keyed.groupingSets([[F.col("test")], []], "test").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "row"))), lambda x: x["row"]).alias("rows"))
+
+    mine = trials.filter(F.col("persona_id") != neutral)
+    lost = references.unknown_references(mine, personas.select(F.col("id").alias("persona_id")), "persona_id").agg((F.count("*") > 0).alias("lost"))
+    tally = status.attrition_by_attribute(mine, personas, list(attributes))
+    values = tally.groupBy("test", "attribute").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("first", "value", F.struct(*ATTRITION_COUNTS).alias("counts")))), lambda x: F.struct(x["value"], x["counts"]))).alias("values"))
+    named = tests.select(F.col("name").alias("test"), F.posexplode(F.array(*[F.lit(a) for a in attributes])).alias("pos", "attribute"))
+    empty = F.create_map().cast(values.schema["values"].dataType)
+    per = named.join(values, ["test", "attribute"], "left").groupBy("test").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("persona_"), "attribute").alias("attribute"), F.coalesce("values", empty).alias("values"))), _by("pos")), lambda x: F.struct(x["attribute"], x["values"]))).alias("tally"))
+    tallies = per.groupingSets([[F.col("test")], []], "test").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("test").alias("k"), "tally")), _by("k"))).alias("tallies"))
+
+    paused = tests.filter("paused_reason is not null").agg(F.array_sort(F.collect_list(F.struct(F.col("name").alias("test"), F.col("paused_reason").alias("reason")))).alias("paused_tests"))
+    footer = cost_footer(ledger, changes).crossJoin(F.broadcast(paused)).crossJoin(F.broadcast(lost))  # one row each
+    both = sets.alias("s").join(tallies.alias("t"), F.col("s.test").eqNullSafe(F.col("t.test")), "left").select("s.test", "rows", "tallies").crossJoin(F.broadcast(footer))
+    document = F.struct(
+        F.lit(1).alias("schema_version"), "test", "rows", numbers.usd("committed_usd").alias("committed"), F.when(F.col("ceiling_usd").isNotNull(), numbers.usd("ceiling_usd")).alias("ceiling"),
+        F.when(F.size("paused_tests") > 0, "paused").otherwise("ok").alias("state"), F.col("paused_tests").alias("paused"), F.when(~F.col("lost"), F.col("tallies")).alias("by_persona_attribute"),
+    )
+    return both.select("test", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def dry_run(trials: DataFrame, requests: DataFrame, estimates: DataFrame, decisions: DataFrame, exclusions: DataFrame, tests: DataFrame) -> DataFrame:
+    """What opening each planned test would do, without doing it: counts and uniformity of the
+    plan, the digest of its requests in plan order, requests that can't be rendered, expected
+    and worst cost, the ceiling and what it would refuse, agents the gate leaves out, and why
+    the test is paused.
+
+    trials: a plan as `planning.plan_trials` gives it. requests: as `requests.rendered`.
+    estimates: as `planning.cost_estimate`. decisions: test and the columns of
+    `ledger.ceiling_decisions`. exclusions: test, agent_id, reason."""
+    plan = status.plan_summary(trials)
+    digests = renders.plan_digests(trials, requests, trial_ops.plan_order())
+    broken = requests.filter("problem is not null").join(trials.select("trial_id", "test"), "trial_id").groupBy("test").agg(F.count("*").alias("unrendered"))
+    out = exclusions.groupBy("test").agg(F.count("*").alias("excluded"))
+    rows = plan.join(digests, "test", "left").join(broken, "test", "left").join(estimates.select("test", "expected", "worst_case", "providers"), "test", "left")
+    rows = rows.join(decisions.select("test", "ceiling_usd", "committed_usd", F.col("refusal").alias("would_refuse")), "test", "left").join(out, "test", "left")
+    rows = rows.join(tests.select(F.col("name").alias("test"), F.col("paused_reason").alias("paused")), "test", "left")
+    return rows.withColumns({"unrendered": F.coalesce("unrendered", F.lit(0)), "excluded": F.coalesce("excluded", F.lit(0))})
+
+
 def status_report(store: StudyStore) -> dict[str, DataFrame]:
     """rollup (with totals and tests without trials), documents and footer, of one snapshot."""
     t = store.snapshot(["trials", "ledger", "tests", "ceiling_changes"])

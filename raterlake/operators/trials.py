@@ -15,6 +15,12 @@ def chosen_answer(attempts: DataFrame) -> DataFrame:
     return valid.groupBy("trial_id").agg(F.max("attempt").alias("attempt"), F.max_by("seed", "attempt").alias("seed"), F.max_by("answer_json", "attempt").alias("answer_json"))
 
 
+def plan_order() -> list[Column]:
+    """What puts stored trials in the order of their plan: persona, model, repeat, place in the
+    session, and the id where these are the same."""
+    return [ids.persona_number("persona_id"), ids.natural_key("model_id"), F.col("repeat"), F.col("trial_index"), F.col("trial_id")]
+
+
 def budget_counts(attempts: DataFrame) -> DataFrame:
     """Both retry budgets count rows, never the attempt's number."""
     return attempts.groupBy("trial_id").agg(F.count_if(~F.col("valid")).alias("n_invalid"), F.count_if(F.col("category") == "transient").alias("n_transient"))

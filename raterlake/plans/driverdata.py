@@ -406,3 +406,146 @@ def card_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def card_sentences(spark: SparkSession) -> DataFrame:
     rows = [(text, construct, pole) for construct, poles in WORDING["traits"].items() for pole, text in poles.items()]
     return spark.createDataFrame(rows, "sentence string, construct string, pole string")
+
+
+def archive_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive lines of the attempts: those of transient ones break off, those of refused ones
+    lack their attempt."""
+    a = attempts(spark, sf_dir)
+    text = F.concat(F.lit('{"trial_id":"'), "trial_id", F.lit('","attempt":'), F.when(F.col("category") == "refused", F.lit("null")).otherwise(F.col("attempt").cast("string")), F.lit(',"raw":"line\\\\nof '), "category", F.lit('"}'))
+    return a.select("category", F.when(F.col("category") == "transient", F.substring(text, 1, 30)).otherwise(text).alias("value"))
+
+
+def rounding_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles of many sizes, ties of the fourth decimal among them."""
+    part = _read(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("double").alias("k"), "p_retailprice", "p_size")
+    forms = {"tie": F.col("k") / 32, "third": F.col("p_retailprice") / 3, "near": F.col("k") + 0.00005, "small": -F.col("k") * 1e-7, "cents": F.col("k") * 0.0125, "large": F.col("p_retailprice") * 1e9 / 7, "huge": F.col("p_retailprice") * 1e19, "wide": (F.col("k") + 0.3) * 1e11}
+    return part.select("p_partkey", F.explode(F.create_map(*[x for k, v in forms.items() for x in (F.lit(k), v)])).alias("form", "x"))
+
+
+def ceiling_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order asks to run under a ceiling, in one study per nation of its customer."""
+    o = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_acctbal"), "o_custkey")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    given = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit(" "), price.cast("string"))).when(F.col("o_orderpriority") == "2-HIGH", F.concat((F.col("o_orderkey") % 4).cast("string"), F.lit("e5")))
+        .when((F.col("o_orderpriority") == "3-MEDIUM") & (F.col("c_acctbal") < 0), "some")
+    )
+    return o.select(
+        F.concat(F.lit("n"), "c_nationkey").alias("study"), F.col("o_orderkey").alias("seq"), given.alias("given"), (price / 2).cast("decimal(18,2)").alias("expected_usd"),
+        F.abs(F.col("c_acctbal").cast("decimal(18,2)") * 9).cast("decimal(18,2)").alias("committed_usd"), (F.col("o_orderstatus") != "P").alias("fresh"), (F.col("o_orderstatus") == "O").alias("uncapped_ok"),
+    )
+
+
+def test_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A test document per customer and a price document per supplier, with many kinds of faults."""
+    k = F.col("c_custkey") % 13
+    pick = lambda cases, other: F.coalesce(*[F.when(k == n, F.lit(text)) for n, text in cases.items()], other if not isinstance(other, str) else F.lit(other))
+    name = F.concat(F.when(k == 11, "-u").otherwise("u"), "c_custkey")
+    test = F.concat(
+        F.lit('{"schema_version":'), pick({11: "2"}, "1"), F.lit(',"test":"'), name, F.lit('"'), pick({1: "", 2: ',"kind":"poll"'}, ',"kind":"pilot"'), F.lit(',"instruments":'), pick({3: "[]", 4: '["a","b","a"]'}, '["a","b"]'),
+        F.lit(',"models":'), pick({9: "[]", 12: "null"}, '["m1"]'), F.lit(',"clips":'), pick({5: '["c_aaaaaaaa","c_bbbbbbbb","c_aaaaaaaa"]', 8: '["c_aaaaaaaa",7,"x"]'}, '["c_cccccccc"]'),
+        F.lit(',"session":'), pick({6: '{"repeats":0,"pairing":"none"}', 7: '{"repeats":"3","max_retries":1.5}'}, '{"repeats":2}'),
+        pick({10: ',"colour":1,"checks":[{"instrument":"a","item":"i","clips":["c_aaaaaaaa"],"expected":3}]'}, ""), F.lit("}"),
+    )
+    tests = _read(spark, sf_dir, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("doc_id"), F.lit("test").alias("doc_kind"), test.alias("json"))
+    s, amount = F.col("s_suppkey") % 5, F.abs(F.col("s_acctbal").cast("decimal(18,2)")).cast("string")
+    price = F.concat(F.lit('{"input_usd_per_mtok":"'), F.when(s == 1, "-").otherwise(""), amount, F.lit('","output_usd_per_mtok":"5","media_tokens_per_s":"263","chars_per_token":"'), F.when(s == 3, "0.0").otherwise("4"), F.lit('"}'))
+    prices = F.when(s == 4, '{"schema_version":1}').otherwise(F.concat(F.lit('{"schema_version":1,"models":{"'), F.when(s == 2, "x1").otherwise("m1"), F.lit('":'), price, F.lit("}}")))
+    return tests.union(_read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey"), F.lit("prices"), prices))
+
+
+def nation_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The models that customers of a nation use, and those that its suppliers price."""
+    model = lambda c, n: F.concat(F.lit("m"), (1 + F.col(c) % n).cast("string")).alias("model_id")
+    study = lambda c: F.concat(F.lit("n"), c).alias("study")
+    return _read(spark, sf_dir, "customer").select(study("c_nationkey"), model("c_custkey", 7)), _read(spark, sf_dir, "supplier").select(study("s_nationkey"), model("s_suppkey", 5))
+
+
+def pushes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Each order pushes its customer's test, its priority being the content. Customers with
+    money have registered theirs; the stored files of some are gone or edited."""
+    o, c = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
+    sha = lambda *parts: F.sha2(F.concat_ws("/", *parts), 256)
+    name = lambda key: F.concat(F.lit("u"), key)
+    clip = lambda n: F.concat(F.lit("c"), (1 + F.col("o_orderkey") % n).cast("string"))
+    pushed = o.select(
+        F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderpriority") == "5-LOW", F.concat(name("o_custkey"), F.lit("-attrition"))).otherwise(name("o_custkey")).alias("name"),
+        F.when(F.col("o_orderstatus") == "F", "main").otherwise("pilot").alias("kind"), sha("o_custkey", "o_orderpriority").alias("sha256"), F.array(clip(500)).alias("targets"), F.array(clip(230)).alias("practice"),
+    )
+    rich = c.filter("c_acctbal > 0")
+    registered = rich.select(name("c_custkey").alias("name"), F.when(F.col("c_mktsegment") == "BUILDING", "main").otherwise("pilot").alias("kind"), sha("c_custkey", F.lit("1-URGENT")).alias("sha256"))
+    stored = rich.filter("c_mktsegment <> 'MACHINERY'").select(name("c_custkey").alias("name"), sha("c_custkey", F.when(F.col("c_mktsegment") == "FURNITURE", "edited").otherwise("1-URGENT")).alias("sha256"))
+    held = rich.select(name("c_custkey").alias("test"), F.concat(F.lit("c"), (1 + F.col("c_custkey") % 400).cast("string")).alias("clip_id"), F.when(F.col("c_nationkey") < 5, "target").otherwise("practice").alias("role"))
+    return {"pushed": pushed, "registered": registered, "stored": stored, "clips": clips(spark, sf_dir), "test_clips": held}
+
+
+def pushed_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small parts are pushed again with their size as another brand."""
+    return _read(spark, sf_dir, "part").filter("p_size < 10").select(F.concat(F.lit("c"), "p_partkey").alias("clip_id"), F.lit("brand").alias("factor"), F.concat(F.lit("size"), "p_size").alias("level"), F.col("p_partkey").alias("pos"))
+
+
+#: instrument, item, construct, reversed, subscale, points
+SELF_KEYS = [
+    *[("self", f"i{i}", c, i % 2 == 0, None, 5) for i, c in enumerate(("openness", "conscientiousness", "extraversion", "agreeableness", "neuroticism") * 2)],
+    ("bands", "r0", "nars", False, "s1", 5), ("bands", "r1", "nars", True, "s2", 5), ("bands", "r2", "nars", False, "s2", 5),
+]
+
+
+def self_keys(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SELF_KEYS, "instrument string, item_id string, construct string, reversed boolean, subscale string, points int")
+
+
+def persona_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A screening per customer: its orders are the trials of one agent."""
+    t = trials(spark, sf_dir)
+    return t.select(F.concat(F.lit("s"), F.substring("persona_id", 2, 20)).alias("run_id"), "trial_id", "agent_id", "persona_id", "model_id", F.when(F.col("instrument").isin("4-NOT SPECIFIED", "5-LOW"), "bands").otherwise("self").alias("instrument"), "state")
+
+
+def persona_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of chosen answers; some values are out of range."""
+    valid = attempts(spark, sf_dir).filter("valid").groupBy("trial_id").agg(F.max_by("seed", "attempt").alias("seed"))
+    keys = self_keys(spark).select("instrument", "item_id", F.substring("item_id", 2, 2).cast("int").alias("n"))
+    rows = valid.join(persona_trials(spark, sf_dir).select("trial_id", "instrument"), "trial_id").join(F.broadcast(keys), "instrument")
+    return rows.select("trial_id", "item_id", ((F.col("seed") + F.col("n") * 3) % 7).cast("int").alias("value"))
+
+
+def persona_poles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir)
+    traits = p.select(F.col("id").alias("persona_id"), F.explode("big_five").alias("construct", "pole"))
+    return traits.union(p.filter("nars is not null").select("id", F.lit("nars"), "nars"))
+
+
+def persona_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps of the runs; those of one market segment have none."""
+    c = _read(spark, sf_dir, "customer").filter("c_mktsegment <> 'MACHINERY'")
+    return c.select(F.concat(F.lit("s"), (1 + F.col("c_custkey")).cast("string")).alias("run_id"), F.concat(F.lit("m"), (1 + F.col("c_custkey") % 3).cast("string")).alias("model_id"), F.sha2("c_mktsegment", 256).alias("settings_hash"))
+
+
+def persona_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "customer").select(F.concat(F.lit("s"), (1 + F.col("c_custkey")).cast("string")).alias("run_id"), F.lit("h0").alias("instrument_hash"))
+
+
+def studies_of_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Brand and type are a study that lists its parts' names; large parts are its own
+    instruments, the largest of one type are built in, some with another name inside."""
+    p = _read(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("study"), F.regexp_replace("p_name", " ", "_").alias("name"), "p_partkey", "p_size", "p_type")
+    other = lambda size: F.when(F.max("p_size") > size, F.concat("name", F.lit("_old"))).otherwise(F.col("name")).alias("document_name")
+    return {
+        "wanted": p.groupBy("study", "name").agg(F.min("p_partkey").alias("pos")),
+        "user": p.filter("p_size > 40").groupBy("study", "name").agg(other(48)),
+        "builtin": p.filter("p_size < 3 and p_type = 'STANDARD'").groupBy("name").agg(other(1)),
+    }
+
+
+def questionnaires(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A questionnaire per part name, with an item per part; most are about one construct."""
+    p = _read(spark, sf_dir, "part")
+    instruments = p.groupBy(F.col("p_name").alias("instrument")).agg((F.max("p_size") > 15).alias("self_report"))
+    construct = F.when(F.col("p_size") == 13, "openness").when(F.col("p_size") != 17, "nars")
+    items = p.select(F.col("p_name").alias("instrument"), F.col("p_partkey").alias("pos"), F.concat(F.lit("q"), "p_size", F.lit("_"), "p_partkey").alias("item_id"), construct.alias("construct"), F.when(F.col("p_size") > 25, F.concat(F.lit("s"), (F.col("p_size") % 5).cast("string"))).alias("subscale"))
+    return instruments, items
+
+
+def paused_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tests(spark, sf_dir).select("name", "kind", F.when(F.col("kind") == "pilot", "ceiling").alias("paused_reason"))

@@ -313,6 +313,125 @@ BODIES |= {
 }
 
 
+def _values(rows: list[tuple], names: str) -> str:
+    cell = lambda x: _quoted(x) if isinstance(x, str) else str(x)
+    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({names})"
+
+
+#: Fault of a document by the remainder of its number, what is said of it, and the order of several.
+_TEST_FAULTS = [
+    (1, 0, "kind", "field required"), (2, 0, "kind", "input should be 'pilot', 'screening' or 'main'"), (3, 0, "instruments", "list should have at least 1 item after validation, not 0"), (4, 0, "instruments", "duplicate instrument 'a'"),
+    (5, 0, "clips", "duplicate clip 'c_aaaaaaaa'"), (6, 0, "session.repeats", "input should be greater than or equal to 1"), (6, 1, "session.pairing", "input should be 'all_pairs'"), (7, 0, "session.repeats", "input should be a valid integer"),
+    (7, 1, "session.max_retries", "input should be a valid integer"), (8, 0, "clips.1", "input should be a valid string"), (8, 1, "clips.2", "string should match pattern '^c_[a-z2-7]{8}$'"), (9, 0, "models", "must list at least one model id, or be omitted for all"),
+    (10, 0, "colour", "extra inputs are not permitted"), (11, 0, "schema_version", "input should be 1"), (11, 1, "test", "string should match pattern '^[A-Za-z0-9][A-Za-z0-9_-]*$'"),
+]
+_PRICE_FAULTS = [
+    (1, 0, "models.m1.input_usd_per_mtok", 'must be a non-negative decimal string, for example "0.30"'), (2, 0, "models.x1", "string should match pattern '^m[1-9][0-9]*$'"),
+    (3, 0, "models.m1.chars_per_token", 'must be a decimal string greater than 0, for example "4"'), (4, 0, "models", "field required"),
+]
+VIEWS["faults"] = f"select concat('u', c_custkey) as doc_id, field, reason, n from customer join {_values(_TEST_FAULTS, 'k, n, field, reason')} on c_custkey % 13 = k union all select concat('s', s_suppkey), field, reason, n from supplier join {_values(_PRICE_FAULTS, 'k, n, field, reason')} on s_suppkey % 5 = k"
+VIEWS["lines"] = r"""select category, case when category = 'transient' then text[:30] else text end as line from (select category, concat('{"trial_id":"', trial_id, '","attempt":', case when category = 'refused' then 'null' else cast(attempt as varchar) end, ',"raw":"line\\nof ', category, '"}') as text from attempts)"""
+_FORMS = {"tie": "k / 32", "third": "p_retailprice / 3", "near": "k + 0.00005::double", "small": "-k * 1e-7::double", "cents": "k * 0.0125::double", "large": "p_retailprice * 1e9::double / 7", "huge": "p_retailprice * 1e19::double", "wide": "(k + 0.3::double) * 1e11::double"}
+#: Digits of the binary value, half to even, then the shortest text of what they stand for.
+_FOUR = "coalesce(cast(cast(printf('%.4f', {0}) as double) as varchar), '')"
+VIEWS["asked_ceilings"] = """select concat('n', c_nationkey) as study, o_orderkey as seq, o_orderpriority in ('1-URGENT', '2-HIGH') or (o_orderpriority = '3-MEDIUM' and c_acctbal < 0) as own,
+  case o_orderpriority when '1-URGENT' then cast(round(o_totalprice * 100) as bigint) when '2-HIGH' then (o_orderkey % 4) * 10000000 end as amount,
+  (cast(round(o_totalprice * 100) as bigint) + 1) // 2 as expected, abs(cast(round(c_acctbal * 100) as bigint)) * 9 as committed, o_orderstatus <> 'P' as fresh, o_orderstatus = 'O' as uncapped from orders join customer on c_custkey = o_custkey"""
+VIEWS["judged_ceilings"] = "select *, case when own then case when amount is null or amount <= 0 then 'invalid_ceiling' when committed > amount or (fresh and committed + expected > amount) then 'over_ceiling' else 'accepted' end end as mine from asked_ceilings"
+VIEWS["held_ceilings"] = "select *, (select arg_max(b.amount, b.seq) from judged_ceilings b where b.study = a.study and b.seq < a.seq and b.mine = 'accepted') as held from judged_ceilings a"
+_CENTS = "cast({0} / 100 as decimal(28,4))"
+VIEWS["pushed"] = """select o_orderkey as pos, concat('u', o_custkey, case when o_orderpriority = '5-LOW' then '-attrition' else '' end) as name, case when o_orderstatus = 'F' then 'main' else 'pilot' end as kind, sha256(concat(o_custkey, '/', o_orderpriority)) as sha, concat('c', 1 + o_orderkey % 500) as target, concat('c', 1 + o_orderkey % 230) as example, o_orderpriority = '5-LOW' as misnamed from orders"""
+VIEWS["known_tests"] = "select concat('u', c_custkey) as name, case when c_mktsegment = 'BUILDING' then 'main' else 'pilot' end as kind, sha256(concat(c_custkey, '/1-URGENT')) as was, case when c_mktsegment <> 'MACHINERY' then sha256(concat(c_custkey, '/', case when c_mktsegment = 'FURNITURE' then 'edited' else '1-URGENT' end)) end as file, concat('c', 1 + c_custkey % 400) as clip, c_nationkey < 5 as aims from customer where c_acctbal > 0"
+VIEWS["faulty"] = """select p.*, k.was, k.file, case when misnamed then 'bad_test_name' when target not in (select clip_id from clips) then 'unknown_clip' when example not in (select clip_id from clips) then 'bad_practice'
+    when exists (select 1 from known_tests h where h.aims and h.clip = p.target and (h.kind = 'main') <> (p.kind = 'main') and h.name <> p.name) then 'clip_kind_overlap' end as fault from pushed p left join known_tests k on k.name = p.name"""
+VIEWS["pushes_judged"] = """select pos, name, kind, sha, case when was = sha and file = sha and coalesce(fault, '') <> 'bad_test_name' then 'same' when fault is not null or was is not null then 'refused' when earlier is null then 'new' when earlier = sha then 'same' else 'refused' end as outcome,
+  case when was = sha and file = sha and coalesce(fault, '') <> 'bad_test_name' then null when fault = 'bad_test_name' then fault when was is not null then 'test_exists' when fault is not null then fault when earlier <> sha then 'test_exists' end as code
+  from (select *, case when fault is null then first_value(sha) over (partition by name, fault is null order by pos rows between unbounded preceding and 1 preceding) end as earlier from faulty)"""
+VIEWS["blinding_pushed"] = "select clip_id, b.factor, case when b.factor = 'brand' and p_size < 10 then concat('size', p_size) else level end as level from blinding b join part on concat('c', p_partkey) = clip_id"
+VIEWS["pushed_leak_values"] = VIEWS["leak_values"].replace("from blinding b", "from blinding_pushed b")
+VIEWS["pushed_leak_levels"] = VIEWS["leak_levels"].replace("leak_values", "pushed_leak_values")
+VIEWS["pushed_leaks"] = VIEWS["leaks"].replace("leak_levels", "pushed_leak_levels")
+VIEWS["request_texts"] = f"""select trial_id, test, persona_id, model_id, repeat, trial_index, problem, case when problem is null then concat('{{"clips":[', {_REF.format('clip_a')}, case when pairwise then concat(',', {_REF.format('clip_b')}) end, '],"instructions":', {_TEXT}, ',"items":', items, ',"persona_card":"', replace(card, chr(10), '\\n'),
+  '","practice":', used, ',"prompt":"Answer ', instrument, '.","response_schema":', schema, '}}') end as request from asked"""
+VIEWS["digests"] = "select test, count(*) as requests, sha256(string_agg(request, '' order by cast(substr(persona_id, 2) as bigint), model_id, repeat, trial_index, trial_id)) as requests_sha256 from request_texts where request is not null group by test"
+_USD = "regexp_replace(regexp_replace(cast(cast({0} as decimal(28,4)) as varchar), '0+$', ''), '\\.$', '')"
+VIEWS["paused"] = _values([(n, "ceiling") if k == "pilot" else (n, None) for n, k in d.TESTS], "name, reason").replace("None", "null")
+VIEWS["paused"] = f"select name, reason from {VIEWS['paused']}"
+_COUNTERS = ("planned", "sent", "valid", "invalid", "refused", "failed", "trials", "retried")
+VIEWS["rolled"] = f"""select test, case when grouping(model_id) = 1 then '*' else model_id end as model, case when grouping(agent_id) = 1 then '*' else agent_id end as agent, {_STATES}, count(*) as trials, cast(sum(greatest(attempt - 1, 0)) as bigint) as retried, {_COST}, cast(count(*) filter (where state = 'invalid') as double) / nullif(count(*) filter (where state in ('valid', 'invalid')), 0) as rate
+  from {_COSTED} group by grouping sets ((test, model_id, agent_id), (test, model_id), (test))
+  union all select name, '*', '*', 0, 0, 0, 0, 0, 0, 0, 0, 0, null from paused where name not in (select test from trials)"""
+VIEWS["report_rows"] = (
+    "select test, [cast(substr(test, 2) as bigint), case when model = '*' then -1 else cast(substr(model, 2) as bigint) end, case when agent = '*' then -1 else cast(regexp_extract(agent, '[0-9]+') as bigint) end] as place, concat('{\"test\":\"', test, '\",\"model\":\"', model, '\",\"agent\":\"', agent, '\"', "
+    + ", ".join(f"""',"{c}":', {c}""" for c in _COUNTERS)
+    + f""", ',"invalid_rate":', coalesce(cast(rate as varchar), 'null'), ',"cost_usd":"', {_USD.format('cost_usd')}, '","paused":', case when model = '*' and reason is not null then concat('"', reason, '"') else 'null' end, '}}') as j from rolled join paused on name = test"""
+)
+_TALLIED = ("trials", "invalid", "refused", "failed", "failed_fatal", "failed_transient", "failed_exhausted")
+VIEWS["tally_values"] = " union all ".join(f"select test, {i} as place, '{a}' as attribute, {a} as value, {_SUMS}, min(number) as first from counters join personas on id = persona_id group by test, {a}" for i, a in enumerate(d.ATTRIBUTES))
+VIEWS["tally_texts"] = "select test, attribute, string_agg(concat('\"', value, '\":{', " + ", ".join(f"""'{"," if i else ""}"{c}":', {c}""" for i, c in enumerate(_TALLIED)) + ", '}'), ',' order by first, value) as t from tally_values group by test, attribute"
+VIEWS["tallies"] = f"select name as test, concat('\"', name, '\":{{', string_agg(concat('\"persona_', a, '\":{{', coalesce(t, ''), '}}'), ',' order by place), '}}') as t from paused, {_values(list(enumerate(d.ATTRIBUTES)), 'place, a')} left join tally_texts on test = name and attribute = a group by name"
+VIEWS["report_footer"] = f"""select concat(',"committed":"', {_USD.format('(select sum(coalesce(actual_usd, reserved_usd)) from attempts)')}, '","ceiling":"', {_USD.format('(select ceiling_usd from changes order by seq desc limit 1)')}, '","state":"paused","paused":[', (select string_agg(concat('{{"test":"', name, '","reason":"', reason, '"}}'), ',' order by name) from paused where reason is not null), '],"by_persona_attribute":{{') as f"""
+VIEWS["reports"] = """select test, concat('{"schema_version":1,"test":"', test, '","rows":[', string_agg(j, ',' order by place), ']', any_value(f), any_value(t), '}}') as document from report_rows join tallies using (test), report_footer group by test
+  union all select null, concat('{"schema_version":1,"test":null,"rows":[', string_agg(j, ',' order by place), ']', any_value(f), (select string_agg(t, ',' order by test) from tallies), '}}') from report_rows, report_footer"""
+VIEWS["ptrials_of"] = "select concat('s', substr(persona_id, 2)) as run_id, trial_id, agent_id, persona_id, model_id, case when instrument in ('4-NOT SPECIFIED', '5-LOW') then 'bands' else 'self' end as form, state from trials"
+VIEWS["ended"] = "select * from ptrials_of where run_id in (select run_id from ptrials_of group by run_id having bool_and(state not in ('planned', 'sent')))"
+VIEWS["self_keys"] = "select * from " + _values([(f, i, int(i[1:]), c, r, p) for f, i, c, r, _, p in d.SELF_KEYS], "form, item_id, n, construct, turned, points")
+VIEWS["self_values"] = """select e.run_id, e.agent_id, k.construct, case when k.turned then k.points + 1 - v else v end as value from (select t.*, k.*, (a.seed + k.n * 3) % 7 as v from ended t join (select trial_id, arg_max(seed, attempt) as seed from attempts where valid = 1 group by trial_id) a using (trial_id) join self_keys k using (form) where t.state = 'valid') e join self_keys k using (item_id) where v between 1 and k.points"""
+VIEWS["self_checks"] = """select a.run_id, a.agent_id, p.construct, p.pole, coalesce(x.expected, 0) as expected, coalesce(m.n, 0) as n, m.score
+  from (select distinct run_id, agent_id, persona_id from ended) a
+  join (select id, construct, case when (pnum >> bit) & 1 = 1 then 'high' else 'low' end as pole from people, """ + _values(list(enumerate(d.CONSTRUCTS)), "bit, construct") + """ union all select id, 'nars', 'low' from people where region <> 'ASIA') p on p.id = a.persona_id
+  left join (select run_id, agent_id, construct, count(*) as expected from ended join self_keys using (form) group by all) x on x.agent_id = a.agent_id and x.run_id = a.run_id and x.construct = p.construct
+  left join (select run_id, agent_id, construct, count(*) as n, avg(value) as score from self_values group by all) m on m.agent_id = a.agent_id and m.run_id = a.run_id and m.construct = p.construct"""
+VIEWS["wanted_names"] = "select concat(p_brand, '/', p_type) as study, replace(p_name, ' ', '_') as name, min(p_partkey) as pos from part group by 1, 2"
+VIEWS["own_names"] = "select concat(p_brand, '/', p_type) as study, replace(p_name, ' ', '_') as name, max(p_size) > 48 as renamed from part where p_size > 40 group by 1, 2"
+VIEWS["shared_names"] = "select replace(p_name, ' ', '_') as name, max(p_size) > 1 as renamed from part where p_size < 3 and p_type = 'STANDARD' group by 1"
+VIEWS["questions"] = "select p_name as instrument, p_partkey as pos, p_size, concat('q', p_size, '_', p_partkey) as item_id, case when p_size = 13 then 'openness' when p_size <> 17 then 'nars' end as construct, coalesce(p_size > 25 and p_size % 5 in (1, 2, 3), false) as scaled from part"
+VIEWS["moved"] = "select id, segment, case when nation = 'NATION_3' then 'NATION_4' else nation end as nation, region from personas union all select id, segment, case when nation = 'NATION_3' then 'NATION_4' else nation end, region from personas where region = 'ASIA'"
+
+BODIES["leak_texts"] = f"select factor, metric, level, {_FOUR.format('mean')} as mean, {_FOUR.format('max_diff')} as max_diff from leaks"
+BODIES |= {
+    "archive_fragments": """select case category when 'transient' then 'fragment' when 'refused' then 'corrupt' else 'record' end as kind, count(*) as lines, cast(sum(length(line)) as bigint) as characters, case when category = 'ok' then count(*) else 0 end as keyed from lines group by category
+  union all select 'placed', count(*), count(*) - 1, 0 from lines""",
+    "rounded_texts": " union all ".join(f"select p_partkey, '{n}' as form, {_FOUR.format(f'({x})')} as text from (select *, cast(p_partkey as double) as k from part)" for n, x in _FORMS.items()),
+    "ceiling_decisions": f"""select study, seq, {_CENTS.format('amount')} as amount, {_CENTS.format('case when own then case when amount > 0 then amount end else held end')} as ceiling_usd,
+  case when own then nullif(mine, 'accepted') when held is null and not uncapped then 'ceiling_required' when fresh and committed + expected > held then 'over_ceiling' end as refusal, {_CENTS.format("case when mine = 'accepted' then held end")} as previous_usd from held_ceilings""",
+    "document_problems": "select doc_id, field, reason from faults",
+    "document_summaries": "select doc_id, string_agg(concat(field, ': ', reason), '; ' order by n) as problem from faults group by doc_id",
+    "price_matches": """select coalesce(a.study, b.study) as study, coalesce(a.model_id, b.model_id) as model_id, case when b.study is null then 'field required (a Model of the study)' else 'not a Model id of the study' end as problem
+  from (select distinct concat('n', c_nationkey) as study, concat('m', 1 + c_custkey % 7) as model_id from customer) a full join (select distinct concat('n', s_nationkey) as study, concat('m', 1 + s_suppkey % 5) as model_id from supplier) b on a.study = b.study and a.model_id = b.model_id where a.study is null or b.study is null""",
+    "test_references": """select concat('u', o_custkey) as test, concat('0/', p) as place, case when i in ('3-MEDIUM', '5-LOW') then 'instrument_not_allowed' else 'unknown_instrument' end as code, concat('instruments.', p) as field from (select distinct o_custkey, o_orderpriority as i, substr(o_orderpriority, 1, 1) as p from orders where o_orderstatus = 'P') where i <> '1-URGENT'
+  union all select concat('u', c_custkey), '1/0', 'config_invalid', 'models.0' from customer where c_custkey % 4 = 0
+  union all select concat('u', o_custkey), concat('2/', n), 'unknown_instrument', concat('practice.', n) from (select o_custkey, o_orderpriority, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n from orders where o_orderstatus = 'O') e where not exists (select 1 from orders l where l.o_orderstatus = 'P' and l.o_custkey = e.o_custkey and l.o_orderpriority = e.o_orderpriority)""",
+    "push_outcomes": "select pos, name, outcome, code from pushes_judged",
+    "registered_after_push": "select name, kind, was as sha256 from known_tests union all select name, kind, sha from pushes_judged where outcome = 'new'",
+    "leaks_after_push": f"select factor, metric, level, {_FOUR.format('mean')} as mean, {_FOUR.format('max_diff')} as max_diff from pushed_leaks",
+    "plan_digests": "select * from digests",
+    "status_reports": "select test, length(document) as characters, sha256(document) as sha256 from reports",
+    "persona_results": """select a.run_id, a.agent_id, a.model_id, case when s.run_id is not null then case when c.matched / c.total >= 0.5 then 'pass' else 'fail' end end as outcome, case when s.run_id is not null then round(c.matched / c.total, 6) end as score, c.matched, c.total, c.short as insufficient,
+  case when s.run_id is null then 'no_settings_stamp' end as problem, s.stamp as settings_hash from (select distinct run_id, agent_id, model_id from ended) a
+  join (select run_id, agent_id, count(*) as total, count(*) filter (where 2 * n < expected) as short, count(*) filter (where 2 * n >= expected and case pole when 'high' then score > 3 else score < 3 end) as matched from self_checks group by all) c using (run_id, agent_id)
+  left join (select concat('s', 1 + c_custkey) as run_id, sha256(c_mktsegment) as stamp from customer where c_mktsegment <> 'MACHINERY') s on s.run_id = a.run_id""",
+    "resolved_instruments": """select w.study, w.pos, w.name, case when o.name is not null then 'user' when b.name is not null then 'builtin' end as source,
+  case when w.study in (select study from own_names where name in (select name from shared_names)) then 'shadows_builtin' when o.name is null and b.name is null then 'unknown_instrument' when coalesce(o.renamed, b.renamed) then 'name_differs' end as problem
+  from wanted_names w left join own_names o on o.study = w.study and o.name = w.name left join shared_names b on b.name = w.name""",
+    "resolved_variants": "select trial_id, v as variant, case when v = 'default' or v = substr(instrument, 1, 1) then concat(instrument, ' by ', v) end as wording from (select *, case when repeat = 1 then case when model_id = 'm1' then substr(instrument, 1, 1) else '3' end else 'default' end as v from trials)",
+    "self_report_problems": """select i.instrument, case when not i.self then 'no_self_report' when w.wrong is not null then w.wrong when not i.scaled then 'no_subscale' when i.shared is not null then concat('item_ids_taken:', i.shared) end as problem
+  from (select instrument, max(p_size) > 15 as self, bool_or(scaled) as scaled, string_agg(item_id, ',' order by item_id) filter (where p_size between 40 and 41) as shared from questions group by instrument) i
+  left join (select instrument, arg_min(case when construct is null then concat('no_key:', item_id) else concat('other_construct:', item_id) end, pos) as wrong from questions where construct is distinct from 'nars' group by instrument) w using (instrument)""",
+    "stamp_maps": "select run_id as test, cast(count(*) as int) as pairs, string_agg(concat(model_id, '/', instrument, '=', settings_hash, '/', instrument_hash), ',' order by concat(model_id, '/', instrument)) as stamps from (select * from results where agent_id is null qualify row_number() over (partition by run_id, model_id, instrument order by pos desc) = 1) group by run_id",
+    "exclusions_in_order": "select test, cast(count(*) as int) as n, sha256(string_agg(concat(agent_id, '|', instrument), ',' order by trial_index, agent_id)) as listed from (select test, agent_id, instrument, trial_index from trials where state = 'failed' qualify row_number() over (partition by test, agent_id order by trial_index) = 1) group by test",
+    "frame_differences": "select id, segment, nation, region, cast(sum(n) as bigint) as more from (select *, 1 as n from moved union all select id, segment, nation, region, -1 from personas) group by all having sum(n) <> 0",
+    "source_hashes": """select region, sha256(concat('{"panel":{', cards, '},"results":[', coalesce(rows, ''), ']}')) as source_hash
+  from (select region, string_agg(concat('"', id, '.md":"', sha256(concat('You live in ', nation, '.', chr(10), 'You buy ', segment, '.')), '"'), ',' order by concat(id, '.md')) as cards from personas group by region)
+  left join (select region, string_agg(concat('{"agent_id":"', agent_id, '","model_id":"', model_id, '","outcome":"', outcome, '","pair_checks":null,"run_id":"', run_id, '"}'), ',' order by pos) as rows from results join personas on id = split_part(agent_id, '-', 1) group by region) using (region)""",
+    "open_dry_run": f"""select p.test, p.trials, p.sessions, p.agents, p.uniform, g.requests, g.requests_sha256, coalesce(b.n, 0) as unrendered, e.expected, e.worst_case, e.providers,
+  cast(case p.test when 't1' then 1000000000000 when 't4' then 5 when 't2' then 1000000000000 end as decimal(28,4)) as ceiling_usd,
+  case p.test when 't1' then null when 't3' then 'invalid_ceiling' when 't4' then 'over_ceiling' end as would_refuse, coalesce(x.n, 0) as excluded, paused.reason as paused
+  from ({BODIES["plan_summary"]}) p left join digests g using (test) left join (select test, count(*) as n from request_texts where problem is not null group by test) b using (test) left join ({BODIES["cost_estimate"]}) e using (test)
+  left join (select test, count(distinct agent_id) as n from trials where state = 'failed' group by test) x using (test) left join paused on paused.name = p.test""",
+}
+
+
 def _needed(body: str) -> list[str]:
     """The views that a statement uses, directly or through others, in order of definition."""
     import re

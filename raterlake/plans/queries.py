@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, jsons, numbers, seeds, texts
-from ..operators import checks, events, export, leak, ledger, panel, planning, rater, references, registry, requests, scoring, screening, status, study
+from ..operators import checks, copies, documents, events, export, leak, ledger, panel, planning, push, rater, references, registry, requests, scoring, screening, status, study
 from ..operators import trials as trial_ops
 from ..schema import ATTRITION_COUNTS, TRAITS, TRIAL_STATES
 from ..sources import files
@@ -683,5 +683,163 @@ def session_ranks(spark, sf):
     return references.natural_ranks(d.trials(spark, sf).select("session_id"), "session_id")
 
 
+@query
+def archive_fragments(spark, sf):
+    """The lines of an archive by what they are, read by ranges of bytes."""
+    folder = files.scratch_folder(spark)
+    d.archive_texts(spark, sf).select("value").write.text(folder)
+    lines = files.classified(files.archive_lines(spark, folder))
+    return lines.groupBy("kind").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"), F.count("trial_id").alias("keyed")).union(
+        lines.agg(F.lit("placed"), F.count_distinct("pos"), F.max("pos") - F.min("pos"), F.lit(0).cast("bigint"))
+    )
+
+
+@query
+def rounded_texts(spark, sf):
+    return d.rounding_values(spark, sf).select("p_partkey", "form", texts.four_decimals("x").alias("text"))
+
+
+@query
+def ceiling_decisions(spark, sf):
+    out = ledger.ceiling_decisions(d.ceiling_requests(spark, sf))
+    return out.select("study", "seq", _cost("amount"), _cost("ceiling_usd"), "refusal", _cost("previous_usd"))
+
+
+@query
+def document_problems(spark, sf):
+    return documents.problems(d.test_documents(spark, sf)).select("doc_id", "field", "reason")
+
+
+@query
+def document_summaries(spark, sf):
+    return documents.summaries(documents.problems(d.test_documents(spark, sf)))
+
+
+@query
+def price_matches(spark, sf):
+    return documents.price_problems(*d.nation_models(spark, sf))
+
+
+@query
+def test_references(spark, sf):
+    """What customers' plans refer to wrongly."""
+    p = d.customer_plans(spark, sf)
+    known = spark.createDataFrame([("1-URGENT", True, False), ("2-HIGH", False, False), ("3-MEDIUM", False, True), ("5-LOW", True, True)], "name string, enabled boolean, self_report boolean")
+    models = p["tests"].select("test", F.lit(0).alias("pos"), F.concat(F.lit("m"), (F.substring("test", 2, 20).cast("bigint") % 4).cast("string")).alias("model_id"))
+    out = documents.reference_problems(p["listed"], known, models, d.prices(spark).select("model_id"), p["practice"].select("test", F.col("pos").cast("int").alias("pos"), "instrument"))
+    return out.select("test", F.array_join(F.transform("place", lambda x: x.cast("string")), "/").alias("place"), "code", "field")
+
+
+@query
+def push_outcomes(spark, sf):
+    p = d.pushes(spark, sf)
+    return push.pushed_tests(p["pushed"], p["registered"], p["stored"], p["clips"], p["test_clips"]).select("pos", "name", "outcome", "code")
+
+
+@query
+def registered_after_push(spark, sf):
+    p = d.pushes(spark, sf)
+    out = push.pushed_tests(p["pushed"], p["registered"], p["stored"], p["clips"], p["test_clips"])
+    return push.registered_after(out, p["registered"])
+
+
+@query
+def leaks_after_push(spark, sf):
+    key = push.conditions_after(d.pushed_conditions(spark, sf), d.blinding_key(spark, sf))
+    return leak.report_texts(leak.leak_report(key, d.clips(spark, sf), TOLERANCE))
+
+
+@query
+def plan_digests(spark, sf):
+    return requests.plan_digests(d.trials(spark, sf), _rendered(spark, sf), trial_ops.plan_order())
+
+
+def _document_parts(df):
+    """A document's size and digest, which tell as much as its text."""
+    return df.select("test", F.length("document").alias("characters"), F.sha2("document", 256).alias("sha256"))
+
+
+@query
+def status_reports(spark, sf):
+    out = study.status_reports(d.trials(spark, sf), d.attempts(spark, sf), d.paused_tests(spark, sf), d.ceiling_changes(spark, sf), d.personas(spark, sf), tuple(d.ATTRIBUTES))
+    return _document_parts(out)
+
+
+@query
+def persona_results(spark, sf):
+    out = scoring.persona_results(d.persona_trials(spark, sf), d.persona_answers(spark, sf), d.self_keys(spark), d.persona_poles(spark, sf), d.persona_settings(spark, sf), d.persona_runs(spark, sf), 0.5)
+    return out.select("run_id", "agent_id", "model_id", "outcome", _rate("score"), "matched", "total", "insufficient", "problem", "settings_hash")
+
+
+@query
+def resolved_instruments(spark, sf):
+    s = d.studies_of_parts(spark, sf)
+    return registry.resolved_instruments(s["wanted"], s["user"], s["builtin"])
+
+
+@query
+def resolved_variants(spark, sf):
+    """The wording of each trial's prompt; some name a variant that isn't there."""
+    variants = d.trials(spark, sf).select("instrument").distinct().select("instrument", F.explode(F.array(F.lit("default"), F.substring("instrument", 1, 1))).alias("variant")).withColumn("text", F.concat_ws(" by ", "instrument", "variant"))
+    wanted = d.trials(spark, sf).select("trial_id", "instrument", F.when(F.col("repeat") == 1, F.when(F.col("model_id") == "m1", F.substring("instrument", 1, 1)).otherwise("3")).alias("prompt_variant"))
+    return registry.resolved_variants(wanted, variants).select("trial_id", "variant", "wording")
+
+
+@query
+def self_report_problems(spark, sf):
+    instruments, items = d.questionnaires(spark, sf)
+    taken = d._read(spark, sf, "part").filter("p_size between 40 and 41").select(F.concat(F.lit("q"), "p_size", F.lit("_"), "p_partkey").alias("item_id"))
+    return registry.self_report_problems(instruments, items, taken)
+
+
+@query
+def stamp_maps(spark, sf):
+    rows = d.results(spark, sf).filter("agent_id is null").select(F.col("run_id").alias("test"), "pos", "model_id", "instrument", "settings_hash", "instrument_hash")
+    out = registry.stamp_map(rows)
+    return out.select("test", F.size("stamps").alias("pairs"), F.array_join(F.transform(F.map_entries("stamps"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("stamps"))
+
+
+@query
+def exclusions_in_order(spark, sf):
+    lost = d.trials(spark, sf).filter("state = 'failed'").groupBy("test", "agent_id").agg(F.min("trial_index").alias("pos"), F.min_by("instrument", "trial_index").alias("reason"))
+    out = registry.exclusions_in_order(lost)
+    return out.select("test", F.size("excluded").alias("n"), F.sha2(F.array_join(F.transform("excluded", lambda x: F.concat_ws("|", x["agent_id"], x["reason"])), ","), 256).alias("listed"))
+
+
+def _moved(spark, sf):
+    """The personas with those of one nation moved to another, and one region's twice."""
+    p = d.personas(spark, sf)
+    moved = p.withColumn("nation", F.when(F.col("nation") == F.lit("NATION_3"), "NATION_4").otherwise(F.col("nation")))
+    return moved.union(p.filter("region = 'ASIA'"))
+
+
+@query
+def frame_differences(spark, sf):
+    return copies.differences(_moved(spark, sf), d.personas(spark, sf))
+
+
+@query
+def source_hashes(spark, sf):
+    """Per region, the digest of its personas' cards and its agents' results."""
+    people = d.personas(spark, sf).select(F.col("id").alias("persona_id"), "region")
+    cards = d.cards(spark, sf).join(people, "persona_id").select("region", F.concat("persona_id", F.lit(".md")).alias("name"), F.sha2("card", 256).alias("sha256"))
+    own = d.results(spark, sf).filter("agent_id is not null").withColumn("persona_id", F.split_part("agent_id", F.lit("-"), F.lit(1))).join(people, "persona_id")
+    return copies.source_hash(cards, own.select("region", "pos", "run_id", "model_id", "agent_id", "outcome", "pair_checks"), "pos", ["region"])
+
+
+@query
+def open_dry_run(spark, sf):
+    """What opening the tests again would do, under ceilings typed for them."""
+    t = d.trials(spark, sf)
+    estimates = planning.cost_estimate(_asked(spark, sf), d.clips(spark, sf), d.prices(spark))
+    spent = d.attempts(spark, sf).agg(numbers.total(F.coalesce("actual_usd", "reserved_usd")).alias("committed_usd"))
+    given = F.when(F.col("test") == "t1", "1e12").when(F.col("test") == "t3", "much").when(F.col("test") == "t4", "5")
+    asked = estimates.select("test", F.col("expected").alias("expected_usd")).crossJoin(F.broadcast(spent))  # one row
+    asked = asked.select("test", F.lit("main").alias("study"), F.substring("test", 2, 5).cast("bigint").alias("seq"), given.alias("given"), "expected_usd", "committed_usd", F.lit(True).alias("fresh"), F.lit(False).alias("uncapped_ok"))
+    lost = t.filter("state = 'failed'").select("test", "agent_id").distinct().withColumn("reason", F.lit("screening_stale"))
+    out = study.dry_run(t, _rendered(spark, sf), estimates, ledger.ceiling_decisions(asked), lost, d.paused_tests(spark, sf))
+    return out.select("test", "trials", "sessions", "agents", "uniform", "requests", "requests_sha256", "unrendered", F.col("expected").cast("decimal(28,9)").alias("expected"), F.col("worst_case").cast("decimal(28,9)").alias("worst_case"), "providers", _cost("ceiling_usd"), "would_refuse", "excluded", "paused")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
@@ -14,31 +15,73 @@ from ..schema import TABLES
 ARCHIVE = "trial_id string, attempt int, seed bigint, model_id string, request_sha256 string, raw string, category string, ts string"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _hadoop(spark, path)
+    return fs.exists(at)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A name for a new folder in the one that the session shares with its executors; it goes when
+    the session ends. Without `spark.checkpoint.dir` only a local session has such a folder."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise EngineError("no_shared_folder", "spark.checkpoint.dir is not set")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/raterlake-{sc.applicationId}"
+    path = f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 def archive_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, line, complete of every line of an append-only archive, a file or a
-    folder of `append_archive`. Lines are numbered within their file; files come in order of
+    """path, line_no, pos, line, complete of every line of an append-only archive, a file or a
+    folder of `append_archive`. line_no counts within the file, pos over all files in order of
     path, which for appended ones is the order of the appends. An unterminated last line is
-    not complete: its writer was cut off.
-
-    One file is one row of the source, so archives are to be rotated by size; many files
-    are read in parallel."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.decode("content", "UTF-8").alias("text"))
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), F.size(F.split("text", "\n")).alias("n"))
-    return lines.filter("line_no < n - 1 or line <> ''").select("path", "line_no", "line", (F.col("line_no") < F.col("n") - 1).alias("complete"))
+    not complete: its writer was cut off. A missing archive has no lines.
+
+    Files are split by byte ranges, so one of any size is read in parallel and no task holds
+    more than a line. Lines are numbered inside each range as they are read; ranges are
+    shifted by the lines of those before, of which there is a row per range."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "path string, line_no bigint, pos bigint, line string, complete boolean")
+    text = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    # the reader hands out the bytes of the lines as they are, so that they tell whether the last one was ended; a byte order mark is left out
+    ranges = lines.groupBy("path", "range").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("size").alias("size"))
+    order, before = Window.partitionBy("path").orderBy("range"), lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    files = ranges.groupBy("path").agg(F.sum("n").alias("in_file"), (F.max("size") - F.sum("bytes")).isin(-1, 2).alias("cut"))
+    files = files.withColumn("before_file", F.coalesce(F.sum("in_file").over(before(Window.orderBy("path"))), F.lit(0)))
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(before(order)), F.lit(0))).join(files, "path").select("path", "range", "first", "before", "in_file", "before_file", "cut")
+    out = lines.drop("size").join(ranges, ["path", "range"]).withColumn("line_no", F.col("before") + F.col("id") - F.col("first"))
+    return out.select("path", "line_no", (F.col("before_file") + F.col("line_no")).alias("pos"), "line", (~F.col("cut") | (F.col("line_no") < F.col("in_file") - 1)).alias("complete"))
 
 
 def classified(lines: DataFrame) -> DataFrame:
-    """Adds kind: `record`, `fragment` (unterminated or no JSON) or `corrupt` (JSON without a
-    text trial_id and a whole attempt), and the key and record of records."""
+    """Adds kind: `unterminated` (the last line of a writer that was cut off, which counts for
+    nothing), `fragment` (no JSON), `corrupt` (JSON without a text trial_id and a whole
+    attempt) or `record`, and the key and record of records."""
     value = F.expr("try_parse_json(line)")
     tid, attempt = F.expr("try_variant_get(try_parse_json(line), '$.trial_id', 'string')"), F.expr("try_variant_get(try_parse_json(line), '$.attempt', 'int')")
     typed = (F.expr("schema_of_variant(variant_get(try_parse_json(line), '$.trial_id', 'variant'))") == "STRING") & (F.expr("schema_of_variant(variant_get(try_parse_json(line), '$.attempt', 'variant'))") == "BIGINT")
-    kind = F.when(~F.col("complete") | value.isNull(), "fragment").when(F.coalesce(typed, F.lit(False)), "record").otherwise("corrupt")
+    kind = F.when(~F.col("complete"), "unterminated").when(value.isNull(), "fragment").when(F.coalesce(typed, F.lit(False)), "record").otherwise("corrupt")
     rows = lines.withColumn("kind", kind)
     record = F.col("kind") == "record"
     return rows.withColumn("trial_id", F.when(record, tid)).withColumn("attempt", F.when(record, attempt))
 
 
+def line_counts(lines: DataFrame) -> DataFrame:
+    """Per file of an archive: its lines, and how many are records, fragments and corrupt."""
+    kinds = [F.count(F.when(F.col("kind") == k, 1)).alias(f"{k}s" if k != "corrupt" else k) for k in ("record", "fragment", "corrupt", "unterminated")]
+    return classified(lines).groupBy("path").agg(F.count("*").alias("lines"), *kinds)
+
+
 def last_lines(rows: DataFrame) -> DataFrame:
     """The last record of each key, by path (where there is one), then line_no."""
     order = F.struct(*[c for c in ("path", "line_no") if c in rows.columns])
@@ -56,11 +99,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def blinding_key(spark: SparkSession, path: str) -> DataFrame:
-    """clip_id, factor, level of one long CSV file, one row per clip and factor: the last
-    line wins."""
-    rows = spark.read.schema("clip_id string, factor string, level string").option("header", True).csv(path)
-    placed = rows.withColumn("pos", F.monotonically_increasing_id())
-    return placed.groupBy("clip_id", "factor").agg(F.max_by("level", "pos").alias("level"), F.max("pos").alias("pos"))
+    """clip_id, factor, level of long CSV files, one row per clip and factor: the last line
+    wins, by order of path and place in the file. A missing file has no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "clip_id string, factor string, level string, pos bigint")
+    rows = archive_lines(spark, path).filter("line_no > 0 and line <> ''")
+    cells = rows.select("pos", F.from_csv("line", "clip_id string, factor string, level string", {"escape": '"'}).alias("r")).select("pos", "r.*")
+    return cells.groupBy("clip_id", "factor").agg(F.max_by("level", "pos").alias("level"), F.max("pos").alias("pos"))
 
 
 def panel(spark: SparkSession, path: str) -> DataFrame:
@@ -117,8 +162,7 @@ def append_archive(df: DataFrame, path: str) -> int:
     numbered folder of its own, so later ones sort after earlier ones; the number is given
     back. One writer appends at a time: the folder of another's number is refused."""
     spark = df.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, folder = _hadoop(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
     number = max([int(n[7:]) for n in names if n.startswith("append-") and n[7:].isdigit()], default=0) + 1
     lines = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))

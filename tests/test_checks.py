@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -89,6 +90,11 @@ def test_numbers_and_times_as_text(spark):
     values = {0.0: "0.0", 12.0: "12.0", 0.00012: "0.0001", 1e-9: "0.0", -3.25: "-3.25", 1e12: "1000000000000.0", 2.123456: "2.1235"}
     df = spark.createDataFrame([(k,) for k in values] + [(None,)], "x double").select("x", texts.four_decimals("x").alias("t"))
     assert {r.x: r.t for r in df.collect()} == {**values, None: ""}
+    rng = random.Random(4)
+    hard = [2.00005, -0.00001, 1e20, 1e16, 9999999999999998.0, 1e11, 123456789012.34567, 4.5e11, 449999999999.99994, 8.41e21, 2e23, 1e300, 5e-324, -0.0, 0.00005, -4.9999999999999996e-05, 0.03125, 0.09375, 2.5, float("inf"), float("-inf"), float("nan"), 1.7976931348623157e308]
+    hard += [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-6, 18) for _ in range(3000)] + [rng.randrange(1 << 20) / (1 << rng.randint(0, 12)) for _ in range(2000)] + [rng.randrange(10**6) / 10**4 + 0.00005 for _ in range(1000)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(hard)], "i int, x double").select("i", texts.four_decimals("x").alias("t")).collect()
+    assert [(hard[r.i], r.t) for r in got if r.t != repr(round(hard[r.i], 4))] == []
     times = [datetime(2024, 7, 1, 23, 30, 5, tzinfo=timezone.utc), datetime(1971, 10, 31, 6, 57, 54, tzinfo=timezone.utc), datetime(2050, 1, 1, tzinfo=timezone.utc), datetime(1960, 2, 29, 12, tzinfo=timezone.utc)]
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:

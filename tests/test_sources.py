@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,11 +20,44 @@ def test_archive_last_line_wins_and_fragments(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join([good(1, "old"), '{"cut', good(2, "b"), good(1, "new"), good(3, "never ended")]))
     lines = files.classified(files.archive_lines(spark, str(tmp_path / "a.jsonl")))
     kinds = {r.line_no: r.kind for r in lines.collect()}
-    assert kinds == {0: "record", 1: "fragment", 2: "record", 3: "record", 4: "fragment"}
+    assert kinds == {0: "record", 1: "fragment", 2: "record", 3: "record", 4: "unterminated"}
+    counts = files.line_counts(files.archive_lines(spark, str(tmp_path / "a.jsonl"))).first()
+    assert (counts.lines, counts.records, counts.fragments, counts.corrupt) == (5, 3, 1, 0)  # the end that was cut off counts for nothing
     got = {(r.trial_id, r.attempt): r.raw for r in files.read_archive(spark, str(tmp_path / "a.jsonl")).collect()}
     assert got == {("x", 1): "new", ("x", 2): "b"}
 
 
+@pytest.mark.parametrize("split", [16, 100, 1000])
+def test_archive_lines_over_many_ranges(spark, tmp_path, split):
+    """Lines of a file that is split into ranges of bytes keep their places, whatever they hold."""
+    rng = random.Random(split)
+    folder, expected = tmp_path / "arch", []
+    folder.mkdir()
+    for name, end in (("a", b"\n"), ("b", b""), ("c", b"\n"), ("d", b"\n"), ("e", b"")):
+        lines = [rng.choice([b"", "é🙂".encode() * rng.randint(0, 40), b"x" * rng.randint(0, 300), b'{"a": 1}\r']) for _ in range(rng.randint(1, 60))]
+        lines = [b"\xef\xbb\xbf" + lines[0], *lines[1:]] if name == "d" else lines
+        if name == "c":
+            lines = []
+        if not end and not lines[-1]:
+            lines[-1] = b"tail"
+        (folder / name).write_bytes(b"\n".join(lines) + end if lines else b"")
+        expected += [(name, i, x.removeprefix(b"\xef\xbb\xbf").decode(), bool(end) or i < len(lines) - 1) for i, x in enumerate(lines)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = sorted(files.archive_lines(spark, str(folder)).collect(), key=lambda r: r.pos)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r.path.rsplit("/", 1)[1], r.line_no, r.line, r.complete) for r in rows] == expected
+    assert [r.pos for r in rows] == list(range(len(expected)))
+
+
+def test_missing_files_are_empty(spark, tmp_path):
+    assert files.archive_lines(spark, str(tmp_path / "none")).count() == 0 and files.read_archive(spark, str(tmp_path / "none")).count() == 0
+    assert files.blinding_key(spark, str(tmp_path / "none.csv")).count() == 0
+
+
 @pytest.mark.parametrize("line", ['{"trial_id": 1, "attempt": 1}', '{"trial_id": "x", "attempt": "1"}', '{"trial_id": "x"}', "[1]", '{"trial_id": "x", "attempt": 1.5}'])
 def test_archive_with_other_json_is_corrupt(spark, tmp_path, line):
     (tmp_path / "a.jsonl").write_text(line + "\n")
@@ -35,6 +69,8 @@ def test_blinding_key_keeps_the_last_row(spark, tmp_path):
     (tmp_path / "k.csv").write_text("clip_id,factor,level\nc1,speed,slow\nc1,kind,a\nc1,speed,fast\n")
     got = {(r.clip_id, r.factor): r.level for r in files.blinding_key(spark, str(tmp_path / "k.csv")).collect()}
     assert got == {("c1", "speed"): "fast", ("c1", "kind"): "a"}
+    (tmp_path / "q.csv").write_text('clip_id,factor,level\nc1,speed,"a ""b"", c"\nc2,speed,\\x\nc1,speed,last')
+    assert {r.clip_id: r.level for r in files.blinding_key(spark, str(tmp_path / "q.csv")).collect()} == {"c1": "last", "c2": "\\x"}
 
 
 def test_panel_ids(spark, tmp_path):
