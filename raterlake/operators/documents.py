@@ -331,10 +331,11 @@ def _repeated() -> Column:
 
 
 def _shape(v: Column) -> Column:
-    """OBJECT, ARRAY, STRING, INTEGER, NUMBER, BOOLEAN or VOID."""
+    """OBJECT, ARRAY, STRING, INTEGER, NUMBER, BOOLEAN or VOID. Integers are read as BIGINT, or as
+    decimals where they have too many digits for that; 2.0 is read as a short decimal."""
     name = F.schema_of_variant(v)
     head = F.regexp_extract(name, "^[A-Z]+", 0)
-    return F.when((head == "BIGINT") | name.rlike(r"^DECIMAL\([0-9]+,0\)$"), "INTEGER").when(head.isin("DECIMAL", "DOUBLE", "FLOAT"), "NUMBER").otherwise(head)
+    return F.when((head == "BIGINT") | name.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$"), "INTEGER").when(head.isin("DECIMAL", "DOUBLE", "FLOAT"), "NUMBER").otherwise(head)
 
 
 def _node(field: Column, path: Column, place: Column, key: Column, v: Column, parent: Column | None) -> Column:

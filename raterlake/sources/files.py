@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
+import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import EngineError
 from ..schema import TABLES
@@ -145,6 +147,27 @@ def settings(text: str) -> dict:
         raise EngineError("config_invalid", str(err)) from err
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("json", "problem")]))
+def _as_json(text: pd.Series) -> pd.DataFrame:
+    out = []
+    for t in text:
+        try:
+            value = settings(t or "")
+            problem = "file is empty" if value is None else None if isinstance(value, dict) else f"top level must be a mapping, got {type(value).__name__}"
+        except EngineError as err:
+            value, problem = None, f"invalid YAML: {str(err).removeprefix('config_invalid: ')}"
+        # what JSON hasn't, as a date, becomes something that no rule of a field accepts
+        out.append((None if problem else json.dumps(value, default=lambda x: [str(x)]), problem))
+    return pd.DataFrame(out, columns=["json", "problem"])
+
+
+def yaml_documents(texts: DataFrame) -> DataFrame:
+    """The rows of texts (text and any others) with json, the YAML document as JSON for
+    `documents.problems`, or problem, why there is none: it is empty, no YAML, repeats a key,
+    or isn't a mapping. Documents are parsed in batches in the tasks."""
+    return texts.withColumn("_d", _as_json("text")).select(*texts.columns, "_d.json", "_d.problem")
+
+
 def instruments(spark: SparkSession, documents: list[dict]) -> DataFrame:
     """instrument, item_id, type, points, options, pos, construct, reversed, subscale of the
     items that instrument documents (name, items, keys) list."""
