@@ -99,7 +99,31 @@ def aliases(spark: SparkSession, fraction: str) -> DataFrame:
     rows = effects.filter(~F.array_contains(coset, 0)).withColumn("chain", F.array_min(coset)).select("chain", F.col("effect").alias("m"))
     named = rows.select("chain", F.bit_count("m").alias("order"), name.alias("name"), F.expr(f"reverse(lpad(bin(m), {len(TRAITS)}, '0'))").alias("bits"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("order", F.translate("bits", "01", "10").alias("bits"), "name"))), lambda x: x["name"])
-    return named.groupBy("chain").agg(F.array_join(listed, "=").alias("alias"), F.count("*").alias("effects")).select("alias", "effects")
+    return named.groupBy("chain").agg(F.array_join(listed, "=").alias("alias"), F.count("*").alias("effects")).select("chain", "alias", "effects")
+
+
+def in_fraction(personas: DataFrame, fraction: str) -> DataFrame:
+    """The personas (a column per trait) whose profile belongs to a fraction: each generated
+    pole is the product of its generating ones, high being 1 and low -1."""
+    sign = lambda t: F.when(F.col(t) == "high", 1).otherwise(-1)
+    for generated, generating in GENERATORS[fraction]:
+        product = F.lit(1)
+        for t in generating:
+            product = product * sign(t)
+        personas = personas.filter(sign(generated) == product)
+    return personas
+
+
+def alias_contrasts(personas: DataFrame, fraction: str) -> DataFrame:
+    """alias, effects and contrast of each chain: personas of the fraction for which the product
+    of an effect's poles is high, less those for which it is low. It is the same for all
+    effects of a chain, so the chain's first one is worked out."""
+    low = sum((F.when(F.col(t) == "low", 1 << i).otherwise(0) for i, t in enumerate(TRAITS)), F.lit(0))
+    per = in_fraction(personas, fraction).groupBy(low.alias("low")).agg(F.count("*").alias("n"))
+    chains = aliases(personas.sparkSession, fraction)
+    both = chains.crossJoin(F.broadcast(per))  # at most 31 chains and 32 profiles
+    sign = 1 - 2 * (F.bit_count(F.col("chain").bitwiseAND(F.col("low"))) % 2)
+    return both.groupBy("alias", "effects").agg(F.sum(sign * F.col("n")).alias("contrast"))
 
 
 def input_tokens(seconds: Column, chars: Column, media_rate: Column, chars_per_token: Column) -> Column:

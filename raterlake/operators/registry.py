@@ -96,3 +96,14 @@ def exclusions_in_order(exclusions: DataFrame) -> DataFrame:
     (pos). exclusions: test, pos, agent_id, reason. Agents are as many as a panel has."""
     listed = F.array_sort(F.collect_list(F.struct("pos", "agent_id", "reason")))
     return exclusions.groupBy("test").agg(F.transform(listed, lambda x: F.struct(x["agent_id"].alias("agent_id"), x["reason"].alias("reason"))).alias("excluded"))
+
+
+def scoring_keys(documents: DataFrame) -> DataFrame:
+    """instrument, pos, item_id, construct, reversed, subscale and points of the items that
+    instrument documents (instrument, json) key; items without a key or without points have no
+    row. Documents are taken apart inside their rows."""
+    doc = documents.select("instrument", F.try_parse_json("json").alias("v"))
+    items = doc.select("instrument", F.try_variant_get("v", "$.keys", "map<string,variant>").alias("keys"), F.posexplode(F.try_variant_get("v", "$.items", "array<variant>")).alias("pos", "item"))
+    rows = items.withColumn("item_id", F.try_variant_get("item", "$.id", "string")).withColumn("key", F.try_element_at("keys", F.col("item_id"))).withColumn("points", F.try_variant_get("item", "$.points", "int"))
+    of = lambda name, kind: F.try_variant_get("key", f"$.{name}", kind).alias(name)
+    return rows.filter("key is not null and points is not null").select("instrument", "pos", "item_id", of("construct", "string"), of("reversed", "boolean"), of("subscale", "string"), "points")

@@ -1,4 +1,5 @@
-"""Whole reports of a stored study, composed of the operators."""
+"""Whole flows and reports of a study, composed of the operators. What changes a study gives a
+new one; what is refused raises and has changed nothing."""
 
 from __future__ import annotations
 
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 from ..functions import ids, numbers
 from ..schema import ATTRITION_COUNTS, TRAITS, TRIAL_STATES
-from ..sources.store import StudyStore
+from ..sources import tables
+from ..sources.tables import Study
+from . import copies
 from . import export as exports
 from . import ledger as spend
 from . import planning, references, scoring, screening, status
@@ -89,9 +92,8 @@ def dry_run(trials: DataFrame, requests: DataFrame, estimates: DataFrame, decisi
     return rows.withColumns({"unrendered": F.coalesce("unrendered", F.lit(0)), "excluded": F.coalesce("excluded", F.lit(0))})
 
 
-def status_report(store: StudyStore) -> dict[str, DataFrame]:
-    """rollup (with totals and tests without trials), documents and footer, of one snapshot."""
-    t = store.snapshot(["trials", "ledger", "tests", "ceiling_changes"])
+def status_report(t: Study) -> dict[str, DataFrame]:
+    """rollup (with totals and tests without trials), documents and footer."""
     rollup = status.status_rollup(t["trials"], t["ledger"], t["tests"].select("name", "paused_reason"))
     return {"rollup": rollup, "documents": status_document(rollup), "footer": cost_footer(t["ledger"], t["ceiling_changes"])}
 
@@ -110,10 +112,9 @@ def check_dimensions(trials: DataFrame, personas: DataFrame, items: DataFrame) -
             raise EngineError("unknown_reference", f"{column} {lost[0][column]}")
 
 
-def export_study(store: StudyStore, test: str, items: DataFrame, folder: str, single_file: bool = False) -> None:
+def export_study(t: Study, test: str, items: DataFrame, folder: str, single_file: bool = False) -> None:
     """The tidy rows and the attrition sidecar of a test as CSV, both or none. items:
     instrument, item_id, type, options, pos."""
-    t = store.snapshot(["trials", "attempts", "tests", "personas", "blinding_key"])
     kind = t["tests"].filter(F.col("name") == test).select("kind").first()
     if kind is None:
         raise EngineError("unknown_test", test)
@@ -124,63 +125,59 @@ def export_study(store: StudyStore, test: str, items: DataFrame, folder: str, si
     last = t["attempts"].groupBy("trial_id").agg(F.max_by("category", "attempt").alias("last_category"))
     sidecar = exports.attrition_sidecar(trials.join(last, "trial_id", "left"), personas, t["blinding_key"], list(ATTRIBUTES))
     frames = {"tidy": exports.as_text(exports.in_export_order(tidy)), "attrition": exports.as_text(sidecar.orderBy("dimension", "attribute", "first").drop("first"))}
-    exports.write_together(store.spark, frames, folder, single_file)
+    exports.write_together(items.sparkSession, frames, folder, single_file)
 
 
-def abandon_run(store: StudyStore, kind: str, test: str | None = None) -> str:
-    """Marks the open screening of a kind (and test) as abandoned and returns its id. Its
-    trials stay; it gives no results, so a fresh run may start."""
-    seen = (store.versions("screening_runs") or [0])[-1]
-    runs = store.read("screening_runs", seen or None)
+def abandon_run(t: Study, kind: str, test: str | None = None) -> tuple[Study, str]:
+    """Marks the open screening of a kind (and test) as abandoned and gives its id. Its trials
+    stay; it gives no results, so a fresh run may start."""
+    runs = t["screening_runs"]
     mine = (F.col("status") == "open") & (F.col("kind") == kind) & F.col("screening_test").eqNullSafe(F.lit(test).cast("string"))
     run_id = runs.filter(mine).agg(F.max("run_id")).first()[0]
     if run_id is None:
         raise EngineError("screening_not_open", f"no {kind} screening is open")
     status_now = F.when(F.col("run_id") == run_id, "abandoned").otherwise(F.col("status"))
-    store.replace("screening_runs", runs.withColumn("status", status_now), after=seen)
-    return run_id
+    return tables.with_table(t, "screening_runs", runs.withColumn("status", status_now)), run_id
 
 
-def check_panel_free(store: StudyStore, neutral: str = "p0") -> None:
+def check_panel_free(t: Study, neutral: str = "p0") -> None:
     """Refused while trials of the panel's personas or fidelity results are stored: another
     panel would give them other labels. The neutral persona and perception don't count."""
-    t = store.snapshot(["screening_results", "screening_runs"])
     fidelity = t["screening_results"].join(t["screening_runs"].filter("kind = 'fidelity'"), "run_id", "left_semi")
-    if not store.read("trials").filter(F.col("persona_id") != neutral).isEmpty() or not fidelity.isEmpty():
+    if not t["trials"].filter(F.col("persona_id") != neutral).isEmpty() or not fidelity.isEmpty():
         raise EngineError("panel_in_use", "trials or screening results refer to this panel")
 
 
-def _put_together(store: StudyStore, frames: dict[str, DataFrame]) -> None:
-    """Rows added to several tables; if one is refused, those before it are put back."""
-    was = {name: store.read(name) for name in frames}
-    done: dict[str, int] = {}
-    try:
-        for name, df in frames.items():
-            done[name] = store.append(name, df)
-    except BaseException:
-        for name, version in done.items():
-            store.replace(name, was[name], after=version)
-        raise
-
-
-def complete_run(store: StudyStore, run_id: str, results: DataFrame) -> list[str]:
+def complete_run(t: Study, run_id: str, results: DataFrame) -> tuple[Study, list[str]]:
     """Stores the results of an open screening, marks it complete, and gives the ids of the
-    runs that it supersedes with that."""
-    seen = (store.versions("screening_runs") or [0])[-1]
-    runs = store.read("screening_runs", seen or None)
-    mine = F.col("run_id") == run_id
+    runs that it supersedes with that; all or nothing."""
+    runs, mine = t["screening_runs"], F.col("run_id") == run_id
     if runs.filter(mine & (F.col("status") == "open")).isEmpty():
         raise EngineError("screening_not_open", run_id)
-    store.append("screening_results", results.withColumn("run_id", F.lit(run_id)))
+    t = tables.with_rows(t, "screening_results", results.withColumn("run_id", F.lit(run_id)))
     done = runs.withColumn("status", F.when(mine, "complete").otherwise(F.col("status")))
-    found = screening.supersession(store.read("screening_results"), done).filter("superseded").select("run_id", F.col("superseded_by").alias("_by"))
+    found = screening.supersession(t["screening_results"], done).filter("superseded").select("run_id", F.col("superseded_by").alias("_by"))
     after = done.join(found, "run_id", "left").withColumn("_new", F.col("superseded_by").isNull() & F.col("_by").isNotNull())
     fresh = sorted((r.run_id for r in after.filter("_new").select("run_id").collect()), key=lambda r: int(r[1:]))
-    store.replace("screening_runs", after.withColumn("superseded_by", F.coalesce("superseded_by", "_by")), after=seen)
-    return fresh
+    return tables.with_table(t, "screening_runs", after.withColumn("superseded_by", F.coalesce("superseded_by", "_by"))), fresh
+
+
+def complete_persona_runs(t: Study, results: DataFrame) -> tuple[Study, dict[str, list[str]]]:
+    """Completes the open screenings that results (as `scoring.persona_results` gives them) are
+    of, in order of their numbers, and gives what each supersedes. Refused for rows that
+    couldn't be scored. A study has a few open screenings at most."""
+    lost = results.filter("problem is not null").first()
+    if lost is not None:
+        raise EngineError(lost.problem, f"{lost.agent_id} of run {lost.run_id}")
+    numbered = results.withColumn("pos", F.struct(ids.persona_number("agent_id"), ids.natural_key("model_id")))
+    superseded = {}
+    for run_id in sorted((r.run_id for r in results.select("run_id").distinct().collect()), key=lambda r: int(r[1:])):
+        rows = numbered.filter(F.col("run_id") == run_id).withColumn("pos", F.row_number().over(Window.partitionBy("run_id").orderBy("pos")))
+        t, superseded[run_id] = complete_run(t, run_id, rows)
+    return t, superseded
 
 
-def push_clips(store: StudyStore, clips: DataFrame, conditions: DataFrame) -> None:
+def push_clips(t: Study, clips: DataFrame, conditions: DataFrame) -> Study:
     """Stores clips with their hidden conditions (clip_id, text as `factor=level`), both or
     none. Conditions of clips that aren't among these are refused, and so is other text."""
     rows = conditions.select("clip_id", "text", ids.condition_parts("text").alias("c"))
@@ -190,19 +187,18 @@ def push_clips(store: StudyStore, clips: DataFrame, conditions: DataFrame) -> No
     lost = references.unknown_references(rows, clips, "clip_id").first()
     if lost is not None:
         raise EngineError("unknown_clip", str(lost.clip_id))
-    last = store.read("blinding_key").agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0]
+    last = t["blinding_key"].agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0]
     key = rows.select("clip_id", "c.factor", "c.level").distinct()
     twice = references.duplicates(key, ["clip_id", "factor"]).first()
     if twice is not None:
         raise EngineError("repeated_condition", f"{twice.clip_id} {twice.factor}")
-    _put_together(store, {"clips": clips, "blinding_key": key.withColumn("pos", F.lit(last + 1))})
+    return tables.with_rows(tables.with_rows(t, "clips", clips), "blinding_key", key.withColumn("pos", F.lit(last + 1)))
 
 
-def register_test(store: StudyStore, name: str, kind: str, clips: DataFrame) -> None:
+def register_test(t: Study, name: str, kind: str, clips: DataFrame) -> Study:
     """Stores a test with its clips (clip_id, role), both or none. Refused: a name that can't
     be one or is taken, clips that aren't stored, and targets that tests of another kind use."""
-    spark, t = store.spark, store.snapshot(["tests", "clips", "test_clips"])
-    test = spark.createDataFrame([(name, kind)], "name string, kind string")
+    test = clips.sparkSession.createDataFrame([(name, kind)], "name string, kind string")
     problem = test.select(ids.test_name_problem("name")).first()[0]
     if problem:
         raise EngineError("bad_test_name", f"{name}: {problem}")
@@ -214,30 +210,46 @@ def register_test(store: StudyStore, name: str, kind: str, clips: DataFrame) ->
     mine = shared.join(used.filter("role = 'target'").select("clip_id"), "clip_id", "left_semi").first()
     if mine is not None:
         raise EngineError("clip_kind_overlap", f"{mine.clip_id} in {mine.tests}")
-    _put_together(store, {"tests": test, "test_clips": used})
+    return tables.with_rows(tables.with_rows(t, "tests", test), "test_clips", used)
+
+
+def set_pause(t: Study, test: str, reason: str | None) -> Study:
+    """Notes why a test is paused, or with None that it goes on."""
+    if t["tests"].filter(F.col("name") == test).isEmpty():
+        raise EngineError("unknown_test", test)
+    mine = F.col("name") == test
+    return tables.with_table(t, "tests", t["tests"].withColumn("paused_reason", F.when(mine, F.lit(reason)).otherwise(F.col("paused_reason"))))
 
 
-def copy_panel(source: StudyStore, target: StudyStore, name: str) -> None:
-    """The personas of a study and its current screening results, their runs numbered anew, as
-    those of a study that has neither; all or nothing. `name` is kept as the results' source."""
-    have = target.snapshot(["trials", "screening_results", "personas"])
-    if not have["trials"].isEmpty() or not have["screening_results"].isEmpty():
+def copy_panel(source: Study, target: Study, name: str, frames: tuple[DataFrame, DataFrame] | None = None, files: DataFrame | None = None) -> Study:
+    """The target study with the personas of a source and its current screening results, their
+    runs numbered anew; refused if it has either already, or if the persona frames (of source
+    and target, any columns) don't hold the same rows. `name` is kept as the results' source,
+    with the hash of what is copied where the panel's files (name, sha256) are given."""
+    if not target["trials"].isEmpty() or not target["screening_results"].isEmpty():
         raise EngineError("panel_in_use", name)
-    if not have["personas"].isEmpty():
+    if not target["personas"].isEmpty():
         raise EngineError("panel_exists", name)
-    t = source.snapshot(["personas", "screening_runs", "screening_results"])
-    rows = screening.renumbered(t["screening_results"], t["screening_runs"])
+    if frames is not None and not copies.differences(*frames).isEmpty():
+        raise EngineError("frame_differs", name)
+    rows = screening.renumbered(source["screening_results"], source["screening_runs"])
     numbers = rows.select("run_id", "new_run_id").distinct()
-    runs = t["screening_runs"].join(numbers, "run_id").withColumn("run_id", F.col("new_run_id")).withColumn("superseded_by", F.lit(None))
+    runs = source["screening_runs"].join(numbers, "run_id").withColumn("run_id", F.col("new_run_id")).withColumn("superseded_by", F.lit(None))
     results = rows.withColumn("run_id", F.col("new_run_id")).withColumn("source_study", F.lit(name))
-    _put_together(target, {"screening_runs": runs, "screening_results": results, "personas": t["personas"]})
+    if files is not None:
+        own = [c for c in ("run_id", "pos", "model_id", "agent_id", "instrument", "outcome", "score", "threshold", "settings_hash", "instrument_hash", "detail", "pair_checks") if c in results.columns]
+        placed = results.select(*own, F.struct(ids.run_number("run_id"), F.col("pos")).alias("_at"))
+        results = results.withColumn("source_hash", F.lit(copies.source_hash(files, placed, "_at").first().source_hash))
+    out = target
+    for table, df in (("screening_runs", runs), ("screening_results", results), ("personas", source["personas"])):
+        out = tables.with_rows(out, table, df)
+    return out
 
 
-def open_test(store: StudyStore, test: str, models: DataFrame, shapes: DataFrame, variants: DataFrame, repeats: int, study_seed: int, agents: DataFrame | None = None) -> DataFrame:
+def open_test(t: Study, test: str, models: DataFrame, shapes: DataFrame, variants: DataFrame, repeats: int, study_seed: int, agents: DataFrame | None = None) -> tuple[Study, DataFrame]:
     """Plans a registered test over the stored panel, for the listed agents only if given
     (those that the gate lets pass), stores the trials and gives the plan's summary. A test
     is planned once. models: model_id, pos; shapes and variants as plan_trials takes them."""
-    t = store.snapshot(["tests", "trials", "personas"])
     if t["tests"].filter(F.col("name") == test).isEmpty():
         raise EngineError("unknown_test", test)
     if not t["trials"].filter(F.col("test") == test).isEmpty():
@@ -248,14 +260,13 @@ def open_test(store: StudyStore, test: str, models: DataFrame, shapes: DataFrame
     trials = planning.plan_trials(planned, shapes, variants).withColumns({"state": F.lit("planned"), "attempt": F.lit(0)})
     if trials.isEmpty():
         raise EngineError("nothing_to_plan", test)
-    store.append("trials", trials)
-    return status.plan_summary(store.read("trials").filter(F.col("test") == test))
+    t = tables.with_rows(t, "trials", trials)
+    return t, status.plan_summary(t["trials"].filter(F.col("test") == test))
 
 
-def resume_test(store: StudyStore, test: str, archive: DataFrame) -> DataFrame:
+def resume_test(t: Study, test: str, archive: DataFrame) -> DataFrame:
     """What is to be done with the trials of a test that haven't ended, by class. Before that,
     the archived requests must prove the attempts; the first that doesn't is named."""
-    t = store.snapshot(["trials", "attempts"])
     trials = t["trials"].filter(F.col("test") == test)
     mine = t["attempts"].join(trials.select("trial_id", "model_id"), "trial_id").withColumn("sent", F.col("sent_at").isNotNull())
     wrong = references.reissue_mismatches(archive.join(trials.select("trial_id"), "trial_id", "left_semi"), mine).orderBy("trial_id", "attempt").first()
@@ -264,7 +275,7 @@ def resume_test(store: StudyStore, test: str, archive: DataFrame) -> DataFrame:
     return trial_ops.resume_classes(trials, mine.drop("model_id", "sent"))
 
 
-def score_perception_run(store: StudyStore, run_id: str, trials: DataFrame, checks: DataFrame, stamps: DataFrame, threshold: float = 0.75) -> list[str]:
+def score_perception_run(t: Study, run_id: str, trials: DataFrame, checks: DataFrame, stamps: DataFrame, threshold: float = 0.75) -> tuple[Study, list[str]]:
     """Scores the ended trials of an open perception run and completes it. stamps: model_id,
     instrument, settings_hash, instrument_hash; a model or instrument without them is
     refused. The rows are as many as models and instruments, so one task numbers them."""
@@ -279,4 +290,4 @@ def score_perception_run(store: StudyStore, run_id: str, trials: DataFrame, chec
     rows = scores.join(counts, "instrument").withColumn("pos", F.row_number().over(Window.orderBy("model_id", "first")).cast("bigint"))
     detail = F.to_json(F.struct("passed", "units"))
     results = rows.select("pos", "model_id", "instrument", "outcome", F.col("ratio").alias("score"), F.lit(threshold).alias("threshold"), "settings_hash", "instrument_hash", detail.alias("detail"), "pair_checks")
-    return complete_run(store, run_id, results)
+    return complete_run(t, run_id, results)

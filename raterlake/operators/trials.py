@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, seeds
 from ..schema import TERMINAL_STATES
+from . import ledger
 
 
 def chosen_answer(attempts: DataFrame) -> DataFrame:
@@ -21,6 +22,16 @@ def plan_order() -> list[Column]:
     return [ids.persona_number("persona_id"), ids.natural_key("model_id"), F.col("repeat"), F.col("trial_index"), F.col("trial_id")]
 
 
+def plan_places(trials: DataFrame) -> DataFrame:
+    """The trials with place, from 1 in each test, in the order of the plan. Counted range by
+    range over all tests, less what stands before the test, so that no test is one task's."""
+    keyed = trials.withColumns({f"_o{i}": c for i, c in enumerate(plan_order())}).withColumn("_one", F.lit(1))
+    order = ["test", *[c for c in keyed.columns if c.startswith("_o") and c != "_one"]]
+    counted = ledger.running_sums(keyed, order, "_one", "_all").select(*trials.columns, "_all")
+    first = counted.groupBy("test").agg((F.min("_all") - 1).alias("_before"))
+    return counted.join(first, "test").withColumn("place", (F.col("_all") - F.col("_before")).cast("bigint")).select(*trials.columns, "place")
+
+
 def budget_counts(attempts: DataFrame) -> DataFrame:
     """Both retry budgets count rows, never the attempt's number."""
     return attempts.groupBy("trial_id").agg(F.count_if(~F.col("valid")).alias("n_invalid"), F.count_if(F.col("category") == "transient").alias("n_transient"))

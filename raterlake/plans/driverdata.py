@@ -549,3 +549,45 @@ def questionnaires(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def paused_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tests(spark, sf_dir).select("name", "kind", F.when(F.col("kind") == "pilot", "ceiling").alias("paused_reason"))
+
+
+def clip_per_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").groupBy(F.col("p_size").alias("pos")).agg(F.concat(F.lit("c"), F.min("p_partkey")).alias("clip_id"))
+
+
+def listed_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The priorities of orders, which show pairs or single clips."""
+    names = _read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("instrument")).distinct()
+    return names.select("instrument", F.col("instrument").isin(*PAIRWISE).alias("pairwise"), F.lit(False).alias("self_report"), F.substring("instrument", 1, 1).cast("int").alias("pos"))
+
+
+def quota_levels(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    """The levels of a panel's quotas: a few values each, as a study would list them."""
+    of = {"age_band": ("part", "p_type"), "gender": ("customer", "c_mktsegment"), "cultural_region": ("region", "r_name"), "robot_experience": ("orders", "o_orderpriority")}
+    return {q: sorted(r[0] for r in _read(spark, sf_dir, t).select(c).distinct().collect()) for q, (t, c) in of.items()}
+
+
+def event_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A check per event; clicks show pairs, and some others ask for two clips."""
+    k, pair = F.col("event_id"), F.col("event_type") == "click"
+    a, b = F.concat(F.lit("c"), 1 + k % 40), F.concat(F.lit("c"), 101 + (k * 7 + 3) % 41)
+    clips = F.when(pair | (F.col("value") >= 40), F.array(b, a)).otherwise(F.array(a))
+    return _read(spark, sf_dir, "events").select(k.alias("pos"), F.col("event_type").alias("instrument"), F.lit("v").alias("item_id"), pair.alias("pairwise"), clips.alias("clips"), a.alias("expected"))
+
+
+def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item per part, of an instrument per brand."""
+    kind = F.when(F.col("p_type") == "ECONOMY", "likert").when(F.col("p_type") == "PROMO", "pairwise").otherwise("free_text")
+    p = _read(spark, sf_dir, "part").select("*", kind.alias("type"))
+    points = F.when(F.col("type") == "likert", 2 + F.col("p_size") % 10).cast("int")
+    return p.select(F.col("p_brand").alias("instrument"), F.concat(F.lit("i"), "p_partkey").alias("item_id"), "type", points.alias("points"), F.when(F.col("type") == "pairwise", F.split("p_name", " ")).alias("options"), F.col("p_partkey").cast("int").alias("pos"))
+
+
+def instrument_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per brand; its small parts are free texts, and some parts have a key."""
+    p = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("instrument"), "p_partkey", "p_size", "p_type")
+    item = F.concat(F.lit('{"id":"i'), "p_partkey", F.lit('","type":"'), F.when(F.col("p_size") < 8, F.lit('free_text"}')).otherwise(F.concat(F.lit('likert","points":'), 2 + F.col("p_size") % 9, F.lit("}"))))
+    scale = F.when(F.col("p_type") == "PROMO", F.concat(F.lit(',"subscale":"s'), 1 + F.col("p_size") % 3, F.lit('"'))).otherwise("")
+    key = F.when(F.col("p_type") != "LARGE", F.concat(F.lit('"i'), "p_partkey", F.lit('":{"construct":"'), F.lower("p_type"), F.lit('","reversed":'), (F.col("p_size") % 2 == 0).cast("string"), scale, F.lit("}")))
+    per = p.groupBy("instrument").agg(F.sort_array(F.collect_list(F.struct("p_partkey", item.alias("item")))).alias("items"), F.array_join(F.collect_list(key), ",").alias("keys"))
+    return per.select("instrument", F.concat(F.lit('{"items":['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit('],"keys":{'), "keys", F.lit("}}")).alias("json"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 
+from ..functions import seeds
 from ..functions.jsons import canonical
 from ..schema import TRAITS, TRIAL_STATES
 from . import driverdata as d
@@ -432,6 +433,50 @@ BODIES |= {
 }
 
 
+#: The profile of a persona as a number, the first trait being its highest bit; and the traits that are low, the first being the lowest.
+VIEWS["profiled"] = "select id, pnum, " + " + ".join(f"(((pnum >> {b}) & 1) << {4 - b})" for b in range(5)) + " as profile, 31 - (pnum & 31) as low from people"
+_FRACTIONS = {"1": "true", "1/2": "s4 = s0 * s1 * s2 * s3", "1/4": "s3 = s0 * s1 and s4 = s0 * s2"}
+VIEWS["event_checks"] = "select event_id as pos, event_type as instrument, event_type = 'click' as pairwise, concat('c', 1 + event_id % 40) as a, concat('c', 101 + (event_id * 7 + 3) % 41) as b, event_type = 'click' or value >= 40 as two from events"
+_LEVELS = {"age_band": "p_type from part", "gender": "c_mktsegment from customer", "cultural_region": "r_name from region", "robot_experience": "o_orderpriority from orders"}
+
+
+def _panel_level(q: str) -> str:
+    """The level of an attribute: its place in an order by hash for each band, turned for each copy."""
+    n = f"len(l_{q})"
+    again = f"({n} // greatest(1, gcd(16, {n})))"
+    return f"l_{q}[1 + (at_{q} + b + copy * (16 % {n}) + copy // {again}) % {n}] as {q}"
+
+
+_PLACES_OF_ATTRIBUTES = ", ".join(f"row_number() over (partition by b order by sha256(concat('{seeds.derive(7, 'personas', q)}:', b, ':', rank))) - 1 as at_{q}" for q in _LEVELS)
+BODIES |= {
+    "pairs_plan": """select instrument, concat(case o when 1 then least(a.c, b.c) else greatest(a.c, b.c) end, '|', case o when 1 then greatest(a.c, b.c) else least(a.c, b.c) end) as clips, concat(instrument, ':', least(a.c, b.c), ':', greatest(a.c, b.c)) as pair_id, cast(o as int) as position, cast(row_number() over (order by instrument, a.p, b.p, o) - 1 as int) as place
+  from (select concat('c', min(p_partkey)) as c, p_size as p from part group by p_size) a join (select concat('c', min(p_partkey)) as c, p_size as p from part group by p_size) b on a.p < b.p, (select distinct o_orderpriority as instrument from orders where o_orderpriority in ('1-URGENT', '2-HIGH')), (values (1), (2)) w(o)""",
+    "fractional_profiles": " union all ".join(f"select '{f}' as fraction, p.profile, {_TRAITS}, coalesce(h.n, 0) as personas from ({_PROFILES}) p left join (select profile, count(*) as n from profiled group by profile) h using (profile) where {w}" for f, w in _FRACTIONS.items()),
+    "alias_chains": BODIES["alias_chains"].replace("select fraction, string_agg(name", "select c.fraction, string_agg(name").replace(" as effects from c group by fraction, chain", """ as effects,
+  (select cast(coalesce(sum(1 - 2 * (bit_count(cast(c.chain & p.low as bigint)) % 2)), 0) as bigint) from profiled p where case c.fraction when '1/2' then bit_count(p.low) % 2 = 0 else bit_count(p.low & 11) % 2 = 0 and bit_count(p.low & 21) % 2 = 0 end) as contrast from c group by c.fraction, chain"""),
+    "panel_generated": f"""with r as (select profile, {_TRAITS}, row_number() over (order by profile) - 1 as rank from ({_PROFILES}) where s4 = s0 * s1 * s2 * s3), n as (select r.*, b, case b when 0 then 'low' else 'high' end as nars from r, (values (0), (1)) w(b)), t as (select *, {_PLACES_OF_ATTRIBUTES} from n),
+  l as (select {", ".join(f"(select list(distinct v order by v) from (select {c.replace(' from', ' as v from')})) as l_{q}" for q, c in _LEVELS.items())})
+  select concat('p', (rank * 2 + copy) * 2 + b + 1) as id, (rank * 2 + copy) * 2 + b + 1 as number, {_TRAITS}, nars, {", ".join(map(_panel_level, _LEVELS))} from t, l, (values (0), (1)) k(copy)""",
+    "perception_shapes": """select instrument, clips, pair_id, position, min(pos) as first_check from (select instrument, concat(least(a, b), '|', greatest(a, b)) as clips, concat(instrument, ':', least(a, b), ':', greatest(a, b)) as pair_id, 1 as position, pos from event_checks where pairwise
+  union all select instrument, concat(greatest(a, b), '|', least(a, b)), concat(instrument, ':', least(a, b), ':', greatest(a, b)), 2, pos from event_checks where pairwise union all select instrument, a, null, null, pos from event_checks where not pairwise union all select instrument, b, null, null, pos from event_checks where not pairwise and two) group by all""",
+    "pair_check_counts": "select instrument, count(*) filter (where two) as n_pair_checks, min(pos) as first from event_checks group by instrument",
+    "practice_chosen": """select concat('u', o_custkey, '/', o_orderpriority) as instrument, cast(n as int) as n, case when o_orderpriority in ('1-URGENT', '2-HIGH') then concat('c', 25 + o_orderkey % 7, '|c', 27 + o_orderkey % 4) else concat('c', 25 + o_orderkey % 7) end as clips
+  from (select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) as n from orders where o_orderstatus = 'O') where n <= 2""",
+    "answer_schemas": """select p_brand as instrument, length(j) as characters, sha256(j) as sha256 from (select p_brand, concat('{"additionalProperties":false,"properties":{', string_agg(concat('"i', p_partkey, '":', case p_type when 'ECONOMY' then concat('{"maximum":', 2 + p_size % 10, ',"minimum":1,"type":"integer"}') when 'PROMO' then concat('{"enum":["', replace(p_name, ' ', '","'), '"],"type":"string"}') else '{"minLength":1,"type":"string"}' end), ',' order by concat('i', p_partkey)),
+  '},"required":[', string_agg(concat('"i', p_partkey, '"'), ',' order by p_partkey), '],"type":"object"}') as j from part group by p_brand)""",
+    "shared_items": "select concat(p_name, '_', p_size) as item_id from part where p_type = 'ECONOMY' intersect select concat(p_name, '_', p_size) from part where p_type = 'PROMO'",
+    "natural_sort_rank": "select agent_id, cast(row_number() over (order by cast(substr(persona_id, 2) as bigint), cast(substr(model_id, 2) as int)) as int) as rank from (select distinct agent_id, persona_id, model_id from trials)",
+}
+
+
+BODIES |= {
+    "plan_places": "select test, trial_id, row_number() over (partition by test order by cast(substr(persona_id, 2) as bigint), cast(substr(model_id, 2) as int), repeat, trial_index, trial_id) as place from trials",
+    "scoring_keys": "select p_brand as instrument, cast(pos as int) as pos, concat('i', p_partkey) as item_id, lower(p_type) as construct, p_size % 2 = 0 as reversed, case when p_type = 'PROMO' then concat('s', 1 + p_size % 3) end as subscale, cast(2 + p_size % 9 as int) as points from (select *, row_number() over (partition by p_brand order by p_partkey) - 1 as pos from part) where p_size >= 8 and p_type <> 'LARGE'",
+    "clip_scan": "select clip_id, duration_s, size_bytes, loudness_lufs from clips where clip_id in (select clip_a from trials union select clip_b from trials where pairwise)",
+    "typed_trials": "select test, model_id, count(*) as trials, cast(0 as bigint) as seeded, cast(sum(case when pairwise then 2 else 1 end) as bigint) as clips, max(trial_index) as last from trials group by all",
+}
+
+
 def _needed(body: str) -> list[str]:
     """The views that a statement uses, directly or through others, in order of definition."""
     import re

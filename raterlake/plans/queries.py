@@ -11,7 +11,7 @@ from ..functions import ids, jsons, numbers, seeds, texts
 from ..operators import checks, copies, documents, events, export, leak, ledger, panel, planning, push, rater, references, registry, requests, scoring, screening, status, study
 from ..operators import trials as trial_ops
 from ..schema import ATTRITION_COUNTS, TRAITS, TRIAL_STATES
-from ..sources import files
+from ..sources import files, tables
 from . import driverdata as d
 
 STUDY_SEED = 7
@@ -274,7 +274,9 @@ def _shapes(spark):
 
 @query
 def pairs_plan(spark, sf):
-    return _shapes(spark).filter("pair_id is not null").select("instrument", F.array_join("clip_ids", "|").alias("clips"), "pair_id", "position", "place")
+    """The pairs that instruments of two clips show of one clip per length."""
+    out = planning.canonical_shapes(d.clip_per_length(spark, sf), d.listed_instruments(spark, sf))
+    return out.filter("pair_id is not null").select("instrument", F.array_join("clip_ids", "|").alias("clips"), "pair_id", "position", "place")
 
 
 def _sessions(spark, sf):
@@ -311,21 +313,26 @@ def order_seeds(spark, sf):
 
 @query
 def fractional_profiles(spark, sf):
-    out = [planning.profiles(spark, f).select(F.lit(f).alias("fraction"), "profile", *TRAITS) for f in planning.GENERATORS]
-    return out[0].union(out[1]).union(out[2])
+    """The profiles of each fraction, and how many personas of the panel have them."""
+    held = d.card_panel(spark, sf).groupBy(*TRAITS).agg(F.count("*").alias("personas"))
+    out = None
+    for f in planning.GENERATORS:
+        rows = planning.profiles(spark, f).join(held, list(TRAITS), "left").select(F.lit(f).alias("fraction"), "profile", *TRAITS, F.coalesce("personas", F.lit(0)).alias("personas"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 @query
 def alias_chains(spark, sf):
-    return planning.aliases(spark, "1/2").withColumn("fraction", F.lit("1/2")).union(planning.aliases(spark, "1/4").withColumn("fraction", F.lit("1/4")))
-
-
-QUOTAS = {"age_band": ["18-29", "30-44", "45-59"], "gender": ["woman", "man"], "cultural_region": ["east", "west", "north", "south"], "robot_experience": ["none", "some"]}
+    """Effects that a fraction of the panel can't tell apart, with their contrast in it."""
+    out = [planning.alias_contrasts(d.card_panel(spark, sf), f).withColumn("fraction", F.lit(f)) for f in ("1/2", "1/4")]
+    return out[0].union(out[1])
 
 
 @query
 def panel_generated(spark, sf):
-    return panel.generate(spark, STUDY_SEED, QUOTAS, ["low", "high"], "1/2", 2)
+    """A panel whose quota levels are what the tables hold."""
+    return panel.generate(spark, STUDY_SEED, d.quota_levels(spark, sf), ["low", "high"], "1/2", 2)
 
 
 @query
@@ -337,7 +344,7 @@ def quota_level_gaps(spark, sf):
 
 @query
 def perception_shapes(spark, sf):
-    return scoring.perception_shapes(d.checks(spark)).select("instrument", F.array_join("clip_ids", "|").alias("clips"), "pair_id", "position", F.col("place.pos").alias("first_check"))
+    return scoring.perception_shapes(d.event_checks(spark, sf)).select("instrument", F.array_join("clip_ids", "|").alias("clips"), "pair_id", "position", F.col("place.pos").alias("first_check"))
 
 
 @query
@@ -348,7 +355,7 @@ def perception_scores(spark, sf):
 
 @query
 def pair_check_counts(spark, sf):
-    return scoring.pair_check_counts(d.checks(spark))
+    return scoring.pair_check_counts(d.event_checks(spark, sf))
 
 
 def _planned(spark):
@@ -457,7 +464,7 @@ def first_seen_order(spark, sf):
 
 @query
 def natural_sort_rank(spark, sf):
-    return references.natural_ranks(d.agents(spark).select(ids.agent_id("persona_id", "model_id").alias("agent_id")), "agent_id")
+    return references.natural_ranks(d.trials(spark, sf).select("agent_id"), "agent_id")
 
 
 @query
@@ -518,7 +525,9 @@ def prompt_parts(spark, sf):
 
 @query
 def practice_chosen(spark, sf):
-    return requests.practice(d.examples(spark), 2).select("instrument", "n", F.array_join("clips", "|").alias("clips"))
+    """The first two examples of each instrument in each customer's plan."""
+    rows = d.customer_plans(spark, sf)["practice"].withColumn("instrument", F.concat_ws("/", "test", "instrument"))
+    return requests.practice(rows, 2).select("instrument", "n", F.array_join("clips", "|").alias("clips"))
 
 
 @query
@@ -581,7 +590,8 @@ def check_problems(spark, sf):
 
 @query
 def answer_schemas(spark, sf):
-    return checks.answer_schemas(d.items(spark))
+    out = checks.answer_schemas(d.part_items(spark, sf))
+    return out.select("instrument", F.length("schema").alias("characters"), F.sha2("schema", 256).alias("sha256"))
 
 
 @query
@@ -592,7 +602,9 @@ def stale_summary(spark, sf):
 
 @query
 def shared_items(spark, sf):
-    return registry.shared_items(d.check_items(spark), d.checks(spark))
+    """Names that parts of two types share."""
+    named = lambda kind: d._read(spark, sf, "part").filter(F.col("p_type") == kind).select(F.concat_ws("_", "p_name", "p_size").alias("item_id"))
+    return registry.shared_items(named("ECONOMY"), named("PROMO"))
 
 
 @query
@@ -841,5 +853,29 @@ def open_dry_run(spark, sf):
     return out.select("test", "trials", "sessions", "agents", "uniform", "requests", "requests_sha256", "unrendered", F.col("expected").cast("decimal(28,9)").alias("expected"), F.col("worst_case").cast("decimal(28,9)").alias("worst_case"), "providers", _cost("ceiling_usd"), "would_refuse", "excluded", "paused")
 
 
+@query
+def plan_places(spark, sf):
+    return trial_ops.plan_places(d.trials(spark, sf)).select("test", "trial_id", "place")
+
+
+@query
+def scoring_keys(spark, sf):
+    return registry.scoring_keys(d.instrument_documents(spark, sf))
+
+
+@query
+def clip_scan(spark, sf):
+    """The clips that tests show, by their ids."""
+    t = {"clips": d.clips(spark, sf)}
+    return tables.scan(t, "clips", d.test_clips(spark, sf).filter("role = 'target'")).select("clip_id", "duration_s", "size_bytes", "loudness_lufs")
+
+
+@query
+def typed_trials(spark, sf):
+    """Trials as records of the study's schema, their keys checked; columns that are missing are null."""
+    t = tables.with_table({}, "trials", d.trials(spark, sf))["trials"]
+    return t.groupBy("test", "model_id").agg(F.count("*").alias("trials"), F.count("order_seed").alias("seeded"), F.sum(F.size("clip_ids")).alias("clips"), F.max("trial_index").alias("last"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -13,7 +13,7 @@ from raterlake.errors import EngineError
 from raterlake.functions import texts
 from raterlake.functions.jsons import canonical
 from raterlake.operators import checks, export, planning, study
-from raterlake.sources.store import StudyStore
+from raterlake.sources import tables
 
 ITEM = "instrument string, item_id string, type string, points int, options array<string>, pos int"
 
@@ -113,122 +113,129 @@ def test_kept_agents_keep_their_seeds(spark):
     assert sorted(map(tuple, kept.select("session_id", "order_seed").collect())) == sorted(map(tuple, planned.filter("persona_id = 'p2'").select("session_id", "order_seed").collect()))
 
 
-def test_abandoned_runs_and_panels_in_use(spark, tmp_path):
-    store = StudyStore(spark, str(tmp_path / "s"))
-    study.check_panel_free(store)
+def test_abandoned_runs_and_panels_in_use(spark):
+    t = tables.study(spark)
+    study.check_panel_free(t)
     with pytest.raises(EngineError, match="screening_not_open"):
-        study.abandon_run(store, "fidelity")
+        study.abandon_run(t, "fidelity")
     rows = [("s1", "fidelity", None, "complete"), ("s2", "fidelity", None, "open"), ("s3", "perception", "t", "open")]
-    store.append("screening_runs", spark.createDataFrame(rows, "run_id string, kind string, screening_test string, status string"))
-    assert study.abandon_run(store, "fidelity") == "s2" and study.abandon_run(store, "perception", "t") == "s3"
-    assert {r.run_id: r.status for r in store.read("screening_runs").collect()} == {"s1": "complete", "s2": "abandoned", "s3": "abandoned"}
+    t = tables.with_rows(t, "screening_runs", spark.createDataFrame(rows, "run_id string, kind string, screening_test string, status string"))
+    t, first = study.abandon_run(t, "fidelity")
+    t, second = study.abandon_run(t, "perception", "t")
+    assert (first, second) == ("s2", "s3")
+    assert {r.run_id: r.status for r in t["screening_runs"].collect()} == {"s1": "complete", "s2": "abandoned", "s3": "abandoned"}
     with pytest.raises(EngineError, match="screening_not_open"):
-        study.abandon_run(store, "perception", "t")
+        study.abandon_run(t, "perception", "t")
     result = lambda run: spark.createDataFrame([(run, "i", "m1", "a")], "run_id string, instrument string, model_id string, agent_id string")
-    store.append("screening_results", result("s3"))
-    store.append("trials", spark.createDataFrame([("x", "p0")], "trial_id string, persona_id string"))
-    study.check_panel_free(store)
-    store.append("screening_results", result("s1"))
+    t = tables.with_rows(t, "screening_results", result("s3"))
+    t = tables.with_rows(t, "trials", spark.createDataFrame([("x", "p0")], "trial_id string, persona_id string"))
+    study.check_panel_free(t)
+    t = tables.with_rows(t, "screening_results", result("s1"))
     with pytest.raises(EngineError, match="panel_in_use"):
-        study.check_panel_free(store)
+        study.check_panel_free(t)
 
 
 RUN = "run_id string, kind string, screening_test string, status string"
 RESULT = "pos long, instrument string, model_id string, agent_id string, outcome string"
 
 
-def _store(spark, path):
-    return StudyStore(spark, str(path))
-
-
-def test_completed_runs_supersede(spark, tmp_path):
-    store = _store(spark, tmp_path / "s")
-    store.append("screening_runs", spark.createDataFrame([(f"s{i}", "fidelity", None, "open") for i in (1, 2, 3)], RUN))
+def test_completed_runs_supersede(spark):
+    t = tables.study(spark)
+    t = tables.with_rows(t, "screening_runs", spark.createDataFrame([(f"s{i}", "fidelity", None, "open") for i in (1, 2, 3)], RUN))
     rows = lambda *agents: spark.createDataFrame([(n, "fidelity", "m1", a, "pass") for n, a in enumerate(agents)], RESULT)
-    assert study.complete_run(store, "s1", rows("p1-m1", "p2-m1")) == []
-    assert study.complete_run(store, "s2", rows("p1-m1")) == []
-    assert study.complete_run(store, "s3", rows("p2-m1")) == ["s1"]
-    assert {r.run_id: (r.status, r.superseded_by) for r in store.read("screening_runs").collect()} == {"s1": ("complete", "s3"), "s2": ("complete", None), "s3": ("complete", None)}
+    t, one = study.complete_run(t, "s1", rows("p1-m1", "p2-m1"))
+    t, two = study.complete_run(t, "s2", rows("p1-m1"))
+    t, three = study.complete_run(t, "s3", rows("p2-m1"))
+    assert (one, two, three) == ([], [], ["s1"])
+    assert {r.run_id: (r.status, r.superseded_by) for r in t["screening_runs"].collect()} == {"s1": ("complete", "s3"), "s2": ("complete", None), "s3": ("complete", None)}
     with pytest.raises(EngineError, match="screening_not_open"):
-        study.complete_run(store, "s3", rows("p2-m1"))
+        study.complete_run(t, "s3", rows("p2-m1"))
 
 
-def test_pushed_clips_and_registered_tests(spark, tmp_path):
-    store = _store(spark, tmp_path / "s")
+def test_pushed_clips_and_registered_tests(spark):
+    t = tables.study(spark)
     clips = lambda *names: spark.createDataFrame([(n, 1.0) for n in names], "clip_id string, duration_s double")
     texts_of = lambda *rows: spark.createDataFrame(list(rows), "clip_id string, text string")
-    study.push_clips(store, clips("c1", "c2"), texts_of(("c1", "speed = fast"), ("c2", "speed=slow")))
-    study.push_clips(store, clips("c3"), texts_of(("c3", "speed=slow")))
-    assert sorted(map(tuple, store.read("blinding_key").collect())) == [("c1", "speed", "fast", 1), ("c2", "speed", "slow", 1), ("c3", "speed", "slow", 2)]
+    t = study.push_clips(t, clips("c1", "c2"), texts_of(("c1", "speed = fast"), ("c2", "speed=slow")))
+    t = study.push_clips(t, clips("c3"), texts_of(("c3", "speed=slow")))
+    assert sorted(map(tuple, t["blinding_key"].collect())) == [("c1", "speed", "fast", 1), ("c2", "speed", "slow", 1), ("c3", "speed", "slow", 2)]
     for code, names, rows in [("bad_condition", ["c4"], [("c4", "speed")]), ("unknown_clip", ["c4"], [("c9", "a=b")]), ("repeated_condition", ["c4"], [("c4", "a=b"), ("c4", "a=c")]), ("duplicate_key", ["c1"], [("c1", "a=b")])]:
         with pytest.raises(EngineError, match=code):
-            study.push_clips(store, clips(*names), texts_of(*rows))
-    assert store.read("clips").count() == store.read("blinding_key").count() == 3
+            study.push_clips(t, clips(*names), texts_of(*rows))
+    assert t["clips"].count() == t["blinding_key"].count() == 3
 
     use = lambda *rows: spark.createDataFrame(list(rows), "clip_id string, role string")
-    study.register_test(store, "one", "main", use(("c1", "target"), ("c3", "practice")))
+    t = study.register_test(t, "one", "main", use(("c1", "target"), ("c3", "practice")))
     for code, name, kind, rows in [
         ("bad_test_name", "s1", "main", [("c2", "target")]), ("unknown_clip", "two", "main", [("c8", "target")]), ("clip_kind_overlap", "two", "pilot", [("c1", "target")]), ("duplicate_key", "one", "main", [("c2", "target")]),
     ]:
         with pytest.raises(EngineError, match=code):
-            study.register_test(store, name, kind, use(*rows))
-    study.register_test(store, "two", "pilot", use(("c3", "target"), ("c1", "practice")))
-    assert store.read("tests").count() == 2 and store.read("test_clips").count() == 4
-    with pytest.raises(EngineError, match="duplicate_key"):  # the second table refuses, the first is put back
-        study.register_test(store, "three", "main", use(("c2", "target"), ("c2", "practice")))
-    assert store.read("tests").count() == 2 and store.read("test_clips").count() == 4
-
-
-def test_copied_panels(spark, tmp_path):
-    source, target = _store(spark, tmp_path / "a"), _store(spark, tmp_path / "b")
-    source.append("personas", spark.createDataFrame([("p1",), ("p2",)], "id string"))
-    source.append("screening_runs", spark.createDataFrame([(f"s{i}", "fidelity", None, "complete" if i > 1 else "abandoned") for i in (1, 2, 3)], RUN))
+            study.register_test(t, name, kind, use(*rows))
+    t = study.register_test(t, "two", "pilot", use(("c3", "target"), ("c1", "practice")))
+    assert t["tests"].count() == 2 and t["test_clips"].count() == 4
+    with pytest.raises(EngineError, match="duplicate_key"):  # the second table refuses, so the first isn't changed either
+        study.register_test(t, "three", "main", use(("c2", "target"), ("c2", "practice")))
+    assert t["tests"].count() == 2 and t["test_clips"].count() == 4
+
+
+def test_copied_panels(spark):
+    source, target = tables.study(spark), tables.study(spark)
+    source = tables.with_rows(source, "personas", spark.createDataFrame([("p1",), ("p2",)], "id string"))
+    source = tables.with_rows(source, "screening_runs", spark.createDataFrame([(f"s{i}", "fidelity", None, "complete" if i > 1 else "abandoned") for i in (1, 2, 3)], RUN))
     rows = [(0, "s1", "fidelity", "m1", "p1-m1", "pass"), (0, "s2", "fidelity", "m1", "p1-m1", "fail"), (0, "s3", "fidelity", "m1", "p2-m1", "pass")]
-    source.append("screening_results", spark.createDataFrame(rows, "pos long, run_id string, instrument string, model_id string, agent_id string, outcome string"))
-    study.copy_panel(source, target, "../a")
-    assert {(r.run_id, r.agent_id, r.outcome, r.source_study) for r in target.read("screening_results").collect()} == {("s1", "p1-m1", "fail", "../a"), ("s2", "p2-m1", "pass", "../a")}
-    assert target.read("personas").count() == 2 and {r.run_id for r in target.read("screening_runs").collect()} == {"s1", "s2"}
+    source = tables.with_rows(source, "screening_results", spark.createDataFrame(rows, "pos long, run_id string, instrument string, model_id string, agent_id string, outcome string"))
+    make = spark.createDataFrame
+    cards, frame = make([("p1.md", "1")], "name string, sha256 string"), lambda *levels: make([(x,) for x in levels], "level string")
+    with pytest.raises(EngineError, match="frame_differs"):
+        study.copy_panel(source, target, "../a", (frame("x", "y"), frame("x", "x")))
+    target = study.copy_panel(source, target, "../a", (frame("x", "y"), frame("y", "x")), cards)
+    assert {len(r.source_hash) for r in target["screening_results"].collect()} == {64}
+    assert {(r.run_id, r.agent_id, r.outcome, r.source_study) for r in target["screening_results"].collect()} == {("s1", "p1-m1", "fail", "../a"), ("s2", "p2-m1", "pass", "../a")}
+    assert target["personas"].count() == 2 and {r.run_id for r in target["screening_runs"].collect()} == {"s1", "s2"}
     with pytest.raises(EngineError, match="panel_in_use"):
         study.copy_panel(source, target, "../a")
 
 
-def test_opened_and_resumed_tests(spark, tmp_path):
-    store, make = _store(spark, tmp_path / "s"), spark.createDataFrame
+def test_opened_and_resumed_tests(spark):
+    t, make = tables.study(spark), spark.createDataFrame
     models = make([("m1", 0), ("m2", 1)], "model_id string, pos int")
     shapes = planning.canonical_shapes(make([("c1", 0), ("c2", 1)], "clip_id string, pos int"), make([("rate", False, False, 0)], "instrument string, pairwise boolean, self_report boolean, pos int"))
     variants = make([("rate", ["a"])], "instrument string, variants array<string>")
-    run = lambda name, agents=None: study.open_test(store, name, models, shapes, variants, 2, 7, agents)
+    run = lambda t, name, agents=None: study.open_test(t, name, models, shapes, variants, 2, 7, agents)
     with pytest.raises(EngineError, match="unknown_test"):
-        run("one")
-    store.append("tests", make([("one", "main"), ("two", "main")], "name string, kind string"))
+        run(t, "one")
+    t = tables.with_rows(t, "tests", make([("one", "main"), ("two", "main")], "name string, kind string"))
     with pytest.raises(EngineError, match="nothing_to_plan"):
-        run("one")
-    store.append("personas", make([("p1",), ("p2",)], "id string"))
-    assert [(r.trials, r.sessions, r.agents) for r in run("one").collect()] == [(16, 8, 4)]
-    assert [(r.trials, r.agents) for r in run("two", make([("p2-m1",)], "agent_id string")).collect()] == [(4, 1)]
+        run(t, "one")
+    t = tables.with_rows(t, "personas", make([("p1",), ("p2",)], "id string"))
+    t, summary = run(t, "one")
+    assert [(r.trials, r.sessions, r.agents) for r in summary.collect()] == [(16, 8, 4)]
+    t, summary = run(t, "two", make([("p2-m1",)], "agent_id string"))
+    assert [(r.trials, r.agents) for r in summary.collect()] == [(4, 1)]
     with pytest.raises(EngineError, match="already_planned"):
-        run("one")
+        run(t, "one")
 
     first = "two/p2-m1/r1/t1"
-    store.append("attempts", make([(first, 1, 5, datetime(2024, 1, 1), "transient")], "trial_id string, attempt int, seed long, sent_at timestamp, category string"))
+    t = tables.with_rows(t, "attempts", make([(first, 1, 5, datetime(2024, 1, 1), "transient")], "trial_id string, attempt int, seed long, sent_at timestamp, category string"))
     line = lambda seed, body="s": make([(first, 1, "s", seed, "m1", body)], "trial_id string, attempt int, request_sha256 string, seed long, model_id string, body_sha256 string")
     for reason, archive in [("sent_without_request", line(5).limit(0)), ("seed_differs", line(6)), ("hash_differs", line(5, "x"))]:
         with pytest.raises(EngineError, match=reason):
-            study.resume_test(store, "two", archive)
-    assert [(r["class"], r.n) for r in study.resume_test(store, "two", line(5)).collect()] == [("new_attempt", 4)]
+            study.resume_test(t, "two", archive)
+    assert [(r["class"], r.n) for r in study.resume_test(t, "two", line(5)).collect()] == [("new_attempt", 4)]
 
 
-def test_perception_runs_are_scored(spark, tmp_path):
-    store, make = _store(spark, tmp_path / "s"), spark.createDataFrame
-    store.append("screening_runs", make([("s1", "perception", "t", "open")], RUN))
+def test_perception_runs_are_scored(spark):
+    t, make = tables.study(spark), spark.createDataFrame
+    t = tables.with_rows(t, "screening_runs", make([("s1", "perception", "t", "open")], RUN))
     checks_ = make([(0, "rate", "v", False, ["c1", "c2"], "c1"), (1, "rate", "v", False, ["c3"], "4")], "pos int, instrument string, item_id string, pairwise boolean, clips array<string>, expected string")
     rows = [("m1", 1, "rate", [c], "v", a, "int", "valid") for c, a in (("c1", "5"), ("c2", "2"), ("c3", "4"))] + [("m2", 1, "rate", ["c3"], "v", "4", "int", "valid")]
     trials = make(rows, "model_id string, repeat int, instrument string, clip_ids array<string>, item_id string, answer string, kind string, state string")
     stamps = lambda *models: make([(m, "rate", "h", "i") for m in models], "model_id string, instrument string, settings_hash string, instrument_hash string")
     with pytest.raises(EngineError, match="trials_running"):
-        study.score_perception_run(store, "s1", trials.withColumn("state", F.lit("sent")), checks_, stamps("m1", "m2"))
+        study.score_perception_run(t, "s1", trials.withColumn("state", F.lit("sent")), checks_, stamps("m1", "m2"))
     with pytest.raises(EngineError, match="no_stamp"):
-        study.score_perception_run(store, "s1", trials, checks_, stamps("m1"))
-    assert study.score_perception_run(store, "s1", trials, checks_, stamps("m1", "m2", "m3")) == []
-    got = {r.model_id: (r.outcome, r.score, r.pair_checks, r.detail, r.pos) for r in store.read("screening_results").collect()}
+        study.score_perception_run(t, "s1", trials, checks_, stamps("m1"))
+    t, superseded = study.score_perception_run(t, "s1", trials, checks_, stamps("m1", "m2", "m3"))
+    assert superseded == []
+    got = {r.model_id: (r.outcome, r.score, r.pair_checks, r.detail, r.pos) for r in t["screening_results"].collect()}
     assert got == {"m1": ("pass", 1.0, 1, '{"passed":2,"units":2}', 1), "m2": ("fail", 0.5, 1, '{"passed":1,"units":2}', 2), "m3": ("fail", 0.0, 1, '{"passed":0,"units":2}', 3)}

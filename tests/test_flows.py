@@ -10,9 +10,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from raterlake.errors import EngineError
 from raterlake.functions.jsons import canonical
-from raterlake.operators import copies, ledger, push, registry, requests, scoring, study
+from raterlake.operators import copies, ledger, planning, push, registry, requests, scoring, study
 from raterlake.operators import trials as trial_ops
+from raterlake.sources import tables
 
 
 def frame(spark, rows, kind):
@@ -233,3 +235,53 @@ def test_dry_run_says_what_opening_would_do(spark):
     asked = estimates.select("test", F.lit("s").alias("study"), F.lit(1).alias("seq"), F.lit("2").alias("given"), F.col("expected").alias("expected_usd"), F.lit(0).alias("committed_usd"), F.lit(True).alias("fresh"), F.lit(False).alias("uncapped_ok"))
     out = study.dry_run(trials, texts, estimates, ledger.ceiling_decisions(asked), frame(spark, [("a", "p2-m1", "fidelity_fail")], "test string, agent_id string, reason string"), frame(spark, [("a", "ceiling")], "name string, paused_reason string")).first()
     assert (out.trials, out.requests, out.unrendered, out.requests_sha256, out.would_refuse, out.excluded, out.paused) == (2, 1, 1, hashlib.sha256(b"one").hexdigest(), "over_ceiling", 1, "ceiling")
+
+
+def test_places_in_plan_order(spark):
+    rng = random.Random(3)
+    rows = [(f"{test}{i}", test, f"p{rng.randint(1, 12)}", f"m{rng.choice([1, 2, 10])}", rng.randint(1, 2), i % 4) for test in ("a", "b", "c") for i in range(50)]
+    df = frame(spark, rows, "trial_id string, test string, persona_id string, model_id string, repeat int, trial_index int").repartition(6)
+    got = {(r.test, r.place): r.trial_id for r in trial_ops.plan_places(df).collect()}
+    for test in "abc":
+        mine = sorted((r for r in rows if r[1] == test), key=lambda r: (int(r[2][1:]), int(r[3][1:]), r[4], r[5], r[0]))
+        assert [got[test, i] for i in range(1, 51)] == [r[0] for r in mine]
+
+
+def test_scoring_keys_of_documents(spark):
+    doc = {"items": [{"id": "a", "points": 5}, {"id": "b"}, {"id": "c", "points": 7}, {"id": "d", "points": 5}], "keys": {"a": {"construct": "openness", "reversed": True}, "b": {"construct": "x", "reversed": False}, "c": {"construct": "nars", "reversed": False, "subscale": "s2"}, "z": {}}}
+    df = frame(spark, [("i", json.dumps(doc)), ("none", json.dumps({"items": [{"id": "a", "points": 5}]})), ("broken", "{")], "instrument string, json string")
+    assert sorted(map(tuple, registry.scoring_keys(df).collect())) == [("i", 0, "a", "openness", True, None, 5), ("i", 2, "c", "nars", False, "s2", 7)]
+
+
+def test_pauses(spark):
+    t = tables.study(spark, tests=frame(spark, [("a", "main"), ("b", "main")], "name string, kind string"))
+    paused = study.set_pause(t, "a", "ceiling")
+    assert {r.name: r.paused_reason for r in paused["tests"].collect()} == {"a": "ceiling", "b": None}
+    assert {r.name: r.paused_reason for r in study.set_pause(paused, "a", None)["tests"].collect()} == {"a": None, "b": None}
+    with pytest.raises(EngineError, match="unknown_test"):
+        study.set_pause(t, "z", "ceiling")
+
+
+def test_persona_results_complete_their_runs(spark):
+    t = tables.study(spark, screening_runs=frame(spark, [("s1", "fidelity", None, "complete"), ("s2", "fidelity", None, "open"), ("s10", "fidelity", None, "open")], "run_id string, kind string, screening_test string, status string"))
+    t = tables.with_rows(t, "screening_results", frame(spark, [(1, "s1", "fidelity", "m1", "p1-m1", "pass")], "pos long, run_id string, instrument string, model_id string, agent_id string, outcome string"))
+    rows = [(r, "m1", a, "fidelity", "pass", 1.0, 0.8, "h", "i", "{}", None) for r, a in (("s10", "p1-m1"), ("s2", "p10-m1"), ("s2", "p2-m1"))]
+    results = frame(spark, rows, "run_id string, model_id string, agent_id string, instrument string, outcome string, score double, threshold double, settings_hash string, instrument_hash string, detail string, problem string")
+    after, superseded = study.complete_persona_runs(t, results)
+    assert superseded == {"s2": [], "s10": ["s1"]}
+    assert {r.run_id: r.status for r in after["screening_runs"].collect()} == {"s1": "complete", "s2": "complete", "s10": "complete"}
+    assert [r.agent_id for r in after["screening_results"].filter("run_id = 's2'").orderBy("pos").collect()] == ["p2-m1", "p10-m1"]
+    with pytest.raises(EngineError, match="panel_mismatch"):
+        study.complete_persona_runs(t, results.withColumn("problem", F.lit("panel_mismatch")))
+
+
+def test_contrasts_of_a_full_fraction_cancel(spark):
+    for fraction, n in (("1/2", 16), ("1/4", 8)):
+        rows = planning.profiles(spark, "1")
+        inside = planning.in_fraction(rows, fraction)
+        assert sorted(r.profile for r in inside.collect()) == sorted(r.profile for r in planning.profiles(spark, fraction).collect()) and inside.count() == n
+        assert {r.contrast for r in planning.alias_contrasts(rows, fraction).collect()} == {0}
+    lone = frame(spark, [("high", "low", "low", "high", "high")], "openness string, conscientiousness string, extraversion string, agreeableness string, neuroticism string")
+    assert planning.in_fraction(lone, "1/2").count() == 1
+    out = {r.alias: r.contrast for r in planning.alias_contrasts(lone, "1/2").collect()}
+    assert out["O=CEAN"] == 1 and out["C=OEAN"] == -1 and set(out.values()) == {1, -1}

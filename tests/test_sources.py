@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from raterlake import schema
 from raterlake.errors import EngineError
-from raterlake.sources import files
-from raterlake.sources.store import StudyStore
+from raterlake.sources import files, tables
 from raterlake.streaming import archive as stream
 
 
@@ -110,32 +109,25 @@ def test_later_appends_win(spark, tmp_path):
     assert got == {"t1": "new", "t2": "own", "t3": "own", "t4": "own"}
 
 
-def test_two_writers_of_one_version(spark, tmp_path):
-    """Of two writers that read the same version, the later one is refused and loses nothing."""
-    row = lambda c: spark.createDataFrame([(c, 1.0)], "clip_id string, duration_s double")
-    one, two = StudyStore(spark, str(tmp_path / "s")), StudyStore(spark, str(tmp_path / "s"))
-    assert one.append("clips", row("c1")) == 1
-    two.versions = lambda table: [1]  # what the second has seen before the first went on
-    assert one.append("clips", row("c2")) == 2
-    with pytest.raises(EngineError, match="store_busy"):
-        two.append("clips", row("c3"))
-    assert {r.clip_id for r in one.read("clips").collect()} == {"c1", "c2"} and one.versions("clips") == [1, 2]
-
-
-def test_store_versions(spark, tmp_path):
-    store = StudyStore(spark, str(tmp_path / "study"))
-    assert store.read("clips").count() == 0 and not store.exists("clips")
-    a, b = spark.createDataFrame([("c1", 1.0)], "clip_id string, duration_s double"), spark.createDataFrame([("c2", 2.0)], "clip_id string, duration_s double")
-    assert store.append("clips", a) == 1
-    before = store.read("clips")
-    assert store.append("clips", b) == 2
-    assert before.count() == 1 and store.read("clips").count() == 2 and store.read("clips", 1).count() == 1
-    assert store.exists("clips", "clip_id = 'c2'") and store.snapshot(["clips"])["clips"].schema == schema.TABLES["clips"]
-    for bad in (a, a.union(a).withColumn("clip_id", F.lit("c9"))):
+def test_tables_of_a_study(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(list(rows), "clip_id string, duration_s double")
+    t = tables.study(spark, clips=make(("c1", 1.0)))
+    after = tables.with_rows(t, "clips", make(("c2", 2.0)))
+    assert t["clips"].count() == 1 and after["clips"].count() == 2 and tables.exists(after, "clips", "clip_id = 'c2'") and not tables.exists(t, "tests")
+    assert after["clips"].schema == schema.TABLES["clips"]
+    for bad in (make(("c1", 1.0)), make(("c9", 1.0), ("c9", 2.0))):
         with pytest.raises(EngineError, match="duplicate_key"):
-            store.append("clips", bad)
+            tables.with_rows(t, "clips", bad)
     with pytest.raises(EngineError, match="unknown_table"):
-        store.read("nope")
+        tables.with_rows(t, "nope", make(("c1", 1.0)))
+    assert [r.clip_id for r in tables.scan(after, "clips", ["c2", "c7"]).collect()] == ["c2"] and tables.scan(after, "clips").count() == 2
+    assert [r.clip_id for r in tables.scan(after, "clips", make(("c1", 0.0), ("c1", 0.0))).collect()] == ["c1"]
+    tables.write(after, str(tmp_path / "s"))
+    again = tables.read(spark, str(tmp_path / "s"))
+    assert again["clips"].count() == 2 and again["tests"].count() == 0 and set(again) == set(schema.TABLES)
+    assert tables.read(spark, str(tmp_path / "none"))["clips"].count() == 0
+    with pytest.raises(Exception, match="(?i)exists"):
+        tables.write(t, str(tmp_path / "s"))
     assert set(schema.documents()) == set(schema.TABLES)
 
 

@@ -10,24 +10,26 @@ import pytest
 
 from raterlake.errors import EngineError
 from raterlake.operators import export, study
-from raterlake.sources.store import StudyStore
+from raterlake.sources import tables
 
 ITEMS = [("rate", "warm", "likert", None, 0), ("rate", "kind", "likert", None, 1)]
 
 
 @pytest.fixture(scope="module")
 def store(spark, tmp_path_factory):
-    out = StudyStore(spark, str(tmp_path_factory.mktemp("study") / "s"))
+    out = tables.study(spark)
     make = lambda rows, kind: spark.createDataFrame(rows, kind)
-    out.append("tests", make([("s1", "main", None), ("s2", "main", "ceiling")], "name string, kind string, paused_reason string"))
+    out = tables.with_rows(out, "tests", make([("s1", "main", None), ("s2", "main", "ceiling")], "name string, kind string, paused_reason string"))
     trial = lambda n, state, persona: (f"t{n}", "s1", f"s1/{persona}-m1/r1", n, "rate", [f"c{n}"], 1, f"{persona}-m1", persona, "m1", state, 1)
-    out.append("trials", make([trial(1, "valid", "p1"), trial(2, "refused", "p2")], "trial_id string, test string, session_id string, trial_index int, instrument string, clip_ids array<string>, repeat int, agent_id string, persona_id string, model_id string, state string, attempt int"))
-    out.append("attempts", make([("t1", 1, 5, "ok", True, '{"kind":2,"warm":4}'), ("t2", 1, 6, "refused", None, None)], "trial_id string, attempt int, seed long, category string, valid boolean, answer_json string"))
-    out.append("ledger", make([("t1", 1, "m1", Decimal("0.5"), Decimal("0.25")), ("t2", 1, "m1", Decimal("0.5"), None)], "trial_id string, attempt int, model_id string, reserved_usd decimal(38,12), actual_usd decimal(38,12)"))
-    out.append("ceiling_changes", make([(1, Decimal("5")), (2, Decimal("10"))], "seq long, ceiling_usd decimal(38,12)"))
-    out.append("blinding_key", make([("c1", "speed", "fast", 1), ("c2", "speed", "slow", 2)], "clip_id string, factor string, level string, pos long"))
-    out.append("personas", make([(f"p{i}", {"openness": "high"}, "low", "x", "w", "e", "none") for i in (1, 2)], "id string, big_five map<string,string>, nars string, age_band string, gender string, cultural_region string, robot_experience string"))
-    return out
+    out = tables.with_rows(out, "trials", make([trial(1, "valid", "p1"), trial(2, "refused", "p2")], "trial_id string, test string, session_id string, trial_index int, instrument string, clip_ids array<string>, repeat int, agent_id string, persona_id string, model_id string, state string, attempt int"))
+    out = tables.with_rows(out, "attempts", make([("t1", 1, 5, "ok", True, '{"kind":2,"warm":4}'), ("t2", 1, 6, "refused", None, None)], "trial_id string, attempt int, seed long, category string, valid boolean, answer_json string"))
+    out = tables.with_rows(out, "ledger", make([("t1", 1, "m1", Decimal("0.5"), Decimal("0.25")), ("t2", 1, "m1", Decimal("0.5"), None)], "trial_id string, attempt int, model_id string, reserved_usd decimal(38,12), actual_usd decimal(38,12)"))
+    out = tables.with_rows(out, "ceiling_changes", make([(1, Decimal("5")), (2, Decimal("10"))], "seq long, ceiling_usd decimal(38,12)"))
+    out = tables.with_rows(out, "blinding_key", make([("c1", "speed", "fast", 1), ("c2", "speed", "slow", 2)], "clip_id string, factor string, level string, pos long"))
+    out = tables.with_rows(out, "personas", make([(f"p{i}", {"openness": "high"}, "low", "x", "w", "e", "none") for i in (1, 2)], "id string, big_five map<string,string>, nars string, age_band string, gender string, cultural_region string, robot_experience string"))
+    folder = str(tmp_path_factory.mktemp("study") / "s")
+    tables.write(out, folder)
+    return tables.read(spark, folder)
 
 
 def items(spark, rows=ITEMS):
