@@ -7,11 +7,12 @@ first goes next, ties by the later of the next releases, then by name. Such a sc
 exists for every set of weights that adds up to the period and repeats each period, so
 after any number of slots every source is less than one block away from its share.
 
-Only the one period is worked out on the driver: its length is a parameter. Where a
-document goes follows from its source and its place in it alone. Places come from a
-seeded shuffle: documents are dealt to buckets of bounded size by hash, buckets are
-counted, and only rows within one bucket are numbered, so a source that holds a third of
-all rows is spread over the cluster.
+Only the one period is worked out on the driver: its length is a parameter, or the number
+of sources where there are more of these. Where a document goes follows from its source and
+its place in it alone; a table of the sources' weights and slots is joined to the rows.
+Places come from a seeded shuffle: documents are dealt to buckets of bounded size by hash,
+buckets are counted range by range, and only rows within one bucket are numbered, so a
+source that holds a third of all rows is spread over the cluster.
 
 No row is dropped: when a source is used up its slots stay empty, and slots below
 `horizon` (of every row the same) are those where no source has run out.
@@ -25,8 +26,8 @@ prefix of these names.
 
 from __future__ import annotations
 
+import heapq
 import math
-from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from . import common
 PERIOD = 1000
 BLOCK = 64
 BUCKET = 4096
+#: Buckets that are counted on together.
+RANGE = 1024
 
 
 def integer_weights(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -52,19 +55,23 @@ def integer_weights(shares: dict[str, float], period: int = PERIOD) -> dict[str,
 
 
 def schedule(weights: dict[str, int]) -> list[str]:
-    """Which source each slot of one period goes to."""
-    period, done, slots = sum(weights.values()), dict.fromkeys(weights, 0), []
+    """Which source each slot of one period goes to. Blocks wait in the slot of their release,
+    then in a heap by deadline, so a slot costs the logarithm of the number of sources."""
+    period, slots = sum(weights.values()), []
+    released: list[list[tuple[str, int]]] = [[] for _ in range(period)]
+    ready: list[tuple[int, bool, int, str, int]] = []
+    for name in weights:
+        released[0].append((name, 0))
     for slot in range(period):
-        ready = []
-        for name, w in weights.items():
-            i = done[name]
-            if i < w and i * period // w <= slot:
-                due = -((-(i + 1) * period) // w)
-                overlap = Fraction((i + 1) * period, w).denominator > 1
-                ready.append((due, not overlap, -w, name))
-        name = min(ready)[3]
-        done[name] += 1
+        for name, i in released[slot]:
+            w = weights[name]
+            due = -((-(i + 1) * period) // w)
+            heapq.heappush(ready, (due, (i + 1) * period % w == 0, -w, name, i))
+        released[slot] = []
+        _, _, w, name, i = heapq.heappop(ready)
         slots.append(name)
+        if i + 1 < -w:
+            released[min(max((i + 1) * period // -w, slot + 1), period - 1)].append((name, i + 1))
     return slots
 
 
@@ -92,20 +99,19 @@ def mix(docs: DataFrame, shares: dict[str, float] | None = None, block: int = BL
     n_buckets = max(1, -(-sum(sizes.values()) // BUCKET))
     lot = F.xxhash64(F.lit(seed), F.col("whole.doc_id"), F.col("whole.text"))
     rows = rows.withColumn("lot", lot).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "lot"), F.lit(n_buckets)))
-    counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("source", "bucket", before.alias("before"))
+    # rows before a bucket: those of the lots of buckets before its own, and those before it in there
+    counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("bucket") / RANGE))
+    earlier = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.groupBy("source", "range").agg(F.sum("n").alias("n")).select("source", "range", earlier(["source"], "range").alias("before_range"))
+    counts = counts.select("source", "range", "bucket", earlier(["source", "range"], "bucket").alias("inside_range")).join(ranges, ["source", "range"])
+    counts = counts.select("source", "bucket", (F.col("before_range") + F.col("inside_range")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("lot", "whole.doc_id")) - 1
     rows = rows.withColumn("inside", inside).join(counts, ["source", "bucket"])
     at = F.col("before") + F.col("inside")
     rows = rows.withColumn("block", F.floor(at / block).cast("long")).withColumn("place", (at % block).cast("int"))
-    name = F.col("source")
-    weight, found = F.lit(1), F.array(F.lit(0))
-    for k, w in weights.items():
-        weight = F.when(name == k, F.lit(w)).otherwise(weight)
-        found = F.when(name == k, F.array(*[F.lit(s) for s in slots[k]])).otherwise(found)
-    rows = rows.withColumn("weight", weight)
-    slot = F.floor(F.col("block") / F.col("weight")) * length + F.get(found, (F.col("block") % F.col("weight")).cast("int"))
+    plan = docs.sparkSession.createDataFrame([(k, w, slots[k]) for k, w in weights.items()], "source string, weight int, slots array<int>")
+    rows = rows.join(plan, "source")
+    slot = F.floor(F.col("block") / F.col("weight")) * length + F.get("slots", (F.col("block") % F.col("weight")).cast("int"))
     added = [slot.cast("long").alias(f"{prefix}slot"), F.col("place").alias(f"{prefix}place"), F.col("block").alias(f"{prefix}block"), F.lit(min(ends, default=0)).cast("long").alias(f"{prefix}horizon")]
     names = {f"{prefix}{c}" for c in ("slot", "place", "block", "horizon")}
     return rows.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns if c not in names], *added)

@@ -78,3 +78,61 @@ def test_defined_results(spark):
     assert len({(r.mix_slot, r.mix_place) for r in out.collect()}) == df.count()
     assert pfair.mix(df.limit(0)).count() == 0
     assert pfair.mix(data.frame(spark, [(1, "a", "en", None, 1)])).first().mix_slot == 0
+
+
+def test_thousands_of_sources(spark):
+    """A source per host: small tables instead of an expression that grows with their number."""
+    rng = random.Random(5)
+    rows = [(i, f"text {i}", "en", f"host{rng.randrange(5000)}.example", 1) for i in range(9000)]
+    out = pfair.mix(data.frame(spark, rows), block=2, period=1000).collect()
+    assert len(out) == 9000 and len({(r.mix_slot, r.mix_place) for r in out}) == 9000
+    owner = {}
+    assert all(owner.setdefault(r.mix_slot, r.source) == r.source for r in out)
+
+
+def brute_schedule(weights):
+    """Earliest deadline first by looking at every source in every slot."""
+    period, done, slots = sum(weights.values()), dict.fromkeys(weights, 0), []
+    for slot in range(period):
+        ready = []
+        for name, w in weights.items():
+            i = done[name]
+            if i < w and i * period // w <= slot:
+                ready.append((-((-(i + 1) * period) // w), (i + 1) * period % w == 0, -w, name))
+        done[min(ready)[3]] += 1
+        slots.append(min(ready)[3])
+    return slots
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_schedule_equals_a_search_of_all_sources(seed):
+    rng = random.Random(seed)
+    weights = pfair.integer_weights({f"s{i}": rng.random() ** 3 for i in range(rng.randint(1, 20))}, rng.choice([20, 60, 97, 300]))
+    assert pfair.schedule(weights) == brute_schedule(weights)
+
+
+def test_the_query_puts_every_block_in_its_slot(spark, monkeypatch):
+    """The registered query against slots worked out by plain loops, from the places it gives."""
+    from raterlake.llm import queries
+
+    from ..conftest import SF
+
+    monkeypatch.setattr(pfair, "BUCKET", 16)
+    monkeypatch.setattr(pfair, "RANGE", 2)
+    rows = queries.op9_source_mixing(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()
+    assert sorted((r.doc_id, r.source) for r in rows) == sorted(map(tuple, docs))
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + 1
+    blocks = {s: -(-n // pfair.BLOCK) for s, n in sizes.items()}
+    weights = pfair.integer_weights(pfair.target_shares(blocks), pfair.PERIOD)
+    order = brute_schedule(weights)
+    slots = {s: [i for i, x in enumerate(order) if x == s] for s in weights}
+    places = {}
+    for r in rows:
+        places.setdefault(r.source, []).append(r.mix_block * pfair.BLOCK + r.mix_place)
+        assert r.mix_slot == slots[r.source][r.mix_block % weights[r.source]] + len(order) * (r.mix_block // weights[r.source])
+    assert all(sorted(p) == list(range(sizes[s])) for s, p in places.items())
+    ends = [slots[s][(n - 1) % weights[s]] + len(order) * ((n - 1) // weights[s]) + 1 for s, n in blocks.items()]
+    assert {r.mix_horizon for r in rows} == {min(ends)}
