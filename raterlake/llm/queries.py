@@ -36,8 +36,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    return url_reputation.judge(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    outcomes = url_reputation.linked_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return url_reputation.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ estimated by moments from the spread of that level's own rates. A page is blocke
 even the upper bound of its host's posterior is more than `MARGIN` below the share of good
 pages in the corpus, unless a rule speaks.
 
-The caller says which page has which outcome. The registered query takes a label to speak
-for the page whose page_id is its doc_id, as the tables have no other key in common.
+Outcomes are those of the texts that pages hold (`linked_outcomes`): a page is linked to the
+labelled documents whose first `OPENING` words open one of its paragraphs. Ids say nothing:
+page_id and doc_id number different things. Documents of one opening, such as copies, speak
+once, as good if one of them is labelled good; ids that repeat among the labels do likewise.
 
 Only counts per host are joined to pages, on the host; outcomes are summed per task
 before they are shuffled. The suffix is the last label, or the last two where the last
@@ -41,6 +43,11 @@ STRENGTH = (2.0, 200.0)
 #: Second levels under which names are registered.
 SECOND_LEVELS = ["ac", "co", "com", "edu", "gov", "net", "org"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words that link a page to a text.
+OPENING = 8
+SALTS = 16
+_OPENING = rf"^[\x20\x09-\x0D]*+((?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{OPENING - 1}}}[^\x20\x09-\x0D]++)"
+_PARAGRAPH = r"(?i)<(?:p|h[1-6]|article|div|br)(?:[ \t\r\n/][^>]*)?>"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -65,6 +72,29 @@ RULES = [
 ]
 
 
+def opening(text: Column) -> Column:
+    """The first words of a text joined by blanks; null where it has fewer."""
+    first = F.regexp_extract(text, _OPENING, 1)
+    return F.when(first != "", F.regexp_replace(first, common.BLANK_PATTERN, " "))
+
+
+def linked_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id and good of the pages that hold the text of a labelled document. pages: page_id,
+    html; docs: doc_id, text; labels: doc_id, quality. Pages without a known opening and
+    documents of fewer than `OPENING` words are linked with nothing.
+
+    An opening travels as its hash. Labelled openings are one row each, repeated for a few
+    salts, so that an opening which many pages share is not one task's."""
+    good = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    known = docs.select("doc_id", F.xxhash64(opening(F.col("text"))).alias("key"), opening(F.col("text")).isNotNull().alias("long")).filter("long").drop("long")
+    known = known.join(good, "doc_id").groupBy("key").agg(F.max("good").alias("good"))
+    paragraphs = F.transform(F.split("html", _PARAGRAPH), lambda p: opening(F.regexp_replace(p, "<[^>]*>", " ")))
+    held = pages.select("page_id", F.explode(F.array_distinct(F.transform(F.filter(paragraphs, lambda p: p.isNotNull()), lambda p: F.xxhash64(p)))).alias("key"))
+    held = held.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return held.join(salted, ["key", "salt"]).groupBy("page_id").agg(F.max("good").alias("good"))
+
+
 def host(url: Column) -> Column:
     return F.coalesce(F.translate(F.regexp_extract(url, _URL, 1), _UPPER, _LOWER), F.lit(""))
 
