@@ -148,10 +148,11 @@ class _Stream:
     """A gzip stream of any number of members, or plain bytes, inflated piece by piece."""
 
     def __init__(self, raw):
-        self.raw, self.have, self.rest, self.unpack, self.ended = raw, b"", b"", None, False
+        self.raw, self.have, self.at, self.rest, self.unpack, self.ended = raw, b"", 0, b"", None, False
         self.plain, self.seen = None, 0
 
     def _more(self) -> bool:
+        """Inflates another piece behind what isn't taken yet."""
         if self.ended:
             return False
         data = self.rest or self.raw.read(PIECE)
@@ -163,53 +164,53 @@ class _Stream:
             if self.unpack is not None:
                 raise _Damaged("cut off")
             return False
-        if self.plain:
-            self.have += data
-            return True
-        if self.unpack is None:
-            self.unpack = zlib.decompressobj(31)
-        try:
-            self.have += self.unpack.decompress(data, 4 * PIECE)
-        except zlib.error as e:
-            raise _Damaged(f"not inflated: {e}") from None
-        self.rest = self.unpack.unconsumed_tail
-        if self.unpack.eof:
-            self.rest, self.unpack = self.unpack.unused_data, None
+        if not self.plain:
+            if self.unpack is None:
+                self.unpack = zlib.decompressobj(31)
+            try:
+                data, unpack = self.unpack.decompress(data, 4 * PIECE), self.unpack
+            except zlib.error as e:
+                raise _Damaged(f"not inflated: {e}") from None
+            self.rest = unpack.unconsumed_tail
+            if unpack.eof:
+                self.rest, self.unpack = unpack.unused_data, None
+        self.have, self.at = self.have[self.at :] + data, 0
         return True
 
     def until(self, end: bytes, limit: int) -> bytes | None:
         """Up to and with `end`; None at the end of the stream."""
-        at = 0
-        while (found := self.have.find(end, at)) < 0:
-            at = max(0, len(self.have) - len(end) + 1)
-            if len(self.have) > limit:
+        read = 0
+        while (found := self.have.find(end, self.at + read)) < 0:
+            read = max(0, len(self.have) - self.at - len(end) + 1)
+            if len(self.have) - self.at > limit:
                 raise _Damaged("header too long")
             if not self._more():
-                if self.have.strip():
+                if self.have[self.at :].strip():
                     raise _Damaged("cut off")
                 return None
-        return self.take(found + len(end))
+        return self.take(found + len(end) - self.at)
 
     def take(self, n: int) -> bytes:
-        out, self.have = self.have[:n], self.have[n:]
+        out = self.have[self.at : self.at + n]
+        self.at += len(out)
         self.seen += len(out)
         return out
 
     def pieces(self, n: int):
         while n:
-            if not self.have and not self._more():
+            if self.at == len(self.have) and not self._more():
                 raise _Damaged("cut off")
-            part = self.take(min(n, len(self.have)))
+            part = self.take(min(n, PIECE))
             n -= len(part)
             if part:
                 yield part
 
     def skip_blank(self) -> None:
-        while True:
-            self.have, n = self.have.lstrip(b"\r\n"), len(self.have)
-            self.seen += n - len(self.have)
-            if self.have or not self._more():
-                return
+        while self.at < len(self.have) or self._more():
+            if self.at < len(self.have):
+                if self.have[self.at] not in b"\r\n":
+                    return
+                self.take(1)
 
 
 def _fields(head: bytes) -> list[tuple[str, str]]:
