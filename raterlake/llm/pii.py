@@ -64,6 +64,8 @@ DIGITS = {
 #: `at` is a word of prose, and so is `point` after it.
 AT_NAMES = "arroba|arobase|arobas|klammeraffe|ät"
 DOT_NAMES = "dot|punkt|punto"
+#: Words of prose after `at` that open no domain.
+ARTICLES = frozenset("a an the this that these those my our your his her their its der die das dem den ein eine einem le la les un une el los las una all any some no what which".split())
 
 _B = r"[\x20\x09-\x0D]"
 _GAP = _B + "{1,4}"
@@ -230,6 +232,8 @@ def at_and_dot(t: Traced) -> Traced:
             dots = list(_PLAIN_DOT.finditer(t.text, m.start(2), m.end(2)))
             if not dots and (m[1] == "@" or m[1].strip().lower() == "at"):
                 continue
+            if m[1].strip().lower() == "at" and t.text[m.end(1) : m.start(2)].lower() in ARTICLES:
+                continue  # we met at the dot com boom
             edits.append((m.start(1), m.end(1), "@"))
             edits += [(d.start(), d.end(), ".") for d in dots]
         t = t.rewrite(edits)
