@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import total
 from ..schema import MONEY
+from ..sources import files
 
 #: Rows that one task of the replay numbers at most, on average.
 BLOCK = 1 << 20
@@ -30,10 +31,10 @@ def current_ceiling(changes: DataFrame) -> DataFrame:
 def running_sums(rows: DataFrame, order: list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
     """Adds the running sum of `value` in the order of all rows, without bringing them to
     one task: ranges are summed on their own, then shifted by the sums of the ranges before,
-    one row each. `order` must be a total order."""
+    one row each. `order` must be a total order. The ranges are written to the shared folder,
+    so that a lost executor can't bring others about."""
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    cut = cut.persist()
+    cut = files.written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sums = cut.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

@@ -42,6 +42,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to a folder of their own in the shared one and read again; it goes when
+    the session ends."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def archive_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, pos, line, complete of every line of an append-only archive, a file or a
     folder of `append_archive`. line_no counts within the file, pos over all files in order of
