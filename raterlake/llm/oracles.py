@@ -56,10 +56,10 @@ def _level(name: str, rows: str) -> str:
 
 SQL["op5_url_filter"] = f"""
 with u as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
-o as (select array_to_string(({WORDS})[:8], ' ') as opening, max(quality) as good from documents join labels using (doc_id) where quality in (0, 1) and len({WORDS}) >= 8 group by 1),
+o as (select array_to_string(({WORDS})[:12], ' ') as opening, cast(avg(good) >= 0.5 as int) as good from documents join (select doc_id, max(quality) as good from labels where quality in (0, 1) group by doc_id) using (doc_id) where len({WORDS}) >= 12 group by 1),
 b as (select page_id, unnest(regexp_split_to_array(html, '(?i)<(?:p|h[1-6]|article|div|br)(?:[ \\t\\r\\n/][^>]*)?>')) as part from pages),
 e as (select page_id, {WORDS.replace("coalesce(text, '')", "regexp_replace(part, '<[^>]*>', ' ', 'g')")} as w from b),
-y as (select page_id, max(good) as good from e join o on array_to_string(w[:8], ' ') = opening where len(w) >= 8 group by page_id),
+y as (select page_id, max(good) as good from e join o on array_to_string(w[:12], ' ') = opening where len(w) >= 12 group by page_id),
 h0 as (select host, cast(count(good) as double) as n, cast(coalesce(sum(good), 0) as double) as good from u left join y using (page_id) group by host),
 h1 as (select *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') as parts from h0),
 h2 as (select *, case when len(parts) >= 3 and length(parts[-1]) = 2 and parts[-2] in ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') then 2 else 1 end as tail from h1),

@@ -8,9 +8,10 @@ even the upper bound of its host's posterior is more than `MARGIN` below the sha
 pages in the corpus, unless a rule speaks.
 
 Outcomes are those of the texts that pages hold (`linked_outcomes`): a page is linked to the
-labelled documents whose first `OPENING` words open one of its paragraphs. Ids say nothing:
-page_id and doc_id number different things. Documents of one opening, such as copies, speak
-once, as good if one of them is labelled good; ids that repeat among the labels do likewise.
+labelled documents whose first `OPENING` words open one of its paragraphs; fewer words would
+be shared by texts that have only a phrase in common. Ids say nothing: page_id and doc_id
+number different things. Documents of one opening, such as copies, speak once, by their
+majority, for good in a tie; of labels that repeat for an id, a good one counts.
 
 Only counts per host are joined to pages, on the host; outcomes are summed per task
 before they are shuffled. The suffix is the last label, or the last two where the last
@@ -44,7 +45,7 @@ STRENGTH = (2.0, 200.0)
 SECOND_LEVELS = ["ac", "co", "com", "edu", "gov", "net", "org"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that link a page to a text.
-OPENING = 8
+OPENING = 12
 SALTS = 16
 _OPENING = rf"^[\x20\x09-\x0D]*+((?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{OPENING - 1}}}[^\x20\x09-\x0D]++)"
 _PARAGRAPH = r"(?i)<(?:p|h[1-6]|article|div|br)(?:[ \t\r\n/][^>]*)?>"
@@ -87,7 +88,7 @@ def linked_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> Dat
     salts, so that an opening which many pages share is not one task's."""
     good = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     known = docs.select("doc_id", F.xxhash64(opening(F.col("text"))).alias("key"), opening(F.col("text")).isNotNull().alias("long")).filter("long").drop("long")
-    known = known.join(good, "doc_id").groupBy("key").agg(F.max("good").alias("good"))
+    known = known.join(good, "doc_id").groupBy("key").agg((F.avg("good") >= 0.5).cast("int").alias("good"))
     paragraphs = F.transform(F.split("html", _PARAGRAPH), lambda p: opening(F.regexp_replace(p, "<[^>]*>", " ")))
     held = pages.select("page_id", F.explode(F.array_distinct(F.transform(F.filter(paragraphs, lambda p: p.isNotNull()), lambda p: F.xxhash64(p)))).alias("key"))
     held = held.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
