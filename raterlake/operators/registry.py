@@ -101,9 +101,13 @@ def exclusions_in_order(exclusions: DataFrame) -> DataFrame:
 def scoring_keys(documents: DataFrame) -> DataFrame:
     """instrument, pos, item_id, construct, reversed, subscale and points of the items that
     instrument documents (instrument, json) key; items without a key or without points have no
-    row. Documents are taken apart inside their rows."""
-    doc = documents.select("instrument", F.try_parse_json("json").alias("v"))
-    items = doc.select("instrument", F.try_variant_get("v", "$.keys", "map<string,variant>").alias("keys"), F.posexplode(F.try_variant_get("v", "$.items", "array<variant>")).alias("pos", "item"))
-    rows = items.withColumn("item_id", F.try_variant_get("item", "$.id", "string")).withColumn("key", F.try_element_at("keys", F.col("item_id"))).withColumn("points", F.try_variant_get("item", "$.points", "int"))
+    row. The items and keys of a document leave its row one by one and meet by item id, so that
+    none is looked up in a map of all keys; documents of one name are told apart by their texts."""
+    doc = documents.select("instrument", F.sha2("json", 256).alias("text"), F.try_parse_json("json").alias("v"))
+    key = ["instrument", "text", "item_id"]
+    items = doc.select("instrument", "text", F.posexplode(F.try_variant_get("v", "$.items", "array<variant>")).alias("pos", "item"))
+    items = items.select("instrument", "text", "pos", F.try_variant_get("item", "$.id", "string").alias("item_id"), F.try_variant_get("item", "$.points", "int").alias("points")).filter("points is not null")
     of = lambda name, kind: F.try_variant_get("key", f"$.{name}", kind).alias(name)
-    return rows.filter("key is not null and points is not null").select("instrument", "pos", "item_id", of("construct", "string"), of("reversed", "boolean"), of("subscale", "string"), "points")
+    keys = doc.dropDuplicates(["instrument", "text"]).select("instrument", "text", F.explode(F.try_variant_get("v", "$.keys", "map<string,variant>")).alias("item_id", "key")).filter("key is not null")
+    keys = keys.select(*key, of("construct", "string"), of("reversed", "boolean"), of("subscale", "string"))
+    return items.join(keys, key).select("instrument", "pos", "item_id", "construct", "reversed", "subscale", "points")

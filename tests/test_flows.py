@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import time
 from decimal import Decimal
 
 import pytest
@@ -253,6 +254,19 @@ def test_scoring_keys_of_documents(spark):
     assert sorted(map(tuple, registry.scoring_keys(df).collect())) == [("i", 0, "a", "openness", True, None, 5), ("i", 2, "c", "nars", False, "s2", 7)]
 
 
+def test_scoring_keys_leave_large_documents(spark):
+    """20,000 keys are met once each, not once per item; documents of one name stay apart, and a text given twice counts twice."""
+    n = 20_000
+    item = lambda i: {"id": f"i{i}", "points": 5}
+    large = json.dumps({"items": [item(i) for i in range(n)], "keys": {f"i{i}": {"construct": "openness", "reversed": i % 2 == 0} for i in range(n)}})
+    one, two = json.dumps({"items": [item(1), item(1)], "keys": {"i1": {"construct": "a"}}}), json.dumps({"items": [item(1), item(2)], "keys": {"i2": {"construct": "b"}}})
+    got = registry.scoring_keys(frame(spark, [("large", large), ("same", one), ("same", two), ("same", two)], "instrument string, json string"))
+    start = time.monotonic()
+    rows = got.groupBy("instrument", "construct").count().collect()
+    assert time.monotonic() - start < 30
+    assert sorted(map(tuple, rows)) == [("large", "openness", n), ("same", "a", 2), ("same", "b", 2)]
+
+
 def test_pauses(spark):
     t = tables.study(spark, tests=frame(spark, [("a", "main"), ("b", "main")], "name string, kind string"))
     paused = study.set_pause(t, "a", "ceiling")
