@@ -116,9 +116,11 @@ def four_decimals(x: Column | str) -> Column:
 
 
 def _utc(at: Column) -> Column:
-    """To the second, by arithmetic on the instant, so that no session's zone comes in."""
+    """To the second, by arithmetic on the instant, so that no session's zone comes in. Spark puts
+    a plus before years of more than four digits, which goes."""
     since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(at).cast("decimal(18,6)"))
-    return F.replace((F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + since).cast("string"), F.lit(" "), F.lit("T"))
+    text = (F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + since).cast("string")
+    return F.ltrim(F.replace(text, F.lit(" "), F.lit("T")), F.lit("+"))
 
 
 def utc_seconds(at: Column | str) -> Column:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raterlake.errors import EngineError
+from raterlake.functions import texts
 from raterlake.functions.jsons import canonical
 from raterlake.operators import copies, ledger, planning, push, registry, requests, scoring, study
 from raterlake.operators import trials as trial_ops
@@ -299,3 +300,11 @@ def test_contrasts_of_a_full_fraction_cancel(spark):
     assert planning.in_fraction(lone, "1/2").count() == 1
     out = {r.alias: r.contrast for r in planning.alias_contrasts(lone, "1/2").collect()}
     assert out["O=CEAN"] == 1 and out["C=OEAN"] == -1 and set(out.values()) == {1, -1}
+
+
+def test_utc_texts_of_late_years(spark):
+    df = spark.range(1).select(F.explode(F.array(F.lit(253402300799123), F.lit(253402300800000), F.lit(599946042000004))).alias("ms"))
+    got = df.select(texts.utc_seconds(F.timestamp_millis("ms")), texts.utc_millis(F.timestamp_millis("ms"))).collect()
+    assert sorted(map(tuple, got)) == [
+        ("10000-01-01T00:00:00Z", "10000-01-01T00:00:00.000Z"), ("20981-07-13T22:20:00Z", "20981-07-13T22:20:00.004Z"), ("9999-12-31T23:59:59Z", "9999-12-31T23:59:59.123Z"),
+    ]
