@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -95,3 +96,32 @@ def test_natural_ranks_over_many_ranges(spark):
     rows = spark.createDataFrame([(n,) for n in names[::-1] + names[:9]], "name string")
     want = [f"a{i}" for i in range(1, 60)] + [f"b{i}" for i in range(1, 60)]
     assert {r.name: r["rank"] for r in references.natural_ranks(rows, "name").collect()} == {n: i + 1 for i, n in enumerate(want)}
+
+
+def test_digest_of_many_chunks(spark, monkeypatch):
+    """Chunks and ranges end anywhere; leads stand between the parts only, and tests may be null."""
+    texts = {t: [f"{t}{i}é" * (i % 5) for i in range(400)] for t in (None, "a", "b")}
+    rows = [(t, ", ", x, i == 0, i) for t, xs in texts.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "test string, lead string, text string, opens boolean, at int").repartition(7)
+    for chunk in (1, 300, 1 << 22):
+        monkeypatch.setattr(requests, "CHUNK", chunk)
+        got = {r.test: (r.parts, r.characters, r.sha256) for r in requests.text_digests(df, [F.col("at")], 5).collect()}
+        want = {t: xs[0] + ", ".join(xs[1:]) for t, xs in texts.items()}
+        assert got == {t: (400, len(w), hashlib.sha256(w.encode()).hexdigest()) for t, w in want.items()}
+
+
+def test_no_task_gathers_a_test(spark):
+    """The texts of a test are sorted in as many tasks as the plan asks for, and are compressed where they meet."""
+    df = spark.range(1000).select(F.lit("t").alias("test"), F.lit("").alias("lead"), F.repeat(F.lit("x"), 10_000).alias("text"), F.lit(False).alias("opens"), "id")
+    plan = requests.text_digests(df, [F.col("id")], 9)._jdf.queryExecution().toString()
+    assert "rangepartitioning" in plan and "data#" in plan.split("hashpartitioning(test")[0]
+
+
+def test_clip_lists_are_looked_up_once(spark):
+    """Rows that show one clip have no second one; they don't meet in a task by its absence."""
+    rows = spark.createDataFrame([(i, ["c1"] if i % 2 else ["c1", "c9"]) for i in range(20)] + [(20, []), (21, None)], "i int, clip_ids array<string>")
+    clips = spark.createDataFrame([("c1", "h1")], "clip_id string, sha256 string")
+    out = {r.i: r.refs for r in requests._with_refs(rows, "clip_ids", clips).collect()}
+    assert len(out) == 22 and [tuple(x) for x in out[1]] == [("c1", "h1")] and [tuple(x) for x in out[0]] == [("c1", "h1"), ("c9", None)] and out[20] == []
+    plan = requests._with_refs(rows, "clip_ids", clips)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan  # the lists, each once
