@@ -18,6 +18,7 @@ from . import planning, references, scoring, screening, status
 from . import requests as renders
 from . import trials as trial_ops
 
+_NULLS = {"ignoreNullFields": "false"}
 ATTRIBUTES = (*TRAITS, "nars", "age_band", "gender", "cultural_region", "robot_experience")
 
 
@@ -39,20 +40,17 @@ def _by(field: str):
     return lambda a, b: F.when(a[field] < b[field], -1).when(a[field] > b[field], 1).otherwise(0)
 
 
-def status_reports(trials: DataFrame, ledger: DataFrame, tests: DataFrame, changes: DataFrame, personas: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, neutral: str = "p0") -> DataFrame:
-    """test and document: the status of each test, and of all of them (test null), as one nested
-    JSON text: the rollup's rows in natural order, what is committed of which ceiling, the paused
-    tests of the study, and per test the attrition by attribute and value of the personas,
-    values by the first persona that has them.
-
-    trials also has last_category; tests: name, paused_reason; personas: id and the attributes.
-    The tallies are null where a persona of the trials is not in the panel (`neutral` belongs
-    to none). Rows are gathered by one pass over grouping sets; a document holds a row per
-    agent and test, which the panel bounds."""
+def status_report_parts(trials: DataFrame, ledger: DataFrame, tests: DataFrame, changes: DataFrame, personas: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, neutral: str = "p0") -> DataFrame:
+    """The documents of `status_reports` in parts, so that none has to be held: test, lead, text
+    and opens as `requests.text_digests` takes them, in the order of at (0: what stands before
+    the rows, 1: a row of the rollup, 2: what stands after) and key."""
     rollup = status.status_rollup(trials, ledger, tests)
     row = F.struct("test", "model", "agent", *TRIAL_STATES, "trials", "retried", "invalid_rate", numbers.usd("cost_usd").alias("cost_usd"), "paused")
-    keyed = rollup.select("test", F.struct(*[ids.natural_key(c).alias(c) for c in ("test", "model", "agent")]).alias("key"), row.alias("row"))
-    sets = keyed.groupingSets([[F.col("test")], []], "test").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "row"))), lambda x: x["row"]).alias("rows"))
+    key = F.struct(*[ids.natural_key(c).alias(c) for c in ("test", "model", "agent")])
+    part = lambda test, at, key, lead, text, opens: [test, F.lit(at).alias("at"), key.alias("key"), F.lit(lead).alias("lead"), text.alias("text"), F.lit(opens).alias("opens")]
+    rows = rollup.select(*part(F.explode(F.array("test", F.lit(None))).alias("test"), 1, key, ",", F.to_json(row, _NULLS), False))
+    names = trials.select("test").union(tests.select("name")).distinct()
+    documents = names.union(names.select(F.lit(None).cast("string")).distinct())
 
     mine = trials.filter(F.col("persona_id") != neutral)
     lost = references.unknown_references(mine, personas.select(F.col("id").alias("persona_id")), "persona_id").agg((F.count("*") > 0).alias("lost"))
@@ -65,12 +63,31 @@ def status_reports(trials: DataFrame, ledger: DataFrame, tests: DataFrame, chang
 
     paused = tests.filter("paused_reason is not null").agg(F.array_sort(F.collect_list(F.struct(F.col("name").alias("test"), F.col("paused_reason").alias("reason")))).alias("paused_tests"))
     footer = cost_footer(ledger, changes).crossJoin(F.broadcast(paused)).crossJoin(F.broadcast(lost))  # one row each
-    both = sets.alias("s").join(tallies.alias("t"), F.col("s.test").eqNullSafe(F.col("t.test")), "left").select("s.test", "rows", "tallies").crossJoin(F.broadcast(footer))
-    document = F.struct(
-        F.lit(1).alias("schema_version"), "test", "rows", numbers.usd("committed_usd").alias("committed"), F.when(F.col("ceiling_usd").isNotNull(), numbers.usd("ceiling_usd")).alias("ceiling"),
+    both = documents.alias("s").join(F.broadcast(tallies).alias("t"), F.col("s.test").eqNullSafe(F.col("t.test")), "left").select("s.test", "tallies").crossJoin(F.broadcast(footer))
+    head = F.to_json(F.struct(F.lit(1).alias("schema_version"), "test"), _NULLS)
+    tail = F.struct(
+        numbers.usd("committed_usd").alias("committed"), F.when(F.col("ceiling_usd").isNotNull(), numbers.usd("ceiling_usd")).alias("ceiling"),
         F.when(F.size("paused_tests") > 0, "paused").otherwise("ok").alias("state"), F.col("paused_tests").alias("paused"), F.when(~F.col("lost"), F.col("tallies")).alias("by_persona_attribute"),
     )
-    return both.select("test", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+    none = F.lit(None).cast(rows.schema["key"].dataType)
+    heads = documents.select(*part(F.col("test"), 0, none, "", F.concat(F.left(head, F.length(head) - 1), F.lit(',"rows":[')), True))
+    return rows.unionByName(heads).unionByName(both.select(*part(F.col("test"), 2, none, "", F.concat(F.lit("],"), F.substr(F.to_json(tail, _NULLS), F.lit(2))), False)))
+
+
+def status_reports(trials: DataFrame, ledger: DataFrame, tests: DataFrame, changes: DataFrame, personas: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES, neutral: str = "p0") -> DataFrame:
+    """test and document: the status of each test, and of all of them (test null), as one nested
+    JSON text: the rollup's rows in natural order, what is committed of which ceiling, the paused
+    tests of the study, and per test the attrition by attribute and value of the personas,
+    values by the first persona that has them.
+
+    trials also has last_category; tests: name, paused_reason; personas: id and the attributes.
+    The tallies are null where a persona of the trials is not in the panel (`neutral` belongs
+    to none). A document is one value, with a row per agent and test; where panels are so large
+    that this is too long, `status_report_parts` gives it in parts."""
+    parts = status_report_parts(trials, ledger, tests, changes, personas, attributes, neutral)
+    at = lambda n: F.max(F.when(F.col("at") == n, F.col("text")))
+    rows = F.transform(F.array_sort(F.collect_list(F.when(F.col("at") == 1, F.struct("key", "text")))), lambda x: x["text"])
+    return parts.groupBy("test").agg(F.concat(at(0), F.array_join(rows, ","), at(2)).alias("document"))
 
 
 def dry_run(trials: DataFrame, requests: DataFrame, estimates: DataFrame, decisions: DataFrame, exclusions: DataFrame, tests: DataFrame) -> DataFrame:

@@ -176,6 +176,18 @@ def test_nested_status_documents(spark):
     assert json.loads(lost.document)["by_persona_attribute"] is None and json.loads(lost.document)["ceiling"] is None
 
 
+def test_status_documents_in_parts(spark):
+    """The parts of a document, digested one after the other, are its text; a row of the rollup is a part."""
+    trials = frame(spark, [(f"x{i}", "ab"[i % 2], f"m{i % 3}", f"p{i}-m{i % 3}", f"p{i}", "valid", 1, "ok") for i in range(60)], "trial_id string, test string, model_id string, agent_id string, persona_id string, state string, attempt int, last_category string")
+    spent, tests = frame(spark, [("x1", Decimal("0.5"), None)], "trial_id string, reserved_usd decimal(38,12), actual_usd decimal(38,12)"), frame(spark, [("a", None), ("b", "ceiling")], "name string, paused_reason string")
+    given = (trials, spent, tests, frame(spark, [(1, Decimal("5"))], "seq long, ceiling_usd decimal(38,12)"), frame(spark, [(f"p{i}", "é") for i in range(60)], "id string, nars string"), ("nars",))
+    parts = study.status_report_parts(*given)
+    got = {r.test: (r.characters, r.sha256) for r in requests.text_digests(parts, [F.col("at"), F.col("key")]).collect()}
+    assert got == {r.test: (len(r.document), hashlib.sha256(r.document.encode()).hexdigest()) for r in study.status_reports(*given).collect()}
+    assert {r.test: r.n for r in parts.filter("at = 1").groupBy("test").agg(F.count("*").alias("n")).collect()} == {"a": 34, "b": 34, None: 68}
+    assert study.status_report_parts(trials.limit(0), spent, tests.limit(0), *given[3:]).count() == 0
+
+
 def test_instruments_are_resolved_by_precedence(spark):
     wanted = frame(spark, [("s1", 0, "own"), ("s1", 1, "shared"), ("s1", 2, "none"), ("s2", 0, "shared"), ("s3", 0, "odd"), ("s3", 1, "weird")], "study string, pos int, name string")
     user = frame(spark, [("s1", "own", "own"), ("s2", "shared", "shared"), ("s3", "odd", "even"), ("s9", "none", "none")], "study string, name string, document_name string")
