@@ -125,3 +125,11 @@ def test_clip_lists_are_looked_up_once(spark):
     assert len(out) == 22 and [tuple(x) for x in out[1]] == [("c1", "h1")] and [tuple(x) for x in out[0]] == [("c1", "h1"), ("c9", None)] and out[20] == []
     plan = requests._with_refs(rows, "clip_ids", clips)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan  # the lists, each once
+
+
+def test_usage_reports_are_parsed_once(spark):
+    """However many of a report's counts are asked for."""
+    df = spark.createDataFrame([('{"prompt_token_count":3}', '{"prompt_tokens":4}'), (None, None)], "m string, d string").select(requests.usage_by_modality(F.col("m")).alias("a"), requests.usage_by_details(F.col("d")).alias("b"))
+    total = df.agg(*[F.sum(c) for c in ("a.input_tokens", "a.output_tokens", "a.text_tokens", "a.video_tokens", "b.input_tokens", "b.output_tokens")])
+    assert tuple(total.first()) == (3, 0, 0, 0, 4, 0)
+    assert total._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 2
