@@ -10,10 +10,10 @@ only where the fields themselves are sound."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: patterns of names, ids and amounts
@@ -248,9 +248,9 @@ BETWEEN: dict[str, tuple[tuple[str, str, str], ...]] = {
 }
 
 
-_FACTS = "pos:int,kind:string,nullable:boolean,ge:decimal(38,6),gt:decimal(38,6),le:decimal(38,6),lt:decimal(38,6),pattern:string,said:string,choices:array<string>,least:int,most:int,keys:string,what:string,by:string,needs:array<struct<name:string,pos:int>>"
+_FACTS = "pos:int,kind:string,nullable:boolean,ge:decimal(38,6),gt:decimal(38,6),le:decimal(38,6),lt:decimal(38,6),pattern:string,regex:string,said:string,choices:array<string>,least:int,most:int,keys:string,what:string,by:string,needs:array<struct<name:string,pos:int>>"
 
-_NAMES = ("pos", "kind", "nullable", "ge", "gt", "le", "lt", "pattern", "said", "choices", "least", "most", "keys", "what", "by", "needs")
+_NAMES = ("kind", "nullable", "ge", "gt", "le", "lt", "pattern", "regex", "said", "choices", "least", "most", "what", "by", "needs")
 
 
 def _parent(path: str) -> str:
@@ -258,17 +258,20 @@ def _parent(path: str) -> str:
     return path[:-2] if path.endswith(("[]", "{}")) else path.rpartition(".")[0]
 
 
-def rule_maps(spark: SparkSession) -> DataFrame:
-    """doc_kind and its rules, a map from path to what holds there; a row per kind."""
-    rows, number = [], lambda x: None if x is None else Decimal(str(x))
+def _rules() -> Column:
+    """The rules of a document's kind, a map from path to what holds there. It is a constant of
+    the plan, so no row carries it."""
+    out = None
     for doc_kind, listed in RULES.items():
         rules = (Rule("", "object"), *listed)
         found = {}
         for pos, r in enumerate(rules):
-            needs = [(c.path.rpartition(".")[2], i) for i, c in enumerate(rules) if c.need and c.path != r.path and _parent(c.path) == r.path]
-            found[r.path] = (pos, r.kind, r.null, number(r.ge), number(r.gt), number(r.le), number(r.lt), r.pattern, SAID.get(r.pattern), list(r.choices) if r.choices else None, r.least, r.most, r.keys, r.unique, r.by, needs)
-        rows.append((doc_kind, found))
-    return spark.createDataFrame(rows, f"doc_kind string, rules map<string,struct<{_FACTS}>>")
+            needs = [{"name": c.path.rpartition(".")[2], "pos": i} for i, c in enumerate(rules) if c.need and c.path != r.path and _parent(c.path) == r.path]
+            facts = {"pos": pos, "kind": r.kind, "nullable": r.null, "ge": r.ge, "gt": r.gt, "le": r.le, "lt": r.lt, "pattern": r.pattern, "regex": _to_the_end(r.pattern), "said": SAID.get(r.pattern), "choices": r.choices}
+            found[r.path] = facts | {"least": r.least, "most": r.most, "keys": r.keys, "what": r.unique, "by": r.by, "needs": needs}
+        held = F.from_json(F.lit(json.dumps(found)), f"map<string,struct<{_FACTS}>>")
+        out = F.when(F.col("doc_kind") == doc_kind, held) if out is None else out.when(F.col("doc_kind") == doc_kind, held)
+    return out
 
 
 def _quoted(x: Column) -> Column:
@@ -286,9 +289,9 @@ def _number(x: Column) -> Column:
     return F.regexp_replace(x.cast("string"), r"\.?0+$", "")
 
 
-def _to_the_end(pattern: str) -> Column:
+def _to_the_end(pattern: str | None) -> str | None:
     """A pattern whose `$` is not content with a line break at the end."""
-    return F.regexp_replace(F.col(pattern), r"\$$", r"\\z")
+    return pattern[:-1] + r"\z" if pattern and pattern.endswith("$") else pattern
 
 
 def _said(text: str, *parts: Column) -> Column:
@@ -298,7 +301,7 @@ def _said(text: str, *parts: Column) -> Column:
 def _own_problem() -> Column:
     """What is wrong with a node by itself; null if nothing is."""
     shape, kind = F.col("shape"), F.col("kind")
-    text, size = F.try_variant_get("v", "$", "string"), F.size(F.try_variant_get("v", "$", "array<variant>"))
+    text, size = F.col("text"), F.size(F.try_variant_get("v", "$", "array<variant>"))
     whole, real = F.try_variant_get("v", "$", "decimal(38,0)"), F.try_variant_get("v", "$", "double")
     against = lambda holds, limit: F.when(shape == "INTEGER", holds(whole, F.col(limit))).otherwise(holds(real, F.col(limit).cast("double")))
     numeric = shape.isin("INTEGER", "NUMBER")
@@ -308,18 +311,18 @@ def _own_problem() -> Column:
         .when((kind == "number") & ~numeric, "input should be a valid number").when((kind == "bool") & (shape != "BOOLEAN"), "input should be a valid boolean").when((kind == "value") & ~shape.isin("INTEGER", "STRING"), "input should be a text or an integer")
     )
     choice = F.col("choices").isNotNull() & ~(F.coalesce(F.array_contains("choices", text), F.lit(False)) & (shape == F.when(kind == "text", "STRING").otherwise("INTEGER")))
-    length = F.when(kind == "text", F.char_length(text)).otherwise(size)
+    length = F.when(kind == "text", F.char_length(text)).when(kind == "list", size)
     short, long = length < F.col("least"), length > F.col("most")
     items = lambda n: F.when(n == 1, "item").otherwise("items")
     limits = F.coalesce(*[
-        F.when(against(holds, limit), _said(f"input should be {text_of} %s", _number(F.col(limit))))
+        F.when(numeric & F.col(limit).isNotNull() & against(holds, limit), _said(f"input should be {text_of} %s", _number(F.col(limit))))
         for limit, text_of, holds in (("ge", "greater than or equal to", lambda x, y: x < y), ("gt", "greater than", lambda x, y: x <= y), ("le", "less than or equal to", lambda x, y: x > y), ("lt", "less than", lambda x, y: x >= y))
     ])
     sizes = (
         F.when(short & (kind == "text"), _said("string should have at least %s character", F.col("least").cast("string"))).when(short, _said("list should have at least %s %s after validation, not %s", F.col("least").cast("string"), items(F.col("least")), length.cast("string")))
         .when(long, _said("list should have at most %s %s after validation, not %s", F.col("most").cast("string"), items(F.col("most")), length.cast("string")))
     )
-    pattern = F.when(~F.rlike(text, _to_the_end("pattern")), F.coalesce("said", F.concat(F.lit("string should match pattern "), _quoted(F.col("pattern")))))
+    pattern = F.when(F.col("regex").isNotNull() & ~F.rlike(text, F.col("regex")), F.coalesce("said", F.concat(F.lit("string should match pattern "), _quoted(F.col("pattern")))))
     found = F.coalesce(typed, F.when(choice, F.concat(F.lit("input should be "), _listed(F.col("choices")))), limits, sizes, pattern)
     return F.when(~(F.col("nullable") & (shape == "VOID")), found)
 
@@ -338,31 +341,42 @@ def _shape(v: Column) -> Column:
     return F.when((head == "BIGINT") | name.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$"), "INTEGER").when(head.isin("DECIMAL", "DOUBLE", "FLOAT"), "NUMBER").otherwise(head)
 
 
-def _node(field: Column, path: Column, place: Column, key: Column, v: Column, parent: Column | None) -> Column:
-    kind = lambda of: F.try_element_at(F.col("rules"), of)["kind"]
-    above = F.lit(None).cast("string") if parent is None else parent
-    return F.struct(field.alias("field"), path.alias("path"), place.alias("place"), key.alias("key"), v.alias("v"), _shape(v).alias("shape"), kind(path).alias("kind"), above.alias("parent"))
+def _known(nodes: Column, rules: Column) -> Column:
+    """The nodes with r, the rule of their path, and their place, which for members that have a
+    name of their own is the rule's."""
+    ruled = F.transform(nodes, lambda n: F.struct(n.alias("n"), F.try_element_at(rules, n["path"]).alias("r")))
 
+    def placed(x: Column) -> Column:
+        n = x["n"]
+        at = F.when(n["named"], F.coalesce(x["r"]["pos"], F.lit(1 << 19) + n["at"])).otherwise(n["at"])
+        return F.struct(n["field"].alias("field"), n["path"].alias("path"), F.concat(n["above"], F.array(at)).alias("place"), n["key"].alias("key"), n["v"].alias("v"), x["r"].alias("r"), n["keys"].alias("keys"))
 
-def _children(nodes: Column) -> Column:
-    """The members, values and elements of the nodes that may have some."""
+    return F.transform(ruled, placed)
+
+
+def _children(nodes: Column, rules: Column) -> Column:
+    """The members, values and elements of the nodes that may have some. What is no object, or no
+    list, has none, since it is read as null."""
 
     def of(n: Column) -> Column:
+        kind, none = n["r"]["kind"], F.lit(None).cast("string")
         dotted = lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit("."), b))
 
+        def child(field: Column, path: Column, at: Column, named: Column, key: Column, v: Column) -> Column:
+            return F.struct(field.alias("field"), path.alias("path"), n["place"].alias("above"), at.alias("at"), named.alias("named"), key.alias("key"), v.alias("v"), n["r"]["keys"].alias("keys"))
+
         def member(e: Column, i: Column) -> Column:
-            path = F.when(n["kind"] == "map", F.concat(n["path"], F.lit("{}"))).otherwise(dotted(n["path"], e["key"]))
-            at = F.when(n["kind"] == "map", i).otherwise(F.coalesce(F.try_element_at(F.col("rules"), path)["pos"], F.lit(1 << 19) + i))
-            return _node(dotted(n["field"], e["key"]), path, F.concat(n["place"], F.array(at)), e["key"], e["value"], n["path"])
+            path = F.when(kind == "map", F.concat(n["path"], F.lit("{}"))).otherwise(dotted(n["path"], e["key"]))
+            return child(dotted(n["field"], e["key"]), path, i, kind == "object", e["key"], e["value"])
 
         def element(x: Column, i: Column) -> Column:
-            return _node(dotted(n["field"], i.cast("string")), F.concat(n["path"], F.lit("[]")), F.concat(n["place"], F.array(i)), F.lit(None).cast("string"), x, n["path"])
+            return child(dotted(n["field"], i.cast("string")), F.concat(n["path"], F.lit("[]")), i, F.lit(False), none, x)
 
         members = F.transform(F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>")), member)
         elements = F.transform(F.try_variant_get(n["v"], "$", "array<variant>"), element)
-        return F.when(n["kind"].isin("object", "map") & (n["shape"] == "OBJECT"), members).when((n["kind"] == "list") & (n["shape"] == "ARRAY"), elements)
+        return F.when(kind.isin("object", "map"), members).when(kind == "list", elements)
 
-    return F.flatten(F.filter(F.transform(nodes, of), lambda x: x.isNotNull()))
+    return _known(F.flatten(F.filter(F.transform(nodes, of), lambda x: x.isNotNull())), rules)
 
 
 #: Places after those of all fields: unknown fields, repeated elements, what doesn't hold between fields.
@@ -374,17 +388,20 @@ def problems(documents: DataFrame) -> DataFrame:
     that is wrong with documents (doc_id, which is their key, doc_kind, json as text). field is
     empty for the document as a whole. A text that is no JSON, or null, has one problem.
 
-    A document is taken apart inside its row, one shuffle brings its problems together."""
-    docs = documents.select("doc_id", "doc_kind", F.try_parse_json("json").alias("v")).join(F.broadcast(rule_maps(documents.sparkSession)), "doc_kind")
-    empty, root = F.array().cast("array<int>"), F.lit("")
-    levels = docs.withColumn("l0", F.array(_node(root, root, empty, F.lit(None).cast("string"), F.col("v"), None)))
+    Documents are spread by doc_id over all tasks, however few files or row groups they come
+    from; a document is then taken apart and its problems brought together in the same task."""
+    spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = documents.filter(F.col("doc_kind").isin(*RULES)).select("doc_id", "doc_kind", "json").repartition(spread, "doc_id").select("doc_id", "doc_kind", F.try_parse_json("json").alias("v"))
+    none, rules = F.lit(None).cast("string"), _rules()
+    root = F.struct(F.lit("").alias("field"), F.lit("").alias("path"), F.array().cast("array<int>").alias("place"), none.alias("key"), F.col("v").alias("v"), F.try_element_at(rules, F.lit("")).alias("r"), none.alias("keys"))
+    levels = docs.select("doc_id", "doc_kind", F.array(root).alias("l0"))
     deep = max(r.path.count(".") + r.path.count("[]") + r.path.count("{}") + 1 for rs in RULES.values() for r in rs)
     for i in range(deep):
-        levels = levels.withColumn(f"l{i + 1}", _children(F.col(f"l{i}")))
-    rule = F.try_element_at("rules", F.col("n.path"))
-    nodes = levels.select("doc_id", "doc_kind", "rules", F.explode(F.concat(*[f"l{i}" for i in range(deep + 1)])).alias("n"))
-    nodes = nodes.select("doc_id", "doc_kind", "n.*", rule.alias("r"), F.try_element_at("rules", F.col("n.parent"))["keys"].alias("key_pattern"))
-    nodes = nodes.select("doc_id", "doc_kind", "field", "path", "place", "key", "v", "shape", "key_pattern", F.col("r").isNull().alias("unknown"), *[F.col("r")[c].alias(c) for c in _NAMES])
+        levels = levels.withColumn(f"l{i + 1}", _children(F.col(f"l{i}"), rules))
+    nodes = levels.select("doc_id", "doc_kind", F.explode(F.concat(*[f"l{i}" for i in range(deep + 1)])).alias("n"))
+    nodes = nodes.select("doc_id", "doc_kind", "n.field", "n.path", "n.place", "n.key", "n.v", _shape(F.col("n.v")).alias("shape"), F.col("n.keys").alias("key_pattern"), F.col("n.r").isNull().alias("unknown"), *[F.col("n.r")[c].alias(c) for c in _NAMES])
+    # objects and lists would be written out as JSON
+    nodes = nodes.withColumn("text", F.when(~F.col("shape").isin("OBJECT", "ARRAY"), F.try_variant_get("v", "$", "string")))
     nodes = nodes.withColumn("own", F.when(F.col("v").isNull(), "not a JSON document").when(F.col("unknown"), "extra inputs are not permitted").otherwise(_own_problem()))
     sound = F.col("own").isNull() & (F.col("shape") != "VOID")
 
@@ -394,17 +411,19 @@ def problems(documents: DataFrame) -> DataFrame:
     last = lambda n: F.concat("place", F.array(F.lit(n)))
     below = lambda name: F.when(F.col("field") == "", name).otherwise(F.concat("field", F.lit("."), name))
     found = [problem(F.col("own").isNotNull(), F.col("own"), F.col("place"))]
-    found.append(problem(~F.rlike("key", _to_the_end("key_pattern")), F.concat(F.lit("string should match pattern "), _quoted(F.col("key_pattern"))), last(-1)))
+    found.append(problem(F.col("key_pattern").isNotNull() & ~F.rlike("key", F.regexp_replace("key_pattern", r"\$$", r"\\z")), F.concat(F.lit("string should match pattern "), _quoted(F.col("key_pattern"))), last(-1)))
     again = _repeated()
     found.append(problem(sound & F.col("what").isNotNull() & again.isNotNull(), _said("duplicate %s '%s'", F.col("what"), again), last(_REPEATED), later=True))
+    nothing = F.array().cast("array<struct<field:string,reason:string,place:array<int>,later:boolean>>")
+    between = F.when(~sound, nothing)
     for doc_kind, listed in BETWEEN.items():
-        for i, (path, wrong, reason) in enumerate(listed):
-            here = (F.col("doc_kind") == doc_kind) & (F.col("path") == path) & sound
-            found.append(problem(here & F.expr(f"coalesce({wrong}, false)"), F.lit(reason), last(_BETWEEN + i), later=True))
-    members = F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))
-    lost = F.filter("needs", lambda x: ~F.array_contains(members, x["name"]))
-    lost = F.when(sound & (F.col("kind") == "object"), F.transform(lost, lambda x: F.struct(below(x["name"]).alias("field"), F.lit("field required").alias("reason"), F.concat("place", F.array(x["pos"])).alias("place"), F.lit(False).alias("later"))))
-    every = F.filter(F.concat(F.array(*found), F.coalesce(lost, F.array().cast("array<struct<field:string,reason:string,place:array<int>,later:boolean>>"))), lambda x: x.isNotNull())
+        for path in dict.fromkeys(path for path, _, _ in listed):
+            wrong = [problem(F.expr(f"coalesce({wrong}, false)"), F.lit(reason), last(_BETWEEN + i), later=True) for i, (at, wrong, reason) in enumerate(listed) if at == path]
+            between = between.when((F.col("doc_kind") == doc_kind) & (F.col("path") == path), F.array(*wrong))
+    lost = F.filter("needs", lambda x: ~F.array_contains(F.col("members"), x["name"]))
+    lost = F.when(F.col("members").isNotNull(), F.transform(lost, lambda x: F.struct(below(x["name"]).alias("field"), F.lit("field required").alias("reason"), F.concat("place", F.array(x["pos"])).alias("place"), F.lit(False).alias("later"))))
+    every = F.filter(F.concat(F.array(*found), F.coalesce(between, nothing), F.coalesce(lost, nothing)), lambda x: x.isNotNull())
+    nodes = nodes.withColumn("members", F.when(sound & (F.col("kind") == "object"), F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))))
     per = nodes.select("doc_id", F.explode(every).alias("p")).groupBy("doc_id").agg(F.collect_list("p").alias("all"))
 
     def stands(x: Column) -> Column:

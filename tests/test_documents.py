@@ -152,3 +152,12 @@ def test_references_of_tests(spark):
         make([("t", 0, "m1"), ("t", 1, "m9")], "test string, pos int, model_id string"), make([("m1",)], "model_id string"), make([("t", 0, "on"), ("t", 1, "else")], "test string, pos int, instrument string"),
     )
     assert [(r.code, r.field) for r in sorted(out.collect(), key=lambda r: r.place)] == [("unknown_instrument", "instruments.1"), ("instrument_not_allowed", "instruments.2"), ("unknown_instrument", "instruments.3"), ("config_invalid", "models.1"), ("unknown_instrument", "practice.1")]
+
+
+def test_documents_of_one_file_are_spread_before_they_are_taken_apart(spark):
+    docs = spark.createDataFrame([(f"d{i}", "test", changed(TEST, "kind", "poll")) for i in range(40)], "doc_id string, doc_kind string, json string").coalesce(1)
+    found = documents.problems(docs)
+    assert found.rdd.getNumPartitions() == 4 and found.count() == 40
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # one shuffle, of the texts: below the rows of nodes and below the join of a document's problems
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("Generate explode")
