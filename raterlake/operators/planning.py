@@ -57,9 +57,11 @@ def kept_agents(sessions: DataFrame, agents: DataFrame) -> DataFrame:
 def plan_trials(planned: DataFrame, shapes: DataFrame, variants: DataFrame, shuffle: bool = True) -> DataFrame:
     """Every trial of the sessions. variants: instrument, variants (names in order); a repeat
     uses the next one. The permutation of a session follows from its seed alone, so plans
-    are the same however sessions are spread over tasks."""
+    are the same however sessions are spread over tasks. They are spread over all, since a
+    session becomes many trials and sessions may come from a few row groups."""
+    spread = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     listed = shapes.join(variants, "instrument").agg(F.array_sort(F.collect_list(F.struct("place", "instrument", "clip_ids", "pair_id", "position", "variants"))).alias("shapes"))
-    rows = planned.crossJoin(F.broadcast(listed))
+    rows = planned.repartition(spread, "session_id").crossJoin(F.broadcast(listed))
     order = seeds.shuffled("order_seed", F.size("shapes")) if shuffle else F.sequence(F.lit(0), F.size("shapes") - 1)
     rows = rows.select(*planned.columns, "shapes", F.posexplode(order).alias("at", "k")).withColumn("s", F.get("shapes", F.col("k"))).withColumn("trial_index", F.col("at") + 1)
     variant = F.get("s.variants", ((F.col("repeat") - 1) % F.size("s.variants")).cast("int"))

@@ -239,3 +239,15 @@ def test_perception_runs_are_scored(spark):
     assert superseded == []
     got = {r.model_id: (r.outcome, r.score, r.pair_checks, r.detail, r.pos) for r in t["screening_results"].collect()}
     assert got == {"m1": ("pass", 1.0, 1, '{"passed":2,"units":2}', 1), "m2": ("fail", 0.5, 1, '{"passed":1,"units":2}', 2), "m3": ("fail", 0.0, 1, '{"passed":0,"units":2}', 3)}
+
+
+def test_sessions_of_one_file_are_spread_before_they_become_trials(spark):
+    shapes = spark.createDataFrame([("rate", ["c1"], None, None, 0), ("rate", ["c2"], None, None, 1)], "instrument string, clip_ids array<string>, pair_id string, position int, place int")
+    people = spark.createDataFrame([(f"p{i}",) for i in range(30)], "id string")
+    planned = planning.sessions("t", people, spark.createDataFrame([("m1", 0)], "model_id string, pos int"), 2, 5).coalesce(1)
+    variants = spark.createDataFrame([("rate", ["a", "b"])], "instrument string, variants array<string>")
+    for shuffle in (False, True):
+        out = planning.plan_trials(planned, shapes, variants, shuffle)
+        assert out.select(F.spark_partition_id().alias("task")).distinct().count() == 4
+        rows = out.collect()
+        assert len({r.trial_id for r in rows}) == len(rows) == 120 and all(r.prompt_variant == "ab"[r.repeat - 1] for r in rows)
