@@ -69,7 +69,7 @@ def archive_lines(spark: SparkSession, path: str) -> DataFrame:
     files = ranges.groupBy("path").agg(F.sum("n").alias("in_file"), (F.max("size") - F.sum("bytes")).isin(-1, 2).alias("cut"))
     files = files.withColumn("before_file", F.coalesce(F.sum("in_file").over(before(Window.orderBy("path"))), F.lit(0)))
     ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(before(order)), F.lit(0))).join(files, "path").select("path", "range", "first", "before", "in_file", "before_file", "cut")
-    out = lines.drop("size").join(ranges, ["path", "range"]).withColumn("line_no", F.col("before") + F.col("id") - F.col("first"))
+    out = lines.drop("size").join(F.broadcast(ranges), ["path", "range"]).withColumn("line_no", F.col("before") + F.col("id") - F.col("first"))
     return out.select("path", "line_no", (F.col("before_file") + F.col("line_no")).alias("pos"), "line", (~F.col("cut") | (F.col("line_no") < F.col("in_file") - 1)).alias("complete"))
 
 

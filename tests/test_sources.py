@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from raterlake import schema
 from raterlake.errors import EngineError
+from raterlake.plans import driverdata as d, queries
 from raterlake.sources import files, tables
 from raterlake.streaming import archive as stream
 
+from .conftest import SF
+
 
 def test_archive_last_line_wins_and_fragments(spark, tmp_path):
     good = lambda n, raw: json.dumps({"trial_id": "x", "attempt": n, "raw": raw})
@@ -148,3 +151,24 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.spend_by_window(stream.response_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("spend").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((float(r.cost_usd), r.lines) for r in spark.table("spend").collect()) == [(4.0, 1), (4.0, 2)]
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    (tmp_path / "a").write_text("x\ny\n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = files.archive_lines(spark, str(tmp_path))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        found = [(r.pos, r.line) for r in lines.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(found) == [(0, "x"), (1, "y")]
+    # ranges go to the lines: a shuffle would bring ranges of 128 MB together in one task
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("BroadcastHashJoin")[0]
+
+
+def test_places_are_counted_without_a_set_of_them(spark):
+    out = queries.archive_fragments(spark, SF)
+    [placed] = [r for r in out.collect() if r.kind == "placed"]
+    assert placed.lines == placed.characters + 1 == d.attempts(spark, SF).count()
+    assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
