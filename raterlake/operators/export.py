@@ -31,11 +31,16 @@ def factors_of(key: DataFrame) -> list[str]:
 
 def condition_cells(trials: DataFrame, key: DataFrame, factors: list[str]) -> DataFrame:
     """trial_id and the condition columns: `<factor>` for one clip, `<factor>_a` and
-    `<factor>_b` for a pair. Each side is a left join, so clips without a key stay."""
-    wide = blinding_wide(key, factors)
+    `<factor>_b` for a pair. Each side is a left join, so clips without a key stay. Only the
+    clips that trials show are sought, and a trial without a clip has a key of its own, or
+    all of these would meet in one task."""
+    shown = trials.select(F.explode("clip_ids").alias("clip_id")).distinct()
+    wide = blinding_wide(key.join(shown, "clip_id", "left_semi"), factors)
     side = lambda k: wide.select(F.col("clip_id").alias(f"clip_{k}"), *[F.col(f).alias(f"{f}@{k}") for f in factors])
     t = trials.select("trial_id", "pair_id", F.get("clip_ids", F.lit(0)).alias("clip_0"), F.get("clip_ids", F.lit(1)).alias("clip_1"))
-    t = t.join(side(0), "clip_0", "left").join(side(1), "clip_1", "left")
+    for k in (0, 1):
+        t = t.withColumn("none", F.col(f"clip_{k}").isNull()).withColumn(f"clip_{k}", F.coalesce(f"clip_{k}", "trial_id"))
+        t = t.join(side(k).withColumn("none", F.lit(False)), [f"clip_{k}", "none"], "left").drop("none")
     single = F.col("pair_id").isNull()
     cells = []
     for f in factors:

@@ -251,3 +251,20 @@ def test_sessions_of_one_file_are_spread_before_they_become_trials(spark):
         assert out.select(F.spark_partition_id().alias("task")).distinct().count() == 4
         rows = out.collect()
         assert len({r.trial_id for r in rows}) == len(rows) == 120 and all(r.prompt_variant == "ab"[r.repeat - 1] for r in rows)
+
+
+def test_trials_without_a_second_clip_do_not_meet_in_one_task(spark):
+    trials = spark.createDataFrame([(f"o{i}", None, ["c1"] if i % 9 else []) for i in range(200)] + [("x", "p", ["c1", "c2"]), ("c1", None, ["c7"])], "trial_id string, pair_id string, clip_ids array<string>")
+    key = spark.createDataFrame([("c1", "f", "a", 0), ("c2", "f", "b", 1), ("o5", "f", "z", 2)], "clip_id string, factor string, level string, pos bigint")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = export.condition_cells(trials, key, ["f"]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    got = {r.trial_id: (r.f, r.f_a, r.f_b) for r in rows}
+    assert len(rows) == 202 and got["x"] == (None, "a", "b") and got["c1"] == (None, None, None)
+    assert all(got[f"o{i}"] == (("a" if i % 9 else None), None, None) for i in range(200))
+    assert len({r.task for r in rows if r.f_a is None}) == 4
