@@ -65,19 +65,24 @@ def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, *[F.col("first").getField(c).alias(f) for c, f in zip(_PLACE, _FIRST)])
 
 
-def _ranked(rows: DataFrame, keys: list[str], scratch: common.Scratch) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], scratch: common.Scratch) -> DataFrame | None:
     """The rows whose key is shared, with rank, the key's place in the order of all, and
-    the first suffix that has it."""
+    the first suffix that has it. None if no key is shared."""
     order = _shared(rows, keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
     ranks = scratch.table(order.withColumn("next_rank", F.monotonically_increasing_id()))
+    if ranks.isEmpty():
+        return None
     out = rows.join(ranks.hint("merge"), keys).drop(*keys).withColumnRenamed("next_rank", "rank")
     return out.withColumn("later", F.struct(*_PLACE) != F.struct(*_FIRST))
 
 
-def _repeated_lines(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
+def _repeated_lines(docs: DataFrame, scratch: common.Scratch) -> DataFrame | None:
     """Every suffix whose first line repeats: rank, room (repeated lines from it on, without
-    a gap) and upto (words of the document's repeated lines up to and with its first)."""
+    a gap) and upto (words of the document's repeated lines up to and with its first). None
+    if no line repeats."""
     rows = _ranked(lines(docs), ["id1", "id2"], scratch)
+    if rows is None:
+        return None
     rows = rows.repartition(*_SEQ).dropDuplicates(_PLACE)
     by_seq = Window.partitionBy(*_SEQ).orderBy("pos")
     rows = rows.withColumn("upto", F.sum("n_words").over(by_seq)).withColumn("island", F.col("pos") - F.row_number().over(by_seq))
@@ -88,11 +93,12 @@ def _repeated_lines(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
 def suffix_ranks(docs: DataFrame, scratch: common.Scratch) -> list[DataFrame]:
     """For m = 0, 1, ...: the suffixes that share their first 2^m lines with another."""
     out, now, n = [], _repeated_lines(docs, scratch), 1
-    while not now.isEmpty():
+    while now is not None:
         out.append(now)
         after = Window.partitionBy(*_SEQ).orderBy("pos").rangeBetween(n, n)
         pairs = now.select(*_PLACE, "room", F.col("rank").alias("one"), F.max("rank").over(after).alias("two")).filter("two is not null")
-        now = scratch.table(_ranked(pairs, ["one", "two"], scratch))
+        now = _ranked(pairs, ["one", "two"], scratch)
+        now = None if now is None else scratch.table(now)
         n *= 2
     return out
 

@@ -146,3 +146,15 @@ def test_ranks_order_suffixes(spark):
         if m:
             order = sorted(found, key=found.get)
             assert [ranks[m - 1][p] for p in order] == sorted(ranks[m - 1][p] for p in order)
+
+
+def test_last_round_makes_no_join(spark, monkeypatch):
+    """The round in which no pair is shared ends the race without a join."""
+    text = "\n".join(f"a line of five words {i}" for i in range(40))
+    frame = data.frame(spark, [(1, text, "en", "web", len(text)), (2, text, "en", "web", len(text))])
+    written, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df: written.append(df.columns) or table(self, df))
+    ranks = line_dedup.suffix_ranks(frame, scratch := Scratch(spark))
+    assert len(ranks) == 6 and len(written) == 2 * len(ranks) + 1
+    assert {(r.doc, r.pos): r.n for r in line_dedup.intervals(ranks, scratch).collect()} == {(2, i): 40 - i for i in range(40)}
+    scratch.drop()
