@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -102,12 +102,17 @@ def scoring_keys(documents: DataFrame) -> DataFrame:
     """instrument, pos, item_id, construct, reversed, subscale and points of the items that
     instrument documents (instrument, json) key; items without a key or without points have no
     row. The items and keys of a document leave its row one by one and meet by item id, so that
-    none is looked up in a map of all keys; documents of one name are told apart by their texts."""
+    none is looked up in a map of all keys; documents of one name are told apart by their texts.
+    Both leave in one pass: two readings of a document may order its members differently (lists
+    collected over a shuffle do), and then its items and keys would have texts that don't meet."""
     doc = documents.select("instrument", F.sha2("json", 256).alias("text"), F.try_parse_json("json").alias("v"))
-    key = ["instrument", "text", "item_id"]
-    items = doc.select("instrument", "text", F.posexplode(F.try_variant_get("v", "$.items", "array<variant>")).alias("pos", "item"))
-    items = items.select("instrument", "text", "pos", F.try_variant_get("item", "$.id", "string").alias("item_id"), F.try_variant_get("item", "$.points", "int").alias("points")).filter("points is not null")
-    of = lambda name, kind: F.try_variant_get("key", f"$.{name}", kind).alias(name)
-    keys = doc.dropDuplicates(["instrument", "text"]).select("instrument", "text", F.explode(F.try_variant_get("v", "$.keys", "map<string,variant>")).alias("item_id", "key")).filter("key is not null")
-    keys = keys.select(*key, of("construct", "string"), of("reversed", "boolean"), of("subscale", "string"))
-    return items.join(keys, key).select("instrument", "pos", "item_id", "construct", "reversed", "subscale", "points")
+    of = lambda value, name, kind: F.try_variant_get(value, f"$.{name}", kind).alias(name)
+    key = lambda v: F.when(v.isNotNull(), F.struct(of(v, "construct", "string"), of(v, "reversed", "boolean"), of(v, "subscale", "string")))
+    none = F.lit(None).cast("struct<construct:string,reversed:boolean,subscale:string>")
+    member = lambda item_id, pos, points, keyed: F.struct(item_id.alias("item_id"), pos.alias("pos"), points.alias("points"), keyed.alias("key"))
+    items = F.transform(F.try_variant_get("v", "$.items", "array<variant>"), lambda x, i: member(F.try_variant_get(x, "$.id", "string"), i, F.try_variant_get(x, "$.points", "int"), none))
+    keys = F.transform(F.map_entries(F.try_variant_get("v", "$.keys", "map<string,variant>")), lambda e: member(e["key"], F.lit(None).cast("int"), F.lit(None).cast("int"), key(e["value"])))
+    rows = doc.select("instrument", "text", F.inline(F.concat(items, keys))).filter("item_id is not null and (points is not null or key is not null)")
+    same = Window.partitionBy("instrument", "text", "item_id")
+    rows = rows.withColumn("key", F.max("key").over(same)).filter("pos is not null and key is not null")
+    return rows.select("instrument", "pos", "item_id", "key.construct", "key.reversed", "key.subscale", "points")

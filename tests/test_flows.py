@@ -16,8 +16,11 @@ from raterlake.functions import texts
 from raterlake.functions.jsons import canonical
 from raterlake.operators import copies, ledger, planning, push, registry, requests, scoring, study
 from raterlake.operators import trials as trial_ops
+from raterlake.plans import driverdata
 from raterlake.sources import tables
 
+from .conftest import SF
+
 
 def frame(spark, rows, kind):
     return spark.createDataFrame(rows, kind)
@@ -280,6 +283,30 @@ def test_scoring_keys_leave_large_documents(spark):
     assert sorted(map(tuple, rows)) == [("large", "openness", n), ("same", "a", 2), ("same", "b", 2)]
 
 
+def test_scoring_keys_of_documents_in_any_order(spark):
+    """A document whose keys come in another order at each reading, as lists do that are collected over a shuffle."""
+    doc = {"items": [{"id": f"i{i}", "points": 5} for i in range(40)], "keys": {f"i{i}": {"construct": "openness", "reversed": i % 2 == 0} for i in range(40)}}
+
+    @F.udf("string")
+    def reordered(text):
+        found = json.loads(text)
+        return json.dumps(found | {"keys": dict(random.SystemRandom().sample(list(found["keys"].items()), len(found["keys"])))})
+
+    df = frame(spark, [("i", json.dumps(doc))], "instrument string, json string").select("instrument", reordered.asNondeterministic()("json").alias("json"))
+    rows = registry.scoring_keys(df).collect()
+    assert sorted(map(tuple, rows)) == sorted(("i", i, f"i{i}", "openness", i % 2 == 0, None, 5) for i in range(40))
+
+
+def test_instrument_documents_in_one_order(spark, tmp_path):
+    """A brand's document says its parts in the order of their keys, however they arrive."""
+    parts = spark.read.parquet(f"{SF}/part.parquet")
+    texts = []
+    for name, order in (("up", F.col("p_partkey")), ("down", F.desc("p_partkey"))):
+        parts.orderBy(order).coalesce(1).write.parquet(str(tmp_path / name / "part.parquet"))
+        texts.append(sorted(map(tuple, driverdata.instrument_documents(spark, str(tmp_path / name)).collect())))
+    assert texts[0] == texts[1]
+
+
 def test_pauses(spark):
     t = tables.study(spark, tests=frame(spark, [("a", "main"), ("b", "main")], "name string, kind string"))
     paused = study.set_pause(t, "a", "ceiling")
