@@ -113,6 +113,6 @@ def scoring_keys(documents: DataFrame) -> DataFrame:
     items = F.transform(F.try_variant_get("v", "$.items", "array<variant>"), lambda x, i: member(F.try_variant_get(x, "$.id", "string"), i, F.try_variant_get(x, "$.points", "int"), none))
     keys = F.transform(F.map_entries(F.try_variant_get("v", "$.keys", "map<string,variant>")), lambda e: member(e["key"], F.lit(None).cast("int"), F.lit(None).cast("int"), key(e["value"])))
     rows = doc.select("instrument", "text", F.inline(F.concat(items, keys))).filter("item_id is not null and (points is not null or key is not null)")
-    same = Window.partitionBy("instrument", "text", "item_id")
-    rows = rows.withColumn("key", F.max("key").over(same)).filter("pos is not null and key is not null")
+    same = ["instrument", "text", "item_id"]
+    rows = rows.repartition(*same).withColumn("key", F.max("key").over(Window.partitionBy(*same))).filter("pos is not null and key is not null")
     return rows.select("instrument", "pos", "item_id", "key.construct", "key.reversed", "key.subscale", "points")
